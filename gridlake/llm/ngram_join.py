@@ -122,19 +122,87 @@ def _signatures(width: int, threshold: tuple[int, int], listed, k: int):
                     out += sig
                     many[i] = sum(map(len, sig))
                 if out:
-                    yield pa.record_batch([to_long(np.concatenate(out)), to_long(np.repeat(ids, many)), pa.array(np.repeat(sizes, many))], names=["sig", "id", "n"])
+                    yield pa.record_batch([to_long(np.concatenate(out)), to_long(np.repeat(ids, many))], names=["sig", "id"])
 
     return run
 
 
-def _token_sets(width: int):
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Counts of the shingles in equal ranges of hashes, a quarter to a half of a byte for each shingle."""
+    bits = max(6, int(len(tokens)).bit_length() - 2)
+    counts = np.bincount((tokens >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _may_share(x: np.ndarray, y: np.ndarray) -> int:
+    """At least as many shingles as the two sketched sets share."""
+    if x.max() == 255 or y.max() == 255:
+        return 1 << 60
+    m = min(len(x), len(y))
+    x, y = (v.reshape(m, -1).sum(axis=1, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
+def _of_sets(width: int, chosen, make):
+    """make(set) in bytes for the documents whose bit is set in the bitmap chosen; other documents are not parsed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = chosen.value
         for batch in batches:
+            batch = batch.filter(pa.array(_bit(bitmap, batch.column(0).to_numpy(zero_copy_only=False))))
             for _, _, data, off in string_chunks(batch, "text"):
                 words, first = word_hashes(data, off)
                 sets = list(shingle_sets(words, first, width))
-                ids = _set_ids(np.concatenate(sets), np.array([len(s) for s in sets], dtype=np.int64))
-                yield pa.record_batch([to_long(ids), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"])
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                ids = _set_ids(np.concatenate(sets), sizes)
+                yield pa.record_batch([to_long(ids), pa.array(sizes), pa.array([make(s) for s in sets], pa.binary())], names=["id", "n", "data"])
+
+    return run
+
+
+#: Bits of the bitmap that stands for a set of documents (8 MB); more documents only mean more false positives.
+_BITMAP = 26
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(U)) >> U(64 - _BITMAP)).astype(np.int64)
+
+
+def _bit(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _slots(ids)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _bitmap_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_slots(b.column(0).to_numpy(zero_copy_only=False)) for b in batches)]))
+    yield pa.record_batch([pa.array(at)], names=["slot"])
+
+
+def _bitmap(docs: DataFrame):
+    """A broadcast bitmap of fixed size with the bits of all doc_ids set, gathered as one word for each 64 bits."""
+    words = docs.select("doc_id").mapInArrow(_bitmap_parts, "slot long").groupBy(F.expr("slot >> 6").alias("word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (_BITMAP - 6), dtype=np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+
+def _likely(threshold: tuple[int, int]):
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                if den * min(na[i], nb[i]) < num * max(na[i], nb[i]):
+                    continue
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
+                shared = min(_may_share(x, y), na[i], nb[i])
+                if den * shared >= num * (na[i] + nb[i] - shared):
+                    keep.append(i)
+            rows = pa.array(keep, pa.int64())
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
     return run
 
@@ -190,41 +258,46 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     members = stats.where("doc_id IS NOT NULL").select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("id"))
     classes = members.where("id IS NOT NULL").groupBy("id", "n").agg(F.min("doc_id").alias("rep"))
 
-    posts = docs.mapInArrow(_signatures(width, threshold, listed, k), "sig long, id long, n long")
-    shared = posts.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "n")).alias("pivot")).where("low <> high").select("sig", "pivot")
-    buckets = written(posts.join(shared, "sig").select("sig", "id", "n", "pivot").distinct(), "signature-buckets")
+    posts = docs.mapInArrow(_signatures(width, threshold, listed, k), "sig long, id long")
+    shared = posts.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot <> high").select("sig", "pivot")
+    buckets = written(posts.join(shared, "sig").select("sig", "id", "pivot").distinct(), "signature-buckets")
+    stars = written(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
 
-    num, den = threshold
-    fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-    stars = buckets.where("id <> pivot.id").select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb")).where(fits).select("a", "b").distinct()
-    stars = written(stars, "star-pairs")
+    def documents_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        return ids.join(classes, "id").select(F.col("rep").alias("doc_id"))
+
+    def joined(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+        """pairs (a, b) with the columns of either set, those of a first."""
+        for end in "ab":
+            pairs = pairs.join(sets.select(F.col("id").alias(end), *(F.col(c).alias(c + end) for c in columns)), end)
+        return pairs.select("a", "b", *(c + end for c in columns for end in "ab"))
 
-    wanted = buckets.select("id").distinct().join(classes, "id").select(F.col("rep").alias("doc_id"))
-    texts = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
-    tokens = written(texts.mapInArrow(_token_sets(width), "id long, tokens binary"), "token-sets")
+    members_of_buckets = buckets.select("id").distinct().join(classes, "id").select(F.col("rep").alias("doc_id"))
+    sketches = written(docs.mapInArrow(_of_sets(width, _bitmap(members_of_buckets), _sketch), "id long, n long, data binary"), "sketches")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        x = tokens.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-        y = tokens.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-        full = pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
-        return written(full.mapInArrow(_verified(threshold), "a long, b long, shared long"), name)
+        likely = written(joined(pairs, sketches, ["n", "data"]).mapInArrow(_likely(threshold), "a long, b long").distinct(), "likely-pairs")
+        tokens = written(docs.mapInArrow(_of_sets(width, _bitmap(documents_of(likely)), np.ndarray.tobytes), "id long, n long, data binary"), "token-sets")
+        found = written(joined(likely, tokens, ["data"]).mapInArrow(_verified(threshold), "a long, b long, shared long").distinct(), name)
+        drop(tokens)
+        return found
 
     first = verify(stars, "star-links")
     comp = connected_components(first)
 
     # Pairs of a bucket whose ends are still in different components, other than those of the stars
-    placed = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
+    placed = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
     open_ = written(placed.join(mixed, "sig"), "open-buckets")
-    x, y = (open_.select("sig", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}")) for i in "ab")
-    rest = x.join(y, "sig").where("a < b AND ca <> cb").where(fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    x, y = (open_.select("sig", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
+    rest = x.join(y, "sig").where("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     second = verify(rest, "more-links")
-    drop(open_)
 
-    links = first.unionByName(second).distinct()
+    links = first.unionByName(second)
     comp = connected_components(links)
     of_set = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_doc = of_set.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = written(of_set.join(least_doc, "component").select("id", "component_id"), "set-components")
-    out = members.join(of_set.dropDuplicates(["id"]), "id", "left")
+    of_set = written(of_set.join(least_doc, "component").select("id", "component_id").dropDuplicates(["id"]), "set-components")
+    out = members.join(of_set, "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id")), links
