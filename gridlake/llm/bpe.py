@@ -269,7 +269,8 @@ def _decoder(automaton):
                 raw, end = data.tobytes(), np.concatenate([[0], end])
                 edge = end[np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])].tolist()
                 text = [raw[x:y].decode("utf-8", errors="replace") for x, y in zip(edge, edge[1:], strict=False)]
-                yield pa.record_batch([part.column(0), pa.array(text, pa.string())], names=["doc_id", "decoded"])
+                kept = [part.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "ids"]
+                yield pa.record_batch([*kept, pa.array(text, pa.string())], names=[*(n for n in batch.schema.names if n != "ids"), "decoded"])
 
     return run
 
@@ -286,10 +287,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(_encoder(shared), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, decoded) of (doc_id, ids): the labels of the ids, special tokens included; no ids give the empty text.
 
-    Bytes that are no valid UTF-8 become U+FFFD.
+    keep names further columns to carry along.  Bytes that are no valid UTF-8 become U+FFFD.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(compiled(tokenizer))
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(shared), "doc_id long, decoded string")
+    rows = encoded.select("doc_id", *(keep or []), "ids")
+    fields = ", ".join(f"`{n}` {kind}" for n, kind in rows.dtypes if n != "ids")
+    return rows.mapInArrow(_decoder(shared), f"{fields}, decoded string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +18,42 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies by the digest of the normalised text; one row for each document."""
+    from .digest_index import exact_dedup
+
+    return exact_dedup(_documents(spark, sf_dir))
+
+
+#: The tokenizer file of op10 and of the pipeline; the file stays where its package keeps it.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and the text that they decode to, as digests."""
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    path = public_tokenizers.path(TOKENIZER)
+    ids = encode(_documents(spark, sf_dir), path)
+    both = ids.withColumn("ids_text", F.concat_ws(",", F.col("ids").cast("array<string>"))).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256")
+    )
+    texts = decode(both, path, keep=["n_tokens", "ids_sha256"])
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op9_exact_dedup, op10_bpe_round_trip)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+            FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, text_sha256
+        FROM t WINDOW w AS (PARTITION BY text_sha256)
+    """,
+}
