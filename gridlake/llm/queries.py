@@ -18,6 +18,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every text."""
+    from .licenses import license_scan
+
+    return license_scan(_documents(spark, sf_dir))[0]
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by the digest of the normalised text; one row for each document."""
     from .digest_index import exact_dedup
@@ -44,9 +51,41 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op9_exact_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_license_scan, op9_exact_dedup, op10_bpe_round_trip)}
+
+
+
+def _license_sql() -> str:
+    from .licenses import PHRASES, templates
+
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    hits = []
+    for phrase, label in PHRASES:
+        parts = phrase.split(" ")
+        same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
+        hits.append(f"list_filter(range(len(w)), lambda i: coalesce({same}, false)) AS at_{label}")
+    rows = ", ".join(f"('{t.label}', [{', '.join(repr(x) for x in t.tokens)}], {t.need})" for t in templates())
+    own = ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for _, label in PHRASES)
+    places = " || ".join(f"at_{label}" for _, label in PHRASES)
+    return f"""
+        WITH t(label, tokens, need) AS (VALUES {rows}),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+        b AS (SELECT doc_id, len(w) AS n_words, {", ".join(hits)} FROM d),
+        c AS (SELECT doc_id, n_words, {places} AS places, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM b),
+        l AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(line), '{word}')) AS k
+              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+        m AS (SELECT doc_id, list(DISTINCT label) AS added, max(len(list_intersect(k, tokens))::DOUBLE / len(tokens)) AS best
+              FROM l, t WHERE len(list_intersect(k, tokens)) >= need GROUP BY doc_id)
+        SELECT c.doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+               array_to_string(list_sort(own), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(own || coalesce(added, []))), ',') AS labels,
+               CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+        FROM c LEFT JOIN m ON m.doc_id = c.doc_id
+    """
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": _license_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
