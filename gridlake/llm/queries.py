@@ -25,6 +25,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir))[0]
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.98 within a label; one row for each vector."""
+    from .epsilon_grid import embedding_near_duplicates
+
+    return embedding_near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies by the digest of the normalised text; one row for each document."""
     from .digest_index import exact_dedup
@@ -51,7 +58,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_license_scan, op9_exact_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
 
 
 
