@@ -18,6 +18,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id")
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney and unigram scores of every text; texts whose remainder modulo 5 is 1 are held out of training."""
+    from .kneser_ney import score, train
+
+    docs = _documents(spark, sf_dir)
+    held_out = _remainder(5) == 1
+    model = train(docs.where(~held_out))
+    out = score(docs, model).withColumns({"held_out": held_out, "train_tokens": F.lit(model.tokens).cast("long")})
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every text."""
     from .licenses import license_scan
@@ -58,7 +74,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_kneser_ney, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
 
 
 
