@@ -23,6 +23,16 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; texts whose remainder modulo 4 is 2 are held out of training."""
+    from .language_id import identify, train
+
+    docs = _documents(spark, sf_dir)
+    held_out = _remainder(4) == 2
+    model = train(docs.where(~held_out))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kneser-Ney and unigram scores of every text; texts whose remainder modulo 5 is 1 are held out of training."""
     from .kneser_ney import score, train
@@ -74,7 +84,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_kneser_ney, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_language_id, op5_kneser_ney, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
 
 
 
