@@ -33,6 +33,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; texts whose remainder modulo 4 is 2 are held out of training."""
+    from .toxicity import score, train
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = _remainder(4) == 2
+    machine = train(docs.where(~held_out), labels.where(~held_out))
+    return score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kneser-Ney and unigram scores of every text; texts whose remainder modulo 5 is 1 are held out of training."""
     from .kneser_ney import score, train
@@ -84,7 +95,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_language_id, op5_kneser_ney, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_language_id, op4_toxicity, op5_kneser_ney, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
 
 
 
