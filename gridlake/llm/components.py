@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,39 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if not moved:
             drop(both)
             return labels.select("node", F.col("c").alias("component"))
+
+
+class LocalForest:
+    """Spanning forest of the links inside one block pair, fed with boolean matrices; smallest members are roots."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def link(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+    def add(self, near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+        """near[i, j]: rows[i] and cols[j] are linked.  Labels spread over the matrix; only their tree is linked here."""
+        top = len(self.up)
+        row, col = rows.copy(), cols.copy()
+        while True:
+            new_row = np.minimum(row, np.where(near, col, top).min(axis=1))
+            new_col = np.minimum(col, np.where(near, new_row[:, None], top).min(axis=0))
+            if (new_row == row).all() and (new_col == col).all():
+                break
+            row, col = new_row, new_col
+        for v, c in ((rows, row), (cols, col)):
+            for s, t in zip(v[c != v].tolist(), c[c != v].tolist(), strict=True):
+                self.link(s, t)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(k) for k in range(len(self.up))], dtype=np.int64)

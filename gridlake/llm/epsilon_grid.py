@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import LocalForest, connected_components
 from .storage import drop, written
 
 #: Vectors of a block, leading directions of the grid, and vectors below which an interval is compared in full.
@@ -105,23 +105,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(held)
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def link(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-
 def _join_pair(axes: dict[int, np.ndarray], cosine: float, epsilon: float):
     far = epsilon * epsilon * (1 + 1e-9) + 1e-12
 
@@ -138,7 +121,7 @@ def _join_pair(axes: dict[int, np.ndarray], cosine: float, epsilon: float):
             x = np.concatenate([x, _unit([b["vectors"][k * d * 8 : (k + 1) * d * 8] for k in range(m)])])
         p = x @ axes[d]
         links = np.zeros(len(ids), dtype=np.int64)
-        forest = _Forest(len(ids))
+        forest = LocalForest(len(ids))
 
         def leaf(a0: int, a1: int, b0: int, b1: int) -> None:
             near = x[a0:a1] @ x[b0:b1].T >= cosine
@@ -149,18 +132,7 @@ def _join_pair(axes: dict[int, np.ndarray], cosine: float, epsilon: float):
             links[a0:a1] += near @ weights[b0:b1]
             if a0 != b0:
                 links[b0:b1] += weights[a0:a1] @ near
-            # a spanning forest of the links: smallest labels spread until nothing changes
-            rows, cols = np.arange(a0, a1), np.arange(b0, b1)
-            row, col = rows.copy(), cols.copy()
-            while True:
-                new_row = np.minimum(row, np.where(near, col, len(ids)).min(axis=1))
-                new_col = np.minimum(col, np.where(near, new_row[:, None], len(ids)).min(axis=0))
-                if (new_row == row).all() and (new_col == col).all():
-                    break
-                row, col = new_row, new_col
-            for v, c in ((rows, row), (cols, col)):
-                for s, t in zip(v[c != v].tolist(), c[c != v].tolist(), strict=True):
-                    forest.link(s, t)
+            forest.add(near, np.arange(a0, a1), np.arange(b0, b1))
 
         def rec(a0: int, a1: int, b0: int, b1: int) -> None:
             gap = np.maximum(0, np.maximum(p[b0:b1].min(axis=0) - p[a0:a1].max(axis=0), p[a0:a1].min(axis=0) - p[b0:b1].max(axis=0)))
@@ -183,7 +155,7 @@ def _join_pair(axes: dict[int, np.ndarray], cosine: float, epsilon: float):
                 rec(a0, a1, mid, b1)
 
         rec(0, n, 0, n) if own else rec(0, n, n, len(ids))
-        root = np.array([forest.root(k) for k in range(len(ids))])
+        root = forest.roots()
         got = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
         return pa.table({"id": ids[got], "links": links[got], "with": ids[root[got]]})
 

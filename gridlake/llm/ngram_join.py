@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import LocalForest, connected_components
 from .storage import drop, written
 from .text import U, mix, shingle_sets, string_chunks, to_long, word_hashes
 
@@ -227,11 +228,70 @@ def _verified(threshold: tuple[int, int]):
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the blocks of a sorted partition: (block, id, data) with BLOCK sets or BLOCK_BYTES at most in a block."""
+    n = size = 0
+    name = None
+    for batch in batches:
+        ids, data = batch.column(0).to_pylist(), batch.column(1)
+        out = []
+        for i, length in zip(ids, pa.compute.binary_length(data).to_pylist(), strict=True):
+            if name is None or n >= BLOCK or size + length > BLOCK_BYTES:
+                name, n, size = i, 0, 0
+            n, size = n + 1, size + length
+            out.append(name)
+        yield pa.record_batch([pa.array(out, pa.int64()), batch.column(0), data], names=["block", "id", "data"])
+
+
+#: Sets of a block, and bytes of its shingles (a single larger set is a block of its own).
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Buckets of more sets than this are compared block by block, smaller ones pair by pair.
+HOT = 64
+
+
+def _join_blocks(threshold: tuple[int, int]):
+    num, den = threshold
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.array(table["side"].to_pylist()) == "b"
+        table = table.take(pa.array(np.argsort(side, kind="stable")))
+        ids = table["id"].to_numpy()
+        n_a = int((~side).sum())
+        sets = [np.frombuffer(x.as_buffer(), dtype=U) for x in table["data"]]
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        again = count[token] > 1
+        owner, token = owner[again], token[again]
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], np.unique(token[order], return_inverse=True)[1]
+        own = n_a == len(sets)  # a block with itself
+        left, right = (slice(0, n_a), slice(0, n_a)) if own else (slice(0, n_a), slice(n_a, len(sets)))
+        shared = np.zeros((n_a, len(sets) if own else len(sets) - n_a), dtype=np.float32)
+        step = 4096
+        for t in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+            x, y = np.searchsorted(token, [t, t + step])
+            part = np.zeros((len(sets), step), dtype=np.float32)
+            part[owner[x:y], token[x:y] - t] = 1
+            shared += part[left] @ part[right].T
+        shared = np.rint(shared).astype(np.int64)
+        near = den * shared >= num * (size[left][:, None] + size[right] - shared)
+        if own:
+            np.fill_diagonal(near, False)
+        forest = LocalForest(len(sets))
+        forest.add(near, np.arange(len(sets))[left], np.arange(len(sets))[right])
+        root = forest.roots()
+        got = np.flatnonzero(root != np.arange(len(sets)))
+        return pa.table({"a": ids[root[got]], "b": ids[got]})
+
+    return run
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5), k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links between documents whose shingle sets have a Jaccard similarity of at least threshold.
 
     Returns (members, links).  members: doc_id, n_shingles, set_id (null without shingles), component_id, one row for
-    each input row.  links: a, b (set ids), shared.  Links name classes of equal sets; equal sets are linked through
+    each input row.  links: a, b (set ids).  Links name classes of equal sets; equal sets are linked through
     their common set_id.  Links inside a component that a verified link has already joined are not all listed: members
     gives the components in full.
 
@@ -259,9 +319,15 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     classes = members.where("id IS NOT NULL").groupBy("id", "n").agg(F.min("doc_id").alias("rep"))
 
     posts = docs.mapInArrow(_signatures(width, threshold, listed, k), "sig long, id long")
-    shared = posts.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot <> high").select("sig", "pivot")
-    buckets = written(posts.join(shared, "sig").select("sig", "id", "pivot").distinct(), "signature-buckets")
-    stars = written(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
+    shared = posts.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("sig", "size")
+    buckets = written(posts.join(shared, "sig").select("sig", "id", "size").distinct(), "signature-buckets")
+
+    # The centre of a bucket is the set that meets most others in its buckets: of a group of altered copies the original
+    met = buckets.groupBy("id").agg(F.sum("size").alias("met"))
+    ranked = buckets.join(met, "id").select("sig", "id", F.struct("met", "id").alias("rank"))
+    centres = ranked.groupBy("sig").agg(F.max("rank").alias("centre")).select("sig", F.col("centre.id").alias("pivot"))
+    stars = buckets.join(centres, "sig").where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    stars = written(stars, "star-pairs")
 
     def documents_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -287,14 +353,32 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     comp = connected_components(first)
 
     # Pairs of a bucket whose ends are still in different components, other than those of the stars
-    placed = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
+    placed = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "size", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
     open_ = written(placed.join(mixed, "sig"), "open-buckets")
-    x, y = (open_.select("sig", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
+    small = open_.where(F.col("size") <= HOT)
+    x, y = (small.select("sig", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
     rest = x.join(y, "sig").where("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     second = verify(rest, "more-links")
 
-    links = first.unionByName(second)
+    # Large buckets: their sets are sorted so that alike ones stand together and cut into blocks; two blocks that share
+    # a signature are compared as a whole, once, and yield a spanning forest of their links
+    hot = open_.where(F.col("size") > HOT).select("sig", "id")
+    keyed = written(hot.groupBy("id").agg(F.min("sig").alias("key")), "hot-sets")
+    parts = 1 + keyed.count() // (4 * BLOCK)  # whole blocks, however many partitions the session deals to
+    docs_of = keyed.select("id").join(classes, "id").select(F.col("rep").alias("doc_id"))
+    tokens = docs.mapInArrow(_of_sets(width, _bitmap(docs_of), np.ndarray.tobytes), "id long, n long, data binary").dropDuplicates(["id"])
+    ordered = keyed.join(tokens, "id").repartitionByRange("key", "n", "id").sortWithinPartitions("key", "n", "id").coalesce(parts)
+    blocks = written(ordered.select("id", "data").mapInArrow(_blocks, "block long, id long, data binary"), "hot-blocks")
+    held = written(hot.join(blocks.select("id", "block"), "id").select("sig", "block").distinct(), "block-signatures")
+    x, y = held.withColumnRenamed("block", "p"), held.withColumnRenamed("block", "q")
+    pairs = written(x.join(y, "sig").where("p <= q").select("p", "q").distinct(), "block-pairs")
+    ends = pairs.select("p", "q", F.col("p").alias("block"), F.lit("a").alias("side")).unionByName(pairs.where("p <> q").select("p", "q", F.col("q").alias("block"), F.lit("b").alias("side")))
+    third = ends.join(blocks, "block").groupBy("p", "q").applyInArrow(_join_blocks(threshold), "a long, b long")
+    third = written(third.distinct(), "block-links")
+    drop(blocks)
+
+    links = first.select("a", "b").unionByName(second.select("a", "b")).unionByName(third).distinct()
     comp = connected_components(links)
     of_set = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_doc = of_set.groupBy("component").agg(F.min("rep").alias("component_id"))
