@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridlake.llm import bpe, language_id
+from gridlake.llm.line_dedup import line_dedup
+from gridlake.llm.mixing import mix_sources
 from gridlake.llm.ngram_join import ngram_jaccard_join
 from gridlake.llm.storage import written
 
+#: The tokenizer's file, where its package keeps it.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Word-first backoff: documents whose text has no letter, or is null, go; the others stay as they are."""
+    found = language_id.identify(docs, language_id.train(docs), with_row=True)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletion-neighbourhood join: repeated lines go; documents of which nothing is left go with them."""
+    out = line_dedup(docs).where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join at five words and 0.8: of each group the document with the smallest doc_id stays."""
@@ -15,7 +35,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Iterative proportional fitting: documents sampled to the tempered mix of sources, languages and topics."""
+    return mix_sources(docs).where("kept").select("row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenization automaton: token ids of every text, and whether they decode to it."""
+    path = public_tokenizers.path(TOKENIZER)
+    ids = bpe.encode(docs, path)
+    out = bpe.decode(ids.withColumns({"n_tokens": F.size("ids").cast("long"), "kept_ids": F.col("ids")}), path, keep=["n_tokens", "kept_ids"])
+    return out.select("doc_id", "n_tokens", F.col("kept_ids").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", languages),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("mix_sources", mixture),
+    ("bpe", tokens),
+]
 
 #: SQL cannot express the stages; tests compare the run with a brute-force version.
 ORACLE_SQL = None

@@ -172,20 +172,27 @@ def _identifier(shared):
                 else:
                     best, p, has = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
                 best = np.where(has, best, len(m.langs))
+                found = [pa.array(names[best].tolist(), pa.string()), pa.array(np.where(has, p, 0.0))]
+                rest = range(2, batch.num_columns)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, n), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(has, p, 0.0))], names=["doc_id", "lang_pred", "score"]
+                    [batch.column(0).slice(a, n), *found, *(batch.column(k).slice(a, n) for k in rest)], names=["doc_id", "lang_pred", "score", *(batch.schema.names[k] for k in rest)]
                 )
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (probability of lang_pred among the languages learned) of every text.
 
+    with_row adds the whole input row as a struct `row`.
+
     Defined cases: a null text, or one without any letter, is `und` with score 0, as is every text if nothing was
     learned; ties go to the language that sorts first; repeated rows and null ids stay as they are; further columns are
     dropped; texts and words may be of any length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if with_row:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+        return rows.mapInArrow(_identifier(shared), "doc_id long, lang_pred string, score double, row " + rows.schema["row"].dataType.simpleString())
     return rows.mapInArrow(_identifier(shared), "doc_id long, lang_pred string, score double")

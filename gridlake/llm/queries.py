@@ -23,6 +23,14 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated lines counted and the digest of what is left of its text."""
+    from .line_dedup import line_dedup
+
+    out = line_dedup(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text; texts whose remainder modulo 4 is 2 are held out of training."""
     from .language_id import identify, train
@@ -62,6 +70,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_documents(spark, sf_dir))[0]
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under the raked mix of sources, languages and topics, and whether it stays."""
+    from .mixing import mix_sources
+
+    out = mix_sources(_documents(spark, sf_dir))
+    return out.select("row.doc_id", "topic", "n_tokens", "probability", "kept")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.98 within a label; one row for each vector."""
     from .epsilon_grid import embedding_near_duplicates
@@ -95,7 +111,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_language_id, op4_toxicity, op5_kneser_ney, op6_license_scan, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_language_id, op4_toxicity, op5_kneser_ney, op6_license_scan, op7_mix_sources, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
 
 
 
@@ -128,7 +144,47 @@ def _license_sql() -> str:
     """
 
 
+def _mixing_sql() -> str:
+    from .mixing import DIMENSIONS, KEEP, ROUNDS, TEMPERING
+
+    steps = []
+    for d in DIMENSIONS:
+        steps.append(f"t_{d} AS (SELECT {d}, pow(sum(tokens)::DOUBLE, {TEMPERING[d]}) AS p FROM cells GROUP BY {d} HAVING sum(tokens) > 0)")
+        steps.append(f"s_{d} AS (SELECT {d}, p / sum(p) OVER () AS target_{d} FROM t_{d})")
+    joins = " ".join(f"LEFT JOIN s_{d} USING ({d})" for d in DIMENSIONS)
+    goal = ", ".join(f"coalesce(target_{d}, 0) AS target_{d}" for d in DIMENSIONS)
+    steps.append(f"r0 AS (SELECT source, lang, topic, tokens, {goal}, tokens::DOUBLE AS share FROM cells {joins})")
+    k = 0
+    for _ in range(ROUNDS):
+        for d in DIMENSIONS:
+            sums = f"sum(share) OVER (PARTITION BY {d})"
+            steps.append(f"r{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {sums} > 0 THEN share * target_{d} / {sums} ELSE 0 END AS share) FROM r{k})")
+            k += 1
+    chain = ", ".join(steps)
+    return rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+                   CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(lower(text), 'license') THEN 'notice'
+                        WHEN regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+|\+[0-9]+ ') THEN 'contact' ELSE 'prose' END AS topic,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+                   ('0x' || substr(md5('17:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+            FROM documents),
+        cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+        {chain},
+        f AS (SELECT source, lang, topic, tokens, share / sum(share) OVER () AS share FROM r{k}),
+        g AS (SELECT *, CASE WHEN tokens > 0 THEN share / tokens ELSE 0 END AS ratio FROM f),
+        h AS (SELECT *, row_number() OVER o AS place, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                     sum(share) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, {KEEP} * sum(tokens) OVER () AS budget
+              FROM g WINDOW o AS (ORDER BY ratio DESC, source, lang, topic)),
+        i AS (SELECT *, CASE WHEN rest > 0 THEN greatest(0, budget - before) / rest ELSE 0 END AS scale FROM h),
+        l AS (SELECT arg_min(scale, place) AS level FROM i WHERE scale * ratio <= 1),
+        c AS (SELECT source, lang, topic, round(CASE WHEN tokens > 0 THEN least(1, coalesce(level, 0) * ratio) ELSE 1 END, 9)::DOUBLE AS probability FROM i, l)
+        SELECT doc_id, topic, n_tokens, probability, u < probability AS kept FROM d JOIN c USING (source, lang, topic)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_mix_sources": _mixing_sql(),
     "op6_license_scan": _license_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (
