@@ -1,10 +1,8 @@
-"""Queries for the operators of the survey, by name, with the SQL that gives the same rows."""
+"""All queries for the operators of the survey, by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import metric_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
