@@ -18,6 +18,7 @@ from .storage import written
 
 #: A word of a text: ASCII letters and digits, and all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases that name a license, with their labels.
@@ -54,8 +55,16 @@ def templates(pairs=TEMPLATES, threshold: tuple[int, int] = (4, 5)) -> list[Temp
     return found
 
 
-def _words(text):
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _pieces(text):
+    """The words of a text, with an empty piece before a gap at the start and after one at the end."""
+    return F.split(text, GAP, -1)
+
+
+def _count(pieces):
+    """How many words the pieces hold."""
+    last = F.size(pieces)
+    ends = F.when((last > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)
+    return last - F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) - ends
 
 
 def _stands(words, parts: list[str]):
@@ -70,17 +79,9 @@ def _stands(words, parts: list[str]):
     return test
 
 
-def _phrase_columns(text, words):
-    """Places of the phrases: arrays of start positions, one column for each phrase; only texts that may hold one are searched."""
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    out = []
-    for phrase, label in PHRASES:
-        parts = phrase.split(" ")
-        may = text.rlike("(?i)" + gap.join(parts))  # (?i) folds ASCII letters only
-
-        hit = F.when(may, F.filter(F.sequence(F.lit(0), F.size(words)), _stands(words, parts))).otherwise(F.array().cast("array<int>"))
-        out.append((label, hit))
-    return out
+def _may_hold_phrase(text):
+    """False only for texts without any phrase; (?i) folds ASCII letters only."""
+    return text.rlike("(?i)" + "|".join(GAP.join(phrase.split(" ")) for phrase, _ in PHRASES))
 
 
 def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -100,7 +101,7 @@ def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] =
 
     # one count for each token of the vocabulary; tokens that no document holds come first
     vocabulary = sorted({t for x in found for t in x.tokens})
-    held = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), _words(F.lower("text")))).alias("token"))
+    held = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), _pieces(F.lower("text")))).alias("token"))
     count = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda t: (count.get(t, 0), t))
     place = {t: k for k, t in enumerate(ordered)}
@@ -108,22 +109,20 @@ def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] =
     prefixes = {x.number: sorted(x.tokens, key=place.get)[: len(x.tokens) - x.need + 1] for x in found}
     first_tokens = F.array(*(F.lit(t) for t in sorted({t for p in prefixes.values() for t in p})))
 
-    words = F.col("words")
-    base = docs.withColumn("words", _words(F.lower("text"))).withColumn("known", F.array_intersect(order, words))
+    base = docs.withColumn("pieces", _pieces(F.lower("text"))).withColumn("known", F.array_intersect(order, "pieces"))
     least = min(x.need for x in found)
     candidate = F.arrays_overlap("known", first_tokens) & (F.size("known") >= least)
-    at = _phrase_columns(F.col("text"), _words(F.col("text")))
     base = base.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        *(hit.alias(f"at_{label}") for label, hit in at),
+        _count(F.col("pieces")).cast("long").alias("n_words"),
+        F.when(_may_hold_phrase(F.col("text")), F.array_remove(_pieces(F.col("text")), "")).alias("words"),
         F.when(candidate, F.col("text")).alias("text"),
     )
     base = written(base, "license-base")
 
     # blocks of candidate documents, joined with the templates' prefixes
     lines = base.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = lines.select("doc_id", "block", F.array_intersect(order, _words(F.lower("line"))).alias("known")).where(F.size("known") >= least)
+    blocks = lines.select("doc_id", "block", F.array_intersect(order, _pieces(F.lower("line"))).alias("known")).where(F.size("known") >= least)
     spark = docs.sparkSession
     index = spark.createDataFrame(
         [(t, k, x.number, x.label, len(x.tokens), x.need, list(x.tokens)) for x in found for k, t in enumerate(prefixes[x.number])],
@@ -135,9 +134,11 @@ def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] =
     matches = pairs.select("doc_id", "block", "label", "template", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
     by_doc = matches.groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("containment").alias("containment"))
-    places = F.concat(*(F.col(f"at_{label}") for label, _ in at))
-    own = F.array_compact(F.array(*(F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label, _ in at)))
-    joined = base.drop("text").withColumns({"places": places, "own": own}).join(by_doc, "doc_id", "left")
+    none = F.array().cast("array<int>")
+    at = {f"at_{label}": F.when(F.col("words").isNotNull(), F.filter(F.sequence(F.lit(0), F.size("words")), _stands(F.col("words"), phrase.split(" ")))).otherwise(none) for phrase, label in PHRASES}
+    joined = base.select("doc_id", "n_words", "words").withColumns(at).join(by_doc, "doc_id", "left")
+    own = F.array_compact(F.array(*(F.when(F.size(f"at_{label}") > 0, F.lit(label)) for _, label in PHRASES)))
+    joined = joined.withColumns({"places": F.concat(*at), "own": own})
     out = joined.select(
         "doc_id",
         "n_words",
