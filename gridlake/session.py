@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "gridlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,21 @@ def session(app: str = "gridlake", master: str | None = None, **conf: str) -> Sp
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a local one is set only where none is."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="gridlake-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
