@@ -64,7 +64,21 @@ class _Words:
         return mix(self.part(self.first[:-1], self.first[1:]) + self.n.astype(U))
 
 
+def _half_keys(w: _Words, at: np.ndarray) -> np.ndarray:
+    """For lines at: hashes of front and back half, cut for their own length and for that of a partner one word shorter."""
+    n, first, last = w.n[at], w.first[:-1][at], w.first[1:][at]
+    keys = np.empty((len(at), 4), dtype=U)
+    for longer in (0, 1):
+        front = (n - longer) // 2
+        back = n - longer - front
+        for k, size, h in ((0, front, w.part(first, first + front)), (1, back, w.part(last - back, last))):
+            keys[:, 2 * longer + k] = mix(h + mix(size.astype(U) * U(2) + U(k)))
+    return keys
+
+
 def _occurrences(min_words: int):
+    """(line, doc_id, number, halves) of every line of min_words words or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, off in string_chunks(batch, "text"):
@@ -73,55 +87,38 @@ def _occurrences(min_words: int):
                 doc = np.repeat(np.arange(a, b), n)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 at = np.flatnonzero(w.n >= min_words)
+                halves = _half_keys(w, at)
                 ids = batch.column(0).take(pa.array(doc[at]))
-                yield pa.record_batch([to_long(w.whole()[at]), ids, pa.array(number[at].astype(np.int32)), pa.array(w.n[at].astype(np.int32))], names=["line", "doc_id", "number", "words"])
-
-    return run
-
-
-def _halves(min_words: int):
-    """(half, line): hashes of the parts of a line that an edit may leave unchanged."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, off in string_chunks(batch, "text"):
-                lines, _ = _lines(data, off)
-                w = _Words(data, lines)
-                at = np.flatnonzero(w.n >= min_words)
-                line, n, first, last = w.whole()[at], w.n[at], w.first[:-1][at], w.first[1:][at]
-                _, once = np.unique(line, return_index=True)
-                line, n, first, last = line[once], n[once], first[once], last[once]
-                keys = []
-                for longer in (0, 1):
-                    front = (n - longer) // 2
-                    back = n - longer - front
-                    for tag, size, h in ((1, front, w.part(first, first + front)), (2, back, w.part(last - back, last))):
-                        keys.append(mix(h + mix(size.astype(U) * U(2) + U(tag))))
-                owner = np.tile(line, 4)
-                keys = np.concatenate(keys)
-                _, once = np.unique(mix(keys) ^ owner, return_index=True)
-                yield pa.record_batch([to_long(keys[once]), to_long(owner[once])], names=["half", "line"])
+                yield pa.record_batch([to_long(w.whole()[at]), ids, pa.array(number[at].astype(np.int32)), *(to_long(halves[:, k].copy()) for k in range(4))], names=["line", "doc_id", "number", "h0", "h1", "h2", "h3"])
 
     return run
 
 
 def _variants(min_words: int, chosen):
-    """(key, line, whole): a key for each word left out, with its place, and keys that meet lines one word longer."""
+    """(key, line, whole, doc_id, number): keys for each word left out, and the whole line's own.
+
+    Words are left out only in the half that an edit can be in: the other one has to be that of another line too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = chosen.value
         for batch in batches:
-            for _, _, data, off in string_chunks(batch, "text"):
-                lines, _ = _lines(data, off)
+            for a, b, data, off in string_chunks(batch, "text"):
+                lines, count = _lines(data, off)
                 w = _Words(data, lines)
                 line = w.whole()
                 at = np.flatnonzero(w.n >= min_words)
-                at = at[_bit(bitmap, line[at])]
-                _, once = np.unique(line[at], return_index=True)
-                at = at[once]
+                met = _bit(bitmap, _half_keys(w, at).ravel()).reshape(-1, 4)
+                some = met.any(axis=1)
+                at, met = at[some], met[some]
+                _, once = np.unique(line[at], return_index=True)  # of equal lines of a slice the first
+                at, met = at[once], met[once]
                 n, first = w.n[at], w.first[:-1][at]
                 row = np.repeat(np.arange(len(at)), n)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                front = (met[:, 0] | met[:, 2])[row] & (place >= ((n - 1) // 2)[row])
+                back = (met[:, 1] | met[:, 3])[row] & (place <= (n // 2)[row])
+                row, place = row[front | back], place[front | back]
                 begin, end = first[row], first[row] + n[row]
                 skip = begin + place
                 # words before the place, then the words behind it moved up by one
@@ -129,9 +126,25 @@ def _variants(min_words: int, chosen):
                 short = mix(rest + (n[row] - 1).astype(U))
                 same_place = mix(short ^ mix(place.astype(U) + U(1)))
                 keys = np.concatenate([same_place, short, line[at]])
-                owner = np.concatenate([line[at][row], line[at][row], line[at]])
-                whole = np.concatenate([np.zeros(len(row), bool), np.zeros(len(row), bool), np.ones(len(at), bool)])
-                yield pa.record_batch([to_long(keys), to_long(owner), pa.array(whole)], names=["key", "line", "whole"])
+                owner = np.concatenate([at[row], at[row], at])
+                whole = np.concatenate([np.zeros(2 * len(row), bool), np.ones(len(at), bool)])
+                doc = np.repeat(np.arange(a, b), count)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                yield pa.record_batch(
+                    [to_long(keys), to_long(line[owner]), pa.array(whole), batch.column(0).take(pa.array(doc[owner])), pa.array(number[owner].astype(np.int32))],
+                    names=["key", "line", "whole", "doc_id", "number"],
+                )
+
+    return run
+
+
+def _of_keys(chosen):
+    """Rows whose first column's bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = chosen.value
+        for batch in batches:
+            yield batch.filter(pa.array(_bit(bitmap, batch.column(0).to_numpy(zero_copy_only=False))))
 
     return run
 
@@ -153,13 +166,13 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at)], names=["slot"])
 
 
-def _bitmap(lines: DataFrame):
-    """A bitmap of fixed size (8 MB): more lines only mean that more lines emit variants in vain."""
-    words = lines.select("line").mapInArrow(_slot_rows, "slot long").groupBy(F.expr("slot >> 6").alias("word"))
+def _bitmap(hashes: DataFrame):
+    """A bitmap of fixed size (8 MB) of the one column of hashes: more of them only mean more rows looked at in vain."""
+    words = hashes.mapInArrow(_slot_rows, "slot long").groupBy(F.expr("slot >> 6").alias("word"))
     words = words.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).toArrow()
     bitmap = np.zeros(1 << (_BITS - 6), dtype=np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return lines.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+    return hashes.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
 
 
 def one_edit_apart(a: list[str], b: list[str]) -> bool:
@@ -229,28 +242,30 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Lines are ordered by doc_id, then by number.  near is false for equal lines, true for lines one word away from a
     line that is earlier than their own first occurrence; all occurrences of such a line go.
     """
-    seen = written(docs.mapInArrow(_occurrences(min_words), "line long, doc_id long, number int, words int"), "lines")
+    seen = written(docs.mapInArrow(_occurrences(min_words), "line long, doc_id long, number int, h0 long, h1 long, h2 long, h3 long"), "lines")
     place = F.struct("doc_id", "number")
-    lines = written(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times")), "distinct-lines")
+    lines = written(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.min(f"h{k}").alias(f"h{k}") for k in range(4))), "distinct-lines")
 
-    halves = docs.mapInArrow(_halves(min_words), "half long, line long")
+    halves = lines.select("line", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
     met = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("half")
-    near = written(halves.join(met, "half").select("line").distinct(), "near-lines")
+    variants = docs.mapInArrow(_variants(min_words, _bitmap(met)), "key long, line long, whole boolean, doc_id long, number int")
+    variants = written(variants, "line-variants")
 
     # the earliest line of each key; whole lines and variants meet only each other under a plain variant's key
-    variants = docs.mapInArrow(_variants(min_words, _bitmap(near)), "key long, line long, whole boolean").distinct()
-    keyed = written(variants.join(near, "line").join(lines.select("line", "first"), "line").select("key", "line", "whole", "first"), "line-variants")
-    rank = F.struct("first", "line")
-    best = keyed.groupBy("key").agg(
-        F.min(rank).alias("any"), F.min(F.when(F.col("whole"), rank)).alias("complete"), F.max(F.col("whole")).alias("has_whole"), F.count("*").alias("n")
-    ).where("n > 1")
-    offered = keyed.join(best, "key").select("line", "first", F.when(F.col("whole") | ~F.col("has_whole"), F.col("any")).otherwise(F.col("complete")).alias("offer"))
-    offered = offered.where("offer.first < first").groupBy("line").agg(F.min("offer").alias("offer")).select("line", F.col("offer.line").alias("partner"))
-    offered = written(offered, "line-partners")
-    drop(keyed)
+    rank = F.struct("doc_id", "number", "line")
+    best = variants.groupBy("key").agg(
+        F.min(rank).alias("any"), F.min(F.when(F.col("whole"), rank)).alias("complete"), F.min("line").alias("low"), F.max("line").alias("high")
+    )
+    best = written(best.where("low <> high").select("key", "any", "complete"), "variant-keys")
+    keyed = variants.mapInArrow(_of_keys(_bitmap(best.select("key"))), variants.schema).select("key", "line", "whole").distinct()
+    offer = F.when(F.col("whole") | F.col("complete").isNull(), F.col("any")).otherwise(F.col("complete"))
+    offered = keyed.join(best, "key").groupBy("line").agg(F.min(offer).alias("offer"))
+    offered = offered.join(lines.select("line", "first"), "line").where("struct(offer.doc_id, offer.number) < first")
+    offered = written(offered.select("line", F.col("offer.line").alias("partner")), "line-partners")
+    drop(variants)
 
     needed = offered.select("line").union(offered.select("partner")).distinct()
-    content = docs.mapInArrow(_texts_of(min_words, _bitmap(needed)), "line long, content string")
+    content = docs.mapInArrow(_texts_of(min_words, _bitmap(needed.select("line"))), "line long, content string")
     content = written(content.join(needed, "line").groupBy("line").agg(F.min("content").alias("content")), "line-texts")
     both = offered.join(content, "line").join(content.select(F.col("line").alias("partner"), F.col("content").alias("other")), "partner")
     verified = both.select("line", "content", "other").mapInArrow(_verify, "line long")
