@@ -24,6 +24,7 @@ SAMPLE_DOCS = 12_000
 MAX_WORDS, MAX_GRAMS = 200_000, 100_000
 MAX_GRAM = 4
 UNKNOWN = "und"
+_SLICE = 512 << 10  # bytes of text that a worker looks at together
 _CUT = 512  # bytes of a word's start that n-grams are taken from once; longer words are scored in pieces
 
 
@@ -145,13 +146,16 @@ def _word_scores(m: Model, keys: np.ndarray, data: np.ndarray, starts: np.ndarra
     return out
 
 
-def _identifier(shared):
+def _identifier(shared, text_col: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
             texts = batch.column(1)
-            for a, b, data, off in string_chunks(batch, "text", 2 << 20):
+            if pa.types.is_struct(texts.type):  # whole rows, of which the text is one field
+                row, texts = texts, texts.field(text_col).cast(pa.string())
+                batch = pa.record_batch([batch.column(0), texts, row], names=["doc_id", "text", "row"])
+            for a, b, data, off in string_chunks(batch, "text", _SLICE):
                 starts, ends, first = word_spans(data, off, LETTERS)
                 keys, at, which = np.unique(span_hashes(LOWER[data], starts, ends), return_index=True, return_inverse=True)
                 n = b - a
@@ -193,6 +197,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if with_row:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-        return rows.mapInArrow(_identifier(shared), "doc_id long, lang_pred string, score double, row " + rows.schema["row"].dataType.simpleString())
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+        return rows.mapInArrow(_identifier(shared, text_col), "doc_id long, lang_pred string, score double, row " + rows.schema["row"].dataType.simpleString())
     return rows.mapInArrow(_identifier(shared), "doc_id long, lang_pred string, score double")

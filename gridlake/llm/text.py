@@ -65,6 +65,7 @@ def string_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20)
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    pa.default_memory_pool().release_unused()  # workers are used again; what one batch took is not kept for the next
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
