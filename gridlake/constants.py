@@ -34,3 +34,18 @@ FORMULAS = {
 # Retrieval: RRF constant, depth of branches, bounds of the quantized candidates.
 RRF_K, TOP_K = 60, 100
 CANDIDATE_FACTOR, CANDIDATE_MIN, CANDIDATE_MAX = 20, 100, 1000
+
+# Words of a company's name that only state its legal form.
+LEGAL_FORMS = ("co", "company", "corp", "corporation", "inc", "incorporated", "limited", "llc", "ltd", "plc")
+
+# Workbook names that carry a company: pattern, words kept in capitals, names written their own way.
+WORKBOOK_NAME = r"(?i)^SPG_Company_KeyStats_[0-9]{2}_([a-z0-9_]+?)(?:_rank_recalibrated)?$"
+CAPITAL_WORDS = ("ai", "dx")
+OWN_SPELLING = {"amesoft": "AmeSoft"}
+
+# Cards of a question, the first whose word the question has; else stability.
+CARD_WORDS = (("revenue_growth", ("매출",)), ("profitability", ("마진", "이익률")), ("cash_flow", ("현금흐름", "fcf")), ("financial_scale", ("자산", "부채", "자본")))
+
+# Units of amounts in won, and the step of a profitability axis.
+WON_UNITS = ((1e12, "조"), (1e8, "억"), (1e6, "백만"), (1e3, "천"))
+AXIS_STEP, AXIS_TOP = 5, 20

@@ -172,3 +172,47 @@ def sign_bits(v: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """F8: bits in which two packed vectors differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def workbook_company(file_name: Column) -> Column:
+    """the company that a workbook's file name states, null for other names."""
+    stem = F.regexp_replace(F.regexp_replace(file_name, r"^.*/", ""), r"\.[^.]*$", "")
+    slug = F.regexp_extract(stem, C.WORKBOOK_NAME, 1)
+    words = F.filter(F.split(slug, "_"), lambda w: w != "")
+    shown = F.array_join(F.transform(words, lambda w: F.when(F.lower(w).isin(*C.CAPITAL_WORDS), F.upper(w)).otherwise(F.initcap(w))), " ")
+    for own, written in C.OWN_SPELLING.items():
+        shown = F.when(F.lower(slug) == own, written).otherwise(shown)
+    return F.when(shown != "", shown)
+
+
+def visualization_card(question: Column) -> Column:
+    """the card of the first word list that the question has a word of."""
+    out = F.lit("stability")
+    for card, words in reversed(C.CARD_WORDS):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.lower(question).contains(w)
+        out = F.when(hit, card).otherwise(out)
+    return out
+
+
+def krw_amount(value: Column) -> Column:
+    """an amount in the largest unit of won that it reaches, one digit after the point."""
+    shown = F.round(value, 1).cast("string")
+    for least, unit in reversed(C.WON_UNITS):
+        shown = F.when(F.abs(value) >= least, F.concat(F.round(value / least, 1).cast("string"), F.lit(unit))).otherwise(shown)
+    return F.concat(shown, F.lit("원"))
+
+
+def axis_bounds(low: Column, high: Column) -> tuple[Column, Column]:
+    """bounds of an axis at multiples of the step, from 0 to the usual top unless values lie outside."""
+    step = float(C.AXIS_STEP)
+    below = F.when(low < 0, F.floor((low - step) / step) * step).otherwise(0.0)
+    above = F.when(high > C.AXIS_TOP, F.ceil((high + step) / step) * step).otherwise(float(C.AXIS_TOP))
+    return below, above
+
+
+def suggestions(companies: list[str], templates: list[str], seed: int, n: int = 3) -> list[str]:
+    """n questions from lists of templates and companies, both rotated by the seed."""
+    a, b = seed % len(templates), seed // len(templates)
+    return [templates[(a + k) % len(templates)].format(company=companies[(b + k) % len(companies)]) for k in range(n)]
