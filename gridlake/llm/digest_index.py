@@ -25,7 +25,7 @@ class DigestIndex:
     The files are bucketed and sorted by digest, so that the anti-join of a new batch reads them in place: only the
     batch, already reduced to one row for each digest, is shuffled.  The table lies at a path that outlives the
     session; opening that path again goes on from there.  A batch name is taken once: ingesting it again adds nothing,
-    so a job that died after its append may be run again.
+    so a job that died after its append may be run again, and fails if the rows hold texts that the index lacks.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
@@ -47,36 +47,42 @@ class DigestIndex:
         Of equal texts in different batches the one ingested first stays.  A digest of any number of rows is reduced to
         one before the shuffle.
         """
-        if self.entries().where(F.col("batch") == batch).limit(1).count():
-            return
         fresh = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
         fresh = fresh.join(self.entries().select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
+        if self.entries().where(F.col("batch") == batch).limit(1).count():
+            if fresh.limit(1).count():
+                raise ValueError(f"batch {batch!r} is in the index, without some of these texts")
+            return
         # written beside the table first: a table cannot be read and appended to in one job
         fresh = written(fresh, "digest-batch")
         fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """rows (doc_id, digest) with keep_id and group_size (rows of that digest among the given ones)."""
+        """rows (doc_id, digest) with keep_id (null if the index lacks the digest) and group_size (rows of that digest among the given ones)."""
         sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
-        known = written(sizes.join(self.entries().select("digest", "keep_id").hint("merge"), "digest"), "digest-groups")
+        known = written(sizes.join(self.entries().select("digest", "keep_id").hint("merge"), "digest", "left"), "digest-groups")
         # both sides are shuffled for this join, so that a digest of very many rows can be split
         return rows.join(known.hint("merge"), "digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The documents are ingested as two batches, lower doc_ids first, so the row with the smallest doc_id stays.  Defined
-    cases: null texts count as empty and are equal to each other; repeated rows (the same id and text) count in
+    The documents are ingested as two batches, lower doc_ids first, so the row with the smallest doc_id stays; of texts
+    that a given index already has, the row that it names stays.  The batches are named after batch, or after the rows
+    themselves, so the same rows may be sent again and other rows are new batches.  Defined cases: null texts count as empty and are equal to each other; repeated rows (the same id and text) count in
     group_size and are each kept or dropped alike; rows with a null id are left out; further columns are ignored; an
     empty table gives an empty table.
     """
     index = index or DigestIndex(docs.sparkSession)
     rows = written(digests(docs, id_col, text_col), "digests")
-    middle = rows.agg(F.floor((F.min("doc_id").cast("double") + F.max("doc_id").cast("double")) / 2).cast("long")).first()[0]
+    middle, n, content = rows.agg(
+        F.floor((F.min("doc_id").cast("double") + F.max("doc_id").cast("double")) / 2).cast("long"), F.count("*"), F.sum(F.xxhash64("doc_id", "digest").cast("decimal(20,0)"))
+    ).first()
     if middle is not None:
-        index.ingest(rows.where(F.col("doc_id") <= middle), "lower")
-        index.ingest(rows.where(F.col("doc_id") > middle), "upper")
+        batch = f"{n}:{content}" if batch is None else batch
+        index.ingest(rows.where(F.col("doc_id") <= middle), f"{batch}:lower")
+        index.ingest(rows.where(F.col("doc_id") > middle), f"{batch}:upper")
     out = index.lookup(rows)
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
