@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from .storage import drop, written
 from .text import LOWER, NON_SPACE, U, mix, span_hashes, string_chunks, to_long, word_spans
 
-#: Lines of fewer words are never removed: one word in five is the furthest that copies differ.
-MIN_WORDS = 5
+#: Lines of fewer words are never removed: one word in five is the furthest that copies differ.  For equal lines a long
+#: word counts once for each WORD_BYTES bytes, so that lines in scripts without spaces are long enough too.
+MIN_WORDS, WORD_BYTES = 5, 12
+#: Kinds of keys: a word left out at a known place, a word left out anywhere, the whole line.
+_PLACED, _PLAIN, _WHOLE = range(3)
 _NEWLINE = 10
 
 
@@ -46,6 +49,7 @@ class _Words:
         starts, ends, self.first = word_spans(data, edges, NON_SPACE)
         self.words = span_hashes(LOWER[data], starts, ends)
         self.n = np.diff(self.first)
+        self.size = np.diff(np.concatenate([[0], np.cumsum(np.maximum((ends - starts) // WORD_BYTES, 1))])[self.first])
         m = len(self.words)
         self.power = np.ones(m + 2, dtype=U)
         if m:
@@ -77,7 +81,7 @@ def _half_keys(w: _Words, at: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(min_words: int):
-    """(line, doc_id, number, halves) of every line of min_words words or more."""
+    """(line, doc_id, number, halves) of every line of min_words words or more, long words counted more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +90,7 @@ def _occurrences(min_words: int):
                 w = _Words(data, lines)
                 doc = np.repeat(np.arange(a, b), n)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                at = np.flatnonzero(w.n >= min_words)
+                at = np.flatnonzero(w.size >= min_words)
                 halves = _half_keys(w, at)
                 ids = batch.column(0).take(pa.array(doc[at]))
                 yield pa.record_batch([to_long(w.whole()[at]), ids, pa.array(number[at].astype(np.int32)), *(to_long(halves[:, k].copy()) for k in range(4))], names=["line", "doc_id", "number", "h0", "h1", "h2", "h3"])
@@ -95,7 +99,7 @@ def _occurrences(min_words: int):
 
 
 def _variants(min_words: int, chosen):
-    """(key, line, whole, doc_id, number): keys for each word left out, and the whole line's own.
+    """(key, line, kind, doc_id, number): keys for each word left out, and the whole line's own.
 
     Words are left out only in the half that an edit can be in: the other one has to be that of another line too.
     """
@@ -127,12 +131,12 @@ def _variants(min_words: int, chosen):
                 same_place = mix(short ^ mix(place.astype(U) + U(1)))
                 keys = np.concatenate([same_place, short, line[at]])
                 owner = np.concatenate([at[row], at[row], at])
-                whole = np.concatenate([np.zeros(2 * len(row), bool), np.ones(len(at), bool)])
+                kind = np.repeat(np.array([_PLACED, _PLAIN, _WHOLE], np.int32), [len(row), len(row), len(at)])
                 doc = np.repeat(np.arange(a, b), count)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
                 yield pa.record_batch(
-                    [to_long(keys), to_long(line[owner]), pa.array(whole), batch.column(0).take(pa.array(doc[owner])), pa.array(number[owner].astype(np.int32))],
-                    names=["key", "line", "whole", "doc_id", "number"],
+                    [to_long(keys), to_long(line[owner]), pa.array(kind), batch.column(0).take(pa.array(doc[owner])), pa.array(number[owner].astype(np.int32))],
+                    names=["key", "line", "kind", "doc_id", "number"],
                 )
 
     return run
@@ -248,18 +252,19 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     halves = lines.select("line", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
     met = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("half")
-    variants = docs.mapInArrow(_variants(min_words, _bitmap(met)), "key long, line long, whole boolean, doc_id long, number int")
+    variants = docs.mapInArrow(_variants(min_words, _bitmap(met)), "key long, line long, kind int, doc_id long, number int")
     variants = written(variants, "line-variants")
 
-    # the earliest line of each key; whole lines and variants meet only each other under a plain variant's key
+    # the earliest line of each key; under a plain variant's key whole lines and variants meet only each other: two lines
+    # that lack a word each at different places are no partners, and may not hide one that is
     rank = F.struct("doc_id", "number", "line")
     best = variants.groupBy("key").agg(
-        F.min(rank).alias("any"), F.min(F.when(F.col("whole"), rank)).alias("complete"), F.min("line").alias("low"), F.max("line").alias("high")
+        F.min(rank).alias("any"), F.min(F.when(F.col("kind") == _WHOLE, rank)).alias("complete"), F.min("line").alias("low"), F.max("line").alias("high")
     )
     best = written(best.where("low <> high").select("key", "any", "complete"), "variant-keys")
-    keyed = variants.mapInArrow(_of_keys(_bitmap(best.select("key"))), variants.schema).select("key", "line", "whole").distinct()
-    offer = F.when(F.col("whole") | F.col("complete").isNull(), F.col("any")).otherwise(F.col("complete"))
-    offered = keyed.join(best, "key").groupBy("line").agg(F.min(offer).alias("offer"))
+    keyed = variants.mapInArrow(_of_keys(_bitmap(best.select("key"))), variants.schema).select("key", "line", "kind").distinct()
+    offer = F.when(F.col("kind") == _PLAIN, F.col("complete")).otherwise(F.col("any"))
+    offered = keyed.join(best, "key").where((F.col("kind") != _PLAIN) | F.col("complete").isNotNull()).groupBy("line").agg(F.min(offer).alias("offer"))
     offered = offered.join(lines.select("line", "first"), "line").where("struct(offer.doc_id, offer.number) < first")
     offered = written(offered.select("line", F.col("offer.line").alias("partner")), "line-partners")
     drop(variants)
@@ -279,7 +284,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     """The documents without repeated lines: all columns, with n_lines, n_removed and n_near of the original text.
 
     Of equal lines, and of lines one word apart, the earliest (by doc_id, then by place) stays.  Defined cases: lines of
-    fewer than min_words words stay; null texts stay null with 0 lines, and an empty text is one empty line; repeated
+    fewer than min_words words stay, but for equal ones with long words (a word counts once for each WORD_BYTES bytes); null texts stay null with 0 lines, and an empty text is one empty line; repeated
     rows of one id count as one document, whose lines are the earliest of each number; rows with a null id are left
     out; a document that loses all its lines has an empty text; further columns are kept.  Case (A-Z) and the kind of
     white space between words make no difference.  A text may have any number of lines of any length.
