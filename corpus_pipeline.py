@@ -18,7 +18,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Word-first backoff: documents whose text has no letter, or is null, go; the others stay as they are."""
-    found = language_id.identify(docs, language_id.train(docs), with_row=True)
+    model = language_id.train(docs)
+    if not model.langs:  # nothing to learn from, so no text has a language
+        return docs.where("text RLIKE '\\\\p{L}'")
+    found = language_id.identify(docs, model, with_row=True)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 

@@ -23,9 +23,19 @@ SAMPLE_DOCS = 12_000
 #: Words and character n-grams that the model keeps (the most frequent ones, and all that tie with the last one dropped).
 MAX_WORDS, MAX_GRAMS = 200_000, 100_000
 MAX_GRAM = 4
+#: Characters of an unseen word that weigh as much as one word.
+UNIT = 4
 UNKNOWN = "und"
 _SLICE = 512 << 10  # bytes of text that a worker looks at together
-_CUT = 512  # bytes of a word's start that n-grams are taken from once; longer words are scored in pieces
+_CUT = 512  # bytes of a word that n-grams are taken from at once; longer words are taken in pieces
+
+
+def _piece_ends(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Where pieces of about _CUT bytes from begin on end: at a word's end or before the first byte of a character."""
+    end = np.minimum(stop, begin + _CUT)
+    for _ in range(3):
+        end = end - ((end < stop) & ((data[np.minimum(end, len(data) - 1)] & 0xC0) == 0x80))
+    return end
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -62,10 +72,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(a, b), np.diff(first))
             for lang in np.unique(langs[a:b]).tolist():
                 mine = np.flatnonzero(langs[owner] == lang)
-                rows = [(0, words[mine])]
-                for n, (h, _) in zip(range(MAX_GRAM, 0, -1), _grams(data, starts[mine], np.minimum(ends[mine], starts[mine] + _CUT)), strict=True):
-                    rows.append((n, h[h > 0]))
-                for kind, h in rows:
+                found = {0: [words[mine]]}
+                begin, stop = starts[mine], ends[mine]
+                while len(begin):  # long words in pieces
+                    end = _piece_ends(data, begin, stop)
+                    for n, (h, _) in zip(range(MAX_GRAM, 0, -1), _grams(data, begin, end), strict=True):
+                        found.setdefault(n, []).append(h[h > 0])
+                    begin, stop = end[end < stop], stop[end < stop]
+                for kind, parts in found.items():
+                    h = np.concatenate(parts)
                     key, n = np.unique(h, return_counts=True)
                     m = len(key)
                     yield pa.record_batch([pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array([lang] * m), pa.array(n)], names=["kind", "key", "lang", "n"])
@@ -128,7 +143,7 @@ def _word_scores(m: Model, keys: np.ndarray, data: np.ndarray, starts: np.ndarra
         places = np.zeros(len(new))
         row = np.arange(len(new))
         while len(row):  # long words in pieces
-            end = np.minimum(stop[row], begin[row] + _CUT)
+            end = _piece_ends(data, begin[row], stop[row])
             left = None
             for n, (h, word) in zip(range(MAX_GRAM, 0, -1), _grams(data, begin[row], end), strict=True):
                 if left is None:
@@ -142,7 +157,8 @@ def _word_scores(m: Model, keys: np.ndarray, data: np.ndarray, starts: np.ndarra
                 left[at] = False
             begin[row] = end
             row = row[end < stop[row]]
-        out[new] = score / np.maximum(places, 1)[:, None]  # a word counts once, whatever its length
+        # a word counts once for each UNIT places, once at least: one without spaces may be a whole paragraph
+        out[new] = score / np.clip(places, 1, UNIT)[:, None]
     return out
 
 
