@@ -30,7 +30,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = new
         if not moved:
             drop(both)
-            return labels.select("node", F.col("c").alias("component"))
+            out = labels.select("node", F.col("c").alias("component"))
+            out._gridlake_path = labels._gridlake_path
+            return out
 
 
 class LocalForest:

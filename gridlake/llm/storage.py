@@ -9,16 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, a laptop) a local folder is set instead."""
+    """The session's spark.checkpoint.dir; where it is unset and Spark runs on one machine a local folder is set instead."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Paths given out in this process, oldest first.
+_given: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def mark() -> int:
+    """A point in time for sweep()."""
+    return len(_given)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete what was written since the mark, but for the tables to keep: all that read it has been written itself."""
+    kept = {getattr(df, "_gridlake_path", None) for df in keep}
+    for path in _given[since:]:
+        if path not in kept:
+            remove(spark, path)
+    _given[since:] = [path for path in _given[since:] if path in kept]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +61,32 @@ def drop(df: DataFrame) -> None:
     """Delete the files of a table that written() made, once nothing reads it any more."""
     path = getattr(df, "_gridlake_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, path)
+
+
+class Scratch:
+    """The tables that an operator writes on its way; clear() deletes those that its result does not read."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def adopt(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return self.adopt(written(df, name))
+
+    def clear(self, *keep: DataFrame) -> None:
+        for t in self.tables:
+            if not any(t is k for k in keep):
+                drop(t)
+        self.tables = list(keep)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

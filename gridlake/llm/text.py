@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ _powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = 1 << (n - 1).bit_length()
         for k, base in enumerate((_STEP, _INVERSE)):
             p = np.full(n, base, dtype=U)
             p[0] = 1
@@ -43,6 +45,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda pad: None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what one batch took is not kept for the next."""
+    if len(_powers[0]) > 1 << 22:  # made for one very long text
+        _powers[:] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def string_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of slices of about max_bytes; a null text has no bytes."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -65,7 +83,7 @@ def string_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20)
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
-    pa.default_memory_pool().release_unused()  # workers are used again; what one batch took is not kept for the next
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
