@@ -12,16 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import written
 from .text import BYTE_CODE, LETTERS, LOWER, U, mix, span_hashes, string_chunks, word_spans
 
-#: The classifier is fitted on about this many labelled documents at most, picked by a hash of their texts.
+#: The classifier is fitted on about this many labelled documents at most, picked by a hash of their texts; every word and
+#: character n-gram of their whole texts is learned.
 SAMPLE_DOCS = 12_000
-#: Words and character n-grams that the model keeps (the most frequent ones, and all that tie with the last one dropped).
-MAX_WORDS, MAX_GRAMS = 200_000, 100_000
 MAX_GRAM = 4
 #: Characters of an unseen word that weigh as much as one word.
 UNIT = 4
@@ -63,7 +61,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, lang, n) of words (kind 0) and n-grams (kind n) for each batch; n-grams count once for each word."""
+    """(kind, key, lang, n) of words (kind 0) and n-grams (kind n), counted for each slice of a batch."""
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist())
         for a, b, data, off in string_chunks(batch, "text"):
@@ -97,30 +95,27 @@ class Model:
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on a sample of about sample_docs of the rows with a text and a language.
 
-    The sample is picked by a hash of the text alone, so equal inputs give equal models.  What reaches the driver is
-    bounded by MAX_WORDS and MAX_GRAMS rows for each n.
+    The sample is picked by a hash of the text alone, so equal inputs give equal models.  What reaches the driver is one
+    row for each word or n-gram and language of the sample.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     total = rows.count()
     slots = 1_000_000
     share = min(slots, int(slots * sample_docs / max(total, 1)))
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(slots)) < share)
-    counts = sample.mapInArrow(_counts, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"), F.sum("n").alias("n"))
-    counts = written(counts, "language-counts")
-    parts = {kind: counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(MAX_GRAMS if kind else MAX_WORDS).toArrow() for kind in range(MAX_GRAM + 1)}
-    langs = sorted({k for t in parts.values() for m in t["by_lang"].to_pylist() for k, _ in m})
-    place = {x: k for k, x in enumerate(langs)}
+    counts = sample.mapInArrow(_counts, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).toArrow()
+    lang = counts["lang"].combine_chunks().dictionary_encode()
+    given = lang.dictionary.to_pylist()
+    langs = sorted(given)
+    place = np.array([langs.index(x) for x in given], dtype=np.int64)[lang.indices.to_numpy(zero_copy_only=False)]
+    kinds, keys, times = counts["kind"].to_numpy(), counts["key"].to_numpy().view(U), counts["n"].to_numpy()
     tables = {}
-    for kind, t in parts.items():
-        n = np.zeros((len(t), len(langs)))
-        for i, m in enumerate(t["by_lang"].to_pylist()):
-            for lang, c in m:
-                n[i, place[lang]] = c
-        key = t["key"].to_numpy().view(U)
-        order = np.argsort(key)
-        share_of = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * (len(n) + 1))) if len(n) else n
-        tables[kind] = key[order], share_of[order].astype(np.float32)
+    for kind in range(MAX_GRAM + 1):
+        at = kinds == kind
+        key, row = np.unique(keys[at], return_inverse=True)
+        n = np.zeros((len(key), len(langs)))
+        n[row, place[at]] = times[at]
+        tables[kind] = key, (np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * (len(n) + 1))) if len(n) else n).astype(np.float32)
     return Model(langs, tables)
 
 
@@ -162,43 +157,45 @@ def _word_scores(m: Model, keys: np.ndarray, data: np.ndarray, starts: np.ndarra
     return out
 
 
-def _identifier(shared, text_col: str = "text"):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.langs, UNKNOWN], dtype=object)
-        for batch in batches:
-            texts = batch.column(1)
-            if pa.types.is_struct(texts.type):  # whole rows, of which the text is one field
-                row, texts = texts, texts.field(text_col).cast(pa.string())
-                batch = pa.record_batch([batch.column(0), texts, row], names=["doc_id", "text", "row"])
-            for a, b, data, off in string_chunks(batch, "text", _SLICE):
-                starts, ends, first = word_spans(data, off, LETTERS)
-                keys, at, which = np.unique(span_hashes(LOWER[data], starts, ends), return_index=True, return_inverse=True)
-                n = b - a
-                total = np.zeros((n, len(m.langs)))
-                if m.langs and len(keys):
-                    values = _word_scores(m, keys, data, starts[at], ends[at])
-                    text = np.repeat(np.arange(n), np.diff(first))
-                    for k in range(len(m.langs)):
-                        total[:, k] = np.bincount(text, weights=values[which, k], minlength=n)
-                has = np.diff(first) > 0
-                letters = np.concatenate([[0], np.cumsum(LETTERS[data] & (data < 128))])
-                ascii_ = letters[off[1:]] > letters[off[:-1]]
-                for k in np.flatnonzero(has & ~ascii_).tolist():  # bytes beyond ASCII only: are they letters?
-                    has[k] = any(map(str.isalpha, texts[a + k].as_py()))
-                if m.langs:
-                    best = total.argmax(axis=1)
-                    p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                else:
-                    best, p, has = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
-                best = np.where(has, best, len(m.langs))
-                found = [pa.array(names[best].tolist(), pa.string()), pa.array(np.where(has, p, 0.0))]
-                rest = range(2, batch.num_columns)
-                yield pa.record_batch(
-                    [batch.column(0).slice(a, n), *found, *(batch.column(k).slice(a, n) for k in rest)], names=["doc_id", "lang_pred", "score", *(batch.schema.names[k] for k in rest)]
-                )
-
-    return run
+def _predict(m: Model, texts: pa.Array) -> pa.Array:
+    names = np.array([*m.langs, UNKNOWN], dtype=object)
+    langs, scores = [], []
+    for a, b, data, off in string_chunks(pa.record_batch([texts], names=["text"]), "text", _SLICE):
+        starts, ends, first = word_spans(data, off, LETTERS)
+        keys, at, which = np.unique(span_hashes(LOWER[data], starts, ends), return_index=True, return_inverse=True)
+        n = b - a
+        total = np.zeros((n, len(m.langs)))
+        if m.langs and len(keys):
+            values = _word_scores(m, keys, data, starts[at], ends[at])
+            text = np.repeat(np.arange(n), np.diff(first))
+            for k in range(len(m.langs)):
+                total[:, k] = np.bincount(text, weights=values[which, k], minlength=n)
+        has = np.diff(first) > 0
+        letters = np.concatenate([[0], np.cumsum(LETTERS[data] & (data < 128))])
+        ascii_ = letters[off[1:]] > letters[off[:-1]]
+        for k in np.flatnonzero(has & ~ascii_).tolist():  # bytes beyond ASCII only: are they letters?
+            has[k] = any(map(str.isalpha, texts[a + k].as_py()))
+        if m.langs:
+            best = total.argmax(axis=1)
+            p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        else:
+            best, p, has = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
+        langs += names[np.where(has, best, len(m.langs))].tolist()
+        scores.append(np.where(has, p, 0.0))
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["lang_pred", "score"])
+
+
+def prediction(spark: SparkSession, model: Model):
+    """A function from a text column to a struct (lang_pred, score); only the texts are sent to the workers."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _predict(shared.value, texts)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # not deterministic: Spark then never works it out twice for a filter and a column
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
@@ -210,9 +207,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     learned; ties go to the language that sorts first; repeated rows and null ids stay as they are; further columns are
     dropped; texts and words may be of any length.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if with_row:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
-        return rows.mapInArrow(_identifier(shared, text_col), "doc_id long, lang_pred string, score double, row " + rows.schema["row"].dataType.simpleString())
-    return rows.mapInArrow(_identifier(shared), "doc_id long, lang_pred string, score double")
+    found = prediction(docs.sparkSession, model)(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([F.struct("*").alias("row")] if with_row else []), found.alias("found"))
+    return rows.select("doc_id", "found.lang_pred", "found.score", *(["row"] if with_row else []))
