@@ -1,244 +1,345 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, scored from memory maps.
-
-Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end for each text.  A word is a 48-bit hash, a
-bigram the 64-bit hash of two words.  Map tasks count what they read and send it on as sorted arrays, one for each range
-of hashes; a reduce task merges one range and writes it to the shared folder.  Ranges hold what about a million tokens
-yield, however large the corpus: there are only more of them.  Counts are merged before they are sent, so no word or
-bigram can make a range large.
-
-Files of a model: bigram-N.keys/.counts and word-N.keys/.counts/.continuations/.contexts, each sorted by hash; N orders
-the ranges.  Workers map them into memory and touch only the pages that they look up.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, scored from memory maps.
+
+Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end for each text; a text begins after order - 1
+starts.  A word is a 64-bit hash, an n-gram the hash of its words' hashes.  The highest order counts places; a lower one
+counts the different words that stand before its n-gram; each order has discounts of its own.
+
+Counting.  Map tasks count the n-grams of what they have read and send them on in blobs, one for each range of hashes of
+the last order - 1 words.  A reduce task merges one range, so it has all n-grams that end alike: it writes their counts,
+and the number of words before each ending, which are the counts of the next order.  From there on counts only add up:
+what it knows of contexts (the n-gram without its last word) and of shorter endings goes to further ranges as sums.
+There is a range for each TOKENS_PER_RANGE tokens, however large the corpus; beyond ONE_HOP ranges blobs are first
+gathered for groups of ranges.  Tasks merge counts before they send them, so a word or n-gram of any frequency is one
+number from each.
+
+Files of a model: gram-N-R (keys, counts), context-N-R (keys, how many n-grams of count 1, 2 and more go on from there,
+sum of counts) and word-R (keys, counts, counts of order 1), each sorted by hash; R orders the ranges.  Workers map them
+into memory and touch the pages that they look up.  A store that is no file system is read range by range instead; no
+copy is kept.
 """
 
 from __future__ import annotations
 
-import io
+import collections
+import json
 import os
-import tempfile
+import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_path
-from .text import U, mix, string_chunks, word_hashes
+from .storage import Scratch, new_path, remove
+from .text import U, give_back, mix, string_chunks, word_hashes
 
-_WORD = U((1 << 48) - 1)
+ORDER = 3
 END, START = U(1), U(2)
-_FLUSH = 3_000_000
-#: Training tokens for each range of bigram hashes.
-TOKENS_PER_RANGE = 1_000_000
+#: Tokens that a map task counts together.
+_FLUSH = 1_500_000
+#: Training tokens for each range of hashes (words: WORD_SHARE times as many), and bytes of text that make a token.
+TOKENS_PER_RANGE, WORD_SHARE, BYTES_PER_TOKEN = 1_000_000, 8, 6
+#: Ranges that blobs are sent to at once; with more, they go by groups of ranges first.
+ONE_HOP = 16_384
+#: Files that a worker keeps mapped.
+_MAPPED = 4096
+_ROWS = "kind string, part int, data binary"
+_ROW_SCHEMA = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("data", pa.binary())])
+
+
+# -- arrays in blobs and files ---------------------------------------------------------------------------------------
+
+
+def _smallest(x: np.ndarray) -> np.ndarray:
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of non-negative integers, compressed: first bytes of all values, then their second ones."""
+    arrays = [_smallest(a) for a in arrays]
+    head = struct.pack(f"<B{2 * len(arrays)}I", len(arrays), *(n for a in arrays for n in (a.itemsize, len(a))))
+    body = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays)
+    return head + pa.Codec("zstd", 1).compress(body, asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    sizes = struct.unpack_from(f"<{2 * data[0]}I", data, 1)
+    shapes = list(zip(sizes[::2], sizes[1::2], strict=True))
+    body = pa.Codec("zstd").decompress(data[1 + 8 * data[0] :], decompressed_size=sum(k * n for k, n in shapes), asbytes=True)
+    out, at = [], 0
+    for k, n in shapes:
+        planes = np.frombuffer(body, np.uint8, k * n, at).reshape(k, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{k}").ravel())
+        at += k * n
+    return out
 
 
 def _target(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
+def _save(folder: str, name: str, keys: np.ndarray, *values: np.ndarray) -> None:
     """Written under another name first, so that a task that is run again leaves whole files only."""
     store, path = _target(folder)
     store.create_dir(path, recursive=True)
-    data = io.BytesIO()
-    np.save(data, array)
+    arrays = [keys, *map(_smallest, values)]
+    head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(part) as f:
-        f.write(data.getbuffer())
-    store.move(part, f"{path}/{name}.npy")
-
+        f.write(struct.pack("<I", len(head)) + head + b" " * (-(len(head) + 4) % 8))
+        for a in sorted(arrays, key=lambda a: -a.itemsize):  # so that all stay aligned
+            f.write(memoryview(a).cast("B") if len(a) else b"")
+    store.move(part, f"{path}/{name}")
+
+
+def _views(data: np.ndarray) -> list[np.ndarray]:
+    n = int(data[:4].view("<u4")[0])
+    shapes = json.loads(bytes(data[4 : 4 + n]))
+    at = 4 + n + -(n + 4) % 8
+    out: list[np.ndarray] = [data[:0]] * len(shapes)
+    for k in sorted(range(len(shapes)), key=lambda k: -np.dtype(shapes[k][0]).itemsize):
+        size = np.dtype(shapes[k][0]).itemsize * shapes[k][1]
+        out[k] = data[at : at + size].view(shapes[k][0])
+        at += size
+    return out
 
-def _map(folder: str, name: str) -> np.ndarray:
-    """A memory map of the array; a store that is no file system is copied to a file that is unlinked once mapped."""
-    store, path = _target(folder)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.load(f"{path}/{name}.npy", mmap_mode="r")
-    with tempfile.NamedTemporaryFile(suffix=".npy") as copy:
-        with store.open_input_stream(f"{path}/{name}.npy") as f:
-            while block := f.read(1 << 22):
-                copy.write(block)
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")
 
+_maps: collections.OrderedDict[str, list[np.ndarray]] = collections.OrderedDict()
 
-def _smallest(counts: np.ndarray) -> np.ndarray:
-    top = int(counts.max()) if len(counts) else 0
-    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
+def _arrays(folder: str, name: str) -> list[np.ndarray]:
+    """The arrays of a file: views of a memory map, or what was read of a store that has none."""
+    store, path = _target(folder)
+    path = f"{path}/{name}"
+    if not isinstance(store, fs.LocalFileSystem):
+        with store.open_input_stream(path) as f:
+            return _views(np.frombuffer(f.read(), np.uint8))
+    if path in _maps:
+        _maps.move_to_end(path)
+    else:
+        _maps[path] = _views(np.memmap(path, np.uint8, "r"))
+        if len(_maps) > _MAPPED:
+            _maps.popitem(last=False)
+    return _maps[path]
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of the values, all first bytes before all second ones: the shuffle compresses those well."""
-    return np.ascontiguousarray(values.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes()
 
+# -- tokens and hashes -----------------------------------------------------------------------------------------------
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(U).ravel()
 
+def _windows(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each token of all texts the order words that end with it, first words first; and where each text begins."""
+    words, first = word_hashes(data, offsets)
+    n = len(first) - 1
+    pad = order - 1
+    size = np.diff(first) + 1
+    text = np.repeat(np.arange(n), np.diff(first))
+    stream = np.full(len(words) + n * (1 + pad), START, dtype=U)
+    stream[np.arange(len(words)) + text + (text + 1) * pad] = words | U(4)  # never START or END
+    begin = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(begin[-1]) + (np.repeat(np.arange(n), size) + 1) * pad
+    stream[at[begin[1:] - 1]] = END
+    return [stream[at - pad + k] for k in range(order)], begin
 
-def _merged(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order, and the sums of the values of each."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return [keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)]
 
+def _hash(words: list[np.ndarray]) -> np.ndarray:
+    h = words[-1]
+    for w in words[-2::-1]:
+        h = mix(h * U(0x9E3779B97F4A7C15) + w)
+    return h
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all texts with an END behind each text, and where each text begins (one more entry)."""
-    words, first = word_hashes(data, offsets)
-    words = (words & _WORD) | U(4)  # never START or END
-    out = np.full(len(words) + len(first) - 1, END, dtype=U)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out[np.arange(len(words)) + text] = words
-    return out, first + np.arange(len(first))
 
+def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key, in the order of the keys."""
+    return ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
-def _contexts(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[begin[:-1]] = START
-    return out
 
+def _shared(order: int) -> int:
+    """How many last words of n-grams of this order decide their range when they are counted."""
+    return max(2, order - 1)
 
-def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * U(0x9E3779B97F4A7C15) + word)
 
-
-def _range(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """The range of each key (of so many bits), in the order of the keys."""
-    return ((keys >> U(bits - 32)) * U(ranges) >> U(32)).astype(np.int64)
+def _grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, a row of each, and the sums of the values."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return ordered[first], order[first], [np.add.reduceat(v[order], first) if len(keys) else v for v in values]
 
 
-_ROWS = "part int, kind string, keys binary, a binary, b binary, c binary"
+# -- counting --------------------------------------------------------------------------------------------------------
 
 
-def _row(part: int, kind: str, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    cells = [_planes(v) for v in (keys, *values)] + [b""] * (3 - len(values))
-    return pa.record_batch([pa.array([part], pa.int32()), pa.array([kind]), *(pa.array([x], pa.binary()) for x in cells)], names=["part", "kind", "keys", "a", "b", "c"])
+def _rows(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROW_SCHEMA.types, strict=True)], schema=_ROW_SCHEMA)
 
 
-def _by_range(kind: str, keys: np.ndarray, values: list[np.ndarray], where: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+def _by_range(kind: str, where: np.ndarray, pack) -> Iterator[tuple[str, int, bytes]]:
+    """A row for each range that occurs; pack makes the data of the places of its entries."""
     order = np.argsort(where, kind="stable")
-    edge = np.searchsorted(where[order], np.arange(ranges + 1))
-    for r in range(ranges):
-        at = order[edge[r] : edge[r + 1]]
-        if len(at):
-            yield _row(r, kind, keys[at], *(v[at] for v in values))
-
+    ordered = where[order]
+    for part, a, b in zip(*(x.tolist() for x in _runs(ordered)), strict=True):
+        yield kind, part, pack(order[a:b])
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, contexts) of about _FLUSH tokens each."""
-    held, ahead, n = [], [], 0
-    for batch in batches:
-        for _, _, data, off in string_chunks(batch, "text"):
-            tokens, begin = _tokens(data, off)
-            held.append(tokens)
-            ahead.append(_contexts(tokens, begin))
-            n += len(tokens)
-            if n >= _FLUSH:
-                yield np.concatenate(held), np.concatenate(ahead)
-                held, ahead, n = [], [], 0
-    if n:
-        yield np.concatenate(held), np.concatenate(ahead)
-
-
-def _count_words(ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, _ in _flushes(batches):
-            keys, n = np.unique(tokens, return_counts=True)
-            yield from _by_range("words", keys, [n], _range(keys, ranges, 48), ranges)
 
-    return run
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], first, np.append(first[1:], len(ordered))
 
 
-def _count_bigrams(ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, contexts in _flushes(batches):
-            keys = _pair(contexts, tokens)
-            _, first, n = np.unique(keys, return_index=True, return_counts=True)
-            where = _range(keys[first], ranges, 64)
-            v, w = contexts[first], tokens[first]
-            order = np.argsort(v, kind="stable")
-            v, w, n, where = v[order], w[order], n[order], where[order]
-            yield from _by_range("bigrams", v, [w, n], where, ranges)
+def _grams(kind: str, words: list[np.ndarray], count: np.ndarray, places: np.ndarray, ranges: int) -> Iterator[tuple[str, int, bytes]]:
+    """Blobs of n-grams: a list of the words that occur in it, and numbers into it."""
 
-    return run
+    def pack(at: np.ndarray) -> bytes:
+        own, number = np.unique(np.concatenate([w[at] for w in words]), return_inverse=True)
+        return _pack([own, *np.split(number, len(words)), count[at], places[at]])
 
+    yield from _by_range(kind, _range(_hash(words[-_shared(len(words)) :]), ranges), pack)
 
-def _columns(table: pa.Table, kind: str, count: int) -> list[np.ndarray]:
-    rows = table.filter(pa.compute.equal(table["kind"], kind))
-    names = ["keys", "a", "b", "c"][: count + 1]
-    return [np.concatenate([np.zeros(0, U), *(_from_planes(x) for x in rows[n].to_pylist())]) for n in names]
 
+def _count(order: int, ranges: int):
+    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        words = [np.concatenate([h[k] for h in held]) for k in range(order)]
+        _, first, n = np.unique(_hash(words), return_index=True, return_counts=True)
+        words = [w[first] for w in words]
+        rows: list[tuple[str, int, bytes]] = []
+        for row in _grams(f"gram-{order}", words, n, n, ranges):
+            rows.append(row)
+            if len(rows) == 64:
+                yield _rows(rows)
+                rows = []
+        if rows:
+            yield _rows(rows)
 
-def _as_table(batches: list[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(batches, schema=_row(0, "", np.zeros(0, U)).schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for _, _, data, off in string_chunks(batch, "text"):
+                words, begin = _windows(data, off, order)
+                held.append(words)
+                n += int(begin[-1])
+                if n >= _FLUSH:
+                    yield from flush(held)
+                    held, n = [], 0
+                    give_back()
+        if n:
+            yield from flush(held)
 
+    return run
 
-def _merge_words(table: pa.Table) -> pa.Table:
-    keys, n = _merged(*_columns(table, "words", 1))
-    return _as_table([_row(table["part"][0].as_py(), "words", keys, n)])
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs (kind, part, data) of a group of ranges, put together again by range: fewer and larger ones."""
+    held: dict[tuple[str, int], list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for kind, part, data in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            held.setdefault((kind, part), []).append(data)
+            size += len(data)
+        if size > 64 << 20:
+            yield from (_rows([(*key, _joined(key[0], blobs))]) for key, blobs in held.items())
+            held, size = {}, 0
+    yield from (_rows([(*key, _joined(key[0], blobs))]) for key, blobs in held.items())
+
+
+def _joined(kind: str, blobs: list[bytes]) -> bytes:
+    if not kind.startswith("gram"):
+        return _pack(_sums(blobs))
+    words, count, places = _all_grams(blobs, int(kind.split("-")[1]))
+    own, number = np.unique(np.concatenate(words), return_inverse=True)
+    return _pack([own, *np.split(number, len(words)), count, places])
+
+
+def _all_grams(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct n-grams of blobs with the sums of their two numbers, sorted by hash."""
+    parts = []
+    for blob in blobs:
+        own, *rest = _unpack(blob)
+        own = own.astype(U)
+        parts.append([*(own[k] for k in rest[:order]), *(x.astype(np.int64) for x in rest[order:])])
+    *words, count, places = (np.concatenate(c) for c in zip(*parts, strict=True))
+    _, row, (count, places) = _grouped(_hash(words), count, places)
+    return [w[row] for w in words], count, places
+
+
+def _sums(blobs: list[bytes]) -> list[np.ndarray]:
+    """Distinct keys and the sums of their numbers."""
+    keys, *values = (np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True))
+    keys, _, values = _grouped(keys.astype(U), *(v.astype(np.int64) for v in values))
+    return [keys, *values]
+
+
+def _counts_of(order: int, count: np.ndarray) -> tuple[str, int, bytes]:
+    return "counts", 0, _pack([np.array([order * 8 + k for k in range(1, 5)]), np.array([(count == k).sum() for k in range(1, 5)])])
+
+
+def _goes_on(words: list[np.ndarray], count: np.ndarray, ranges: int) -> Iterator[tuple[str, int, bytes]]:
+    """Sums for the contexts of n-grams: those of count 1, 2 and more, and all counts."""
+    keys, _, values = _grouped(_hash(words[:-1]), (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64), count)
+    yield from _by_range(f"context-{len(words) - 1}", _range(keys, ranges), lambda at: _pack([keys[at], *(v[at] for v in values)]))
+
+
+def _merge(folder: str, ranges: int, word_ranges: int):
+    """Merge one range of one kind, write its file, and send on what it adds to others."""
+
+    def of(n: int) -> int:
+        return word_ranges if n == 1 else ranges
+
+    def grams(blobs: list[bytes], order: int, part: int) -> Iterator[tuple[str, int, bytes]]:
+        words, count, places = _all_grams(blobs, order)
+        _save(folder, f"gram-{order}-{part:07d}", _hash(words), count)
+        yield _counts_of(order, count)
+        yield from _goes_on(words, count, of(order - 1))
+        if _shared(order) < order:  # all n-grams with the same ending are here: what stands before it counts it
+            words = words[1:]
+            keys, row, (count, places) = _grouped(_hash(words), np.ones(len(count), np.int64), places)
+            words = [w[row] for w in words]
+            _save(folder, f"gram-{order - 1}-{part:07d}", keys, count)
+            yield _counts_of(order - 1, count)
+            yield from _goes_on(words, count, of(order - 2))
+        keys, row, (count, places) = _grouped(_hash(words[1:]), np.ones(len(count), np.int64), places)
+        if len(words) == 2:
+            yield from _by_range("word", _range(keys, word_ranges), lambda at: _pack([keys[at], places[at], count[at]]))
+        else:
+            yield from _grams(f"gram-{len(words) - 1}", [w[row] for w in words[1:]], count, places, ranges)
 
-def _merge_bigrams(folder: str, word_ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        v, w, n = _columns(table, "bigrams", 2)
-        keys = _pair(v, w)
-        order = np.argsort(keys, kind="stable")
-        first = order[np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))]
-        keys, n = _merged(keys, n)
-        v, w = v[first], w[first]
-        name = f"bigram-{table['part'][0].as_py():06d}"
-        _save(folder, f"{name}.keys", keys)
-        _save(folder, f"{name}.counts", _smallest(n))
-        out = []
-        words, many = np.unique(w, return_counts=True)
-        out += _by_range("continuations", words, [many], _range(words, word_ranges, 48), word_ranges)
-        words, *classes = _merged(v, *((n == 1).astype(U), (n == 2).astype(U), (n > 2).astype(U)))
-        out += _by_range("contexts", words, classes, _range(words, word_ranges, 48), word_ranges)
-        out.append(_row(0, "counts", np.arange(1, 5).astype(U), np.array([(n == k).sum() for k in range(1, 5)], dtype=U)))
-        return _as_table(out)
+        kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+        blobs = table["data"].to_pylist()
+        if kind.startswith("gram"):
+            out = list(grams(blobs, int(kind.split("-")[1]), part))
+        else:
+            keys, *values = _sums(blobs)
+            out = []
+            if kind == "counts":
+                out.append((kind, 0, _pack([keys, *values])))
+            else:
+                _save(folder, f"{kind}-{part:07d}", keys, *values)
+            if kind == "word":
+                places, count = values
+                out.append(_counts_of(1, count))
+                out.append(("counts", 0, _pack([np.arange(4), np.array([places.sum(), len(keys), count.sum(), (count > 2).sum()])])))
+        give_back()
+        return pa.Table.from_batches([_rows(out)] if out else [], schema=_ROW_SCHEMA)
 
     return run
 
 
-def _merge_model(folder: str):
-    def run(table: pa.Table) -> pa.Table:
-        keys, n = _columns(table, "words", 1)
-        out = [_row(0, "words", np.array([1, 2]).astype(U), np.array([n.sum(), len(n)], dtype=U))]
-        cont, many = _merged(*_columns(table, "continuations", 1))
-        ctx, *classes = _merged(*_columns(table, "contexts", 3))
-        have = np.zeros(len(keys), dtype=U)
-        have[np.searchsorted(keys, cont)] = many  # each word that follows another one was counted
-        stats = np.zeros((3, len(keys)), dtype=U)
-        start = ctx == START
-        at = np.searchsorted(keys, ctx[~start])
-        for k in range(3):
-            stats[k, at] = classes[k][~start]
-        name = f"word-{table['part'][0].as_py():06d}"
-        for what, x in (("keys", keys), ("counts", n), ("continuations", _smallest(have)), ("contexts", stats.astype(np.uint64))):
-            _save(folder, f"{name}.{what}", x)
-        if start.any():
-            out.append(_row(0, "start", np.array([1, 2, 3]).astype(U), np.array([c[start][0] for c in classes], dtype=U)))
-        out.append(_row(0, "continued", np.arange(1, 5).astype(U), np.array([(many == k).sum() for k in range(1, 5)], dtype=U)))
-        counts, values = _columns(table, "counts", 1)
-        if len(counts):
-            out.append(_row(0, "counts", *_merged(counts, values)))
-        return _as_table(out)
-
-    return run
-
+def _discounts(n: list[int]) -> np.ndarray:
+    """D1, D2 and D3+ of modified Kneser-Ney from the numbers of entries that occur 1 to 4 times.
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """D1, D2 and D3+ of modified Kneser-Ney from the numbers of entries that occur 1 to 4 times."""
-    n1, n2, n3, n4 = n.tolist()
+    Where the estimate is none (no such entries, or not between 0 and the count) it is half the count, so that what a
+    context leaves to shorter ones is never nothing.
+    """
+    n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-    d = [k - (k + 1) * y * after / here if here else 0.0 for k, here, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.clip(d, 0.0, [1.0, 2.0, 3.0])
+    d = np.array([k - (k + 1) * y * after / here if here else 0.0 for k, here, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
+    most = np.array([1.0, 2.0, 3.0])
+    return np.where((d > 0) & (d <= most), d, most / 2)
 
 
 @dataclass
@@ -246,146 +347,117 @@ class Model:
     """A trained model: where its files are, and its few global numbers."""
 
     folder: str
-    word_ranges: list[int]
-    bigram_ranges: list[int]
-    ranges: tuple[int, int]  # of words, of bigrams
-    tokens: int  # N
-    types: int  # V
-    texts: int
-    distinct_bigrams: int
-    discounts: np.ndarray
-    low_discounts: np.ndarray
-    low_spread: float
-    start: np.ndarray
-
-
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+    order: int
+    ranges: int
+    word_ranges: int
+    tokens: int = 0  # N
+    types: int = 0  # V
+    endings: int = 0  # different pairs of words: the sum of all counts of order 1
+    spread: float = 1.0  # what order 1 leaves to words never seen
+    discounts: dict[int, np.ndarray] = field(default_factory=dict)  # by order
+    have: frozenset[str] = frozenset()
+
+    def delete(self, spark) -> None:
+        remove(spark, self.folder)
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     """Count all texts of docs (null: empty) and write the model; what the driver holds is a few sums."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
+    tmp = Scratch()
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    folder = new_path(spark, "kneser-ney")
-    word_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = texts.mapInArrow(_count_words(word_ranges), _ROWS).groupBy("part").applyInArrow(_merge_words, _ROWS)
-    path = new_path(spark, "word-counts")
-    words.write.parquet(path)
-    words = spark.read.schema(words.schema).parquet(path)
-    size = words.select(F.octet_length("keys").alias("n")).agg(F.sum("n")).first()[0] or 0
-    total = texts.count()
-
-    # about one range for each million tokens; a word stands for five tokens at least in any corpus of some size
-    ranges = max(word_ranges, size // 8 * 40 // TOKENS_PER_RANGE)
-    bigrams = texts.mapInArrow(_count_bigrams(ranges), _ROWS).groupBy("part").applyInArrow(_merge_bigrams(folder, word_ranges), _ROWS)
-    rows = bigrams.unionByName(words).groupBy("part").applyInArrow(_merge_model(folder), _ROWS).where("kind <> ''").toArrow()
-
-    def total_of(kind: str, size: int) -> np.ndarray:
-        out = np.zeros(size, dtype=U)
-        k, v = _columns(rows, kind, 1)
-        np.add.at(out, k.astype(np.int64) - 1, v)
-        return out.astype(np.int64)
-
-    n, v = total_of("words", 2).tolist()
-    counts, continued = total_of("counts", 4), total_of("continued", 4)
-    store, base = _target(folder)
-    names = [f.base_name for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True))]
-    have = {kind: sorted(int(x.split("-")[1].split(".")[0]) for x in names if x.startswith(kind) and x.endswith(".keys.npy")) for kind in ("word", "bigram")}
-    model = Model(folder, have["word"], have["bigram"], (word_ranges, ranges), n, v, total, 0, _discounts(counts), _discounts(continued), 0.0, total_of("start", 3))
-    sums = rows_of_continuations(spark, model)
-    model.distinct_bigrams, low = sums[0], np.array(sums[1:], dtype=np.float64)
-    model.low_spread = float((model.low_discounts * low).sum() / model.distinct_bigrams) if model.distinct_bigrams else 1.0
-    return model
-
-
-def rows_of_continuations(spark, model: Model) -> list[int]:
-    """Over all words: the sum of continuation counts, and how many words have a count of 1, 2, and 3 or more."""
-    if not model.word_ranges:
-        return [0, 0, 0, 0]
-    folder = model.folder
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.column(0).to_pylist():
-                n = np.asarray(_map(folder, f"word-{r:06d}.continuations")).astype(np.int64)
-                yield pa.record_batch([pa.array([x], pa.int64()) for x in (n.sum(), (n == 1).sum(), (n == 2).sum(), (n > 2).sum())], names=["s", "n1", "n2", "n3"])
-
-    rows = spark.createDataFrame([(r,) for r in model.word_ranges], "r int").repartition(min(len(model.word_ranges), 64))
-    return [int(x or 0) for x in rows.mapInArrow(run, "s long, n1 long, n2 long, n3 long").agg(*(F.sum(c) for c in ("s", "n1", "n2", "n3"))).first()]
-
-
-class _Lookup:
-    """Values of keys from the sorted arrays of all ranges."""
-
-    def __init__(self, folder: str, kind: str, have: list[int], ranges: int, bits: int, values: list[str]):
-        self.ranges, self.bits = ranges, bits
-        self.arrays = {r: [_map(folder, f"{kind}-{r:06d}.{v}") for v in ("keys", *values)] for r in have}
-
-    def get(self, keys: np.ndarray, out: list[np.ndarray]) -> None:
-        """keys: sorted.  Fills out (last axis) where a key is known."""
-        where = _range(keys, self.ranges, self.bits)
-        for r in np.unique(where).tolist():
-            if r not in self.arrays:
-                continue
-            a, b = np.searchsorted(where, [r, r + 1])
-            known, *values = self.arrays[r]
-            if not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-            hit = np.flatnonzero(known[at] == keys[a:b])
+    size = texts.agg(F.sum(F.octet_length("text").cast("long") + BYTES_PER_TOKEN)).first()[0] or 0
+    ranges = 1 + size // (BYTES_PER_TOKEN * TOKENS_PER_RANGE)
+    m = Model(new_path(spark, "kneser-ney"), order, ranges, 1 + ranges // WORD_SHARE)
+    merge = _merge(m.folder, m.ranges, m.word_ranges)
+
+    def merged(rows: DataFrame) -> DataFrame:
+        if m.ranges > ONE_HOP:
+            group = F.floor(F.col("part") / int(m.ranges**0.5)).alias("group")
+            rows = rows.withColumn("group", group).repartition("kind", "group").mapInArrow(_gathered, _ROWS)
+        return rows.groupBy("kind", "part").applyInArrow(merge, _ROWS)
+
+    rows = merged(texts.mapInArrow(_count(order, m.ranges), _ROWS))
+    while order > 3:  # endings whose counts are still to be added up
+        rows = tmp.written(rows, "n-gram-sums")
+        order = _shared(order) - 1
+        more = merged(rows.where(F.col("kind") == f"gram-{order}"))
+        rows = rows.where(F.col("kind") != f"gram-{order}").unionByName(more)
+    rows = merged(rows).toArrow()
+    tmp.clear()
+    blobs = rows["data"].to_pylist()
+    got = dict(zip(*(x.tolist() for x in _sums(blobs)), strict=True)) if blobs else {}
+    m.tokens, m.types, m.endings = (got.get(k, 0) for k in range(3))
+    m.discounts = {n: _discounts([got.get(n * 8 + k, 0) for k in range(1, 5)]) for n in range(1, m.order + 1)}
+    if m.endings:
+        left = np.array([got.get(9, 0), got.get(10, 0), got.get(3, 0)], dtype=np.float64)
+        m.spread = float(m.discounts[1] @ left) / m.endings
+    store, path = _target(m.folder)
+    m.have = frozenset(f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)))
+    return m
+
+
+# -- scoring ---------------------------------------------------------------------------------------------------------
+
+
+def _look_up(m: Model, kind: str, keys: np.ndarray, where: np.ndarray, columns: int) -> np.ndarray:
+    """The numbers of each key, zeros where it is not known; where: the range of each key."""
+    out = np.zeros((columns, len(keys)), dtype=np.int64)
+    order = np.argsort(where, kind="stable")
+    for part, a, b in zip(*(x.tolist() for x in _runs(where[order])), strict=True):
+        name = f"{kind}-{part:07d}"
+        if name not in m.have:
+            continue
+        known, *values = _arrays(m.folder, name)
+        if len(known):
+            rows = order[a:b]
+            at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
+            hit = known[at] == keys[rows]
             for o, v in zip(out, values, strict=True):
-                o[..., a + hit] = v[..., at[hit]]
+                o[rows[hit]] = v[at[hit]]
+    return out
 
 
-_open: dict[str, tuple[_Lookup, _Lookup]] = {}
+def _of_distinct(m: Model, kind: str, words: list[np.ndarray], ranged_by: int, ranges: int, columns: int) -> np.ndarray:
+    keys, first, back = np.unique(_hash(words), return_index=True, return_inverse=True)
+    where = _range(_hash([w[first] for w in words[-ranged_by:]]), ranges)
+    return _look_up(m, kind, keys, where, columns)[:, back]
 
 
-def _arrays(m: Model) -> tuple[_Lookup, _Lookup]:
-    if m.folder not in _open:
-        _open.clear()
-        _open[m.folder] = (
-            _Lookup(m.folder, "word", m.word_ranges, m.ranges[0], 48, ["counts", "continuations", "contexts"]),
-            _Lookup(m.folder, "bigram", m.bigram_ranges, m.ranges[1], 64, ["counts"]),
-        )
-    return _open[m.folder]
+def _scorer(m: Model):
+    def of(n: int) -> int:
+        return m.word_ranges if n == 1 else m.ranges
 
+    #: by how many last words the files of each order are ranged: their own, where the next order counted them
+    ranged_by, n = {}, m.order
+    while n >= 2:
+        ranged_by[n] = _shared(n)
+        ranged_by.setdefault(_shared(n), _shared(n))
+        n = _shared(n) - 1
 
-def _scorer(m: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bigrams = _arrays(m)
         for batch in batches:
-            for a, b, data, off in string_chunks(batch, "text", 4 << 20):
-                tokens, begin = _tokens(data, off)
-                contexts = _contexts(tokens, begin)
-                seen, which = np.unique(tokens, return_inverse=True)
-                count, cont, classes = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), np.zeros((3, len(seen)), np.int64)
-                words.get(seen, [count, cont, classes])
-                keys = _pair(contexts, tokens)
-                pairs, place = np.unique(keys, return_inverse=True)
-                n = np.zeros(len(pairs), np.int64)
-                bigrams.get(pairs, [n])
-                n = n[place]
-
-                base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-                low = np.full(len(seen), 1.0 / (m.types + 1)) * m.low_spread
-                if m.distinct_bigrams:
-                    low += np.maximum(cont - m.low_discounts[np.clip(cont, 1, 3) - 1], 0) * (cont > 0) / m.distinct_bigrams
-                spread = m.discounts @ classes  # of each word as a context, still to be divided by its count
-                first = np.zeros(len(tokens), bool)
-                first[begin[:-1]] = True
-                before = np.roll(which, 1)
-                total = np.where(first, m.texts, count[before])
-                mass = np.where(first, m.discounts @ m.start, spread[before])
-                known = total > 0
-                p = low[which]
-                p = np.where(known, (np.maximum(n - m.discounts[np.clip(n, 1, 3) - 1], 0) * (n > 0) + mass * p) / np.maximum(total, 1), p)
+            for a, b, data, off in string_chunks(batch, "text", 2 << 20):
+                words, begin = _windows(data, off, m.order)
+                places, count = _of_distinct(m, "word", words[-1:], 1, m.word_ranges, 2)
+                base = np.log10((places + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
+                p = np.full(len(places), m.spread / (m.types + 1))
+                if m.endings:
+                    p += np.maximum(count - m.discounts[1][np.clip(count, 1, 3) - 1], 0) * (count > 0) / m.endings
+                for n in range(2, m.order + 1):
+                    *goes_on, total = _of_distinct(m, f"context-{n - 1}", words[-n:-1], n - 1, of(n - 1), 4)
+                    (count,) = _of_distinct(m, f"gram-{n}", words[-n:], ranged_by[n], m.ranges, 1)
+                    own = np.maximum(count - m.discounts[n][np.clip(count, 1, 3) - 1], 0) * (count > 0)
+                    p = np.where(total > 0, (own + m.discounts[n] @ np.array(goes_on) * p) / np.maximum(total, 1), p)
                 with np.errstate(divide="ignore"):
                     logs = np.log10(p)
                 size = np.diff(begin)
                 text = np.repeat(np.arange(len(size)), size)
-                out = [np.bincount(text, weights=x, minlength=len(size)) for x in (logs, base[which])]
-                n_known = np.bincount(text, weights=(count > 0)[which], minlength=len(size)).astype(np.int64)
-                yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(size), pa.array(n_known), pa.array(out[1]), pa.array(out[0])],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
+                out = [np.bincount(text, weights=x, minlength=len(size)) for x in (base, logs)]
+                n_known = np.bincount(text, weights=places > 0, minlength=len(size)).astype(np.int64)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size), pa.array(n_known), *map(pa.array, out)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -399,5 +471,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     token has probability 1.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(_scorer(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its list of files is the largest part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _scorer(shared.value)(batches)
+
+    out = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
