@@ -11,7 +11,9 @@ entries meet.  Otherwise all first-p rare shingles of both are unshared, so both
 most h = floor(n * (1 - threshold) / threshold) shingles differ (n the smaller size).  Of the first h + 1 disjoint runs
 of k frequent shingles a difference spoils one at most, so a run of k neighbours is common to both; it begins no later
 than k * (h + 1) + h in the other's order.  Each such set therefore indexes the sliding runs of its first
-(k + 1) * h + k frequent shingles.
+(k + 1) * h + k frequent shingles.  The argument needs k * (h + 1) frequent shingles that both have, and so t of at
+least that; where a set's partners may be too small for it (short texts, low thresholds), the frequent shingles of its
+prefix are indexed one by one as well.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import LocalForest, connected_components
-from .storage import drop, written
+from .storage import Scratch
 from .text import U, mix, shingle_sets, string_chunks, to_long, word_hashes
 
 #: A shingle of more sets than this belongs to the frequent class.
@@ -41,6 +43,14 @@ def _bound(n: int, threshold: tuple[int, int]) -> tuple[int, int]:
     return n - -(-num * n // den) + 1, n * (den - num) // num
 
 
+def _needs_singles(n: int, threshold: tuple[int, int], k: int) -> bool:
+    """Whether a partner of n shingles or fewer may share too few for a common run of k (see the module's docstring)."""
+    num, den = threshold
+    # a partner of m shingles is safe if k * (m * (den - num) / num + 1) <= m * num / den
+    gain = num * num - k * den * (den - num)
+    return gain <= 0 or -(-num * n // den) * gain < k * num * den
+
+
 def _set_ids(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """One id for each set, whose shingles stand one after the other in flat."""
     total = np.zeros(len(flat) + 1, dtype=U)
@@ -111,7 +121,7 @@ def _signatures(width: int, threshold: tuple[int, int], listed, k: int):
                     sig = [rare[:p]]
                     if len(rare) < p:
                         freq = s[r == 2]
-                        if n < 10:
+                        if _needs_singles(n, threshold, k):
                             sig.append(freq[: p - len(rare)])
                         near = freq[: (k + 1) * h + k]
                         m = len(near) - k + 1
@@ -229,23 +239,23 @@ def _verified(threshold: tuple[int, int]):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the blocks of a sorted partition: (block, id, data) with BLOCK sets or BLOCK_BYTES at most in a block."""
+    """Number the blocks of a sorted partition: (block, id, n, weight, comp, data), BLOCK sets or BLOCK_BYTES at most in a block."""
     n = size = 0
     name = None
     for batch in batches:
-        ids, data = batch.column(0).to_pylist(), batch.column(1)
+        ids, data = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1)
         out = []
         for i, length in zip(ids, pa.compute.binary_length(data).to_pylist(), strict=True):
             if name is None or n >= BLOCK or size + length > BLOCK_BYTES:
                 name, n, size = i, 0, 0
             n, size = n + 1, size + length
             out.append(name)
-        yield pa.record_batch([pa.array(out, pa.int64()), batch.column(0), data], names=["block", "id", "data"])
+        yield pa.record_batch([pa.array(out, pa.int64()), *batch.columns], names=["block", *batch.schema.names])
 
 
 #: Sets of a block, and bytes of its shingles (a single larger set is a block of its own).
 BLOCK, BLOCK_BYTES = 512, 4 << 20
-#: Buckets of more sets than this are compared block by block, smaller ones pair by pair.
+#: Buckets of more sets than this, of several components still, are compared block by block, smaller ones pair by pair.
 HOT = 64
 
 
@@ -278,11 +288,17 @@ def _join_blocks(threshold: tuple[int, int]):
         near = den * shared >= num * (size[left][:, None] + size[right] - shared)
         if own:
             np.fill_diagonal(near, False)
+        rows, cols = np.arange(len(sets))[left], np.arange(len(sets))[right]
+        weight = table["weight"].to_numpy()
+        links = np.zeros(len(sets), dtype=np.int64)
+        links[rows] += near @ weight[cols]
+        if not own:
+            links[cols] += weight[rows] @ near
         forest = LocalForest(len(sets))
-        forest.add(near, np.arange(len(sets))[left], np.arange(len(sets))[right])
+        forest.add(near, rows, cols)
         root = forest.roots()
-        got = np.flatnonzero(root != np.arange(len(sets)))
-        return pa.table({"a": ids[root[got]], "b": ids[got]})
+        got = np.flatnonzero((links > 0) | (root != np.arange(len(sets))))
+        return pa.table({"id": ids[got], "links": links[got], "with": ids[root[got]]})
 
     return run
 
@@ -290,21 +306,22 @@ def _join_blocks(threshold: tuple[int, int]):
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (4, 5), k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All links between documents whose shingle sets have a Jaccard similarity of at least threshold.
 
-    Returns (members, links).  members: doc_id, n_shingles, set_id (null without shingles), component_id, one row for
-    each input row.  links: a, b (set ids).  Links name classes of equal sets; equal sets are linked through
-    their common set_id.  Links inside a component that a verified link has already joined are not all listed: members
-    gives the components in full.
+    Returns (members, links).  members: doc_id, n_shingles, set_id (null without shingles), n_links (other documents
+    linked directly, copies included), component_id, one row for each input row.  links: a, b (set ids): verified pairs
+    that join all sets of each component; n_links counts the others as well.
 
     Defined cases: a null or empty text, or one of white space, has no shingles and its own component; a text of fewer
-    than width words is one shingle; repeated rows and exact copies share a set_id; rows with a null id are left out,
-    as nothing can refer to them; further columns are ignored; an empty table gives empty tables.  Texts may be of any
-    length.  Sets are told apart by 64-bit hashes of their shingles.
+    than width words is one shingle; repeated rows and exact copies share a set_id, and link with each other; rows with
+    a null id are left out, as nothing can refer to them; further columns are ignored; an empty table gives empty
+    tables.  Texts may be of any length.  Sets are told apart by 64-bit hashes of their shingles.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     spark = docs.sparkSession
-    stats = written(docs.mapInArrow(_statistics(width), "doc_id long, n long, id long, token long, df long"), "shingle-stats")
+    num, den = threshold
+    tmp = Scratch()
+    stats = tmp.written(docs.mapInArrow(_statistics(width), "doc_id long, n long, id long, token long, df long"), "shingle-stats")
 
-    counts = written(stats.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")), "shingle-df")
+    counts = tmp.written(stats.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")), "shingle-df")
     least = 2
     while counts.where(F.col("df") >= least).count() > MAX_LISTED:
         least *= 2
@@ -313,25 +330,28 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     tokens, often = listed["token"].to_numpy().view(U), listed["often"].to_numpy()
     order = np.argsort(tokens)
     listed = spark.sparkContext.broadcast((tokens[order], often[order]))
-    drop(counts)
 
     members = stats.where("doc_id IS NOT NULL").select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("id"))
-    classes = members.where("id IS NOT NULL").groupBy("id", "n").agg(F.min("doc_id").alias("rep"))
+    classes = tmp.written(members.where("id IS NOT NULL").groupBy("id", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "shingle-sets")
 
     posts = docs.mapInArrow(_signatures(width, threshold, listed, k), "sig long, id long")
     shared = posts.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low <> high").select("sig", "size")
-    buckets = written(posts.join(shared, "sig").select("sig", "id", "size").distinct(), "signature-buckets")
+    buckets = tmp.written(posts.join(shared, "sig").select("sig", "id", "size").distinct(), "signature-buckets")
 
     # The centre of a bucket is the set that meets most others in its buckets: of a group of altered copies the original
     met = buckets.groupBy("id").agg(F.sum("size").alias("met"))
     ranked = buckets.join(met, "id").select("sig", "id", F.struct("met", "id").alias("rank"))
     centres = ranked.groupBy("sig").agg(F.max("rank").alias("centre")).select("sig", F.col("centre.id").alias("pivot"))
     stars = buckets.join(centres, "sig").where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    stars = written(stars, "star-pairs")
+    stars = tmp.written(stars, "star-pairs")
 
-    def documents_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        return ids.join(classes, "id").select(F.col("rep").alias("doc_id"))
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+    def parsed(ids: DataFrame, make, name: str) -> DataFrame:
+        """make(set) of the sets of these ids: their documents are read again."""
+        reps = ids.distinct().join(classes, "id").select(F.col("rep").alias("doc_id"))
+        return tmp.written(docs.mapInArrow(_of_sets(width, _bitmap(reps), make), "id long, n long, data binary"), name)
 
     def joined(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
         """pairs (a, b) with the columns of either set, those of a first."""
@@ -339,49 +359,71 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: tuple[int, in
             pairs = pairs.join(sets.select(F.col("id").alias(end), *(F.col(c).alias(c + end) for c in columns)), end)
         return pairs.select("a", "b", *(c + end for c in columns for end in "ab"))
 
-    members_of_buckets = buckets.select("id").distinct().join(classes, "id").select(F.col("rep").alias("doc_id"))
-    sketches = written(docs.mapInArrow(_of_sets(width, _bitmap(members_of_buckets), _sketch), "id long, n long, data binary"), "sketches")
+    sketches = parsed(buckets.select("id"), _sketch, "sketches")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return tmp.written(joined(pairs, sketches, ["n", "data"]).mapInArrow(_likely(threshold), "a long, b long").distinct(), "likely-pairs")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        likely = written(joined(pairs, sketches, ["n", "data"]).mapInArrow(_likely(threshold), "a long, b long").distinct(), "likely-pairs")
-        tokens = written(docs.mapInArrow(_of_sets(width, _bitmap(documents_of(likely)), np.ndarray.tobytes), "id long, n long, data binary"), "token-sets")
-        found = written(joined(likely, tokens, ["data"]).mapInArrow(_verified(threshold), "a long, b long, shared long").distinct(), name)
-        drop(tokens)
-        return found
+    def verified(pairs: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
+        return tmp.written(joined(pairs, tokens, ["data"]).mapInArrow(_verified(threshold), "a long, b long, shared long").distinct().select("a", "b"), name)
 
-    first = verify(stars, "star-links")
-    comp = connected_components(first)
+    pairs = likely(stars)
+    first = verified(pairs, parsed(ends_of(pairs), np.ndarray.tobytes, "token-sets"), "star-links")
+    comp = tmp.adopt(connected_components(first)).withColumnRenamed("node", "id")
 
     # Pairs of a bucket whose ends are still in different components, other than those of the stars
-    placed = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "size", F.coalesce("component", "id").alias("comp"))
+    placed = buckets.join(comp, "id", "left").select("sig", "id", "size", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    open_ = written(placed.join(mixed, "sig"), "open-buckets")
+    open_ = tmp.written(placed.join(mixed, "sig"), "open-buckets")
     small = open_.where(F.col("size") <= HOT)
     x, y = (small.select("sig", F.col("id").alias(i), F.col("comp").alias(f"c{i}")) for i in "ab")
-    rest = x.join(y, "sig").where("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = verify(rest, "more-links")
-
-    # Large buckets: their sets are sorted so that alike ones stand together and cut into blocks; two blocks that share
-    # a signature are compared as a whole, once, and yield a spanning forest of their links
-    hot = open_.where(F.col("size") > HOT).select("sig", "id")
-    keyed = written(hot.groupBy("id").agg(F.min("sig").alias("key")), "hot-sets")
-    parts = 1 + keyed.count() // (4 * BLOCK)  # whole blocks, however many partitions the session deals to
-    docs_of = keyed.select("id").join(classes, "id").select(F.col("rep").alias("doc_id"))
-    tokens = docs.mapInArrow(_of_sets(width, _bitmap(docs_of), np.ndarray.tobytes), "id long, n long, data binary").dropDuplicates(["id"])
-    ordered = keyed.join(tokens, "id").repartitionByRange("key", "n", "id").sortWithinPartitions("key", "n", "id").coalesce(parts)
-    blocks = written(ordered.select("id", "data").mapInArrow(_blocks, "block long, id long, data binary"), "hot-blocks")
-    held = written(hot.join(blocks.select("id", "block"), "id").select("sig", "block").distinct(), "block-signatures")
-    x, y = held.withColumnRenamed("block", "p"), held.withColumnRenamed("block", "q")
-    pairs = written(x.join(y, "sig").where("p <= q").select("p", "q").distinct(), "block-pairs")
+    rest = likely(x.join(y, "sig").where("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+
+    # Sets of components of three or more, and those of large open buckets, are laid in blocks, alike ones together; two
+    # blocks that share a component or such a bucket are compared as a whole, once.  What comes back is a count of links
+    # for each set and a spanning forest, so a group of any size yields no more rows than it has sets
+    large = comp.groupBy("component").count().where("count > 2").select("component")
+    hot = open_.where(F.col("size") > HOT).select("sig", "id", "comp")
+    laid = comp.join(large, "component").select("id", F.col("component").alias("comp")).unionByName(hot.select("id", "comp")).distinct()
+    laid = tmp.written(laid, "laid-sets")
+    token_sets = parsed(laid.select("id").union(ends_of(rest)), np.ndarray.tobytes, "token-sets")
+    second = verified(rest, token_sets, "more-links")
+    parts = 1 + laid.count() // (4 * BLOCK)  # whole blocks, however many partitions the session deals to
+    ordered = laid.join(classes.select("id", "n", "weight"), "id").join(token_sets.select("id", "data").dropDuplicates(["id"]), "id")
+    ordered = ordered.repartitionByRange("comp", "n", "id").sortWithinPartitions("comp", "n", "id").coalesce(parts)
+    blocks = tmp.written(ordered.select("id", "n", "weight", "comp", "data").mapInArrow(_blocks, "block long, id long, n long, weight long, comp long, data binary"), "set-blocks")
+    span = blocks.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    block_of = blocks.select("id", "block")
+    held = blocks.select(F.lit("comp").alias("kind"), F.col("comp").alias("what"), "block").unionByName(hot.join(block_of, "id").select(F.lit("sig").alias("kind"), F.col("sig").alias("what"), "block"))
+    held = tmp.written(held.distinct().join(span, "block"), "block-keys")
+    x, y = (held.select("kind", "what", F.col("block").alias(i), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in "pq")
+    # blocks of sets too unlike in size are no pair
+    pairs = x.join(y, ["kind", "what"]).where(f"p <= q AND {den} * hip >= {num} * loq AND {den} * hiq >= {num} * lop").select("p", "q").distinct()
+    pairs = tmp.written(pairs, "block-pairs")
     ends = pairs.select("p", "q", F.col("p").alias("block"), F.lit("a").alias("side")).unionByName(pairs.where("p <> q").select("p", "q", F.col("q").alias("block"), F.lit("b").alias("side")))
-    third = ends.join(blocks, "block").groupBy("p", "q").applyInArrow(_join_blocks(threshold), "a long, b long")
-    third = written(third.distinct(), "block-links")
-    drop(blocks)
-
-    links = first.select("a", "b").unionByName(second.select("a", "b")).unionByName(third).distinct()
-    comp = connected_components(links)
-    of_set = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    third = ends.join(blocks.select("block", "id", "weight", "data"), "block").groupBy("p", "q").applyInArrow(_join_blocks(threshold), "id long, links long, with long")
+    third = tmp.written(third, "block-links")
+
+    # Links found one by one, but for those that a pair of blocks has counted
+    single = first.unionByName(second)
+    for end, name in (("a", "p"), ("b", "q")):
+        single = single.join(block_of.select(F.col("id").alias(end), F.col("block").alias(name)), end, "left")
+    counted = pairs.select("p", "q", F.lit(True).alias("counted"))
+    single = single.select("a", "b", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p").isNotNull() & F.col("q").isNotNull()).alias("both"))
+    single = single.join(counted.withColumnsRenamed({"p": "x", "q": "y"}), ["x", "y"], "left").where("NOT both OR counted IS NULL").select("a", "b")
+    single = tmp.written(single, "single-links")
+    weights = classes.select("id", "weight")
+    mutual = single.unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    mutual = mutual.join(weights.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("weight").alias("links"))
+    n_links = mutual.unionByName(third.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
+
+    links = tmp.written(single.unionByName(third.where("id <> with").select(F.col("with").alias("a"), F.col("id").alias("b"))).distinct(), "links")
+    comp = tmp.adopt(connected_components(links)).withColumnRenamed("node", "id")
+    of_set = classes.join(comp, "id", "left").join(n_links, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_doc = of_set.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = written(of_set.join(least_doc, "component").select("id", "component_id").dropDuplicates(["id"]), "set-components")
+    of_set = of_set.join(least_doc, "component").select("id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    of_set = tmp.written(of_set, "set-components")
+    tmp.clear(stats, links, of_set)
+    listed.unpersist()
     out = members.join(of_set, "id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id")), links
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")), links
