@@ -17,26 +17,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import LocalForest, connected_components
-from .storage import drop, written
+from .storage import Scratch
 
-#: Vectors of a block, leading directions of the grid, and vectors below which an interval is compared in full.
-BLOCK, DIRECTIONS, LEAF = 2048, 6, 128
+#: Vectors of a block, leading directions of the grid, those of them whose cells blocks are joined on, and vectors below
+#: which an interval is compared in full.
+BLOCK, DIRECTIONS, JOINED, LEAF = 2048, 6, 3, 128
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, dim, vector): double components as bytes; vector is null where the row can have no link."""
     for batch in batches:
-        labels = batch.column(1)
-        out, dims = [], []
-        for label, v in zip(labels.to_pylist(), batch.column(2), strict=True):
-            x = None
-            if label is not None and v.is_valid and len(v) and not v.values.null_count:
-                x = v.values.to_numpy().astype(np.float64)
-                if not np.isfinite(x).all() or not x.any():
-                    x = None
-            dims.append(0 if x is None else len(x))
-            out.append(None if x is None else (x + 0.0).tobytes())  # + 0.0: -0.0 and 0.0 are the same component
-        yield pa.record_batch([batch.column(0), labels, pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "label", "dim", "vector"])
+        labels, v = batch.column(1), batch.column(2)
+        size = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = v.flatten()
+        bad = np.asarray(flat.is_null())
+        x = flat.fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0  # + 0.0: -0.0 and 0.0 are the same component
+        end = np.cumsum(size)
+        begin = end - size
+        count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.append(begin, end[-1:])]) if len(size) else size
+        ok = (size > 0) & np.asarray(labels.is_valid()) & (count(bad | ~np.isfinite(x)) == 0) & (count(x != 0) > 0)
+        raw, at = x.tobytes(), (begin * 8).tolist()
+        out = [raw[a : a + 8 * n] if good else None for a, n, good in zip(at, size.tolist(), ok.tolist(), strict=True)]
+        yield pa.record_batch([batch.column(0), labels, pa.array(np.where(ok, size, 0).astype(np.int32)), pa.array(out, pa.binary())], names=["vec_id", "label", "dim", "vector"])
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -174,9 +176,10 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col:
     comparison.  A pair of blocks yields at most one row for each of its vectors, never its links one by one.
     """
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = written(rows.mapInArrow(_valid, "vec_id long, label string, dim int, vector binary"), "vectors")
+    tmp = Scratch()
+    rows = tmp.written(rows.mapInArrow(_valid, "vec_id long, label string, dim int, vector binary"), "vectors")
     valid = rows.where("vector IS NOT NULL")
-    classes = written(valid.groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("weight")), "vector-classes")
+    classes = tmp.written(valid.groupBy("label", "dim", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("weight")), "vector-classes")
 
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine))) or 1e-6
     axes = _directions(classes)
@@ -186,25 +189,33 @@ def embedding_near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col:
     )
     order = ["label", "dim", *cells, "class_id"]
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = written(placed.mapInArrow(_blocks, "block long, label string, dim int, lo array<int>, hi array<int>, ids binary, weights binary, vectors binary"), "grid-blocks")
+    blocks = tmp.written(placed.mapInArrow(_blocks, "block long, label string, dim int, lo array<int>, hi array<int>, ids binary, weights binary, vectors binary"), "grid-blocks")
 
-    # blocks that can be within epsilon: an equi-join on the first cell, then the others; only outlines take part
+    # blocks that can be within epsilon: an equi-join on the first cells, then the others; only outlines take part.  A block
+    # stands for all cells of its outline there, its partner for theirs and the cells beside them; a pair is taken in the
+    # least cell that both stand for
     outline = blocks.select("block", "label", "dim", "lo", "hi")
-    x = outline.select("label", "dim", F.col("block").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence(F.col("lo")[0], F.col("hi")[0])).alias("cell"))
-    y = outline.select("label", "dim", F.col("block").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(F.col("lo")[0] - 1, F.col("hi")[0] + 1)).alias("cell"))
+    x = outline.select("label", "dim", F.col("block").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    y = outline.select("label", "dim", F.col("block").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    wide = max(1, int(np.ceil(2 / epsilon / 16)))  # cells joined as one, so that a block stands for a few of them at most
+    for k in range(JOINED):
+        x = x.withColumn(f"cell{k}", F.explode(F.sequence(F.floor(F.col("la")[k] / wide), F.floor(F.col("ha")[k] / wide))))
+        y = y.withColumn(f"cell{k}", F.explode(F.sequence(F.floor((F.col("lb")[k] - 1) / wide), F.floor((F.col("hb")[k] + 1) / wide))))
     close = " AND ".join(f"la[{k}] <= hb[{k}] + 1 AND lb[{k}] <= ha[{k}] + 1" for k in range(DIRECTIONS))
-    pairs = x.join(y, ["label", "dim", "cell"]).where(f"a <= b AND cell = greatest(la[0], lb[0] - 1) AND {close}").select("a", "b")
-    pairs = written(pairs.withColumn("pair", F.concat_ws("-", "a", "b")), "block-pairs")
+    least = " AND ".join(f"cell{k} = greatest(floor(la[{k}] / {wide}), floor((lb[{k}] - 1) / {wide}))" for k in range(JOINED))
+    pairs = x.join(y, ["label", "dim", *(f"cell{k}" for k in range(JOINED))]).where(f"a <= b AND {least} AND {close}").select("a", "b")
+    pairs = tmp.written(pairs.withColumn("pair", F.concat_ws("-", "a", "b")), "block-pairs")
 
     ends = pairs.select("pair", F.col("a").alias("block"), F.lit("a").alias("side")).unionByName(pairs.where("a <> b").select("pair", F.col("b").alias("block"), F.lit("b").alias("side")))
     found = ends.join(blocks.select("block", "dim", "ids", "weights", "vectors"), "block").groupBy("pair").applyInArrow(_join_pair(axes, cosine, epsilon), "id long, links long, with long")
-    found = written(found, "block-links")
-    drop(blocks)
+    found = tmp.written(found, "block-links")
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    comp = connected_components(found.where("id <> with"), "id", "with")
+    comp = tmp.adopt(connected_components(found.where("id <> with"), "id", "with"))
     state = classes.select("class_id", "label", "dim", "vector", "weight").join(counts.withColumnRenamed("id", "class_id"), "class_id", "left").join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
     state = state.select("label", "dim", "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    state = tmp.written(state, "vector-states")
+    tmp.clear(rows, state)
     out = valid.join(state, ["label", "dim", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
