@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path, written
+from .storage import Scratch, new_path, written
 
 
 def normalised(text: Column) -> Column:
@@ -24,13 +24,15 @@ class DigestIndex:
 
     The files are bucketed and sorted by digest, so that the anti-join of a new batch reads them in place: only the
     batch, already reduced to one row for each digest, is shuffled.  The table lies at a path that outlives the
-    session; opening that path again goes on from there.  A batch name is taken once: ingesting it again adds nothing,
-    so a job that died after its append may be run again, and fails if the rows hold texts that the index lacks.
+    session; opening that path again goes on from there.  A batch name is taken once, when all its rows are in: a list
+    beside the table names the complete batches.  A batch whose append died halfway is completed by ingesting it again;
+    ingesting a complete one again adds nothing, and fails if the rows hold texts that the index lacks.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or new_path(spark, "digest-index")
+        self.done = f"{self.path}-complete"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.path.rsplit("/", 1)[-1]).lower()
         spark.sql(
@@ -47,16 +49,30 @@ class DigestIndex:
         Of equal texts in different batches the one ingested first stays.  A digest of any number of rows is reduced to
         one before the shuffle.
         """
-        fresh = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-        fresh = fresh.join(self.entries().select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
-        if self.entries().where(F.col("batch") == batch).limit(1).count():
-            if fresh.limit(1).count():
+        tmp = Scratch()
+        once = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        known = self.entries().select("digest", F.lit(True).alias("known")).hint("merge")
+        # an outer join, as Spark would take an anti-join before the grouping, with every copy of a text
+        fresh = once.join(known, "digest", "left").where("known IS NULL").select("digest", "keep_id", F.lit(batch).alias("batch"))
+        # written beside the table first: a table cannot be read and appended to in one job
+        fresh = tmp.written(fresh, "digest-batch")
+        if batch in self.complete():
+            more = fresh.limit(1).count()
+            tmp.clear()
+            if more:
                 raise ValueError(f"batch {batch!r} is in the index, without some of these texts")
             return
-        # written beside the table first: a table cannot be read and appended to in one job
-        fresh = written(fresh, "digest-batch")
         fresh.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
+        self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(self.done)
+        tmp.clear()
+
+    def complete(self) -> set[str]:
+        """Names of the batches whose rows are all in the index."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.done)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return set()
+        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(self.done).collect()}
 
     def lookup(self, rows: DataFrame) -> DataFrame:
         """rows (doc_id, digest) with keep_id (null if the index lacks the digest) and group_size (rows of that digest among the given ones)."""
