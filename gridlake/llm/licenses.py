@@ -1,6 +1,7 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates, in DataFrame functions only.
+"""License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Tokens are ordered by their frequency over all documents, rarest first.  A template of n tokens is met by a block that
+A block is a window of words, twice as long as the templates of its size class (a power of two) and half overlapped by
+the next, so that any run of words as long as a template lies in one, however its lines are broken.  Tokens are ordered by their frequency over all documents, rarest first.  A template of n tokens is met by a block that
 holds need = ceil(threshold * n) of them, so such a block holds one of the template's first n - need + 1 tokens (prefix
 filter), at least need tokens of the template vocabulary (length filter), and enough tokens behind the shared one on
 both sides (positional filter).  What is left is verified on whole sets.
@@ -24,17 +25,80 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Phrases that name a license, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Sentences of well-known license notices, with their labels.
+# Well-known license notices, whole or by their sentences, with their labels.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+        is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+        in the documentation and/or other materials provided with the distribution.""",
+    ),
+    (
+        "bsd",
+        """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+        NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+        OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
     ("apache", "Licensed under the Apache License, Version 2.0"),
+    (
+        "apache",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
+        in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+        KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+        License.""",
+    ),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU
+        General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    ),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mpl",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means.""",
+    ),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 
 
@@ -44,14 +108,16 @@ class Template:
     label: str
     tokens: tuple[str, ...]
     need: int
+    width: int  # of its size class: windows are twice as long
 
 
 def templates(pairs=TEMPLATES, threshold: tuple[int, int] = (4, 5)) -> list[Template]:
     num, den = threshold
     found = []
     for k, (label, text) in enumerate(pairs):
-        tokens = tuple(dict.fromkeys(re.findall(WORD, text.lower())))
-        found.append(Template(k, label, tokens, -(-num * len(tokens) // den)))
+        words = re.findall(WORD, text.lower())
+        tokens = tuple(dict.fromkeys(words))
+        found.append(Template(k, label, tokens, -(-num * len(tokens) // den), max(8, 1 << (len(words) - 1).bit_length())))
     return found
 
 
@@ -90,7 +156,7 @@ def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] =
     documents, one row for each input row: doc_id, n_words, n_base (places of PHRASES), first_word, last_word (their
     smallest and largest start, else null), base_labels, labels (also those of templates met; distinct, sorted, joined
     with commas), score (1 if a phrase stands there, else the largest containment of a template met, else 0).
-    matches: doc_id, block (line number from 0), label, template, containment.
+    matches: doc_id, block (first word of the window, from 0), width (its length), label, template, containment.
 
     Templates are a parameter of bounded size; their vocabulary is the only thing collected.  Defined cases: null or
     empty texts have no words and no labels; repeated rows with one id share the labels found in either; rows with a
@@ -121,17 +187,25 @@ def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] =
     base = written(base, "license-base")
 
     # blocks of candidate documents, joined with the templates' prefixes
-    lines = base.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = lines.select("doc_id", "block", F.array_intersect(order, _pieces(F.lower("line"))).alias("known")).where(F.size("known") >= least)
+    words = base.where("text IS NOT NULL").select("doc_id", F.array_remove(_pieces(F.lower("text")), "").alias("words"))
+
+    def windows(width: int):
+        own = [x for x in found if x.width == width]
+        order = F.array(*(F.lit(t) for t in ordered if any(t in x.tokens for x in own)))
+        start = F.sequence(F.lit(0), F.size("words") - 1, F.lit(width))
+        known = F.transform(start, lambda i: F.struct(i.alias("block"), F.lit(2 * width).alias("width"), F.array_intersect(order, F.slice("words", i + 1, 2 * width)).alias("known")))
+        return F.filter(known, lambda x: F.size(x["known"]) >= min(x.need for x in own))
+
+    blocks = words.where("size(words) > 0").select("doc_id", F.explode(F.concat(*(windows(w) for w in sorted({x.width for x in found})))).alias("w")).select("doc_id", "w.*")
     spark = docs.sparkSession
     index = spark.createDataFrame(
-        [(t, k, x.number, x.label, len(x.tokens), x.need, list(x.tokens)) for x in found for k, t in enumerate(prefixes[x.number])],
-        "token string, i int, template int, label string, size int, need int, tokens array<string>",
+        [(t, k, 2 * x.width, x.number, x.label, len(x.tokens), x.need, list(x.tokens)) for x in found for k, t in enumerate(prefixes[x.number])],
+        "token string, i int, width int, template int, label string, size int, need int, tokens array<string>",
     )
-    entries = blocks.select("doc_id", "block", "known", F.posexplode("known").alias("j", "token"))
-    pairs = entries.join(F.broadcast(index), "token").where("size(known) >= need AND 1 + least(size - i, size(known) - j) - 1 >= need")
+    entries = blocks.select("doc_id", "block", "width", "known", F.posexplode("known").alias("j", "token"))
+    pairs = entries.join(F.broadcast(index), ["token", "width"]).where("size(known) >= need AND 1 + least(size - i, size(known) - j) - 1 >= need")
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("known", "tokens"))).where("shared >= need")
-    matches = pairs.select("doc_id", "block", "label", "template", (F.col("shared") / F.col("size")).alias("containment")).distinct()
+    matches = pairs.select("doc_id", "block", "width", "label", "template", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
     by_doc = matches.groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("containment").alias("containment"))
     none = F.array().cast("array<int>")
