@@ -27,6 +27,8 @@ from .text import string_chunks
 
 #: Words kept with their tokens by a worker; it starts anew beyond that.
 CACHE_WORDS = 150_000
+#: Words of more bytes than this are walked alone, all shorter ones together.
+LONG_WORD = 512
 _SLICE_BYTES = 1 << 20
 
 # The split pattern of byte-level BPE vocabularies (white space as Unicode's White_Space).
@@ -143,6 +145,11 @@ class Automaton:
         while a < len(order):
             b = a + 1
             longest = int(size[order[a]])
+            if longest > LONG_WORD:
+                got = self._walk_alone(words[order[a]])
+                parts.append((order[a:b], got, np.array([len(got)])))
+                a = b
+                continue
             while b < len(order) and size[order[b]] <= 2 * longest + 4 and (b - a + 1) * size[order[b]] < 400_000:
                 b += 1
             parts.append((order[a:b], *self._walk([words[k] for k in order[a:b]], size[order[a:b]])))
@@ -195,6 +202,36 @@ class Automaton:
         keep = rank >= 0
         return np.take_along_axis(out, np.maximum(rank, 0), axis=1)[keep], count
 
+    @functools.cached_property
+    def _lists(self) -> tuple[dict[int, int], list[int], list[int], list[int], bytes]:
+        """The tables as plain lists, for one step at a time."""
+        used = self.slot_key >= 0
+        return dict(zip(self.slot_key[used].tolist(), self.slot_child[used].tolist(), strict=True)), self.token.tolist(), self.state.tolist(), self.column.tolist(), self.arcs.tobytes()
+
+    def _walk_alone(self, word: bytes) -> np.ndarray:
+        """The tokens of one long word: the same transitions, without the cost of arrays of one row."""
+        child, token, state, column, arcs = self._lists
+        width, n = self.arcs.shape[1], len(word)
+        last = [-1] * (n + 1)
+        for j in range(n):
+            row = (state[last[j]] if j else 0) * width
+            node, k = 0, j
+            while k < n:
+                node = child.get(node * 256 + word[k])
+                if node is None:
+                    break
+                k += 1
+                t = token[node]
+                if t >= 0:
+                    col = column[t]
+                    if arcs[row + (col >> 3)] >> (7 - (col & 7)) & 1:
+                        last[k] = t
+        out = []
+        while n:
+            out.append(last[n])
+            n -= int(self.label_len[last[n]])
+        return np.array(out[::-1], dtype=np.int32)
+
     def labels_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all ids, end of each id's bytes)."""
         n = self.label_len[ids].astype(np.int64)
@@ -218,42 +255,66 @@ def compiled(path: str) -> Automaton:
     return Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], special)
 
 
-def _encoder(automaton):
+class _Encoder:
+    """Encodes slices of texts, with the tokens of the words met so far."""
+
+    def __init__(self, dfa: Automaton):
+        self.dfa = dfa
+        self.split = regex.compile(SPLIT).findall
+        self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(dfa.special, key=len, reverse=True))) + ")").split if dfa.special else None
+        self.index: dict[str, int] = {}
+
+    def _words(self, text: str) -> list[str]:
+        if self.apart and any(s in text for s in self.dfa.special):
+            out: list[str] = []
+            for part in self.apart(text):
+                out += [part] if part in self.dfa.special else self.split(part)
+            return out
+        return self.split(text)
+
+    def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin and the last one's end)."""
+        words: list[str] = []
+        edge = [0]
+        for text in texts:
+            if text:
+                words += self._words(text)
+            edge.append(len(words))
+        if not self.index or len(self.index) > CACHE_WORDS:
+            self.index = {s: k for k, s in enumerate(self.dfa.special)}
+            self.ids, self.end = np.array(list(self.dfa.special.values()), dtype=np.int32), np.arange(len(self.dfa.special) + 1)
+        index = self.index
+        new = [w for w in dict.fromkeys(words) if w not in index]
+        if new:
+            got, n = self.dfa.encode_words([w.encode() for w in new])
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            self.ids, self.end = np.concatenate([self.ids, got]), np.concatenate([self.end, self.end[-1] + np.cumsum(n)])
+        w = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        n = self.end[w + 1] - self.end[w]
+        stop = np.cumsum(n)
+        flat = self.ids[np.repeat(self.end[w + 1] - stop, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        return flat, np.concatenate([[0], stop])[np.array(edge)]
+
+
+def _texts(dfa: Automaton, ids: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """The decoded texts whose ids stand between the edges."""
+    data, end = dfa.labels_of(ids)
+    raw, at = data.tobytes(), np.concatenate([[0], end])[edge].tolist()
+    return pa.array([raw[x:y].decode("utf-8", errors="replace") for x, y in zip(at, at[1:], strict=False)], pa.string())
+
+
+def _encoder(automaton, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dfa = automaton.value
-        split = regex.compile(SPLIT).findall
-        apart = regex.compile("(" + "|".join(map(regex.escape, sorted(dfa.special, key=len, reverse=True))) + ")").split if dfa.special else None
-        index: dict[str, int] = {}
-        ids, end = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        encoder = _Encoder(dfa)
         for batch in batches:
             texts = batch.column(1)
             for a, b, _, _ in string_chunks(batch, "text", _SLICE_BYTES):
-                words: list[str] = []
-                count = []
-                for text in texts.slice(a, b - a).to_pylist():
-                    before = len(words)
-                    if text:
-                        if apart and any(s in text for s in dfa.special):
-                            for part in apart(text):
-                                words += [part] if part in dfa.special else split(part)
-                        else:
-                            words += split(text)
-                    count.append(len(words) - before)
-                if not index or len(index) > CACHE_WORDS:
-                    index = {s: k for k, s in enumerate(dfa.special)}
-                    ids, end = np.array(list(dfa.special.values()), dtype=np.int32), np.arange(len(dfa.special) + 1)
-                new = [w for w in dict.fromkeys(words) if w not in index]
-                if new:
-                    got, n = dfa.encode_words([w.encode() for w in new])
-                    index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-                    ids, end = np.concatenate([ids, got]), np.concatenate([end, end[-1] + np.cumsum(n)])
-                w = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
-                n = end[w + 1] - end[w]
-                stop = np.cumsum(n)
-                flat = ids[np.repeat(end[w + 1] - stop, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
-                edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-                offsets = np.concatenate([[0], stop])[edge]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
+                flat, edge = encoder.ids_of(texts.slice(a, b - a).to_pylist())
+                out = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat))]
+                if decoded:
+                    out.append(_texts(dfa, flat, edge))
+                yield pa.record_batch(out, names=["doc_id", "ids", "decoded"][: len(out)])
 
     return run
 
@@ -265,12 +326,10 @@ def _decoder(automaton):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 lists = part.column(batch.schema.get_field_index("ids"))
-                data, end = dfa.labels_of(lists.flatten().to_numpy(zero_copy_only=False))
-                raw, end = data.tobytes(), np.concatenate([[0], end])
-                edge = end[np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])].tolist()
-                text = [raw[x:y].decode("utf-8", errors="replace") for x, y in zip(edge, edge[1:], strict=False)]
+                edge = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                text = _texts(dfa, lists.flatten().to_numpy(zero_copy_only=False), edge)
                 kept = [part.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "ids"]
-                yield pa.record_batch([*kept, pa.array(text, pa.string())], names=[*(n for n in batch.schema.names if n != "ids"), "decoded"])
+                yield pa.record_batch([*kept, text], names=[*(n for n in batch.schema.names if n != "ids"), "decoded"])
 
     return run
 
@@ -284,7 +343,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(shared), "doc_id long, ids array<int>")
+    return rows.mapInArrow(_encoder(shared, False), "doc_id long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): decode(encode(docs)) with the ids, in one pass: ids do not leave the worker in between."""
+    shared = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_encoder(shared, True), "doc_id long, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, tokenizer: str, keep: list[str] | None = None) -> DataFrame:

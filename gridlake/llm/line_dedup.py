@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, written
-from .text import LOWER, NON_SPACE, U, mix, span_hashes, string_chunks, to_long, word_spans
+from .storage import Scratch, free_name
+from .text import LOWER, NON_SPACE, U, give_back, mix, span_hashes, string_chunks, to_long, word_spans
 
 #: Lines of fewer words are never removed: one word in five is the furthest that copies differ.  For equal lines a long
 #: word counts once for each WORD_BYTES bytes, so that lines in scripts without spaces are long enough too.
@@ -222,38 +222,42 @@ def _texts_of(min_words: int, chosen):
     return run
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text without the lines of the array removed; (all columns but removed, n_lines, n_removed)."""
-    for batch in batches:
-        names = batch.schema.names
-        t, r = names.index("text"), names.index("removed")
-        out, total, gone = [], [], []
-        for text, removed in zip(batch.column(t).to_pylist(), batch.column(r).to_pylist(), strict=True):
+def _rebuilt(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """text without the lines of the array removed, and how many lines there were and are gone."""
+    for texts, gone in batches:
+        out, total, less = [], [], []
+        for text, removed in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
             lines = text.split("\n") if text is not None else []
             total.append(len(lines))
-            gone.append(len(removed or ()))
+            less.append(len(removed or ()))
             if removed:
                 removed = set(removed)
                 text = "\n".join(x for k, x in enumerate(lines) if k not in removed)
             out.append(text)
-        columns = [pa.array(out, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names) if n != "removed"]
-        yield pa.record_batch([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*(n for n in names if n != "removed"), "n_lines", "n_removed"])
+        yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(less, pa.int64())], names=["text", "n_lines", "n_removed"])
+        give_back()
+
+
+_rebuilt.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: int | None = None) -> DataFrame:
     """(doc_id, number, near): the lines (numbered from 0) of docs (doc_id, text) that an earlier line is a copy of.
 
     Lines are ordered by doc_id, then by number.  near is false for equal lines, true for lines one word away from a
-    line that is earlier than their own first occurrence; all occurrences of such a line go.
+    line that is earlier than their own first occurrence; all occurrences of such a line go.  Lines of fewer than
+    min_words words have no near copies; those of min_equal words or more (as many, unless given) go if equal.
     """
-    seen = written(docs.mapInArrow(_occurrences(min_words), "line long, doc_id long, number int, h0 long, h1 long, h2 long, h3 long"), "lines")
+    tmp = Scratch()
+    least = min_words if min_equal is None else min(min_equal, min_words)
+    seen = tmp.written(docs.mapInArrow(_occurrences(least), "line long, doc_id long, number int, h0 long, h1 long, h2 long, h3 long"), "lines")
     place = F.struct("doc_id", "number")
-    lines = written(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.min(f"h{k}").alias(f"h{k}") for k in range(4))), "distinct-lines")
+    lines = tmp.written(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.min(f"h{k}").alias(f"h{k}") for k in range(4))), "distinct-lines")
 
     halves = lines.select("line", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
     met = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("half")
     variants = docs.mapInArrow(_variants(min_words, _bitmap(met)), "key long, line long, kind int, doc_id long, number int")
-    variants = written(variants, "line-variants")
+    variants = tmp.written(variants, "line-variants")
 
     # the earliest line of each key; under a plain variant's key whole lines and variants meet only each other: two lines
     # that lack a word each at different places are no partners, and may not hide one that is
@@ -261,42 +265,48 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     best = variants.groupBy("key").agg(
         F.min(rank).alias("any"), F.min(F.when(F.col("kind") == _WHOLE, rank)).alias("complete"), F.min("line").alias("low"), F.max("line").alias("high")
     )
-    best = written(best.where("low <> high").select("key", "any", "complete"), "variant-keys")
+    best = tmp.written(best.where("low <> high").select("key", "any", "complete"), "variant-keys")
     keyed = variants.mapInArrow(_of_keys(_bitmap(best.select("key"))), variants.schema).select("key", "line", "kind").distinct()
     offer = F.when(F.col("kind") == _PLAIN, F.col("complete")).otherwise(F.col("any"))
     offered = keyed.join(best, "key").where((F.col("kind") != _PLAIN) | F.col("complete").isNotNull()).groupBy("line").agg(F.min(offer).alias("offer"))
     offered = offered.join(lines.select("line", "first"), "line").where("struct(offer.doc_id, offer.number) < first")
-    offered = written(offered.select("line", F.col("offer.line").alias("partner")), "line-partners")
-    drop(variants)
+    offered = tmp.written(offered.select("line", F.col("offer.line").alias("partner")), "line-partners")
 
-    needed = offered.select("line").union(offered.select("partner")).distinct()
-    content = docs.mapInArrow(_texts_of(min_words, _bitmap(needed.select("line"))), "line long, content string")
-    content = written(content.join(needed, "line").groupBy("line").agg(F.min("content").alias("content")), "line-texts")
+    needed = tmp.written(offered.select("line").union(offered.select("partner")).distinct(), "needed-lines")
+    # a line that stands everywhere comes from every slice: it is reduced to one text before it meets the others
+    content = docs.mapInArrow(_texts_of(min_words, _bitmap(needed)), "line long, content string").groupBy("line").agg(F.min("content").alias("content"))
+    content = tmp.written(content.join(needed.withColumn("needed", F.lit(True)), "line", "left").where("needed").drop("needed"), "line-texts")
     both = offered.join(content, "line").join(content.select(F.col("line").alias("partner"), F.col("content").alias("other")), "partner")
     verified = both.select("line", "content", "other").mapInArrow(_verify, "line long")
 
     state = lines.join(verified.withColumn("near", F.lit(True)), "line", "left").where("near OR times > 1").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = seen.join(state, "line").where("near OR struct(doc_id, number) > first")
-    return gone.select("doc_id", "number", "near")
+    # written, so that both sides of the join below are shuffled for it: the occurrences of one line can then be split
+    state = tmp.written(state, "repeated-states")
+    gone = seen.join(state, "line").where("near OR struct(doc_id, number) > first").select("doc_id", "number", "near")
+    gone = tmp.written(gone, "repeated-lines")
+    tmp.clear(gone)
+    return gone
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without repeated lines: all columns, with n_lines, n_removed and n_near of the original text.
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: int | None = None, id_col: str = "doc_id", text_col: str = "text", stats: str = "line_stats") -> DataFrame:
+    """The documents without repeated lines: all columns, and a struct stats (n_lines, n_removed, n_near) of the original text.
 
     Of equal lines, and of lines one word apart, the earliest (by doc_id, then by place) stays.  Defined cases: lines of
-    fewer than min_words words stay, but for equal ones with long words (a word counts once for each WORD_BYTES bytes); null texts stay null with 0 lines, and an empty text is one empty line; repeated
-    rows of one id count as one document, whose lines are the earliest of each number; rows with a null id are left
-    out; a document that loses all its lines has an empty text; further columns are kept.  Case (A-Z) and the kind of
+    fewer than min_words words stay, but for equal ones with long words (a word counts once for each WORD_BYTES bytes)
+    and equal ones of min_equal words or more if that is given; null texts stay null with 0 lines, and an empty text is
+    one empty line; repeated rows of one id count as one document, whose lines are the earliest of each number; rows
+    with a null id stay as they are, and no line goes because of them; a document that loses all its lines has an empty
+    text; further columns are kept, whatever their names, but for one named like stats.  Case (A-Z) and the kind of
     white space between words make no difference.  A text may have any number of lines of any length.
     """
-    columns = docs.columns
-    docs = docs.where(F.col(id_col).isNotNull())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    gone = written(repeated_lines(rows, min_words), "repeated-lines").dropDuplicates(["doc_id", "number"])
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    gone = repeated_lines(rows, min_words, min_equal).dropDuplicates(["doc_id", "number"])
     # a document's removed lines are numbers of its own lines, fewer than its text has bytes
-    by_doc = gone.groupBy("doc_id").agg(F.collect_list("number").alias("removed"), F.sum(F.col("near").cast("long")).alias("n_near"))
-    joined = docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}).withColumn("text", F.col("text").cast("string")).join(by_doc, "doc_id", "left")
-    kinds = ", ".join(f"`{n}` {k}" for n, k in joined.dtypes if n != "removed")
-    out = joined.mapInArrow(_rebuilt, f"{kinds}, n_lines long, n_removed long").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
-    out = out.withColumnsRenamed({"doc_id": id_col, "text": text_col})
-    return out.select(*columns, "n_lines", "n_removed", "n_near")
+    key, removed, near, made = (free_name(docs, x) for x in ("line_owner", "lines_removed", "lines_near", "rebuilt"))
+    by_doc = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("number").alias(removed), F.sum(F.col("near").cast("long")).alias(near))
+    joined = docs.join(by_doc, F.col(id_col).cast("long") == F.col(key), "left")
+    rebuilt = F.arrow_udf(_rebuilt, "text string, n_lines long, n_removed long").asNondeterministic()
+    joined = joined.withColumn(made, rebuilt(F.col(text_col).cast("string"), F.col(removed)))
+    made = F.col(made)
+    kept = [made["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() != stats.lower()]
+    return joined.select(*kept, F.struct(made["n_lines"].alias("n_lines"), made["n_removed"].alias("n_removed"), F.coalesce(near, F.lit(0)).alias("n_near")).alias(stats))

@@ -15,7 +15,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_join
 
     members, _ = ngram_jaccard_join(_documents(spark, sf_dir), width=4, threshold=(85, 100))
-    return members.select("doc_id", "n_shingles", "component_id")
+    return members.select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 def _remainder(n: int):
@@ -28,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
     out = line_dedup(_documents(spark, sf_dir))
-    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "line_stats.n_lines", "line_stats.n_removed", "line_stats.n_near", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,15 +100,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and the text that they decode to, as digests."""
     import public_tokenizers
 
-    from .bpe import decode, encode
+    from .bpe import round_trip
 
-    path = public_tokenizers.path(TOKENIZER)
-    ids = encode(_documents(spark, sf_dir), path)
-    both = ids.withColumn("ids_text", F.concat_ws(",", F.col("ids").cast("array<string>"))).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256")
-    )
-    texts = decode(both, path, keep=["n_tokens", "ids_sha256"])
-    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_language_id, op4_toxicity, op5_kneser_ney, op6_license_scan, op7_mix_sources, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
@@ -124,18 +120,18 @@ def _license_sql() -> str:
         parts = phrase.split(" ")
         same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
         hits.append(f"list_filter(range(len(w)), lambda i: coalesce({same}, false)) AS at_{label}")
-    rows = ", ".join(f"('{t.label}', [{', '.join(repr(x) for x in t.tokens)}], {t.need})" for t in templates())
+    rows = ", ".join(f"('{t.label}', [{', '.join(repr(x) for x in t.tokens)}], {t.need}, {t.width})" for t in templates())
     own = ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for _, label in PHRASES)
     places = " || ".join(f"at_{label}" for _, label in PHRASES)
     return f"""
-        WITH t(label, tokens, need) AS (VALUES {rows}),
+        WITH t(label, tokens, need, width) AS (VALUES {rows}),
         d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
         b AS (SELECT doc_id, len(w) AS n_words, {", ".join(hits)} FROM d),
         c AS (SELECT doc_id, n_words, {places} AS places, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM b),
-        l AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(line), '{word}')) AS k
-              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+        l AS (SELECT doc_id, width, list_distinct(w[i + 1 : i + 2 * width]) AS k
+              FROM (SELECT doc_id, width, w, unnest(range(0, len(w), width)) AS i FROM d, (SELECT DISTINCT width FROM t))),
         m AS (SELECT doc_id, list(DISTINCT label) AS added, max(len(list_intersect(k, tokens))::DOUBLE / len(tokens)) AS best
-              FROM l, t WHERE len(list_intersect(k, tokens)) >= need GROUP BY doc_id)
+              FROM l JOIN t USING (width) WHERE len(list_intersect(k, tokens)) >= need GROUP BY doc_id)
         SELECT c.doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
                array_to_string(list_sort(own), ',') AS base_labels,
                array_to_string(list_sort(list_distinct(own || coalesce(added, []))), ',') AS labels,

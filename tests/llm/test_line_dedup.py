@@ -9,13 +9,17 @@ from gridlake.llm import line_dedup
 
 def removed(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
-    return {r["doc_id"]: (r["n_removed"], r["n_near"]) for r in line_dedup.line_dedup(docs).collect()}
+    return {r["doc_id"]: (r["line_stats"]["n_removed"], r["line_stats"]["n_near"]) for r in line_dedup.line_dedup(docs).collect()}
 
 
 def test_false_partner_does_not_hide_a_true_one(spark):
     assert removed(spark, ["a b c d e f", "b c d e f h", "b c d e f g", "q b c d e f"]) == {1: (0, 0), 2: (0, 0), 3: (1, 1), 4: (1, 1)}
 
 
+def test_far_partner_does_not_hide_a_near_one(spark):
+    assert removed(spark, ["bravo alpha charlie delta echo foxtrot", "alpha bravo charlie delta echo golf", "alpha bravo charlie delta echo foxtrot"]) == {1: (0, 0), 2: (0, 0), 3: (1, 1)}
+
+
 def test_near_copies_by_brute_force(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(5, 9))) for _ in range(150)]

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,29 +16,8 @@ from pyspark.sql import functions as F
 
 from gridlake.llm import bpe, digest_index, epsilon_grid, kneser_ney, language_id, licenses, line_dedup, mixing, ngram_join, toxicity
 from gridlake.llm.components import connected_components
-from tests.llm import messy
-
-LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = "[^\x20\x09-\x0d]+"
-
-
-def words(text):
-    return re.findall(WORD, (text or "").translate(LOW))
-
-
-def roots(nodes, links):
-    up = {n: n for n in nodes}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in links:
-        a, b = sorted((root(a), root(b)))
-        up[b] = a
-    return {n: root(n) for n in nodes}
-
+from tests.llm import brute, messy
+from tests.llm.brute import roots, words
 
 @pytest.fixture(scope="module")
 def docs(spark):
@@ -56,41 +36,43 @@ def test_components(spark):
     assert got == roots({x for p in links for x in p}, links)
 
 
-def shingles(text, width):
-    w = words(text)
-    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
-
-
-@pytest.mark.parametrize("width,threshold", [(4, (85, 100)), (5, (4, 5)), (2, (1, 2))])
-@pytest.mark.parametrize("frequent,hot", [(100, 64), (1, 2)])
+@pytest.mark.parametrize("width,threshold,frequent,hot", [(4, (85, 100), 100, 64), (5, (4, 5), 1, 2), (2, (1, 2), 1, 2), (1, (1, 3), 1, 64)])
 def test_ngram_join(docs, monkeypatch, width, threshold, frequent, hot):
     monkeypatch.setattr(ngram_join, "FREQUENT_DF", frequent)
     monkeypatch.setattr(ngram_join, "HOT", hot)
-    members, _ = ngram_join.ngram_jaccard_join(docs, width, threshold)
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in members.collect())
+    monkeypatch.setattr(ngram_join, "BLOCK", 8 * hot)
+    members, links = ngram_join.ngram_jaccard_join(docs, width, threshold)
+    got = sorted((r["doc_id"], r["n_shingles"], r["n_links"], r["component_id"]) for r in members.collect())
     data = messy.rows()
-    sets = {r[0]: shingles(r[1], width) for r in data}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and threshold[1] * len(sets[a] & sets[b]) >= threshold[0] * len(sets[a] | sets[b])]
-    root = roots(sets, links)
-    assert got == sorted((r[0], len(sets[r[0]]), root[r[0]]) for r in data)
+    assert got == brute.near_groups(data, width, threshold)
+    of_set = {r["set_id"]: r["component_id"] for r in members.collect() if r["set_id"] is not None}
+    pairs = [(r["a"], r["b"]) for r in links.collect()]
+    assert all(of_set[a] == of_set[b] for a, b in pairs)
+    root = roots(of_set, pairs)
+    assert len(set(root.values())) == len({c for c in of_set.values()})  # the links join each component
 
 
 def test_line_dedup(docs):
-    out = {(r["doc_id"], r["text"], r["n_removed"], r["n_lines"]) for r in line_dedup.line_dedup(docs).collect()}
-    seen, want, first = [], set(), {}
-    data = sorted({r[:2] for r in messy.rows()}, key=lambda r: r[0])
-    lines = [(i, k, x, tuple(words(x))) for i, t in data for k, x in enumerate((t or "").split("\n"))]
-    for i, k, _, w in lines:
-        if len(w) >= line_dedup.MIN_WORDS and w not in first:
-            first[w] = (i, k)
-    near = {w for w in first if any(first[v] < first[w] and line_dedup.one_edit_apart(list(v), list(w)) for v in first)}
-    gone = {(i, k) for i, k, _, w in lines if w in first and (w in near or first[w] != (i, k))}
-    for i, t in data:
-        kept = [x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone]
-        n = len(t.split("\n")) if t is not None else 0
-        want.add((i, None if t is None else "\n".join(kept), sum(a == i for a, _ in gone), n))
-    assert near and gone and out == want and not seen
-    assert line_dedup.line_dedup(docs).columns[: len(docs.columns)] == docs.columns
+    out = {(r["doc_id"], r["text"], r["line_stats"]["n_removed"], r["line_stats"]["n_lines"]) for r in line_dedup.line_dedup(docs).collect()}
+    want = brute.deduplicated_lines(messy.rows())
+    assert any(n for _, _, n, _ in want) and out == want
+    assert line_dedup.line_dedup(docs).columns == [*docs.columns, "line_stats"]
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["removed", "n_lines", "n_removed", "n_near", "near", "number", "line", "line_owner", "lines_removed", "rebuilt"]
+    line = "one line of text that stands twice"
+    rows = [(1, line, *range(len(names))), (2, f"x\n{line}", *range(len(names))), (None, line, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.line_dedup(docs, stats="n_near").collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == {(1, line), (2, "x"), (None, line)}
+    assert all(r[n] == k for r in out for k, n in enumerate(names) if n != "n_near") and {r["n_near"]["n_removed"] for r in out} == {0, 1}
+
+
+def test_short_equal_lines_go_only_when_asked(spark):
+    docs = spark.createDataFrame([(1, "two words\nmore"), (2, "two words\nmore")], "doc_id long, text string")
+    assert {r["text"] for r in line_dedup.line_dedup(docs).collect()} == {"two words\nmore"}
+    assert {r["text"] for r in line_dedup.line_dedup(docs, min_equal=2).collect()} == {"two words\nmore", "more"}
 
 
 @pytest.mark.parametrize("a,b,want", [("a b c", "a b c", True), ("a b c", "a x c", True), ("a b c", "a c", True), ("a c", "a b c", True), ("a b", "b a", False), ("a b c d", "a b", False), ("", "a", True), ("a a b", "a b", True)])
@@ -112,6 +94,15 @@ def test_language_id(docs):
     assert rows.select("row.*").columns == docs.columns
 
 
+def test_language_scores_by_brute_force(docs):
+    out = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    want = brute.languages(messy.rows())
+    assert len(out) == len(want)
+    for i, (lang, p) in want.items():
+        assert out[i]["score"] == pytest.approx(p, abs=1e-4), i
+        assert out[i]["lang_pred"] == lang or 0.499 < p < 0.501
+
+
 def test_language_backoff_learns_word_endings(spark):
     train = spark.createDataFrame([("machung richtung zeitung achtung", "de"), ("nation action station mention", "fr")] * 3, "text string, lang string")
     unseen = spark.createDataFrame([(1, "werkung endung"), (2, "fraction potion")], "doc_id long, text string")
@@ -119,20 +110,43 @@ def test_language_backoff_learns_word_endings(spark):
     assert out == {1: "de", 2: "fr"}
 
 
-def test_toxicity_learns_pairs(spark):
+def crossed(n=2400):
+    """Texts that are toxic if exactly one of two words is there: neither tells anything alone."""
     rng = random.Random(2)
     rows, labels = [], []
-    for i in range(1200):
-        bad, group = rng.random() < 0.4, rng.random() < 0.4
-        text = messy.sentence(rng, "en", 12) + (" insulting" if bad else "") + (" foreigners" if group else "")
-        rows.append((i, text))
-        labels.append((i, int(bad and group)))
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for i in range(n):
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, messy.sentence(rng, "en", 12) + " mocked" * one + " strangers" * other))
+        labels.append((i, int(one != other)))
+    return rows, labels
+
+
+def test_toxicity_learns_pairs(spark):
+    rows, marks = crossed()
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id int, toxic int")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     machine = toxicity.train(docs.where(~held), labels.where(~held))
-    out = toxicity.score(docs.where(held), machine).join(labels, "doc_id").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.97 * len(out)
-    assert toxicity.train(docs.where(~held), labels.where(~held)).w.tolist() == machine.w.tolist()
+    alone = toxicity.Machine(machine.terms, machine.w0, machine.w, machine.v * 0)
+
+    def order(m):
+        """Share of pairs of a toxic and another text that the scores put in that order."""
+        s = {r["doc_id"]: r["score"] for r in toxicity.score(docs.where(held), m).collect()}
+        good, bad = [s[i] for i, t in marks if i in s and not t], [s[i] for i, t in marks if i in s and t]
+        return sum(a < b for a in good for b in bad) / len(good) / len(bad)
+
+    assert order(machine) > 0.95 and order(alone) < 0.65
+    assert toxicity.train(docs.where(~held), labels.where(~held)).v.tolist() == machine.v.tolist()
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rows, marks = crossed(600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.train(docs, spark.createDataFrame(marks, "doc_id int, toxic int"))
+    place = {int(t): k for k, t in enumerate(m.terms)}
+    for r in toxicity.score(docs.limit(80), m).collect():
+        x = [place[t] for t in brute.terms(rows[r["doc_id"]][1]) if t in place]
+        z = m.w0 + sum(m.w[k] for k in x) + sum(float(m.v[a] @ m.v[b]) for n, a in enumerate(x) for b in x[:n])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9) and r["predicted"] == (r["score"] >= 0.3)
 
 
 def test_toxicity_on_messy(docs, spark):
@@ -141,61 +155,31 @@ def test_toxicity_on_messy(docs, spark):
     assert len(out) == len(messy.rows()) and all(0 <= r["score"] <= 1 for r in out)
 
 
-def kneser_ney_plain(train, texts):
-    """The same model with dictionaries."""
-    count, pairs, contexts = Counter(), Counter(), Counter()
-    for t in train:
-        w = [*words(t), None]
-        count.update(w)
-        pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
-        contexts.update(["<s>", *w[:-1]])
-    n, v = sum(count.values()), len(count)
-
-    def discounts(values):
-        c = Counter(values)
-        y = c[1] / (c[1] + 2 * c[2]) if c[1] + c[2] else 0
-        return [min(max(k - (k + 1) * y * c[k + 1] / c[k] if c[k] else 0.0, 0), k) for k in (1, 2, 3)]
-
-    after = defaultdict(list)
-    cont = Counter()
-    for (a, b), c in pairs.items():
-        after[a].append(c)
-        cont[b] += 1
-    d, low_d = discounts(pairs.values()), discounts(cont.values())
-    total = len(pairs)
-    spread = sum(low_d[min(c, 3) - 1] for c in cont.values()) / total
-
-    def low(w):
-        return max(cont[w] - low_d[min(max(cont[w], 1), 3) - 1], 0) * (cont[w] > 0) / total + spread / (v + 1)
-
-    def p(a, b):
-        if not contexts[a]:
-            return low(b)
-        c = pairs[a, b]
-        mass = sum(d[min(x, 3) - 1] for x in after[a])
-        return (max(c - d[min(max(c, 1), 3) - 1], 0) * (c > 0) + mass * low(b)) / contexts[a]
-
-    out = []
-    for t in texts:
-        w = [*words(t), None]
-        base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        out.append((len(w), sum(count[x] > 0 for x in w), n, base, sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True))))
-    vocabulary = [*count, "a word never seen"]
-    assert abs(sum(p("the", b) for b in vocabulary) - 1) < 1e-9
-    return out
-
-
-def test_kneser_ney(docs):
+@pytest.mark.parametrize("order,ranges", [(2, 700), (3, 1_000_000), (3, 700), (4, 700), (5, 700)])
+def test_kneser_ney(docs, order, ranges, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_RANGE", ranges)
+    monkeypatch.setattr(kneser_ney, "ONE_HOP", 10 if order == 3 else 100_000)
+    monkeypatch.setattr(kneser_ney, "_FLUSH", ranges)
     data = messy.rows()
-    model = kneser_ney.train(docs.where("doc_id % 3 <> 0"))
+    model = kneser_ney.train(docs.where("doc_id % 3 <> 0"), order=order)
     got = {r["doc_id"]: r for r in kneser_ney.score(docs, model).collect()}
-    want = kneser_ney_plain([r[1] for r in data if r[0] % 3], [r[1] for r in data])
+    want = brute.kneser_ney([r[1] for r in data if r[0] % 3], [r[1] for r in data], order)
     for r, (n, known, total, base, score) in zip(data, want, strict=True):
         g = got[r[0]]
         assert (g["n_tokens"], g["n_known"], model.tokens) == (n, known, total)
         assert g["base_score"] == pytest.approx(base, rel=1e-9) and g["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_kneser_ney_on_a_store_without_memory_maps(docs, monkeypatch):
+    model = kneser_ney.train(docs.where("doc_id % 3 <> 0"))
+    name = sorted(x for x in model.have if x.startswith("gram-3"))[0]
+    mapped = [a.tolist() for a in kneser_ney._arrays(model.folder, name)]
+    monkeypatch.setattr(kneser_ney.fs, "LocalFileSystem", type(None))
+    assert [a.tolist() for a in kneser_ney._arrays(model.folder, name)] == mapped
+    monkeypatch.undo()
+    model.delete(docs.sparkSession)
+
+
 def test_licenses(spark, docs):
     rows = [(1, "Released under the MIT license, or the Apache  LICENSE. mit license"), (2, None), (3, "a summit licensed"), (4, "x\nLicensed under CC BY-NC 4.0!\ny"), (5, "Permission is granted, free of charge, to any person obtaining a copy of this software and its associated documentation files"), (6, "mit licensee")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -205,47 +189,33 @@ def test_licenses(spark, docs):
     assert (got[2]["n_words"], got[2]["labels"], got[2]["score"]) == (0, "", 0.0)
     assert got[3]["n_base"] == got[6]["n_base"] == 0 and got[3]["first_word"] is None
     assert got[4]["labels"] == "cc-by-nc" and got[4]["base_labels"] == "" and got[5]["labels"] == "mit"
-    found = {(r["doc_id"], r["block"], r["template"]) for r in matches.collect()}
-    want = set()
-    for i, text in rows:
-        for k, line in enumerate((text or "").split("\n")):
-            have = set(re.findall(licenses.WORD, line.lower()))
-            want |= {(i, k, t.number) for t in licenses.templates() if len(have & set(t.tokens)) >= t.need}
-    assert found == want
+    assert {(r["doc_id"], r["block"], r["width"], r["template"]) for r in matches.collect()} == brute.license_blocks(rows)
     assert licenses.license_scan(docs)[0].count() == len(messy.rows())
 
 
-def test_mixing(docs):
-    out = mixing.mix_sources(docs, keep=0.6).collect()
+def test_wrapped_licenses(spark):
+    rng = random.Random(5)
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(" ".join(text.split()), 40))
+        rows.append((k, f"{messy.sentence(rng, 'en', rng.randrange(60))}\n{wrapped}\n{messy.sentence(rng, 'fr', 200)}"))
+    rows.append((99, messy.sentence(rng, "en", 3000)))
+    out, matches = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["labels"].split(",") for r in out.collect()}
+    assert all(label in got[k] for k, (label, _) in enumerate(licenses.TEMPLATES)) and got[99] == [""]
+    assert {(r["doc_id"], r["block"], r["width"], r["template"]) for r in matches.collect()} == brute.license_blocks(rows)
+
+
+@pytest.mark.parametrize("cells,rounds", [(100_000, mixing.ROUNDS), (1, 5)])
+def test_mixing(docs, cells, rounds, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", rounds)
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", cells)
+    out = mixing.mix_sources(docs, keep=0.6, rounds=rounds).collect()
     data = messy.rows()
     assert len(out) == len(data) and all(0 <= r["probability"] <= 1 for r in out)
-    cells, share = defaultdict(int), {}
-    keys = [(r["row"]["source"] or "(none)", r["row"]["lang"] or "(none)", r["topic"]) for r in out]
-    for k, r in zip(keys, out, strict=True):
-        assert r["n_tokens"] == len(words(r["row"]["text"]))
-        cells[k] += r["n_tokens"]
-    share = {k: float(n) for k, n in cells.items()}
-    for _ in range(mixing.ROUNDS):
-        for d, name in enumerate(mixing.DIMENSIONS):
-            of = defaultdict(int)
-            for k, n in cells.items():
-                of[k[d]] += n
-            power = {c: n ** mixing.TEMPERING[name] if n else 0 for c, n in of.items()}
-            sums = defaultdict(float)
-            for k, s in share.items():
-                sums[k[d]] += s
-            share = {k: s * power[k[d]] / sum(power.values()) / sums[k[d]] if sums[k[d]] else 0 for k, s in share.items()}
-    total = sum(cells.values())
-    low, high = 0.0, 1e9  # the level at which capped cells give the budget, by bisection
-    for _ in range(200):
-        level = (low + high) / 2
-        given = sum(min(n, level * share[k]) for k, n in cells.items())
-        low, high = (level, high) if given < 0.6 * total else (low, level)
-    for k, r in zip(keys, out, strict=True):
-        want = min(1, level * share[k] / cells[k]) if cells[k] else 1.0
-        assert r["probability"] == pytest.approx(want, abs=1e-6)
-        u = int(hashlib.md5(f"17:{r['row']['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
-        assert r["kept"] == (u < r["probability"])
+    want = brute.mixed([r["row"].asDict() | {"topic": r["topic"]} for r in out], 0.6)
+    for r, (n, p, kept) in zip(out, want, strict=True):
+        assert r["n_tokens"] == n and r["probability"] == pytest.approx(p, abs=1e-6) and r["kept"] == kept
 
 
 def test_mixing_to_given_targets(spark):
@@ -300,13 +270,22 @@ def test_digest_index_persists_and_repeats_nothing(spark):
     assert sorted(r["keep_id"] for r in again.entries().collect()) == [5, 6, 7]
 
 
+def test_digest_batch_that_died_halfway(spark):
+    rows = digest_index.digests(spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")).cache()
+    index = digest_index.DigestIndex(spark)
+    part = rows.where("doc_id < 15").select("digest", F.col("doc_id").alias("keep_id"), F.lit("one").alias("batch"))
+    part.write.mode("append").format("parquet").bucketBy(index.buckets, "digest").sortBy("digest").option("path", index.path).saveAsTable(index.table)
+    index.ingest(rows, "one")  # again, after its append died
+    assert sorted(r["keep_id"] for r in index.entries().collect()) == list(range(40)) and index.complete() == {"one"}
+
+
 def test_bpe_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    data = [*messy.rows(), (900, "<|endoftext|>hi <|endoftext|>", None, None, 0, 0.0, "", True, 0), (901, "a\x1cb\x85c  d\n\n e'll I'LL 😀 café 　x", None, None, 0, 0.0, "", True, 0)]
+    data = [*messy.rows(), (900, "<|endoftext|>hi <|endoftext|>", None, None, 0, 0.0, "", True, 0), (902, "thequickbrownfox" * 2000 + "é" * 3000 + " " * 4000, None, None, 0, 0.0, "", True, 0), (901, "a\x1cb\x85c  d\n\n e'll I'LL 😀 café 　x", None, None, 0, 0.0, "", True, 0)]
     frame = messy.frame(docs.sparkSession, data)
     ids = bpe.encode(frame, path)
     got = {r["doc_id"]: list(r["ids"]) for r in ids.collect()}
@@ -314,6 +293,8 @@ def test_bpe_round_trip(docs):
     for r in data:
         want = library.encode(r[1] or "", add_special_tokens=False).ids
         assert got[r[0]] == want and back[r[0]] == library.decode(want, skip_special_tokens=False)
+    both = {r["doc_id"]: (list(r["ids"]), r["decoded"]) for r in bpe.round_trip(frame, path).collect()}
+    assert both == {k: (got[k], back[k]) for k in got}
 
 
 def test_empty_tables(empty, spark):
@@ -326,7 +307,7 @@ def test_empty_tables(empty, spark):
     for df in (
         members, links, line_dedup.line_dedup(empty), language_id.identify(empty, language_id.train(empty)), toxicity.score(empty, toxicity.train(empty, labels)),
         kneser_ney.score(empty, kneser_ney.train(empty)), *licenses.license_scan(empty), mixing.mix_sources(empty), epsilon_grid.embedding_near_duplicates(vectors),
-        digest_index.exact_dedup(empty), bpe.decode(bpe.encode(empty, path), path),
+        digest_index.exact_dedup(empty), bpe.decode(bpe.encode(empty, path), path), bpe.round_trip(empty, path),
     ):
         assert df.count() == 0
 
