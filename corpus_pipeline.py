@@ -1,4 +1,9 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns what it keeps; see STAGES."""
+"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns what it keeps; see STAGES.
+
+Defined cases, for every stage: an empty table gives an empty table; columns beyond those of documents are kept, whatever
+their names, by all stages but the last; null, empty and very long texts, nulls in any column, ties and repeated rows are
+treated as the operators' docstrings say.  Rows with a null doc_id cannot be a copy of another row: they pass.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from gridlake.llm import bpe, language_id
 from gridlake.llm.line_dedup import line_dedup
 from gridlake.llm.mixing import mix_sources
 from gridlake.llm.ngram_join import ngram_jaccard_join
-from gridlake.llm.storage import written
+from gridlake.llm.storage import drop, free_name, mark, sweep, written
 
 #: The tokenizer's file, where its package keeps it.
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,15 +32,21 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletion-neighbourhood join: repeated lines go; documents of which nothing is left go with them."""
-    out = line_dedup(docs).where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    stats = free_name(docs, "line_stats")
+    out = line_dedup(docs, stats=stats)
+    changed = F.col(f"{stats}.n_removed") > 0
+    out = out.where(~changed | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join at five words and 0.8: of each group the document with the smallest doc_id stays."""
+    """N-gram Jaccard join at five words and 0.8: of each group the document with the smallest doc_id stays.
+
+    Repeated rows of one doc_id are one document: they stay or go together.
+    """
     members, _ = ngram_jaccard_join(docs, width=5, threshold=(4, 5))
-    kept = members.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = members.groupBy("doc_id").agg(F.min("component_id").alias("keep_id")).where("doc_id <> keep_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +55,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenization automaton: token ids of every text, and whether they decode to it."""
-    path = public_tokenizers.path(TOKENIZER)
-    ids = bpe.encode(docs, path)
-    out = bpe.decode(ids.withColumns({"n_tokens": F.size("ids").cast("long"), "kept_ids": F.col("ids")}), path, keep=["n_tokens", "kept_ids"])
-    return out.select("doc_id", "n_tokens", F.col("kept_ids").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Tokenization automaton: token ids of every text, and the digest of what they decode to."""
+    out = bpe.round_trip(docs, public_tokenizers.path(TOKENIZER))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -59,15 +68,17 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: SQL cannot express the stages; tests compare the run with a brute-force version.
+#: SQL cannot express the stages; tests/llm/test_pipeline.py compares the run with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        since = mark()
+        kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, since, kept)  # what the stage wrote on its way
+        drop(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
