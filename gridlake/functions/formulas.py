@@ -1,4 +1,4 @@
-"""formulas of metrics, parsed once and compiled to a Column."""
+"""formulas of metrics and arithmetic of answers, parsed once and compiled to a Column."""
 
 from __future__ import annotations
 
@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ..constants import FORMULAS
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: F.try_divide}
+_floor_divided = lambda a, b: F.floor(F.try_divide(a, b)).cast("double")
+#: What answers may use beside: floor division, remainders with the sign of the divisor, powers, and five functions.
+_MORE = {ast.FloorDiv: _floor_divided, ast.Mod: lambda a, b: a - b * _floor_divided(a, b), ast.Pow: F.pow}
+_CALLS = {
+    "abs": (1, 1, lambda x: F.abs(x)),
+    "min": (1, None, lambda *x: F.least(*x) if len(x) > 1 else x[0]),
+    "max": (1, None, lambda *x: F.greatest(*x) if len(x) > 1 else x[0]),
+    "sum": (1, None, lambda *x: sum(x[1:], x[0])),
+}
 _UNARY = {ast.UAdd: lambda x: x, ast.USub: lambda x: -x}
 
 
@@ -25,8 +34,11 @@ def variables(expression: str) -> list[str]:
     return list(dict.fromkeys(n.id for n in sorted(names, key=lambda n: n.col_offset)))
 
 
-def compiled(expression: str, columns: dict[str, Column] | None = None) -> Column:
-    """The expression over columns of the same names (or those given); a zero denominator gives null."""
+def compiled(expression: str, columns: dict[str, Column] | None = None, answers: bool = False) -> Column:
+    """The expression over columns of the same names (or those given); a zero denominator gives null.
+
+    answers allows // % ** and abs, round (half to even), min, max, sum as well.
+    """
     try:
         tree = ast.parse(expression, mode="eval").body
     except SyntaxError as e:
@@ -36,6 +48,17 @@ def compiled(expression: str, columns: dict[str, Column] | None = None) -> Colum
         match node:
             case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
                 return _BINARY[type(op)](column(a), column(b))
+            case ast.BinOp(left=a, op=op, right=b) if answers and type(op) in _MORE:
+                return _MORE[type(op)](column(a), column(b))
+            case ast.Call(func=ast.Name(id="round"), args=[a], keywords=[]) if answers:
+                return F.bround(column(a), 0)
+            case ast.Call(func=ast.Name(id="round"), args=[a, ast.Constant(value=int() as digits)], keywords=[]) if answers:
+                return F.bround(column(a), digits)
+            case ast.Call(func=ast.Name(id=name), args=[*args], keywords=[]) if answers and name in _CALLS:
+                least, most, f = _CALLS[name]
+                if len(args) < least or (most and len(args) > most):
+                    raise FormulaError(f"{name} takes other arguments")
+                return f(*map(column, args))
             case ast.UnaryOp(op=op, operand=a) if type(op) in _UNARY:
                 return _UNARY[type(op)](column(a))
             case ast.Name(id=name):

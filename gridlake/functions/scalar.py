@@ -212,6 +212,149 @@ def axis_bounds(low: Column, high: Column) -> tuple[Column, Column]:
     return below, above
 
 
+def similarity(distance: Column, clamped: bool = True) -> Column:
+    """one less the distance; clamped (the catalog's search) never below zero."""
+    return F.greatest(F.lit(0.0), 1 - distance) if clamped else 1 - distance
+
+
+def calendar_quarter(day: Column) -> Column:
+    """a label like 2025-Q1."""
+    return F.concat(F.year(day).cast("string"), F.lit("-Q"), F.quarter(day).cast("string"))
+
+
+def cleaned(*columns: Column) -> Column:
+    """The first of the columns that is not blank, trimmed."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
+
+
+def same_name(a: Column, b: Column) -> Column:
+    """Equality of cleaned texts in any case; two blank ones are no match."""
+    return F.coalesce(F.upper(cleaned(a)) == F.upper(cleaned(b)), F.lit(False))
+
+
+def is_sha256(x: Column) -> Column:
+    """64 lower-case hex digits."""
+    return F.coalesce(x.rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
+def live(deleted_at: Column, text: Column) -> Column:
+    """Rows that are neither deleted nor blank."""
+    return deleted_at.isNull() & cleaned(text).isNotNull()
+
+
+def json_set(json: Column, key: str, value: Column) -> Column:
+    """a JSON object of strings with one key set; null counts as an empty object."""
+    entries = F.from_json(F.coalesce(json, F.lit("{}")), "map<string,string>")
+    return F.to_json(F.map_concat(F.map_filter(entries, lambda k, v: k != key), F.create_map(F.lit(key), value)))
+
+
+def json_list_size(json: Column) -> Column:
+    """length of a JSON array, null for anything else."""
+    return F.json_array_length(json)
+
+
+def name_uuid(namespace: str, name: Column) -> Column:
+    """the version 5 UUID of a name: SHA-1 of namespace and name."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(part(17, 1), 16, 10).cast("int") + 1, F.lit(1))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def query_terms(text: Column) -> Column:
+    """what a keyword query searches for: row, column and value fields of a serialized cell, without signs.
+
+    Text without such fields is taken whole; where nothing is left the trimmed text stays.
+    """
+    fields = F.filter(F.split(text, r"\|"), lambda s: F.lower(F.trim(F.split_part(s, F.lit(":"), F.lit(1)))).isin("row header", "column header", "cell value") & s.contains(":"))
+    values = F.transform(fields, lambda s: F.trim(F.regexp_replace(s, r"^[^:]*:", "")))
+    lexical = F.when(F.size(fields) > 0, F.array_join(F.filter(values, lambda v: (v != "") & (v != "?")), " ")).otherwise(text)
+    tokens = F.filter(F.split(F.regexp_replace(lexical, r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda t: t != "")
+    return F.when(F.size(tokens) > 0, F.array_join(tokens, " ")).otherwise(F.trim(text))
+
+
+def serialized_cell(company: Column, sheet: Column, row_headers: Column, column_headers: Column, value: Column) -> Column:
+    """the five fields of a cell as one text; what is missing is a question mark."""
+    path = lambda h: F.when(F.size(h) > 0, F.array_join(h, " > ")).otherwise("?")
+    field = lambda x: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit("?"))
+    named = (("Company", field(company)), ("Sheet", field(sheet)), ("Row Header", path(row_headers)), ("Column Header", path(column_headers)), ("Cell Value", F.coalesce(F.nullif(value, F.lit("")), F.lit("?"))))
+    return F.concat_ws(" | ", *(F.concat(F.lit(f"{n}: "), x) for n, x in named))
+
+
+def parsed_cell(text: Column) -> dict[str, Column]:
+    """the five fields of a serialized cell, paths as arrays; null where the text has a question mark."""
+    get = lambda n: F.trim(F.regexp_extract(text, rf"(?:^|\| ){n}: ([^|]*)", 1))
+    known = lambda x: F.when(~x.isin("", "?"), x)
+    out = {c: known(get(n)) for c, n in (("company", "Company"), ("sheet", "Sheet"), ("cell_value", "Cell Value"))}
+    return out | {c: F.split(known(get(n)), " > ") for c, n in (("row_headers", "Row Header"), ("column_headers", "Column Header"))}
+
+
+# Labels that precede account names in older row headers, and legal forms that end a company's name.
+LEGACY_PREFIX = r"(?i)^(?:source\s*:|data\s+in\b|fiscal\s+year\s+ended\b|ltm$)"
+LEGAL_TITLE = r"(?i)\b(?:corporation|corp\.?|inc\.?|incorporated|limited|ltd\.?|plc|company|co\.?)$"
+
+
+def account_headers(headers: Column, company: Column) -> Column:
+    """a row header path without the company, source, unit and period labels that older documents began it with."""
+
+    def behind_labels(v: Column) -> Column:
+        first = F.array_position(F.transform(v, lambda x: ~x.rlike(LEGACY_PREFIX)), True).cast("int")
+        return F.when(first > 0, F.slice(v, first, F.size(v))).otherwise(F.slice(v, 1, 0))
+
+    own = F.lower(F.trim(F.coalesce(company, F.lit(""))))
+    values = F.filter(F.transform(headers, lambda x: F.trim(x)), lambda x: (x != "") & ((own == "") | (F.lower(x) != own)))
+    values = behind_labels(values)
+    titled = (F.size(values) > 1) & (F.get(values, F.lit(1)).rlike(LEGACY_PREFIX) | F.get(values, F.lit(0)).rlike(LEGAL_TITLE))
+    return F.when(titled, behind_labels(F.slice(values, 2, F.size(values)))).otherwise(values)
+
+
+# Periods as dates and as fiscal years; currencies and scales in the order in which they are tried.
+DATE_TEXT = r"(?<!\d)(20\d{2}|19\d{2})[-./](0?[1-9]|1[0-2])[-./](0?[1-9]|[12]\d|3[01])(?!\d)"
+FISCAL_TEXT = r"(?i)\bFY\s*[-_ ]?(20\d{2}|19\d{2})\b|(?<!\d)(20\d{2}|19\d{2})\s*(?:A|FY)\b"
+CURRENCIES = (
+    (r"(?i)\b(?:u\.?s\.?\s*dollars?|usd)\b", "USD"),
+    (r"(?i)\b(?:euros?|eur)\b", "EUR"),
+    (r"(?i)\b(?:korean\s+won|krw)\b|원화", "KRW"),
+    (r"(?i)\b(?:japanese\s+yen|jpy)\b|엔화", "JPY"),
+    (r"(?i)\b(?:british\s+pounds?|pound\s+sterling|gbp)\b", "GBP"),
+    (r"(?i)(?:data\s+in|amounts?\s+in)\s*\(\s*\$", "USD"),
+    (r"(?i)\$\s*(?:k|m|mm|bn|b)\b", "USD"),
+)
+SCALES = (
+    (r"(?i)\b(?:billions?|bn)\b|\$\s*(?:bn|b)\b", "billions"),
+    (r"(?i)\b(?:millions?|mm)\b|\$\s*(?:m|mm)\b", "millions"),
+    (r"(?i)\b(?:thousands?|000s)\b|\$\s*k\b|천\s*단위", "thousands"),
+    (r"(?i)\bones\b|원\s*단위", "ones"),
+)
+
+
+def first_pattern(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """the name of the first pattern that the text has, else null."""
+    return F.coalesce(*(F.when(text.rlike(p), name) for p, name in patterns))
+
+
+def period_of(text: Column) -> Column:
+    """a struct (end_date, year, label) of the first date or fiscal year in a text; null without one.
+
+    A date that is none (February 30) gives null, even beside a fiscal year.
+    """
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    part = lambda p, k: F.regexp_extract(text, p, k)
+    day = F.try_to_date(F.concat_ws("-", part(DATE_TEXT, 1), F.lpad(part(DATE_TEXT, 2), 2, "0"), F.lpad(part(DATE_TEXT, 3), 2, "0")), "yyyy-MM-dd")
+    year = F.concat(part(FISCAL_TEXT, 1), part(FISCAL_TEXT, 2)).try_cast("int")
+    make = lambda d, y, label: F.struct(d.alias("end_date"), y.alias("year"), label.alias("label"))
+    dated = part(DATE_TEXT, 0) != ""
+    return F.when(dated & day.isNotNull(), make(day, F.year(day), part(DATE_TEXT, 0))).when(~dated & year.isNotNull(), make(F.lit(None).cast("date"), year, part(FISCAL_TEXT, 0)))
+
+
+def suggestion(templates: list[str], companies: list[str], seed: Column, n: int = 3) -> Column:
+    """F40 as a Column: n questions of the templates and companies, both rotated by the seed."""
+    t, c = F.array(*map(F.lit, templates)), F.array(*map(F.lit, companies))
+    a, b = F.pmod(seed, F.lit(len(templates))), F.floor(seed / len(templates)).cast("int")
+    at = lambda x, k, size: F.get(x, F.pmod(k, F.lit(size)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.replace(at(t, a + k, len(templates)), F.lit("{company}"), at(c, b + k, len(companies))))
+
+
 def suggestions(companies: list[str], templates: list[str], seed: int, n: int = 3) -> list[str]:
     """n questions from lists of templates and companies, both rotated by the seed."""
     a, b = seed % len(templates), seed // len(templates)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalar as S
+from ..functions.formulas import derived
 from ..session import cut
+from .metrics import derive
 
 
 def company_tokens(name: Column) -> Column:
@@ -218,7 +220,7 @@ def common_years(left: DataFrame, right: DataFrame, keep: int = 5, entity: str =
     return both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
 
-def tree_paths(nodes: DataFrame, separator: str = " / ", limit: int = 100) -> DataFrame:
+def tree_paths(nodes: DataFrame, separator: str = " / ") -> DataFrame:
     """(node_id, path, depth) of a tree (node_id, parent_id, name), roots at depth 0.
 
     One join for each level of the tree, with lineage cut; nodes that no root reaches are left out.
@@ -226,10 +228,72 @@ def tree_paths(nodes: DataFrame, separator: str = " / ", limit: int = 100) -> Da
     nodes = cut(nodes.select("node_id", "parent_id", "name"))
     level = cut(nodes.where("parent_id IS NULL").select("node_id", F.col("name").alias("path"), F.lit(0).alias("depth")))
     out = level
-    for _ in range(limit):
+    while True:
         up = level.select(F.col("node_id").alias("parent_id"), "path", "depth")
         level = cut(nodes.join(up, "parent_id").select("node_id", F.concat_ws(separator, "path", "name").alias("path"), (F.col("depth") + 1).alias("depth")))
         if not level.limit(1).count():
-            break
+            return out
         out = out.unionByName(level)
+
+
+def recalculated(observations: DataFrame, formulas: tuple[str, ...], entity: str = "company_id", period: str = "fiscal_year") -> DataFrame:
+    """Derived metrics from stored source observations: (entity, period, metric_id, value, status, issue).
+
+    observations: entity, period, metric_id, value, status.  A formula's status is the first by precedence of those of
+    its variables, a zero denominator is not meaningful; issue names formula and status unless it is available.
+    """
+    names = sorted({v for f in formulas for v in derived(f)[1]})
+    pick = lambda n, c: F.max(F.when(F.col("metric_id") == n, F.col(c)))
+    wide = observations.where(F.col("metric_id").isin(*names)).groupBy(entity, period).agg(*(pick(n, "value").alias(n) for n in names), *(F.coalesce(pick(n, "status"), F.lit(C.MISSING)).alias(f"{n}_status") for n in names))
+    for f in formulas:
+        wide = derive(wide, f)
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("metric_id"), F.col(f).alias("value"), F.col(f"{f}_status").alias("status")) for f in formulas))).alias("r")
+    out = wide.select(entity, period, rows).select(entity, period, "r.*")
+    return out.withColumn("issue", F.when(F.col("status") != C.AVAILABLE, F.concat_ws(":", "metric_id", "status")))
+
+
+def renamed_company(rows: DataFrame, key: str, company: str, meta: str = "meta", text: str = "text") -> DataFrame:
+    """Rows (of one collection) with the JSON key set and the company at the start of the text replaced."""
+    new = S.json_set(F.col(meta), key, F.lit(company))
+    start = F.concat(F.lit("Company: "), F.lit(company), F.lit(" |"))
+    rest = F.regexp_extract(text, r"(?s)^Company: [^|]*\|(.*)$", 1)
+    return rows.withColumns({meta: new, text: F.when(F.col(text).rlike(r"^Company: [^|]*\|"), F.concat(start, rest)).otherwise(F.col(text))})
+
+
+def cascaded(tables: dict[str, tuple[DataFrame, list[str]]], gone: DataFrame) -> dict[str, DataFrame]:
+    """Each table (with the columns that name the deleted key in it) without the rows of the deleted keys."""
+    out = {}
+    for name, (df, columns) in tables.items():
+        keys = gone.toDF(*columns).distinct()
+        out[name] = df.join(keys, columns, "left_anti").select(*df.columns)
     return out
+
+
+def compacted(rows: DataFrame, polluted: Column, group: list[str], key: str, variant: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without polluted ones, a report for each group: n_before, n_removed, n_incomplete).
+
+    A key is incomplete if one of its two variants is missing afterwards.
+    """
+    kept = rows.where(~F.coalesce(polluted, F.lit(False)))
+    has = lambda v: F.bool_or(F.col(variant) == v)
+    whole = kept.groupBy(*group, key).agg((has("header_only") & has("header_with_value")).alias("whole")).groupBy(*group).agg(F.count_if(~F.col("whole")).alias("n_incomplete"))
+    report = rows.groupBy(*group).agg(F.count("*").alias("n_before"), F.count_if(F.coalesce(polluted, F.lit(False))).alias("n_removed"))
+    return kept, report.join(whole, group, "left").withColumn("n_incomplete", F.coalesce("n_incomplete", F.lit(0)))
+
+
+def period_samples(documents: DataFrame, group: list[str]) -> DataFrame:
+    """One document for each period header of a group, those with a value first, then by coordinate.
+
+    The header is the column header, or the value of a document with a value that has none; documents without are out.
+    """
+    clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    header = F.coalesce(clean("column_header"), F.when(F.col("variant") == "header_with_value", clean("cell_value")))
+    w = Window.partitionBy(*group, "period_header").orderBy(F.when(F.col("variant") == "header_with_value", 0).otherwise(1), "cell_coord")
+    out = documents.withColumn("period_header", header).where("period_header IS NOT NULL")
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def numbered_claims(queue: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first entries of a queue, numbered from 1; most is the claim's stated size."""
+    first = queue.orderBy(*order).limit(most)
+    return first.withColumn("number", F.row_number().over(Window.orderBy(*order)))

@@ -1,9 +1,7 @@
-"""Spreadsheet grids: components, boxes, containment, roles, profile values."""
+"""Spreadsheet grids: components, boxes, containment, roles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,18 +78,36 @@ def stacked_tables(tables: DataFrame, gap: int = 2) -> DataFrame:
 def attached_parents(headers: DataFrame) -> DataFrame:
     """For each header the nearest header above it whose columns contain its own (ties: the narrowest).
 
-    headers: sheet, header_id, row, lo, hi.  The equi-join is on the sheet; a sheet has a bounded number of headers.
+    headers: sheet, header_id, row, lo, hi.  A header that holds a child's columns holds the first of them: parents are
+    listed under each of their columns (a format bounds those), children under their first one, and joined on that.
     """
     up = headers.select("sheet", F.col("header_id").alias("parent_id"), F.col("row").alias("p_row"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-    pairs = headers.join(up, "sheet").where("p_row < row AND p_lo <= lo AND p_hi >= hi AND parent_id <> header_id")
+    up = up.where("p_lo <= p_hi").withColumn("lo", F.explode(F.sequence("p_lo", "p_hi")))
+    pairs = headers.join(up, ["sheet", "lo"]).where("p_row < row AND p_hi >= hi AND parent_id <> header_id")
     w = Window.partitionBy("sheet", "header_id").orderBy(F.desc("p_row"), F.col("p_hi") - F.col("p_lo"), "parent_id")
     best = pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select("sheet", "header_id", "parent_id")
     return headers.join(best, ["sheet", "header_id"], "left")
 
 
+#: Rows that a region and its cells are joined by.
+STRIP = 64
+
+
 def cells_in_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """Cells with the regions of their sheet that hold them."""
-    return cells.join(regions, "sheet").where("row BETWEEN min_row AND max_row AND col BETWEEN min_col AND max_col")
+    """Cells with the regions (min_row, max_row, min_col, max_col) of their sheet that hold them.
+
+    Regions are listed under each strip of STRIP rows that they touch; a cell meets those of its own strip.
+    """
+    strip = lambda c: F.floor(F.col(c) / STRIP).cast("int")
+    laid = regions.withColumn("_strip", F.explode(F.sequence(strip("min_row"), strip("max_row"))))
+    out = cells.withColumn("_strip", strip("row")).join(laid, ["sheet", "_strip"])
+    return out.where("row BETWEEN min_row AND max_row AND col BETWEEN min_col AND max_col").drop("_strip")
+
+
+def occupied(cells: DataFrame, merged: DataFrame) -> DataFrame:
+    """Filled cells and all cells of merged ranges (sheet, min_row, max_row, min_col, max_col), each once."""
+    rows = merged.withColumn("row", F.explode(F.sequence("min_row", "max_row"))).withColumn("col", F.explode(F.sequence("min_col", "max_col")))
+    return cells.select("sheet", "row", "col").union(rows.select("sheet", "row", "col")).distinct()
 
 
 def unambiguous_majority(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -108,40 +124,3 @@ def role_scores(rows: DataFrame, roles: dict[str, tuple[str, ...]], name: str, t
     best = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-order[r]).alias("o"), F.lit(r).alias("role")) for r, s in score.items())))
     out = rows.withColumn("best", best)
     return out.select(*rows.columns, F.when(F.col("best.score") > 0, F.col("best.role")).otherwise("unknown").alias("role"), F.col("best.score").alias("score"), F.least(F.lit(0.98), 0.55 + 0.1 * F.col("best.score")).alias("confidence"))
-
-
-def read_workbooks(spark, path: str) -> DataFrame:
-    """One row for each visible, filled cell of the workbooks under path.
-
-    file_name, workbook_hash, sheet, row, col, coord, value, value_type.  Hidden rows, columns and sheets are left out; a
-    cell of a merged range has the range's first value.  Needs openpyxl on the workers; a workbook is one task's work.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-        import io
-
-        import openpyxl
-
-        for frame in frames:
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                book = openpyxl.load_workbook(io.BytesIO(content), data_only=True)
-                rows = []
-                for sheet in book.worksheets:
-                    if sheet.sheet_state != "visible":
-                        continue
-                    anchor = {(r, c): (m.min_row, m.min_col) for m in sheet.merged_cells.ranges for r in range(m.min_row, m.max_row + 1) for c in range(m.min_col, m.max_col + 1)}
-                    for line in sheet.iter_rows():
-                        for cell in line:
-                            if sheet.row_dimensions[cell.row].hidden or sheet.column_dimensions[openpyxl.utils.get_column_letter(cell.column)].hidden:
-                                continue
-                            at = anchor.get((cell.row, cell.column))
-                            value = sheet.cell(*at).value if at else cell.value
-                            if value is None or value == "":
-                                continue
-                            kind = "boolean" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "date" if hasattr(value, "isoformat") else "error" if str(value).startswith("#") else "text"
-                            rows.append((p.rsplit("/", 1)[-1], hashlib.sha256(content).hexdigest(), sheet.title, cell.row, cell.column, cell.coordinate, str(value), kind))
-                yield pd.DataFrame(rows, columns=["file_name", "workbook_hash", "sheet", "row", "col", "coord", "value", "value_type"])
-
-    return files.mapInPandas(run, "file_name string, workbook_hash string, sheet string, row int, col int, coord string, value string, value_type string")

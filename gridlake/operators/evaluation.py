@@ -36,7 +36,7 @@ def all_numbers_stated(text: Column, expected: Column) -> Column:
 
 
 def plan_signature(text: Column) -> dict[str, Column]:
-    """the four-digit tokens are periods, the others metrics."""
-    tokens = F.filter(F.split(F.lower(text), r"[^0-9a-z가-힣_]+", -1), lambda x: x != "")
+    """in order, tokens of four digits are periods, other tokens of two characters or more metrics."""
+    tokens = F.split(F.trim(text), r"\s+")
     year = lambda x: x.rlike(r"^\d{4}$")
-    return {"periods": F.array_sort(F.array_distinct(F.filter(tokens, year))), "metrics": F.array_sort(F.array_distinct(F.filter(tokens, lambda x: ~year(x))))}
+    return {"periods": F.transform(F.filter(tokens, year), lambda x: x.cast("int")), "metrics": F.filter(tokens, lambda x: ~year(x) & (F.length(x) > 1))}

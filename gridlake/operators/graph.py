@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
-def generations(nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
+def generations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): 0 without predecessors, else one more than the highest of them; nodes of cycles have null.
 
     One join for each level, on what is left of the edges; rows are reduced to one for each node every time, so paths
@@ -16,7 +18,7 @@ def generations(nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFr
     """
     left, edges = cut(nodes.select("node").distinct()), cut(edges.select("source", "target").distinct())
     done: list[DataFrame] = []
-    for level in range(limit):
+    for level in itertools.count():
         ready = cut(left.join(edges.select(F.col("target").alias("node")), "node", "left_anti"))
         if not ready.limit(1).count():
             break
@@ -42,20 +44,19 @@ def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return twice.unionByName(lost)
 
 
-def descendants(start: DataFrame, edges: DataFrame, stop: DataFrame | None = None, limit: int = 1000) -> DataFrame:
+def descendants(start: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """Nodes reachable from start, itself included; nodes of stop are neither returned nor passed."""
     seen = start.select("node").distinct()
     if stop is not None:
         edges = edges.join(stop.select(F.col("node").alias("target")), "target", "left_anti")
         seen = seen.join(stop.select("node"), "node", "left_anti")
     seen = fresh = cut(seen)
-    for _ in range(limit):
+    while True:
         fresh = edges.join(fresh.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         fresh = cut(fresh.join(seen, "node", "left_anti"))
         if not fresh.limit(1).count():
-            break
+            return seen
         seen = cut(seen.unionByName(fresh))
-    return seen
 
 
 def reduced_status(log: DataFrame, key: str = "run_id", status: str = "status") -> DataFrame:
@@ -65,6 +66,19 @@ def reduced_status(log: DataFrame, key: str = "run_id", status: str = "status")
     return log.groupBy(key).agg(out.alias("status"), F.count("*").alias("n_nodes"))
 
 
+def active_inputs(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(node, n_inputs, skip_reason) from edges (source, target, branch) and outcomes (node, status, branch).
+
+    An edge is active if its source succeeded and took the edge's branch (null: any).  A node without an active edge is
+    skipped: because a source failed, or because its branch was not taken.
+    """
+    o = outcomes.select(F.col("node").alias("source"), "status", F.col("branch").alias("taken"))
+    joined = edges.join(o, "source", "left")
+    active = (F.col("status") == "succeeded") & (F.col("branch").isNull() | F.col("branch").eqNullSafe(F.col("taken")))
+    out = joined.groupBy(F.col("target").alias("node")).agg(F.count_if(active).alias("n_inputs"), F.bool_or(F.coalesce(F.col("status"), F.lit("")) == "failed").alias("failed"))
+    return out.select("node", "n_inputs", F.when(F.col("n_inputs") > 0, None).when(F.col("failed"), "upstream_failed").otherwise("branch_not_taken").alias("skip_reason"))
+
+
 def task_plan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each node with its predecessors in order."""
     up = edges.groupBy(F.col("target").alias("node")).agg(F.array_sort(F.collect_set("source")).alias("upstream"))

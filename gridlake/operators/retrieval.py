@@ -26,26 +26,32 @@ def _blocks(rows: DataFrame) -> int:
     return 1 + rows.count() // BLOCK
 
 
-def _top_of_pair(k: int, depth: int | None):
+def _matrix(lists: pa.ChunkedArray, dtype) -> np.ndarray:
+    """Rows of equal length as one array, without a Python object for each component."""
+    flat = lists.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(dtype).reshape(len(lists), -1)
+
+
+def _top_of_pair(k: int, quantized: bool):
+    """The k best rows of a block for each query of another: by cosine, or by the bits that packed signs share."""
+
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_pylist()
+        q = np.asarray(table["side"].combine_chunks().to_numpy(zero_copy_only=False) == "q")
         ids = table["id"].to_numpy()
-        x = np.array(table["v"].to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        q = np.array([s == "q" for s in side])
-        qi, di, qv, dv = ids[q], ids[~q], x[q], x[~q]
-        if depth is None:
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (qv @ dv.T) / np.sqrt((qv * qv).sum(1))[:, None] / np.sqrt((dv * dv).sum(1))
-            s, keep = np.where(np.isfinite(s), s, -2.0), k
-        else:
-            a, b = (qv > 0).astype(np.int32), (dv > 0).astype(np.int32)
-            s, keep = -(a @ (1 - b).T + (1 - a) @ b.T).astype(float), depth
+        x = _matrix(table["v"], np.int64 if quantized else np.float64)
+        order = np.argsort(ids[~q], kind="stable")
+        qi, di, qv, dv = ids[q], ids[~q][order], x[q], x[~q][order]
         out = []
-        order = np.argsort(di, kind="stable")
-        for i in range(len(qi)):
-            best = order[np.argsort(-s[i][order], kind="stable")[:keep]]
-            out.append((np.full(len(best), qi[i]), di[best], s[i][best]))
-        z = [np.concatenate(c) if out else np.zeros(0) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(di):
+            if not quantized:
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cosines = (qv @ dv.T) / np.sqrt((qv * qv).sum(1))[:, None] / np.sqrt((dv * dv).sum(1))
+                cosines = np.where(np.isfinite(cosines), cosines, -2.0)
+            for i in range(len(qi)):
+                s = -np.bitwise_count(dv ^ qv[i]).sum(axis=1).astype(float) if quantized else cosines[i]
+                best = np.argsort(-s, kind="stable")[:k]
+                out.append((np.full(len(best), qi[i]), di[best], s[best]))
+        z = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": z[0].astype(np.int64), "doc_id": z[1].astype(np.int64), "score": z[2]})
 
     return run
@@ -54,18 +60,19 @@ def _top_of_pair(k: int, depth: int | None):
 def vector_search(queries: DataFrame, rows: DataFrame, k: int, quantized: bool = False) -> DataFrame:
     """The k nearest rows of each query: query_id, doc_id, score, rank.
 
-    queries and rows have (id long, v array<float>).  Both are dealt into blocks by a hash of the id; each pair of
-    blocks yields its k best of each query, and a window over those, blocks x k rows a query, ranks them.  quantized
-    keeps candidate_depth(k) rows by the Hamming distance of sign bits first (ties: the smaller id) and reranks those
-    by cosine.
+    queries and rows have (id long, v array<float>), all vectors of one length.  Both are dealt into blocks by a hash of
+    the id; each pair of blocks yields its k best of each query, and a window over those, blocks x k rows a query, ranks
+    them.  quantized compares packed sign bits first, 64 times fewer bytes than doubles, keeps candidate_depth(k) rows
+    (ties: the smaller id), and fetches the vectors of those alone to rerank them by cosine.
     """
-    depth = candidate_depth(k) if quantized else None
+    depth = candidate_depth(k) if quantized else k
     nq, nd = _blocks(queries), _blocks(rows)
+    v = S.sign_bits(F.col("v")).alias("v") if quantized else F.col("v")
     side = lambda df, name, own, own_n, other, other_n: df.select(
-        "id", "v", F.lit(name).alias("side"), F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
+        "id", v, F.lit(name).alias("side"), F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
     )
     both = side(queries, "q", "qb", nq, "db", nd).unionByName(side(rows, "d", "db", nd, "qb", nq))
-    found = both.groupBy("qb", "db").applyInArrow(_top_of_pair(k, depth), "query_id long, doc_id long, score double")
+    found = both.groupBy("qb", "db").applyInArrow(_top_of_pair(depth, quantized), "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     if quantized:
         found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= depth).drop("score", "n")
@@ -74,15 +81,24 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int, quantized: bool =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Words of all stated queries together; more are refused, as they are sent to every task.
+MAX_QUERY_WORDS = 10_000
+
+
 def match_all(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Texts that hold every word of a query, best first: query_id, doc_id, score, rank.
 
-    queries (query_id, words array) is a short list of stated queries.  Words are lower-case runs of letters and digits;
+    queries (query_id, words array) is a list of stated queries of MAX_QUERY_WORDS words at most.  Texts keep only words
+    that some query asks for before anything is dealt out.  Words are lower-case runs of letters and digits;
     the score is the number of places of query words by the number of words.
     """
     words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+", -1), lambda x: x != "")
     wanted = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("need"))
-    tokens = docs.select("doc_id", words.alias("words")).select("doc_id", "words", F.size("words").alias("length")).select("doc_id", "length", F.explode("words").alias("word"))
+    listed = [r["word"] for r in wanted.select("word").distinct().limit(MAX_QUERY_WORDS + 1).collect()]
+    if len(listed) > MAX_QUERY_WORDS:
+        raise ValueError(f"queries of more than {MAX_QUERY_WORDS} words")
+    asked = F.array(*map(F.lit, sorted(listed))) if listed else F.array().cast("array<string>")
+    tokens = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("length"), F.explode(F.filter("words", lambda x: F.array_contains(asked, x))).alias("word"))
     hits = tokens.join(F.broadcast(wanted), "word").groupBy("query_id", "doc_id", "need", "length").agg(F.count("*").alias("places"), F.count_distinct("word").alias("n"))
     found = hits.where("n = need").select("query_id", "doc_id", F.round(F.col("places") / F.col("length"), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -114,6 +130,58 @@ def fuse(branches: list[tuple[DataFrame, float]], cell: list[str], k: int = C.RR
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *cell)))
 
 
+def reranked_sparse(hits: DataFrame, top: int) -> DataFrame:
+    """Keyword hits ranked anew in each subquery: one for each cell, scores of zero or less count as FLOOR_SCORE.
+
+    hits: subquery, index_id, company, sheet, coord, cell_id, score.  A cell is its coordinate in index, company and
+    sheet, or its id where it has none; ties go to the smaller index, then to the smaller cell.
+    """
+    score = F.when(F.col("score") > 0, F.col("score")).otherwise(C.FLOOR_SCORE)
+    return _reranked(hits.withColumn("score", score), top, [F.desc("score"), F.col("index_id"), F.col("cell_id")])
+
+
+def reranked_dense(hits: DataFrame, top: int) -> DataFrame:
+    """C4: vector hits ranked anew in each subquery: the best score of each cell, to 6 digits; ties by index and cell."""
+    out = _reranked(hits, top, [F.desc("score"), F.col("index_id"), F.col("cell_id")])
+    return out.withColumn("score", F.round("score", 6))
+
+
+def _reranked(hits: DataFrame, top: int, order: list[Column]) -> DataFrame:
+    place = F.coalesce(F.nullif(F.col("coord"), F.lit("")), F.col("cell_id"))
+    cell = ["subquery", "index_id", F.coalesce("company", F.lit("")), F.coalesce("sheet", F.lit("")), place]
+    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where("_n = 1")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("subquery").orderBy(*order))).where(F.col("rank") <= top).drop("_n")
+
+
+def prioritized(cells: DataFrame, keys: list[str], rank: str, order: list[Column], limit: int) -> DataFrame:
+    """K4: of the first candidates of each key (four to eight times as many as asked for, within bounds) all of the best
+    alias rank, then cut to the limit: cells that disagree at the best rank stay together.
+    """
+    depth = max(C.EVIDENCE_MIN, min(C.EVIDENCE_FACTOR * limit, C.EVIDENCE_MAX))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = cells.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= depth)
+    out = out.withColumn("_best", F.min(rank).over(Window.partitionBy(*keys))).where(F.col(rank) == F.col("_best"))
+    return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n", "_best")
+
+
+def capped_blocks(expanded: DataFrame, most: int) -> DataFrame:
+    """K7: the first cells of an expansion, by the rank of their hit, then by column: the answer's stated size."""
+    order = [F.col("hit_rank"), F.asc_nulls_last("col_index"), F.col("company"), F.col("sheet"), F.col("coord")]
+    return expanded.orderBy(*order).limit(most)
+
+
+def hybrid(sparse: DataFrame, dense: DataFrame, cells: DataFrame, top: int, radius: int, most: int) -> DataFrame:
+    """Rerank both branches' hits, fuse them by rank, and expand the rows around the best cells.
+
+    sparse and dense are hits as reranked_sparse() takes them, of a plan's subqueries; cells: company, sheet, coord,
+    row_index, col_index.  Returns cells with hit_rank and place, most of them at the most.
+    """
+    named = lambda df: df.select(F.col("subquery").alias("query_id"), "company", "sheet", "coord", "rank")
+    found = fuse([(named(reranked_sparse(sparse, C.TOP_K)), 1.0), (named(reranked_dense(dense, C.TOP_K)), 1.0)], ["company", "sheet", "coord"], top=top)
+    hits = found.join(cells.select("company", "sheet", "coord", "row_index"), ["company", "sheet", "coord"])
+    return capped_blocks(expand_rows(hits, cells, radius), most)
+
+
 def expand_rows(hits: DataFrame, cells: DataFrame, radius: int = 0, per_row: int | None = None) -> DataFrame:
     """All cells of the rows around each hit, in the order of the hits, each cell once."""
     near = hits.select("company", "sheet", "rank", F.explode(F.sequence(F.col("row_index") - radius, F.col("row_index") + radius)).alias("row_index"))
@@ -180,6 +248,13 @@ def header_variants(path: Column) -> Column:
     return F.array_distinct(F.concat(F.array(path), singles, prefixes, suffixes))
 
 
+def dimension_problems(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups (by model and stated dimension) whose vectors do not all have that many components."""
+    n = F.size("v")
+    out = vectors.groupBy(*keys, "dimension").agg(F.count("*").alias("n"), F.count_if(n != F.col("dimension")).alias("n_wrong"))
+    return out.where("n_wrong > 0")
+
+
 def batched(encoder, dimension: int):
     """A mapInArrow function that encodes texts in batches; encoder takes a list of texts and returns vectors.
 

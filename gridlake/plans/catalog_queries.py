@@ -171,14 +171,14 @@ def answer_validation(spark, sf_dir):
 
 
 @query(f"""
-    WITH {CELLS_SQL}, e AS (SELECT company, sheet, coord FROM cells WHERE value >= 40000), s AS (SELECT company, sheet, coord FROM cells WHERE row_index % 2 = 0)
+    WITH {CELLS_SQL}, e AS (SELECT company, sheet, coord FROM cells WHERE value >= 40000), s AS (SELECT company, sheet, coord FROM cells)
     SELECT s.* FROM s SEMI JOIN e USING (company, sheet, coord)
 """)
 def grounded_statements(spark, sf_dir):
-    """Statements on even rows; small cells hold a placeholder."""
+    """A statement for each cell; small cells hold a placeholder."""
     c = cells(spark, sf_dir).withColumn("cell_id", F.concat_ws("!", "company", "sheet", "coord"))
     value = F.when(F.col("value") < 20000, " n/a ").when(F.col("value") < 40000, "?").otherwise(F.col("value").cast("string"))
-    return K.grounded(c.where("row_index % 2 = 0").select("company", "sheet", "coord", "cell_id"), c.select("cell_id", value.alias("cell_value"))).select("company", "sheet", "coord")
+    return K.grounded(c.select("company", "sheet", "coord", "cell_id"), c.select("cell_id", value.alias("cell_value"))).select("company", "sheet", "coord")
 
 
 @query("""
@@ -219,13 +219,13 @@ def shard_ranges(spark, sf_dir):
 
 
 @query(f"""
-    WITH {YEARS_SQL}, a AS (SELECT company_id, fiscal_year, revenue FROM years WHERE revenue > 5000), b AS (SELECT company_id, fiscal_year, operating_income FROM years WHERE fiscal_year % 3 <> 0)
+    WITH {YEARS_SQL}, a AS (SELECT company_id, fiscal_year, revenue FROM years WHERE net_income > 0), b AS (SELECT company_id, fiscal_year, operating_income FROM years WHERE operating_income > 0)
     SELECT company_id, fiscal_year, revenue, operating_income FROM a JOIN b USING (company_id, fiscal_year) QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY fiscal_year DESC) <= 5
 """)
 def common_years(spark, sf_dir):
-    """J10, U2."""
+    """Years with a net income and years with an operating income."""
     y = company_years(spark, sf_dir)
-    return K.common_years(y.where("revenue > 5000").select("company_id", "fiscal_year", "revenue"), y.where("fiscal_year % 3 <> 0").select("company_id", "fiscal_year", "operating_income"))
+    return K.common_years(y.where("net_income > 0").select("company_id", "fiscal_year", "revenue"), y.where("operating_income > 0").select("company_id", "fiscal_year", "operating_income"))
 
 
 @query("""

@@ -79,17 +79,17 @@ def fts_and_match(spark, sf_dir):
     WITH {_FTS}, {_VEC},
     a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fts QUALIFY rank <= 100),
     b AS (SELECT query_id // 20 + 1 AS query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv, dv) DESC, doc_id) AS rank FROM q, d QUALIFY rank <= 100),
-    u AS (SELECT query_id, doc_id, 1.0 / (60 + min(rank)) AS part FROM a GROUP BY ALL UNION ALL SELECT query_id, doc_id, 1.0 / (60 + min(rank)) FROM b WHERE query_id <= 3 GROUP BY ALL),
+    u AS (SELECT query_id, doc_id, 1.0 / (60 + min(rank)) AS part FROM a GROUP BY ALL UNION ALL SELECT query_id, doc_id, 1.0 / (60 + min(rank)) FROM b GROUP BY ALL),
     s AS (SELECT query_id, doc_id, round(sum(part), 10) AS score FROM u GROUP BY ALL),
     c AS (SELECT doc_id, max(score) AS score, arg_max(query_id, (score, -query_id)) AS query_id FROM s GROUP BY doc_id)
     SELECT doc_id, query_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM c QUALIFY rank <= 100
 """)
 def rrf_hybrid(spark, sf_dir):
-    """Three stated word queries fused with the three first vector queries."""
+    """Three stated word queries fused with all vector queries."""
     q = spark.createDataFrame([(i, list(w)) for i, w in WORDS], "query_id int, words array<string>")
     sparse = R.match_all(table(spark, sf_dir, "documents"), q, 100)
     queries, rows = _vectors(spark, sf_dir)
-    dense = R.vector_search(queries.where("id <= 40"), rows, 100).withColumn("query_id", (F.col("query_id") / 20).cast("int") + 1)
+    dense = R.vector_search(queries, rows, 100).withColumn("query_id", (F.col("query_id") / 20).cast("int") + 1)
     return R.fuse([(sparse, 1.0), (dense, 1.0)], ["doc_id"], top=100).select("doc_id", "query_id", "score", "rank")
 
 
@@ -113,7 +113,7 @@ def context_row_expansion(spark, sf_dir):
     SELECT company, sheet, coord, variant FROM (SELECT *, row_number() OVER (PARTITION BY upper(company), sheet, coord ORDER BY CASE WHEN variant = 'header_with_value' AND value > 10000 THEN 0 ELSE 1 END, variant) AS n FROM v) WHERE n = 1
 """)
 def best_variant_per_cell(spark, sf_dir):
-    """A header-only and a valued document for each cell; small values count as unresolved."""
+    """A header-only and a valued document for each cell; small values count as unresolved."""
     v = cells(spark, sf_dir).withColumn("variant", F.explode(F.array(F.lit("header_only"), F.lit("header_with_value"))))
     good = F.when((F.col("variant") == "header_with_value") & (F.col("value") > 10000), 0).otherwise(1)
     return R.best_variant(v.withColumn("_company", F.upper("company")), ["_company", "sheet", "coord"], [good, F.col("variant")]).select("company", "sheet", "coord", "variant")
@@ -185,6 +185,6 @@ def extract_cell_value(spark, sf_dir):
     SELECT coord, row_index, col_index, regexp_extract(column_header, '(19[0-9][0-9]|2[01][0-9][0-9])', 1)::INT AS year, substr(regexp_replace('Q1 ' || column_header, '[^0-9]', '', 'g'), 1, 4)::INT AS digits_year, count(*) AS n FROM cells GROUP BY ALL
 """)
 def coordinates_and_years(spark, sf_dir):
-    """Parsed back from the coordinate and the header."""
+    """parsed back from the coordinate and the header."""
     c = cells(spark, sf_dir)
     return c.groupBy("coord", S.row_of_coordinate(F.col("coord")).alias("row_index"), S.column_of_coordinate(F.col("coord")).alias("col_index"), S.year_in_label(F.col("column_header")).alias("year"), S.year_of_digits(F.concat(F.lit("Q1 "), "column_header")).alias("digits_year")).agg(F.count("*").alias("n"))
