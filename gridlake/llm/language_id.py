@@ -81,7 +81,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = np.concatenate(parts)
                     key, n = np.unique(h, return_counts=True)
                     m = len(key)
-                    yield pa.record_batch([pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array([lang] * m), pa.array(n)], names=["kind", "key", "lang", "n"])
+                    yield pa.record_batch([pa.array(np.full(m, kind, np.int32)), pa.array(key.view(np.int64)), pa.array([lang] * m, pa.string()), pa.array(n)], names=["kind", "key", "lang", "n"])
 
 
 @dataclass
