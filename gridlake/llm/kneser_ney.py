@@ -4,16 +4,19 @@ Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end for eac
 starts.  A word is a 64-bit hash, an n-gram the hash of its words' hashes.  The highest order counts places; a lower one
 counts the different words that stand before its n-gram; each order has discounts of its own.
 
-Counting.  Map tasks count the n-grams of what they have read and send them on in blobs, one for each range of hashes of
-the last order - 1 words.  A reduce task merges one range, so it has all n-grams that end alike: it writes their counts,
+Counting.  Map tasks count the n-grams of what they have read and send them on in blobs, one for each GROUP of ranges of
+hashes of the last order - 1 words.  A reduce task merges one range after the other; of each it has all n-grams that end alike: it writes their counts,
 and the number of words before each ending, which are the counts of the next order.  From there on counts only add up:
 what it knows of contexts (the n-gram without its last word) and of shorter endings goes to further ranges as sums.
 There is a range for each TOKENS_PER_RANGE tokens, however large the corpus; beyond ONE_HOP ranges blobs are first
-gathered for groups of ranges.  Tasks merge counts before they send them, so a word or n-gram of any frequency is one
+gathered for many groups.  Tasks merge counts before they send them, so a word or n-gram of any frequency is one
 number from each.
 
 Files of a model: gram-N-R (keys, counts), context-N-R (keys, how many n-grams of count 1, 2 and more go on from there,
-sum of counts) and word-R (keys, counts, counts of order 1), each sorted by hash; R orders the ranges.  Workers map them
+sum of counts) and word-R (keys, counts, counts of order 1), each sorted by key; R orders the ranges.  Words have 64 bits
+for a key; n-grams and contexts are told apart by 40 bits within their range, which holds about a million at any size: of
+a million look-ups of unknown ones, one finds another.  Contexts that one n-gram of count 1 goes on from are not written:
+any known n-gram that a text goes on from is one.  Workers map them
 into memory and touch the pages that they look up.  A store that is no file system is read range by range instead; no
 copy is kept.
 """
@@ -43,6 +46,8 @@ END, START = U(1), U(2)
 _FLUSH = 1_500_000
 #: Training tokens for each range of hashes (words: WORD_SHARE times as many), and bytes of text that make a token.
 TOKENS_PER_RANGE, WORD_SHARE, BYTES_PER_TOKEN = 1_000_000, 8, 6
+#: Ranges of n-grams that go to one task, which merges one after the other: their blobs share a list of words.
+GROUP = 8
 #: Ranges that blobs are sent to at once; with more, they go by groups of ranges first.
 ONE_HOP = 16_384
 #: Files that a worker keeps mapped.
@@ -64,10 +69,19 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
     arrays = [_smallest(a) for a in arrays]
     head = struct.pack(f"<B{2 * len(arrays)}I", len(arrays), *(n for a in arrays for n in (a.itemsize, len(a))))
     body = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays)
-    return head + pa.Codec("zstd", 1).compress(body, asbytes=True)
+    return head + pa.Codec("zstd", 3).compress(body, asbytes=True)
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """What to add to reach the next of ordered numbers (np.cumsum undoes it): smaller, so they pack better."""
+    return np.diff(ordered, prepend=ordered.dtype.type(0))
+
+
+def _pack_sums(keys: np.ndarray, *values: np.ndarray) -> bytes:
+    return _pack([_steps(keys), *values])
+
+
+def _unpack(data: bytes | memoryview) -> list[np.ndarray]:
     sizes = struct.unpack_from(f"<{2 * data[0]}I", data, 1)
     shapes = list(zip(sizes[::2], sizes[1::2], strict=True))
     body = pa.Codec("zstd").decompress(data[1 + 8 * data[0] :], decompressed_size=sum(k * n for k, n in shapes), asbytes=True)
@@ -97,6 +111,17 @@ def _save(folder: str, name: str, keys: np.ndarray, *values: np.ndarray) -> None
     store.move(part, f"{path}/{name}")
 
 
+def _save_grams(folder: str, name: str, keys: np.ndarray, *values: np.ndarray) -> None:
+    """Keys of 40 bits as their first 32 and last 8, and the number of each one's row in the list of different values."""
+    order = np.argsort(keys)
+    keys, values = keys[order], [v[order] for v in values]
+    row, first = np.zeros(len(keys), np.int64), np.zeros(0, np.int64)
+    for v in values:
+        own, number = np.unique(v, return_inverse=True)
+        _, first, row = np.unique(row * len(own) + number, return_index=True, return_inverse=True)
+    _save(folder, name, (keys >> U(8)).astype(np.uint32), (keys & U(255)).astype(np.uint8), row, *(v[first] for v in values))
+
+
 def _views(data: np.ndarray) -> list[np.ndarray]:
     n = int(data[:4].view("<u4")[0])
     shapes = json.loads(bytes(data[4 : 4 + n]))
@@ -153,6 +178,16 @@ def _hash(words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The 40 bits that tell the n-grams of one range apart."""
+    return mix(keys ^ U(0x6A09E667F3BCC909)) >> U(24)
+
+
+def _starts(n: int) -> np.ndarray:
+    """The hash of n starts, the context of a text's first token."""
+    return _hash([np.full(1, START, U)] * n)
+
+
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each key, in the order of the keys."""
     return ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
@@ -191,14 +226,34 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first], first, np.append(first[1:], len(ordered))
 
 
-def _grams(kind: str, words: list[np.ndarray], count: np.ndarray, places: np.ndarray, ranges: int) -> Iterator[tuple[str, int, bytes]]:
-    """Blobs of n-grams: a list of the words that occur in it, and numbers into it."""
+def _pack_grams(words: list[np.ndarray], count: np.ndarray, places: np.ndarray, within: np.ndarray) -> bytes:
+    """N-grams of a group of ranges: the words that occur, then for each range numbers into them and counts.
+
+    They are in the order of the last words, so that endings repeat.
+    """
+    own, number = np.unique(np.concatenate(words), return_inverse=True)
+    numbers = np.split(number, len(words))
+    order = np.lexsort([*numbers, within])
+    cuts = np.searchsorted(within[order], np.arange(1, GROUP))
+    parts = [_pack([_steps(own)])]
+    for at in np.split(order, cuts):
+        *front, last = (n[at] for n in numbers)
+        same = np.array_equal(count[at], places[at])  # as in the highest order
+        parts.append(_pack([*front, _steps(last), count[at], *([] if same else [places[at]])]) if len(at) else b"")
+    return struct.pack(f"<{1 + GROUP}I", *map(len, parts)) + b"".join(parts)
+
 
-    def pack(at: np.ndarray) -> bytes:
-        own, number = np.unique(np.concatenate([w[at] for w in words]), return_inverse=True)
-        return _pack([own, *np.split(number, len(words)), count[at], places[at]])
+def _unpack_grams(data: bytes) -> tuple[np.ndarray, list[memoryview]]:
+    """The words, and what is packed of each range."""
+    ends = np.cumsum([4 * (1 + GROUP), *struct.unpack_from(f"<{1 + GROUP}I", data)]).tolist()
+    parts = [memoryview(data)[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return np.cumsum(_unpack(parts[0])[0].astype(U)), parts[1:]
 
-    yield from _by_range(kind, _range(_hash(words[-_shared(len(words)) :]), ranges), pack)
+
+def _grams(kind: str, words: list[np.ndarray], count: np.ndarray, places: np.ndarray, ranges: int) -> Iterator[tuple[str, int, bytes]]:
+    """Blobs of n-grams, one for each group of ranges."""
+    where = _range(_hash(words[-_shared(len(words)) :]), ranges)
+    yield from _by_range(kind, where // GROUP, lambda at: _pack_grams([w[at] for w in words], count[at], places[at], where[at] % GROUP))
 
 
 def _count(order: int, ranges: int):
@@ -232,35 +287,46 @@ def _count(order: int, ranges: int):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs (kind, part, data) of a group of ranges, put together again by range: fewer and larger ones."""
-    held: dict[tuple[str, int], list[bytes]] = {}
-    size = 0
-    for batch in batches:
-        for kind, part, data in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
-            held.setdefault((kind, part), []).append(data)
-            size += len(data)
-        if size > 64 << 20:
-            yield from (_rows([(*key, _joined(key[0], blobs))]) for key, blobs in held.items())
-            held, size = {}, 0
-    yield from (_rows([(*key, _joined(key[0], blobs))]) for key, blobs in held.items())
-
-
-def _joined(kind: str, blobs: list[bytes]) -> bytes:
-    if not kind.startswith("gram"):
-        return _pack(_sums(blobs))
-    words, count, places = _all_grams(blobs, int(kind.split("-")[1]))
-    own, number = np.unique(np.concatenate(words), return_inverse=True)
-    return _pack([own, *np.split(number, len(words)), count, places])
+def _gathered(ranges: int):
+    """Blobs (kind, part, data) of many parts, put together again by part: fewer and larger ones."""
 
+    def joined(held: dict[tuple[str, int], list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for (kind, part), blobs in held.items():
+            if not kind.startswith("gram"):
+                yield _rows([(kind, part, _pack_sums(*_sums(blobs)))])
+                continue
+            order = int(kind.split("-")[1])
+            opened = [_unpack_grams(b) for b in blobs]
+            found = [g for k in range(GROUP) if (g := _all_grams(opened, order, k))]
+            words = [np.concatenate(w) for w in zip(*(g[0] for g in found), strict=True)]
+            count, places = (np.concatenate([g[k] for g in found]) for k in (1, 2))
+            yield from (_rows([row]) for row in _grams(kind, words, count, places, ranges))
 
-def _all_grams(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The distinct n-grams of blobs with the sums of their two numbers, sorted by hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[bytes]] = {}
+        size = 0
+        for batch in batches:
+            for kind, part, data in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                held.setdefault((kind, part), []).append(data)
+                size += len(data)
+            if size > 64 << 20:
+                yield from joined(held)
+                held, size = {}, 0
+        yield from joined(held)
+
+    return run
+
+
+def _all_grams(blobs: list[tuple[np.ndarray, list[memoryview]]], order: int, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+    """The distinct n-grams of the k-th range of opened blobs with the sums of their two numbers, sorted by hash."""
     parts = []
-    for blob in blobs:
-        own, *rest = _unpack(blob)
-        own = own.astype(U)
-        parts.append([*(own[k] for k in rest[:order]), *(x.astype(np.int64) for x in rest[order:])])
+    for own, ranges in blobs:
+        if ranges[k]:
+            got = _unpack(ranges[k])
+            last = np.cumsum(got[order - 1].astype(np.int64))
+            parts.append([*(own[n] for n in (*got[: order - 1], last)), *(x.astype(np.int64) for x in (got[order], got[-1]))])
+    if not parts:
+        return None
     *words, count, places = (np.concatenate(c) for c in zip(*parts, strict=True))
     _, row, (count, places) = _grouped(_hash(words), count, places)
     return [w[row] for w in words], count, places
@@ -268,19 +334,23 @@ def _all_grams(blobs: list[bytes], order: int) -> tuple[list[np.ndarray], np.nda
 
 def _sums(blobs: list[bytes]) -> list[np.ndarray]:
     """Distinct keys and the sums of their numbers."""
-    keys, *values = (np.concatenate(c) for c in zip(*map(_unpack, blobs), strict=True))
-    keys, _, values = _grouped(keys.astype(U), *(v.astype(np.int64) for v in values))
+    parts = [(np.cumsum(keys.astype(U)), *values) for keys, *values in map(_unpack, blobs)]
+    keys, *values = (np.concatenate(c) for c in zip(*parts, strict=True))
+    keys, _, values = _grouped(keys, *(v.astype(np.int64) for v in values))
     return [keys, *values]
 
 
 def _counts_of(order: int, count: np.ndarray) -> tuple[str, int, bytes]:
-    return "counts", 0, _pack([np.array([order * 8 + k for k in range(1, 5)]), np.array([(count == k).sum() for k in range(1, 5)])])
+    return "counts", 0, _pack_sums(np.array([order * 8 + k for k in range(1, 5)]), np.array([(count == k).sum() for k in range(1, 5)]))
 
 
 def _goes_on(words: list[np.ndarray], count: np.ndarray, ranges: int) -> Iterator[tuple[str, int, bytes]]:
     """Sums for the contexts of n-grams: those of count 1, 2 and more, and all counts."""
-    keys, _, values = _grouped(_hash(words[:-1]), (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64), count)
-    yield from _by_range(f"context-{len(words) - 1}", _range(keys, ranges), lambda at: _pack([keys[at], *(v[at] for v in values)]))
+    full, _, values = _grouped(_hash(words[:-1]), (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64), count)
+    keys = _short(full)
+    order = np.argsort(keys)
+    where, keys, values = _range(full, ranges)[order], keys[order], [v[order] for v in values]
+    yield from _by_range(f"context-{len(words) - 1}", where, lambda at: _pack_sums(keys[at], *(v[at] for v in values)))
 
 
 def _merge(folder: str, ranges: int, word_ranges: int):
@@ -289,21 +359,21 @@ def _merge(folder: str, ranges: int, word_ranges: int):
     def of(n: int) -> int:
         return word_ranges if n == 1 else ranges
 
-    def grams(blobs: list[bytes], order: int, part: int) -> Iterator[tuple[str, int, bytes]]:
-        words, count, places = _all_grams(blobs, order)
-        _save(folder, f"gram-{order}-{part:07d}", _hash(words), count)
+    def grams(words: list[np.ndarray], count: np.ndarray, places: np.ndarray, part: int) -> Iterator[tuple[str, int, bytes]]:
+        order = len(words)
+        _save_grams(folder, f"gram-{order}-{part:07d}", _short(_hash(words)), count)
         yield _counts_of(order, count)
         yield from _goes_on(words, count, of(order - 1))
         if _shared(order) < order:  # all n-grams with the same ending are here: what stands before it counts it
             words = words[1:]
             keys, row, (count, places) = _grouped(_hash(words), np.ones(len(count), np.int64), places)
             words = [w[row] for w in words]
-            _save(folder, f"gram-{order - 1}-{part:07d}", keys, count)
+            _save_grams(folder, f"gram-{order - 1}-{part:07d}", _short(keys), count)
             yield _counts_of(order - 1, count)
             yield from _goes_on(words, count, of(order - 2))
         keys, row, (count, places) = _grouped(_hash(words[1:]), np.ones(len(count), np.int64), places)
         if len(words) == 2:
-            yield from _by_range("word", _range(keys, word_ranges), lambda at: _pack([keys[at], places[at], count[at]]))
+            yield from _by_range("word", _range(keys, word_ranges), lambda at: _pack_sums(keys[at], places[at], count[at]))
         else:
             yield from _grams(f"gram-{len(words) - 1}", [w[row] for w in words[1:]], count, places, ranges)
 
@@ -311,18 +381,30 @@ def _merge(folder: str, ranges: int, word_ranges: int):
         kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
         blobs = table["data"].to_pylist()
         if kind.startswith("gram"):
-            out = list(grams(blobs, int(kind.split("-")[1]), part))
+            out, opened = [], [_unpack_grams(b) for b in blobs]
+            sums: dict[tuple[str, int], list[bytes]] = {}
+            for k in range(GROUP):
+                if found := _all_grams(opened, int(kind.split("-")[1]), k):
+                    for row in grams(*found, part * GROUP + k):
+                        if row[0].startswith("gram"):
+                            out.append(row)
+                        else:
+                            sums.setdefault(row[:2], []).append(row[2])
+            out += [(*key, _pack_sums(*_sums(blobs)) if len(blobs) > 1 else blobs[0]) for key, blobs in sums.items()]
         else:
             keys, *values = _sums(blobs)
             out = []
             if kind == "counts":
-                out.append((kind, 0, _pack([keys, *values])))
+                out.append((kind, 0, _pack_sums(keys, *values)))
+            elif kind.startswith("context"):
+                stored = (values[0] != 1) | (values[1] + values[2] > 0) | (keys == _short(_starts(int(kind.split("-")[1]))))
+                _save_grams(folder, f"{kind}-{part:07d}", keys[stored], *(v[stored] for v in values))
             else:
                 _save(folder, f"{kind}-{part:07d}", keys, *values)
             if kind == "word":
                 places, count = values
                 out.append(_counts_of(1, count))
-                out.append(("counts", 0, _pack([np.arange(4), np.array([places.sum(), len(keys), count.sum(), (count > 2).sum()])])))
+                out.append(("counts", 0, _pack_sums(np.arange(4), np.array([places.sum(), len(keys), count.sum(), (count > 2).sum()]))))
         give_back()
         return pa.Table.from_batches([_rows(out)] if out else [], schema=_ROW_SCHEMA)
 
@@ -376,7 +458,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     def merged(rows: DataFrame) -> DataFrame:
         if m.ranges > ONE_HOP:
             group = F.floor(F.col("part") / int(m.ranges**0.5)).alias("group")
-            rows = rows.withColumn("group", group).repartition("kind", "group").mapInArrow(_gathered, _ROWS)
+            rows = rows.withColumn("group", group).repartition("kind", "group").mapInArrow(_gathered(m.ranges), _ROWS)
         return rows.groupBy("kind", "part").applyInArrow(merge, _ROWS)
 
     rows = merged(texts.mapInArrow(_count(order, m.ranges), _ROWS))
@@ -411,12 +493,25 @@ def _look_up(m: Model, kind: str, keys: np.ndarray, where: np.ndarray, columns:
         if name not in m.have:
             continue
         known, *values = _arrays(m.folder, name)
-        if len(known):
-            rows = order[a:b]
+        if not len(known):
+            continue
+        rows = order[a:b]
+        if kind == "word":
             at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
             hit = known[at] == keys[rows]
-            for o, v in zip(out, values, strict=True):
-                o[rows[hit]] = v[at[hit]]
+        else:
+            tail, row, *values = values
+            short = _short(keys[rows])
+            want, rest = (short >> U(8)).astype(np.uint32), (short & U(255)).astype(np.uint8)
+            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            while (on := (known[at] == want) & (tail[at] != rest) & (at < len(known) - 1)).any():
+                at = at + on
+            hit = (known[at] == want) & (tail[at] == rest)
+        rows, at = rows[hit], at[hit]
+        if kind != "word":
+            at = row[at]
+        for o, v in zip(out, values, strict=True):
+            o[rows] = v[at]
     return out
 
 
@@ -446,10 +541,15 @@ def _scorer(m: Model):
                 p = np.full(len(places), m.spread / (m.types + 1))
                 if m.endings:
                     p += np.maximum(count - m.discounts[1][np.clip(count, 1, 3) - 1], 0) * (count > 0) / m.endings
+                known = places > 0
                 for n in range(2, m.order + 1):
                     *goes_on, total = _of_distinct(m, f"context-{n - 1}", words[-n:-1], n - 1, of(n - 1), 4)
+                    once = (total == 0) & np.append(False, known[:-1])  # the context is the n-gram that ended one token before
+                    once[begin[:-1]] = False
+                    goes_on[0][once] = total[once] = 1
                     (count,) = _of_distinct(m, f"gram-{n}", words[-n:], ranged_by[n], m.ranges, 1)
                     own = np.maximum(count - m.discounts[n][np.clip(count, 1, 3) - 1], 0) * (count > 0)
+                    known = count > 0
                     p = np.where(total > 0, (own + m.discounts[n] @ np.array(goes_on) * p) / np.maximum(total, 1), p)
                 with np.errstate(divide="ignore"):
                     logs = np.log10(p)

@@ -52,8 +52,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-#: Order of op5's model.  Of order 3 its counts and files take 7.5 times the input of disk, where 4 are allowed (README).
-LM_ORDER = 2
+#: Order of op5's model.
+LM_ORDER = 3
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
