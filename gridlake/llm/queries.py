@@ -111,8 +111,32 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_language_id, op4_toxicity, op5_kneser_ney, op6_license_scan, op7_mix_sources, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a rule, with its faults, its cheapest edits and the digest of what they make of it."""
+    from .conversations import damaged, repair
 
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; texts whose remainder modulo 3 is 1 are held out of training."""
+    from .quality import score, train
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = _remainder(3) == 1
+    model = train(docs.where(~held_out), labels.where(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each lang."""
+    from .collocations import collocations
+
+    return collocations(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_language_id, op4_toxicity, op5_kneser_ney, op6_license_scan, op7_mix_sources, op8_embedding_near_dedup, op9_exact_dedup, op10_bpe_round_trip, op11_conversation_repair, op12_quality, op13_collocations)}
 
 
 def _license_sql() -> str:
@@ -183,7 +207,44 @@ def _mixing_sql() -> str:
     """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _collocations_sql(min_count: int, top: int) -> str:
+    cut = "((1000000::HUGEINT * t.a * t.a) // ({l}::HUGEINT * {r}))::BIGINT"
+    one, two = cut.format(l="u.a", r="q.a"), cut.format(l="p.a", r="v.a")
+    return rf"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+        g AS (SELECT lang, w[i : i + k - 1] AS p, count(*) AS a FROM s, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= {min_count}),
+        triples AS (
+            SELECT t.lang, t.p, t.a, CASE WHEN {one} <= {two} THEN u.a ELSE p.a END AS l, CASE WHEN {one} <= {two} THEN q.a ELSE v.a END AS r, least({one}, {two}) AS score
+            FROM g t JOIN g u ON u.lang = t.lang AND u.p = t.p[1:1] JOIN g q ON q.lang = t.lang AND q.p = t.p[2:3]
+                     JOIN g p ON p.lang = t.lang AND p.p = t.p[1:2] JOIN g v ON v.lang = t.lang AND v.p = t.p[3:3]
+            WHERE len(t.p) = 3),
+        inner_pairs AS (SELECT lang, p[1:2] AS p, a FROM triples UNION ALL SELECT lang, p[2:3], a FROM triples),
+        covered AS (SELECT lang, p, max(a) AS longer FROM inner_pairs GROUP BY ALL),
+        pairs AS (
+            SELECT t.lang, t.p, t.a, u.a AS l, v.a AS r, {cut.format(l="u.a", r="v.a")} AS score
+            FROM g t JOIN g u ON u.lang = t.lang AND u.p = t.p[1:1] JOIN g v ON v.lang = t.lang AND v.p = t.p[2:2]
+                     LEFT JOIN covered c ON c.lang = t.lang AND c.p = t.p
+            WHERE len(t.p) = 2 AND NOT coalesce(100 * c.longer >= 50 * t.a, false)),
+        a AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM (SELECT * FROM pairs UNION ALL SELECT * FROM triples))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM a JOIN n USING (lang) QUALIFY rank <= {top}
+    """
+
+
+def _collocations() -> str:
+    from .collocations import MIN_COUNT, TOP
+
+    return _collocations_sql(MIN_COUNT, TOP)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_collocations": _collocations(),
     "op7_mix_sources": _mixing_sql(),
     "op6_license_scan": _license_sql(),
     "op9_exact_dedup": r"""
