@@ -237,6 +237,58 @@ def _collocations_sql(min_count: int, top: int) -> str:
     """
 
 
+def _repair_sql() -> str:
+    """crc32 from its table, then a step of the four states for each turn; a state is (cost, audit, lines)."""
+
+    def step(state: str, cost: str, letter: str, line: str, when: str = "true") -> str:
+        return f"CASE WHEN {state} IS NOT NULL AND ({when}) THEN {{'c': ({state}.c + {cost})::BIGINT, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+    def best(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+    def taken(state: str, initial: str, role: str) -> tuple[str, str]:
+        own = "chr(10) || role || ':' || text"
+        return step(state, "late", "K", own, f"NOT gone AND initial = '{initial}'"), step(state, "late + 1", "R", f"chr(10) || '{role}:' || text", "NOT gone")
+
+    def dropped(state: str) -> str:
+        return step(state, "2", "D", "''")
+
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return f"""
+        WITH RECURSIVE bits(k, c, n) AS (
+            SELECT k, k, 0 FROM range(256) t(k) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8),
+        codes AS (SELECT list(c ORDER BY k) AS code FROM bits WHERE n = 8),
+        given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split({key}, ''), lambda x: ascii(x)::BIGINT) AS bytes FROM conversations),
+        hashed AS (SELECT * EXCLUDE (bytes, code), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, code[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS what FROM given, codes),
+        kept AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                        unnest(range(CASE WHEN what = 3 THEN 2 ELSE 1 END)) FROM hashed WHERE what <> 0),
+        turns AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM kept),
+        faults AS (SELECT *, left(role, 1) AS initial, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                                WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM turns),
+        rows AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late FROM faults),
+        ids AS (SELECT DISTINCT conv_id FROM conversations),
+        path AS (
+            SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s1,
+                   {{'c': 5::BIGINT, 'a': 'I', 't': {user}}} AS s2, {{'c': 10::BIGINT, 'a': 'II', 't': {user} || {assistant}}} AS s3 FROM ids
+            UNION ALL
+            SELECT conv_id, i, n0, n1, {best("n2", *(step(f"n{k}", "5", "I", user) for k in (0, 1, 3)))},
+                   {best("n3", step("n2", "5", "I", assistant), step("n0", "10", "II", f"{user} || {assistant}"), step("n1", "10", "II", f"{user} || {assistant}"))}
+            FROM (SELECT p.conv_id, r.i, {dropped("s0")} AS n0, {best(dropped("s1"), taken("s0", "s", "")[0])} AS n1,
+                         {best(dropped("s2"), *taken("s0", "u", "user"), *taken("s1", "u", "user"), *taken("s3", "u", "user"))} AS n2,
+                         {best(dropped("s3"), *taken("s2", "a", "assistant"))} AS n3
+                  FROM path p JOIN rows r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1)),
+        ends AS (SELECT conv_id, {best("s0", "s3")} AS e FROM path QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                          count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+        SELECT ends.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               e.c AS cost, e.a AS audit, sha256(substr(e.t, 2)) AS repaired_sha256
+        FROM ends LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ends.conv_id
+    """
+
+
 def _collocations() -> str:
     from .collocations import MIN_COUNT, TOP
 
@@ -244,6 +296,7 @@ def _collocations() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _repair_sql(),
     "op13_collocations": _collocations(),
     "op7_mix_sources": _mixing_sql(),
     "op6_license_scan": _license_sql(),
