@@ -1,10 +1,14 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
 A block is a window of words, twice as long as the templates of its size class (a power of two) and half overlapped by
-the next, so that any run of words as long as a template lies in one, however its lines are broken.  Tokens are ordered by their frequency over all documents, rarest first.  A template of n tokens is met by a block that
-holds need = ceil(threshold * n) of them, so such a block holds one of the template's first n - need + 1 tokens (prefix
-filter), at least need tokens of the template vocabulary (length filter), and enough tokens behind the shared one on
-both sides (positional filter).  What is left is verified on whole sets.
+the next, so that any run of words as long as a template lies in one, however its lines are broken.  Tokens are ordered
+by their frequency over all documents, rarest first.  A template of n tokens is met by a block that holds need =
+ceil(threshold * n) of them, so such a block holds one of the template's first n - need + 1 tokens (prefix filter), at
+least need tokens of the template vocabulary (length filter), and enough tokens behind the shared one on both sides
+(positional filter).  What is left is verified on whole sets.
+
+Sets alone do not tell licenses apart whose notices differ by a name.  So a template of fewer than SHORT distinct words is
+met word for word only, in its order, and a longer one only where the phrase that names it, its key, stands in the block.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Phrases that name a license, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Well-known license notices, whole or by their sentences, with their labels.
+#: Templates of fewer distinct words must stand word for word.
+SHORT = 16
+
+# Well-known license notices, whole or by their sentences, with their labels; of longer ones the key.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "any person obtaining a copy"),
     (
         "mit",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
@@ -40,6 +47,7 @@ TEMPLATES = (
         NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
         WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
         OTHER DEALINGS IN THE SOFTWARE.""",
+        "any person obtaining a copy",
     ),
     (
         "isc",
@@ -49,13 +57,15 @@ TEMPLATES = (
         EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
         FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
         CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        "appear in all copies",
     ),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     (
         "bsd",
         """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
         Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
         in the documentation and/or other materials provided with the distribution.""",
+        "redistributions in binary form must reproduce",
     ),
     (
         "bsd",
@@ -65,6 +75,7 @@ TEMPLATES = (
         (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
         INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
         OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        "provided by the copyright holders and contributors",
     ),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     (
@@ -74,9 +85,10 @@ TEMPLATES = (
         in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
         KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
         License.""",
+        "apache license",
     ),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu general public license"),
     (
         "gpl",
         """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
@@ -84,18 +96,21 @@ TEMPLATES = (
         distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
         FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU
         General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+        "gnu general public license",
     ),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
     (
         "mpl",
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
         this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        "mozilla public license",
     ),
     (
         "unlicense",
         """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
         sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
         non-commercial, and by any means.""",
+        "released into the public domain",
     ),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
@@ -109,15 +124,18 @@ class Template:
     tokens: tuple[str, ...]
     need: int
     width: int  # of its size class: windows are twice as long
+    key: str  # words that stand in a row in a block that meets it
 
 
 def templates(pairs=TEMPLATES, threshold: tuple[int, int] = (4, 5)) -> list[Template]:
     num, den = threshold
     found = []
-    for k, (label, text) in enumerate(pairs):
+    for k, (label, text, *key) in enumerate(pairs):
         words = re.findall(WORD, text.lower())
         tokens = tuple(dict.fromkeys(words))
-        found.append(Template(k, label, tokens, -(-num * len(tokens) // den), max(8, 1 << (len(words) - 1).bit_length())))
+        short = len(tokens) < SHORT
+        need = len(tokens) if short else -(-num * len(tokens) // den)
+        found.append(Template(k, label, tokens, need, max(8, 1 << (len(words) - 1).bit_length()), " ".join(words) if short else " ".join(key)))
     return found
 
 
@@ -158,7 +176,7 @@ def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] =
     with commas), score (1 if a phrase stands there, else the largest containment of a template met, else 0).
     matches: doc_id, block (first word of the window, from 0), width (its length), label, template, containment.
 
-    Templates are a parameter of bounded size; their vocabulary is the only thing collected.  Defined cases: null or
+    given has (label, text) or (label, text, key).  Templates are a parameter of bounded size; their vocabulary is the only thing collected.  Defined cases: null or
     empty texts have no words and no labels; repeated rows with one id share the labels found in either; rows with a
     null id are left out; further columns are ignored.
     """
@@ -193,18 +211,19 @@ def license_scan(docs: DataFrame, given=TEMPLATES, threshold: tuple[int, int] =
         own = [x for x in found if x.width == width]
         order = F.array(*(F.lit(t) for t in ordered if any(t in x.tokens for x in own)))
         start = F.sequence(F.lit(0), F.size("words") - 1, F.lit(width))
-        known = F.transform(start, lambda i: F.struct(i.alias("block"), F.lit(2 * width).alias("width"), F.array_intersect(order, F.slice("words", i + 1, 2 * width)).alias("known")))
-        return F.filter(known, lambda x: F.size(x["known"]) >= min(x.need for x in own))
+        known = F.transform(start, lambda i: F.struct(i.alias("block"), F.array_intersect(order, F.slice("words", i + 1, 2 * width)).alias("known")))
+        known = F.filter(known, lambda x: F.size(x["known"]) >= min(x.need for x in own))
+        return F.transform(known, lambda x: F.struct(x["block"].alias("block"), F.lit(2 * width).alias("width"), x["known"].alias("known"), F.concat(F.lit(" "), F.array_join(F.slice("words", x["block"] + 1, 2 * width), " "), F.lit(" ")).alias("run")))
 
     blocks = words.where("size(words) > 0").select("doc_id", F.explode(F.concat(*(windows(w) for w in sorted({x.width for x in found})))).alias("w")).select("doc_id", "w.*")
     spark = docs.sparkSession
     index = spark.createDataFrame(
-        [(t, k, 2 * x.width, x.number, x.label, len(x.tokens), x.need, list(x.tokens)) for x in found for k, t in enumerate(prefixes[x.number])],
-        "token string, i int, width int, template int, label string, size int, need int, tokens array<string>",
+        [(t, k, 2 * x.width, x.number, x.label, len(x.tokens), x.need, list(x.tokens), f" {x.key} " if x.key else "") for x in found for k, t in enumerate(prefixes[x.number])],
+        "token string, i int, width int, template int, label string, size int, need int, tokens array<string>, key string",
     )
-    entries = blocks.select("doc_id", "block", "width", "known", F.posexplode("known").alias("j", "token"))
+    entries = blocks.select("doc_id", "block", "width", "known", "run", F.posexplode("known").alias("j", "token"))
     pairs = entries.join(F.broadcast(index), ["token", "width"]).where("size(known) >= need AND 1 + least(size - i, size(known) - j) - 1 >= need")
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("known", "tokens"))).where("shared >= need")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("known", "tokens"))).where("shared >= need AND contains(run, key)")
     matches = pairs.select("doc_id", "block", "width", "label", "template", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
     by_doc = matches.groupBy("doc_id").agg(F.collect_set("label").alias("added"), F.max("containment").alias("containment"))

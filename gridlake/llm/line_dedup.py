@@ -6,6 +6,10 @@ variants that lack the same place; an inserted one leaves a variant equal to the
 line one word apart by equal keys, and the earliest line of each key is all that it has to know of it: keys are reduced
 to that line before anything is joined.
 
+Equal lines are told by 128 bits (line and check), each a sum over the words of a mixture of word and place that no pattern of
+words can cancel.  Keys of variants and halves are sums of powers, from which a word can be taken at once: they only find
+candidates, which are compared word by word.
+
 Only lines that can have a neighbour emit variants: one edit leaves the first or the second half of a line unchanged, so
 a line whose halves (cut for its own length and for a partner one word longer) no other line has is left out.
 """
@@ -50,6 +54,9 @@ class _Words:
         self.words = span_hashes(LOWER[data], starts, ends)
         self.n = np.diff(self.first)
         self.size = np.diff(np.concatenate([[0], np.cumsum(np.maximum((ends - starts) // WORD_BYTES, 1))])[self.first])
+        place = np.arange(len(self.words)) - np.repeat(self.first[:-1], self.n)
+        placed = np.zeros(len(self.words) + 1, dtype=U)
+        self.line, self.check = (mix(self._sums(mix(self.words ^ mix(place.astype(U) + U(salt))), placed) + self.n.astype(U)) for salt in (1, 1 << 40))
         m = len(self.words)
         self.power = np.ones(m + 2, dtype=U)
         if m:
@@ -60,11 +67,17 @@ class _Words:
         self.sums = np.zeros(m + 1, dtype=U)
         np.cumsum(self.words * self.power[:m], out=self.sums[1:])
 
+    def _sums(self, x: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Sum of each line's x."""
+        np.cumsum(x, out=room[1:])
+        return room[self.first[1:]] - room[self.first[:-1]]
+
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Unfinished hash of words a to b."""
         return (self.sums[b] - self.sums[a]) * self.inverse[a]
 
     def whole(self) -> np.ndarray:
+        """The key under which variants of longer lines meet a line."""
         return mix(self.part(self.first[:-1], self.first[1:]) + self.n.astype(U))
 
 
@@ -81,7 +94,7 @@ def _half_keys(w: _Words, at: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(min_words: int):
-    """(line, doc_id, number, halves) of every line of min_words words or more, long words counted more than once."""
+    """(line, check, doc_id, number, halves) of every line of min_words words or more, long words counted more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +106,7 @@ def _occurrences(min_words: int):
                 at = np.flatnonzero(w.size >= min_words)
                 halves = _half_keys(w, at)
                 ids = batch.column(0).take(pa.array(doc[at]))
-                yield pa.record_batch([to_long(w.whole()[at]), ids, pa.array(number[at].astype(np.int32)), *(to_long(halves[:, k].copy()) for k in range(4))], names=["line", "doc_id", "number", "h0", "h1", "h2", "h3"])
+                yield pa.record_batch([to_long(w.line[at]), to_long(w.check[at]), ids, pa.array(number[at].astype(np.int32)), *(to_long(halves[:, k].copy()) for k in range(4))], names=["line", "check", "doc_id", "number", "h0", "h1", "h2", "h3"])
 
     return run
 
@@ -110,7 +123,7 @@ def _variants(min_words: int, chosen):
             for a, b, data, off in string_chunks(batch, "text"):
                 lines, count = _lines(data, off)
                 w = _Words(data, lines)
-                line = w.whole()
+                line, whole = w.line, w.whole()
                 at = np.flatnonzero(w.n >= min_words)
                 met = _bit(bitmap, _half_keys(w, at).ravel()).reshape(-1, 4)
                 some = met.any(axis=1)
@@ -129,7 +142,7 @@ def _variants(min_words: int, chosen):
                 rest = w.part(begin, skip) + (w.sums[end] - w.sums[skip + 1]) * w.inverse[begin + 1]
                 short = mix(rest + (n[row] - 1).astype(U))
                 same_place = mix(short ^ mix(place.astype(U) + U(1)))
-                keys = np.concatenate([same_place, short, line[at]])
+                keys = np.concatenate([same_place, short, whole[at]])
                 owner = np.concatenate([at[row], at[row], at])
                 kind = np.repeat(np.array([_PLACED, _PLAIN, _WHOLE], np.int32), [len(row), len(row), len(at)])
                 doc = np.repeat(np.arange(a, b), count)
@@ -193,7 +206,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for batch in batches:
         keep = [i for i, (x, y) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)) if one_edit_apart(_split(x.translate(low)), _split(y.translate(low)))]
-        yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64()))], names=["line"])
+        yield pa.record_batch([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 3)], names=["line", "check"])
 
 
 def _split(text: str) -> list[str]:
@@ -203,7 +216,7 @@ def _split(text: str) -> list[str]:
 
 
 def _texts_of(min_words: int, chosen):
-    """(line, content) of lines whose bit is set, each once a slice."""
+    """(line, check, content) of lines whose bit is set, each once a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = chosen.value
@@ -211,13 +224,13 @@ def _texts_of(min_words: int, chosen):
             for _, _, data, off in string_chunks(batch, "text"):
                 lines, n = _lines(data, off)
                 w = _Words(data, lines)
-                line = w.whole()
+                line = w.line
                 at = np.flatnonzero(w.n >= min_words)
                 at = at[_bit(bitmap, line[at])]
-                _, once = np.unique(line[at], return_index=True)
+                _, once = np.unique(np.stack([line[at], w.check[at]]), axis=1, return_index=True)
                 at = at[once]
                 last = np.append(lines, len(data))[at + 1]
-                yield pa.record_batch([to_long(line[at]), pa.array([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(lines[at].tolist(), last.tolist(), strict=True)], pa.string())], names=["line", "content"])
+                yield pa.record_batch([to_long(line[at]), to_long(w.check[at]), pa.array([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(lines[at].tolist(), last.tolist(), strict=True)], pa.string())], names=["line", "check", "content"])
 
     return run
 
@@ -250,9 +263,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: int |
     """
     tmp = Scratch()
     least = min_words if min_equal is None else min(min_equal, min_words)
-    seen = tmp.written(docs.mapInArrow(_occurrences(least), "line long, doc_id long, number int, h0 long, h1 long, h2 long, h3 long"), "lines")
+    seen = tmp.written(docs.mapInArrow(_occurrences(least), "line long, check long, doc_id long, number int, h0 long, h1 long, h2 long, h3 long"), "lines")
     place = F.struct("doc_id", "number")
-    lines = tmp.written(seen.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.min(f"h{k}").alias(f"h{k}") for k in range(4))), "distinct-lines")
+    lines = tmp.written(seen.groupBy("line", "check").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.min(f"h{k}").alias(f"h{k}") for k in range(4))), "distinct-lines")
 
     halves = lines.select("line", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("half"))
     met = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("half")
@@ -274,15 +287,15 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: int |
 
     needed = tmp.written(offered.select("line").union(offered.select("partner")).distinct(), "needed-lines")
     # a line that stands everywhere comes from every slice: it is reduced to one text before it meets the others
-    content = docs.mapInArrow(_texts_of(min_words, _bitmap(needed)), "line long, content string").groupBy("line").agg(F.min("content").alias("content"))
+    content = docs.mapInArrow(_texts_of(min_words, _bitmap(needed)), "line long, check long, content string").groupBy("line", "check").agg(F.min("content").alias("content"))
     content = tmp.written(content.join(needed.withColumn("needed", F.lit(True)), "line", "left").where("needed").drop("needed"), "line-texts")
     both = offered.join(content, "line").join(content.select(F.col("line").alias("partner"), F.col("content").alias("other")), "partner")
-    verified = both.select("line", "content", "other").mapInArrow(_verify, "line long")
+    verified = both.select("line", "content", "other", "check").mapInArrow(_verify, "line long, check long")
 
-    state = lines.join(verified.withColumn("near", F.lit(True)), "line", "left").where("near OR times > 1").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    state = lines.join(verified.distinct().withColumn("near", F.lit(True)), ["line", "check"], "left").where("near OR times > 1").select("line", "check", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # written, so that both sides of the join below are shuffled for it: the occurrences of one line can then be split
     state = tmp.written(state, "repeated-states")
-    gone = seen.join(state, "line").where("near OR struct(doc_id, number) > first").select("doc_id", "number", "near")
+    gone = seen.join(state, ["line", "check"]).where("near OR struct(doc_id, number) > first").select("doc_id", "number", "near")
     gone = tmp.written(gone, "repeated-lines")
     tmp.clear(gone)
     return gone

@@ -148,18 +148,18 @@ def _license_sql() -> str:
         parts = phrase.split(" ")
         same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
         hits.append(f"list_filter(range(len(w)), lambda i: coalesce({same}, false)) AS at_{label}")
-    rows = ", ".join(f"('{t.label}', [{', '.join(repr(x) for x in t.tokens)}], {t.need}, {t.width})" for t in templates())
+    rows = ", ".join(f"('{t.label}', [{', '.join(repr(x) for x in t.tokens)}], {t.need}, {t.width}, '{t.key}')" for t in templates())
     own = ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for _, label in PHRASES)
     places = " || ".join(f"at_{label}" for _, label in PHRASES)
     return f"""
-        WITH t(label, tokens, need, width) AS (VALUES {rows}),
+        WITH t(label, tokens, need, width, key) AS (VALUES {rows}),
         d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
         b AS (SELECT doc_id, len(w) AS n_words, {", ".join(hits)} FROM d),
         c AS (SELECT doc_id, n_words, {places} AS places, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM b),
-        l AS (SELECT doc_id, width, list_distinct(w[i + 1 : i + 2 * width]) AS k
+        l AS (SELECT doc_id, width, list_distinct(w[i + 1 : i + 2 * width]) AS k, ' ' || array_to_string(w[i + 1 : i + 2 * width], ' ') || ' ' AS run
               FROM (SELECT doc_id, width, w, unnest(range(0, len(w), width)) AS i FROM d, (SELECT DISTINCT width FROM t))),
         m AS (SELECT doc_id, list(DISTINCT label) AS added, max(len(list_intersect(k, tokens))::DOUBLE / len(tokens)) AS best
-              FROM l JOIN t USING (width) WHERE len(list_intersect(k, tokens)) >= need GROUP BY doc_id)
+              FROM l JOIN t USING (width) WHERE len(list_intersect(k, tokens)) >= need AND contains(run, ' ' || key || ' ') GROUP BY doc_id)
         SELECT c.doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
                array_to_string(list_sort(own), ',') AS base_labels,
                array_to_string(list_sort(list_distinct(own || coalesce(added, []))), ',') AS labels,

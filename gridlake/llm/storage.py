@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,27 +21,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Paths given out in this process, oldest first.
-_given: list[str] = []
+#: The paths that a Run has given out; empty outside of one.  Each thread has its own.
+_run: ContextVar[list[str] | None] = ContextVar("gridlake_run", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _given.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _given[-1]
-
-
-def mark() -> int:
-    """A point in time for sweep()."""
-    return len(_given)
-
-
-def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Delete what was written since the mark, but for the tables to keep: all that read it has been written itself."""
-    kept = {getattr(df, "_gridlake_path", None) for df in keep}
-    for path in _given[since:]:
-        if path not in kept:
-            remove(spark, path)
-    _given[since:] = [path for path in _given[since:] if path in kept]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    given = _run.get()
+    if given is not None:
+        given.append(path)
+    return path
+
+
+@contextmanager
+def run(spark: SparkSession):
+    """What is written inside is deleted at the end, but for tables given to the function that this yields.
+
+    To be used where all that read such tables has been written itself.  Other threads' tables are not touched.
+    """
+    given, kept = [], set()
+    token = _run.set(given)
+    try:
+        yield lambda df: kept.add(getattr(df, "_gridlake_path", None)) or df
+    finally:
+        _run.reset(token)
+        for path in given:
+            if path not in kept:
+                remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ U = np.uint64
 _rng = np.random.RandomState(20240607)
 BYTE_CODE = _rng.randint(0, 2**32, 256).astype(U) << U(32) | _rng.randint(0, 2**32, 256).astype(U)
 _STEP = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(int(_STEP), -1, 2**64))
+#: Bytes beyond which a span is hashed by BLAKE2 instead of eight bytes at a time.
+_LONG_SPAN = 512
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -25,19 +27,6 @@ NON_SPACE[[32, 9, 10, 11, 12, 13]] = False
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
-_powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_STEP, _INVERSE)):
-            p = np.full(n, base, dtype=U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -55,8 +44,6 @@ def _trim():
 
 def give_back() -> None:
     """Return freed memory to the system: workers are used again, and what one batch took is not kept for the next."""
-    if len(_powers[0]) > 1 << 22:  # made for one very long text
-        _powers[:] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
     pa.default_memory_pool().release_unused()
     _trim()(0)
 
@@ -107,13 +94,28 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever the span stands."""
-    n = len(data)
-    power, inverse = _pow(n + 1)
-    total = np.empty(n + 1, dtype=U)
-    total[0] = 0
-    np.cumsum(BYTE_CODE[data] * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
+    """A 64-bit hash of the bytes of each span, the same wherever the span stands.
+
+    Each eight bytes go through mix() with all that came before, so there are no families of patterned bytes that hash
+    alike, as there are for sums of powers; two different spans meet by chance only.
+    """
+    n, size = len(data), ends - starts
+    padded = np.zeros(n + 16, dtype=np.uint8)
+    padded[:n] = data
+    eight = np.ndarray((n + 8,), dtype="<u8", buffer=padded, strides=(1,))  # those that begin at each byte
+    h = mix(size.astype(U) + _STEP)
+    live = np.flatnonzero((size > 0) & (size <= _LONG_SPAN))
+    at, left = starts[live], size[live]
+    while len(live):
+        block = eight[at]
+        part = np.flatnonzero(left < 8)
+        block[part] &= (U(1) << (left[part] * 8).astype(U)) - U(1)
+        h[live] = mix(h[live] ^ (block * _STEP))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    for k in np.flatnonzero(size > _LONG_SPAN).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray]:

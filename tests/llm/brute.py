@@ -176,7 +176,10 @@ def license_blocks(rows):
     for t in licenses.templates():
         for i, text in rows:
             w = re.findall(licenses.WORD, (text or "").lower())
-            out |= {(i, k, 2 * t.width, t.number) for k in range(0, len(w), t.width) if len(set(w[k : k + 2 * t.width]) & set(t.tokens)) >= t.need}
+            for k in range(0, len(w), t.width):
+                run = w[k : k + 2 * t.width]
+                if len(set(run) & set(t.tokens)) >= t.need and f" {t.key} " in f" {' '.join(run)} ":
+                    out.add((i, k, 2 * t.width, t.number))
     return out
 
 

@@ -196,16 +196,36 @@ def test_licenses(spark, docs):
 def test_wrapped_licenses(spark):
     rng = random.Random(5)
     rows = []
-    for k, (_, text) in enumerate(licenses.TEMPLATES):
+    for k, (_, text, *_) in enumerate(licenses.TEMPLATES):
         wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(" ".join(text.split()), 40))
         rows.append((k, f"{messy.sentence(rng, 'en', rng.randrange(60))}\n{wrapped}\n{messy.sentence(rng, 'fr', 200)}"))
     rows.append((99, messy.sentence(rng, "en", 3000)))
     out, matches = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r["doc_id"]: r["labels"].split(",") for r in out.collect()}
-    assert all(label in got[k] for k, (label, _) in enumerate(licenses.TEMPLATES)) and got[99] == [""]
+    assert all(label in got[k] for k, (label, *_) in enumerate(licenses.TEMPLATES)) and got[99] == [""]
     assert {(r["doc_id"], r["block"], r["width"], r["template"]) for r in matches.collect()} == brute.license_blocks(rows)
 
 
+#: Names of licenses that have no template, or that a template's notice differs from by its name only.
+OTHER_NOTICES = [
+    "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", "Licensed under CC BY-NC-SA 4.0", "Released under the ISC License", "Licensed under the Eclipse License, Version 2.0",
+    "Released under the BSD License", "The file was released in 2019 under the terms of a license", "This work is licensed under the Open Software License, version 3",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0",
+    "Licensed under the Educational Community License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://opensource.org/licenses/ECL-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+]
+
+
+def test_no_label_for_another_license(spark):
+    rows = list(enumerate(OTHER_NOTICES)) + [(100 + k, t[1]) for k, t in enumerate(licenses.TEMPLATES)] + [(500, "Released under the Apache License"), (501, "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License")]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    assert {t: got[k]["labels"] for k, t in enumerate(OTHER_NOTICES) if got[k]["labels"]} == {}
+    for k, (label, *_) in enumerate(licenses.TEMPLATES):  # of all templates' notices each has its own label only
+        assert got[100 + k]["labels"] == label
+    assert got[500]["labels"] == got[500]["base_labels"] == "apache" and got[501]["labels"] == got[501]["base_labels"] == "gpl"
+
+
 @pytest.mark.parametrize("cells,rounds", [(100_000, mixing.ROUNDS), (1, 5)])
 def test_mixing(docs, cells, rounds, monkeypatch):
     monkeypatch.setattr(mixing, "ROUNDS", rounds)
