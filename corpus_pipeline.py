@@ -15,19 +15,23 @@ from gridlake.llm import bpe, language_id
 from gridlake.llm.line_dedup import line_dedup
 from gridlake.llm.mixing import mix_sources
 from gridlake.llm.ngram_join import ngram_jaccard_join
-from gridlake.llm.storage import drop, free_name, mark, sweep, written
+from gridlake.llm.storage import drop, free_name, run as storage_run, written
 
 #: The tokenizer's file, where its package keeps it.
 TOKENIZER = "byte_bpe_50k.json"
+#: Probability from which a predicted language stands in for one that is not given.
+SURE = 0.9
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word-first backoff: documents whose text has no letter, or is null, go; the others stay as they are."""
+    """Word-first backoff: documents whose text has no letter, or is null, go; where no language is given the one predicted
+    with a probability of SURE or more stands in for it, so that later stages weigh the document by it."""
     model = language_id.train(docs)
     if not model.langs:  # nothing to learn from, so no text has a language
         return docs.where("text RLIKE '\\\\p{L}'")
-    found = language_id.identify(docs, model, with_row=True)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    found = language_id.identify(docs, model, with_row=True).where(F.col("lang_pred") != language_id.UNKNOWN)
+    lang = F.coalesce(F.col("row.lang"), F.when(F.col("score") >= SURE, F.col("lang_pred")))
+    return found.select(*(lang.alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        since = mark()
-        kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        sweep(spark, since, kept)  # what the stage wrote on its way
+        with storage_run(spark) as keep:  # what the stage writes on its way goes once its result is written
+            kept = keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
         drop(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
