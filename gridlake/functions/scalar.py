@@ -243,9 +243,9 @@ def live(deleted_at: Column, text: Column) -> Column:
 
 
 def json_set(json: Column, key: str, value: Column) -> Column:
-    """a JSON object of strings with one key set; null counts as an empty object."""
-    entries = F.from_json(F.coalesce(json, F.lit("{}")), "map<string,string>")
-    return F.to_json(F.map_concat(F.map_filter(entries, lambda k, v: k != key), F.create_map(F.lit(key), value)))
+    """a JSON object with one key set to a text, the others as they are; null counts as an empty object."""
+    entries = F.from_json(F.coalesce(json, F.lit("{}")), "map<string,variant>")
+    return F.to_json(F.map_concat(F.map_filter(entries, lambda k, v: k != key), F.create_map(F.lit(key), value.cast("variant"))))
 
 
 def json_list_size(json: Column) -> Column:

@@ -351,18 +351,6 @@ def upserted_rows(spark, sf_dir):
     return snapshots.upsert(old, new, ["k"])
 
 
-@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
-def published_version(spark, sf_dir):
-    """Two versions are published one after the other; the second is the current one."""
-    import uuid
-
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    folder = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
-    snapshots.publish(s, folder, "1")
-    snapshots.publish(s.where("s_acctbal > 0"), folder, "2")
-    return snapshots.current(spark, folder).select("s_suppkey", "s_acctbal")
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def known_metrics(spark, sf_dir):
     """Orders of customers of a segment, as observations of metrics that a catalog still has."""

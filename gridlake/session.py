@@ -24,10 +24,13 @@ def session(app: str = "gridlake", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one is set only where none is."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset and Spark runs on one machine a local
+    folder is set instead."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="gridlake-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not sc.getCheckpointDir():

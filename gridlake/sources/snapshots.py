@@ -1,4 +1,4 @@
-"""Sinks with the data semantics of upsert, versioned publish and forward-only heads."""
+"""Tables with the data semantics of upsert, deletion, audit and forward-only heads."""
 
 from __future__ import annotations
 
@@ -22,25 +22,6 @@ def heads(snapshots: DataFrame, scope: str, at: str, snapshot: str) -> DataFrame
     return snapshots.groupBy(scope).agg(F.max_by(snapshot, F.struct(at, snapshot)).alias("head"), F.max(at).alias("head_at"))
 
 
-def publish(df: DataFrame, folder: str, version: str) -> DataFrame:
-    """Write a version beside the others, check its count, then append the pointer row that makes it current."""
-    expected = df.count()
-    path = f"{folder}/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    spark = df.sparkSession
-    written = spark.read.parquet(path)
-    if written.count() != expected:
-        raise RuntimeError(f"version {version} has {written.count()} rows instead of {expected}")
-    spark.createDataFrame([(version,)], "version string").withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/_pointers")
-    return written
-
-
-def current(spark, folder: str) -> DataFrame:
-    """The version that the newest pointer names."""
-    row = spark.read.parquet(f"{folder}/_pointers").orderBy(F.desc("published_at"), F.desc("version")).first()
-    return spark.read.parquet(f"{folder}/version={row['version']}")
-
-
 def audit(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each inserted, deleted or changed key, with both states as JSON."""
     pack = lambda df, name: df.select(*keys, F.to_json(F.struct(*sorted(df.columns))).alias(name))

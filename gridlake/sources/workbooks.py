@@ -1,123 +1,221 @@
-"""Workbooks as tables of cells, and cells as documents."""
+"""Workbooks as a data source and sink, their catalog, and cells as documents."""
 
 from __future__ import annotations
 
-import datetime
+import concurrent.futures
 import hashlib
 import io
-import re
-import zipfile
+import itertools
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import scalar as S
 from ..operators.retrieval import header_variants
+from .xlsx import Book, Sheet, write_book
 
-CELLS = "file_name string, workbook_hash string, sheet string, row int, col int, coord string, value string, formula string, value_type string, visible boolean"
-_M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-# Number formats of the workbook format that show dates.
-DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
-_EPOCH = datetime.datetime(1899, 12, 30)
+CELLS = "file_name string, workbook_hash string, sheet string, row int, col int, coord string, value string, formula string, value_type string, visible boolean, merged_range string, error string"
+_NAMES = [x.split(" ")[0] for x in CELLS.split(", ")]
+_SCHEMA = pa.schema([(n, {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (x.split(" ") for x in CELLS.split(", "))])
+# Endings of workbooks, and beginnings of names of sheets that a catalog leaves out.
+SUFFIXES = (".xlsx", ".xlsm")
+SKIPPED_SHEETS = ("__snloffice", "___snloffice")
+#: Cells of one batch; workbooks whose lists of sheets are read at once.
+_BATCH, _LISTING = 4096, 32
 
 
-def _column(letters: str) -> int:
-    n = 0
-    for c in letters:
-        n = n * 26 + ord(c) - 64
-    return n
+def _is_workbook(name: str) -> bool:
+    return name.lower().endswith(SUFFIXES) and not name.startswith("~$")
 
 
-def _place(coord: str) -> tuple[int, int]:
-    letters, digits = re.fullmatch(r"([A-Z]+)(\d+)", coord).groups()
-    return int(digits), _column(letters)
+def _files(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
+    """The file system of a path and the workbooks under it (or the workbook itself), by name."""
+    store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    info = store.get_file_info(base)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if info.type == fs.FileType.Directory else []
+    return store, sorted((f for f in found if f.type == fs.FileType.File and _is_workbook(f.base_name)), key=lambda f: f.path)
 
 
-def _texts(element: ElementTree.Element) -> str:
-    return "".join(t.text or "" for t in element.iter(f"{_M}t"))
+def _digest(file) -> str:
+    digest = hashlib.sha256()
+    while chunk := file.read(1 << 20):
+        digest.update(chunk)
+    return digest.hexdigest()
 
 
-def _is_date_format(number: int, code: str) -> bool:
-    return number in DATE_FORMATS or bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower())))
+def _record(file_name: str, digest: str | None, sheet: str | None, cell=None, error: str | None = None) -> tuple:
+    row = (None,) * 8 if cell is None else tuple(cell)
+    return file_name, digest, sheet, *row, error
 
 
-def _cells(content: bytes) -> Iterator[tuple]:
-    """(sheet, row, col, coord, value, formula, value_type, visible) of the filled cells of a workbook.
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while chunk := list(itertools.islice(rows, _BATCH)):
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*chunk, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    The value is the one last worked out; a cell of a merged range is left out but for the first, whose value it has.
-    """
-    book = zipfile.ZipFile(io.BytesIO(content))
-    parts = set(book.namelist())
-    read = lambda name: ElementTree.fromstring(book.read(name))
-    shared = [_texts(si) for si in read("xl/sharedStrings.xml").iter(f"{_M}si")] if "xl/sharedStrings.xml" in parts else []
-    dates = []
-    if "xl/styles.xml" in parts:
-        styles = read("xl/styles.xml")
-        codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_M}numFmt")}
-        own = styles.find(f"{_M}cellXfs")
-        dates = [_is_date_format(n, codes.get(n, "")) for n in (int(x.get("numFmtId", 0)) for x in (own if own is not None else ()))]
-    targets = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
-    for sheet in read("xl/workbook.xml").iter(f"{_M}sheet"):
-        target = targets[sheet.get(f"{_R}id")]
-        page = read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
-        shown = sheet.get("state", "visible") == "visible"
-        hidden = {c for x in page.iter(f"{_M}col") if x.get("hidden") in ("1", "true") for c in range(int(x.get("min")), int(x.get("max")) + 1)}
-        covered = set()
-        for m in page.iter(f"{_M}mergeCell"):
-            (r0, c0), (r1, c1) = (_place(x) for x in (m.get("ref").split(":") * 2)[:2])
-            covered |= {(r, c) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)} - {(r0, c0)}
-        for line in page.iter(f"{_M}row"):
-            row_shown = line.get("hidden") not in ("1", "true")
-            for cell in line.iter(f"{_M}c"):
-                row, col = _place(cell.get("r"))
-                if (row, col) in covered:
-                    continue
-                kind, formula, raw = cell.get("t", "n"), cell.find(f"{_M}f"), cell.find(f"{_M}v")
-                text = _texts(cell) if kind == "inlineStr" else raw.text if raw is not None else None
-                formula = f"={formula.text or ''}" if formula is not None else None
-                if kind == "s" and text is not None:
-                    text = shared[int(text)]
-                if (text is None or text == "") and formula is None:
-                    continue
-                style = int(cell.get("s", 0))
-                if text is None or text == "":
-                    kind = "formula"
-                elif kind == "e":
-                    kind = "error"
-                elif kind == "b":
-                    kind, text = "boolean", "TRUE" if text == "1" else "FALSE"
-                elif kind in ("s", "str", "inlineStr"):
-                    kind = "text"
-                elif kind == "d" or (style < len(dates) and dates[style]):
-                    if kind == "n":
-                        at = _EPOCH + datetime.timedelta(days=float(text))
-                        text = at.date().isoformat() if at.time() == datetime.time() else at.isoformat(" ")
-                    kind = "date"
-                else:
-                    kind = "number"
-                yield sheet.get("name"), row, col, cell.get("r"), text, formula, kind, shown and row_shown and col not in hidden
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each filled cell of the workbooks (.xlsx) under path; see CELLS.
 
+def _problem(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
+def _sheet_rows(file_name: str, digest: str, book: Book, sheet: Sheet) -> Iterator[tuple]:
+    """The cells of a sheet; where it breaks off, a row that says why."""
+    try:
+        for cell in book.cells(sheet):
+            yield _record(file_name, digest, sheet.name, cell)
+    except Exception as e:
+        yield _record(file_name, digest, sheet.name, error=_problem(e))
+
+
+@dataclass
+class _SheetPartition(InputPartition):
+    path: str
+    sheet: Sheet | None
+    error: str | None = None
+
+
+class _CellReader(DataSourceReader):
+    def __init__(self, options: dict):
+        if "path" not in options:
+            raise ValueError("load() needs the path of workbooks")
+        self.path, self.only = options["path"], options.get("sheet")
+
+    def partitions(self) -> list[InputPartition]:
+        """One for each sheet: of each workbook only its directory and its list of sheets are read here."""
+        store, files = _files(self.path)
+
+        def of(info: fs.FileInfo) -> list[_SheetPartition]:
+            try:
+                with store.open_input_file(info.path) as f:
+                    return [_SheetPartition(info.path, sheet) for sheet in Book(f).sheets if self.only in (None, sheet.name)]
+            except Exception as e:
+                return [_SheetPartition(info.path, None, _problem(e))]
+
+        with concurrent.futures.ThreadPoolExecutor(_LISTING) as pool:
+            return [p for ps in pool.map(of, files) for p in ps] or [_SheetPartition("", None)]
+
+    def read(self, partition: _SheetPartition) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        name = partition.path.rsplit("/", 1)[-1]
+        if partition.sheet is None:
+            yield from _batches(iter([_record(name, None, None, error=partition.error)]))
+            return
+        store = _files(self.path)[0]
+        with store.open_input_file(partition.path) as f:
+            digest = _digest(f)
+            f.seek(0)
+            yield from _batches(_sheet_rows(name, digest, Book(f), partition.sheet))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    paths: list[tuple[str, str]]
+
+
+class _BookWriter(DataSourceWriter):
+    """Workbooks are written beside their places under names of their own, and moved there when all tasks have succeeded."""
+
+    def __init__(self, options: dict, schema, overwrite: bool):
+        self.path, self.names, self.overwrite = options["path"], schema.names, overwrite
+
+    def write(self, rows) -> _Written:
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        store.create_dir(base, recursive=True)
+        task, done = TaskContext.get(), []
+        fields = ("sheet", "row", "col", "value", "formula", "value_type", "visible")
+        for name, own in itertools.groupby(rows, lambda r: r["file_name"]):
+            draft = f"{base}/.{name}.{task.taskAttemptId()}"
+            with store.open_output_stream(draft) as f:
+                write_book(f, (tuple(r[c] if c in self.names else True for c in fields) for r in own))
+            done.append((draft, f"{base}/{name}"))
+        return _Written(done)
+
+    def commit(self, messages) -> None:
+        store, base = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        drafts = [p for m in messages if m for p in m.paths]
+        if self.overwrite:
+            keep = {name for _, name in drafts}
+            for old in _files(self.path)[1]:
+                if old.path not in keep:
+                    store.delete_file(old.path)
+        for draft, name in drafts:
+            store.move(draft, name)
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            for draft, _ in m.paths if m else ():
+                _files(self.path)[0].delete_file(draft)
+
+
+class WorkbookSource(DataSource):
+    """spark.read.format("workbook_cells").load(folder or file), option sheet: one row for each filled cell, see CELLS.
+
+    A sheet is a partition, read by pull parsing: memory holds one row of it and the workbook's list of shared texts.
     value_type is error, date, boolean, number, text, or formula (one without a value); visible is false in hidden rows,
-    columns and sheets.  A workbook is one task's work; its format bounds it.
+    columns and sheets.  A file or sheet that cannot be read gives a row with error (and what was read before it).
+
+    write.format("workbook_cells").save(folder) takes file_name, sheet, row, col, value, formula, value_type, visible; rows of
+    a workbook must be in one partition, in order, as workbook_rows() puts them.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    names = [x.split(" ")[0] for x in CELLS.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                whose = (p.rsplit("/", 1)[-1], hashlib.sha256(content).hexdigest())
-                yield pd.DataFrame([(*whose, *cell) for cell in _cells(content)], columns=names)
+    @classmethod
+    def name(cls) -> str:
+        return "workbook_cells"
+
+    def schema(self) -> str:
+        return CELLS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _CellReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _BookWriter(self.options, schema, overwrite)
+
+
+def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """The cells of the workbooks under path (see WorkbookSource), in a store that pyarrow reads."""
+    spark.dataSource.register(WorkbookSource)
+    reader = spark.read.format("workbook_cells")
+    return (reader.option("sheet", sheet) if sheet else reader).load(path)
 
-    return files.mapInPandas(run, CELLS)
+
+def workbook_rows(cells: DataFrame) -> DataFrame:
+    """Cells dealt out and put in order to be written as workbooks."""
+    return cells.repartition("file_name").sortWithinPartitions("file_name", "sheet", "row", "col")
+
+
+def write_workbooks(cells: DataFrame, path: str) -> None:
+    """Cells (file_name, sheet, row, col, value, formula, value_type, visible) as workbooks in a folder."""
+    cells.sparkSession.dataSource.register(WorkbookSource)
+    workbook_rows(cells).write.format("workbook_cells").mode("append").save(path)
+
+
+def workbook_bytes_cells(files: DataFrame) -> DataFrame:
+    """The same cells from (path, content), as Spark's binaryFile reads them, for stores that only Spark reads: a workbook is
+    one task's work, held as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                name, raw = path.rsplit("/", 1)[-1], content.as_py()
+                digest = hashlib.sha256(raw).hexdigest()
+                try:
+                    book = Book(io.BytesIO(raw))
+                    sheets = book.sheets
+                except Exception as e:
+                    yield from _batches(iter([_record(name, digest, None, error=_problem(e))]))
+                    continue
+                for sheet in sheets:
+                    yield from _batches(_sheet_rows(name, digest, book, sheet))
+
+    return files.select("path", "content").mapInArrow(run, CELLS)
 
 
 def visible(cells: DataFrame) -> DataFrame:
@@ -131,8 +229,23 @@ def populated(cells: DataFrame) -> DataFrame:
 
 
 def workbook_catalog(cells: DataFrame) -> DataFrame:
-    """Each workbook with its digest and the names of its sheets."""
-    return cells.groupBy("file_name", "workbook_hash").agg(F.array_sort(F.collect_set("sheet")).alias("sheets"), F.count("*").alias("n_cells"))
+    """Each workbook with its digest, the names of its sheets that have cells to be seen, and the number of its cells."""
+    listed = F.col("visible") & ~F.lower("sheet").rlike("^(" + "|".join(SKIPPED_SHEETS) + ")")
+    return cells.where("coord IS NOT NULL").groupBy("file_name", "workbook_hash").agg(F.array_sort(F.collect_set(F.when(listed, F.col("sheet")))).alias("sheets"), F.count("*").alias("n_cells"))
+
+
+def resolve(catalog: DataFrame, file_name: str | None = None, workbook_hash: str | None = None) -> DataFrame:
+    """The catalog's row of a workbook, by name (white space around it does not count), by digest, or by both; without
+    either the only workbook.  Raises ValueError if there is none, or no single one."""
+    name, found = (file_name or "").strip(), catalog
+    if name:
+        found = found.where(F.col("file_name") == name)
+    if workbook_hash:
+        found = found.where(F.col("workbook_hash") == workbook_hash)
+    names = sorted({r["file_name"] for r in found.select("file_name").limit(2).collect()})
+    if len(names) != 1:
+        raise ValueError(f"{'no' if not names else 'more than one'} workbook for name {name!r} and digest {workbook_hash!r}")
+    return found
 
 
 def cell_documents(cells: DataFrame) -> DataFrame:

@@ -176,6 +176,3 @@ def test_snapshots(spark, tmp_path):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, snapshots.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert {r["k"]: r["operation"] for r in snapshots.audit(old, new, ["k"]).collect()} == {1: "delete", 2: "update", 3: "insert"}
-    snapshots.publish(old, str(tmp_path / "t"), "v1")
-    snapshots.publish(new, str(tmp_path / "t"), "v2")
-    assert sorted(r["k"] for r in snapshots.current(spark, str(tmp_path / "t")).collect()) == [2, 3]
