@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalar as S
+from .nearest import hamming_nearest
 
 
 def candidate_depth(k: int) -> int:
@@ -32,25 +33,23 @@ def _matrix(lists: pa.ChunkedArray, dtype) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(dtype).reshape(len(lists), -1)
 
 
-def _top_of_pair(k: int, quantized: bool):
-    """The k best rows of a block for each query of another: by cosine, or by the bits that packed signs share."""
+def _top_of_pair(k: int):
+    """The k best rows of a block for each query of another, by cosine."""
 
     def run(table: pa.Table) -> pa.Table:
         q = np.asarray(table["side"].combine_chunks().to_numpy(zero_copy_only=False) == "q")
         ids = table["id"].to_numpy()
-        x = _matrix(table["v"], np.int64 if quantized else np.float64)
+        x = _matrix(table["v"], np.float64)
         order = np.argsort(ids[~q], kind="stable")
         qi, di, qv, dv = ids[q], ids[~q][order], x[q], x[~q][order]
         out = []
         if len(di):
-            if not quantized:
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    cosines = (qv @ dv.T) / np.sqrt((qv * qv).sum(1))[:, None] / np.sqrt((dv * dv).sum(1))
-                cosines = np.where(np.isfinite(cosines), cosines, -2.0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cosines = (qv @ dv.T) / np.sqrt((qv * qv).sum(1))[:, None] / np.sqrt((dv * dv).sum(1))
+            cosines = np.where(np.isfinite(cosines), cosines, -2.0)
             for i in range(len(qi)):
-                s = -np.bitwise_count(dv ^ qv[i]).sum(axis=1).astype(float) if quantized else cosines[i]
-                best = np.argsort(-s, kind="stable")[:k]
-                out.append((np.full(len(best), qi[i]), di[best], s[best]))
+                best = np.argsort(-cosines[i], kind="stable")[:k]
+                out.append((np.full(len(best), qi[i]), di[best], cosines[i][best]))
         z = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": z[0].astype(np.int64), "doc_id": z[1].astype(np.int64), "score": z[2]})
 
@@ -60,48 +59,27 @@ def _top_of_pair(k: int, quantized: bool):
 def vector_search(queries: DataFrame, rows: DataFrame, k: int, quantized: bool = False) -> DataFrame:
     """The k nearest rows of each query: query_id, doc_id, score, rank.
 
-    queries and rows have (id long, v array<float>), all vectors of one length.  Both are dealt into blocks by a hash of
-    the id; each pair of blocks yields its k best of each query, and a window over those, blocks x k rows a query, ranks
-    them.  quantized compares packed sign bits first, 64 times fewer bytes than doubles, keeps candidate_depth(k) rows
-    (ties: the smaller id), and fetches the vectors of those alone to rerank them by cosine.
+    queries and rows have (id long, v array<float>), all vectors of one length.  quantized takes the candidate_depth(k)
+    rows that are nearest by the signs' Hamming distance (ties: the smaller id), which multi-index hashing finds, and
+    reranks those alone by cosine.  Otherwise every row is looked at, as an exact search must: both sides are dealt into
+    blocks by a hash of the id; each pair of blocks yields its k best of each query, and a window over those, blocks x k
+    rows a query, ranks them.
     """
-    depth = candidate_depth(k) if quantized else k
-    nq, nd = _blocks(queries), _blocks(rows)
-    v = S.sign_bits(F.col("v")).alias("v") if quantized else F.col("v")
-    side = lambda df, name, own, own_n, other, other_n: df.select(
-        "id", v, F.lit(name).alias("side"), F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
-    )
-    both = side(queries, "q", "qb", nq, "db", nd).unionByName(side(rows, "d", "db", nd, "qb", nq))
-    found = both.groupBy("qb", "db").applyInArrow(_top_of_pair(depth, quantized), "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     if quantized:
-        found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= depth).drop("score", "n")
+        queries, rows = queries.where("v IS NOT NULL"), rows.where("v IS NOT NULL")
+        first = rows.select(F.size("v")).first()
+        packed = lambda df: df.select("id", S.sign_bits(F.col("v")).alias("bits"))
+        found = hamming_nearest(packed(queries), packed(rows), candidate_depth(k), first[0] if first else 64)
         found = found.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(rows.select(F.col("id").alias("doc_id"), F.col("v").alias("dv")), "doc_id")
         found = found.select("query_id", "doc_id", S.cosine(F.col("qv"), F.col("dv")).alias("score"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-#: Words of all stated queries together; more are refused, as they are sent to every task.
-MAX_QUERY_WORDS = 10_000
-
-
-def match_all(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Texts that hold every word of a query, best first: query_id, doc_id, score, rank.
-
-    queries (query_id, words array) is a list of stated queries of MAX_QUERY_WORDS words at most.  Texts keep only words
-    that some query asks for before anything is dealt out.  Words are lower-case runs of letters and digits;
-    the score is the number of places of query words by the number of words.
-    """
-    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+", -1), lambda x: x != "")
-    wanted = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("need"))
-    listed = [r["word"] for r in wanted.select("word").distinct().limit(MAX_QUERY_WORDS + 1).collect()]
-    if len(listed) > MAX_QUERY_WORDS:
-        raise ValueError(f"queries of more than {MAX_QUERY_WORDS} words")
-    asked = F.array(*map(F.lit, sorted(listed))) if listed else F.array().cast("array<string>")
-    tokens = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("length"), F.explode(F.filter("words", lambda x: F.array_contains(asked, x))).alias("word"))
-    hits = tokens.join(F.broadcast(wanted), "word").groupBy("query_id", "doc_id", "need", "length").agg(F.count("*").alias("places"), F.count_distinct("word").alias("n"))
-    found = hits.where("n = need").select("query_id", "doc_id", F.round(F.col("places") / F.col("length"), 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    nq, nd = _blocks(queries), _blocks(rows)
+    side = lambda df, name, own, own_n, other, other_n: df.select(
+        "id", "v", F.lit(name).alias("side"), F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
+    )
+    both = side(queries, "q", "qb", nq, "db", nd).unionByName(side(rows, "d", "db", nd, "qb", nq))
+    found = both.groupBy("qb", "db").applyInArrow(_top_of_pair(k), "query_id long, doc_id long, score double")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -198,14 +176,14 @@ def best_variant(documents: DataFrame, keys: list[str], quality: list[Column]) -
     return documents.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def exact_evidence(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Cells that state a metric for a period, for all pairs of wanted at once.
+def exact_evidence(cells: DataFrame, wanted: DataFrame, limit: int = C.EVIDENCE_MAX) -> DataFrame:
+    """Cells that state a metric for a period, for all pairs of wanted at once.
 
     wanted: metric_id, aliases array, excluded array, period_terms array, kind (fy or ltm); a short list.  cells:
     cell_id, company, sheet, coord, row_index, col_index, row_tokens array, column_tokens array (normalised).  A row
     token equal to an alias is better than one that ends with it; rows that end with an excluded alias are out.  Of
     several columns of one row and period those marked LTM are the LTM ones; without a mark the left one is the fiscal
-    year, the right one LTM.  Only the cells of the best alias rank of a company and metric stay.
+    year, the right one LTM.  Of the first cells of a company and metric (see prioritized()) those of the best alias rank stay, limit of them at most.
     """
     w = F.broadcast(wanted)
     exact = F.array_min(F.filter(F.transform("row_tokens", lambda t: F.array_position("aliases", t)), lambda p: p > 0))
@@ -222,8 +200,8 @@ def exact_evidence(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         ~F.col("ltm") & (F.col("row_ltm") | (F.col("repeats") == 1) | (F.col("left") == 1))
     )
     at = at.where(fits).withColumn("metric_rank", F.coalesce("exact", F.col("ends") + 1000).cast("int"))
-    best = F.min("metric_rank").over(Window.partitionBy("metric_id", "kind", "company"))
-    return at.withColumn("best", best).where("metric_rank = best").select(*keys, "coord", "cell_id", "metric_rank")
+    order = [F.col("metric_rank"), F.upper("sheet"), F.upper("coord"), F.col("sheet"), F.col("coord")]
+    return prioritized(at, ["metric_id", "kind", "company"], "metric_rank", order, limit).select(*keys, "coord", "cell_id", "metric_rank")
 
 
 def by_references(cells: DataFrame, references: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import keyword as N
 from ..operators import retrieval as R
 from .base import CELLS_SQL, cells, query, table
 
@@ -61,18 +62,25 @@ def vector_scope_after_cut(spark, sf_dir):
 _FTS = f"""
     w(query_id, words) AS (VALUES {", ".join(f"({i}, {list(x)})" for i, x in WORDS)}),
     t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
-    fts AS (SELECT query_id, doc_id, round(len(list_filter(ws, lambda x: list_contains(words, x)))::DOUBLE / len(ws), 9) AS score FROM w, t WHERE list_has_all(ws, words))
+    o AS (SELECT query_id, doc_id, words, ws[p] AS word, p FROM (SELECT query_id, doc_id, words, ws, unnest(range(1, len(ws) + 1)) AS p FROM w, t WHERE list_has_all(ws, words)) WHERE list_contains(words, ws[p])),
+    l AS (SELECT query_id, doc_id, p, row_number() OVER d AS n, {", ".join(f"CASE WHEN len(words) >= {k} THEN max(CASE WHEN word = words[{k}] THEN p END) OVER d ELSE p END AS l{k}" for k in (1, 2, 3))}
+          FROM o WINDOW d AS (PARTITION BY query_id, doc_id ORDER BY p)),
+    e AS (SELECT query_id, doc_id, least(l1, l2, l3) AS b, min(p) AS e, min(n) AS n FROM l WHERE l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL GROUP BY ALL),
+    fts AS (SELECT e.query_id, e.doc_id, round(sum(0.1::DOUBLE / (1 + (e.e - e.b) - (e.n - l.n))), 9) AS score FROM e JOIN l ON l.query_id = e.query_id AND l.doc_id = e.doc_id AND l.p = e.b GROUP BY ALL)
 """
 
 
+def _word_queries(spark):
+    return spark.createDataFrame([(i, list(w)) for i, w in WORDS], "query_id int, words array<string>")
+
+
 @query(f"""
     WITH {_FTS}
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM fts QUALIFY rank <= 100
 """)
 def fts_and_match(spark, sf_dir):
-    """A documented simple score stands for cover density."""
-    q = spark.createDataFrame([(i, list(w)) for i, w in WORDS], "query_id int, words array<string>")
-    return R.match_all(table(spark, sf_dir, "documents"), q, 100)
+    """Texts ranked by cover density, over stored postings."""
+    return N.match_all(N.postings(table(spark, sf_dir, "documents")), _word_queries(spark), 100)
 
 
 @query(f"""
@@ -86,13 +94,36 @@ def fts_and_match(spark, sf_dir):
 """)
 def rrf_hybrid(spark, sf_dir):
     """Three stated word queries fused with all vector queries."""
-    q = spark.createDataFrame([(i, list(w)) for i, w in WORDS], "query_id int, words array<string>")
-    sparse = R.match_all(table(spark, sf_dir, "documents"), q, 100)
+    sparse = N.match_all(N.postings(table(spark, sf_dir, "documents")), _word_queries(spark), 100)
     queries, rows = _vectors(spark, sf_dir)
     dense = R.vector_search(queries, rows, 100).withColumn("query_id", (F.col("query_id") / 20).cast("int") + 1)
     return R.fuse([(sparse, 1.0), (dense, 1.0)], ["doc_id"], top=100).select("doc_id", "query_id", "score", "rank")
 
 
+@query(f"""
+    WITH {_FTS}, {_VEC},
+    places AS (SELECT doc_id, coalesce(lang, 'und') AS company, coalesce(source, '') AS sheet, doc_id // 8 AS row_index, doc_id % 8 AS col_index FROM documents),
+    a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fts QUALIFY rank <= 100),
+    b AS (SELECT query_id // 20 + 1 AS query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(qv, dv) DESC, doc_id) AS rank FROM q, d WHERE query_id <= 40 QUALIFY rank <= 100),
+    ra AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN score > 0 THEN score ELSE 0.05 END DESC, 'd' || doc_id) AS rank FROM a JOIN fts USING (query_id, doc_id) JOIN places USING (doc_id)),
+    rb AS (SELECT b.query_id, b.doc_id, row_number() OVER (PARTITION BY b.query_id ORDER BY list_cosine_similarity(qv, dv) DESC, 'd' || b.doc_id) AS rank FROM b JOIN q ON q.query_id = (b.query_id - 1) * 20 JOIN d ON d.doc_id = b.doc_id JOIN places ON places.doc_id = b.doc_id),
+    u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS part FROM ra UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM rb),
+    s AS (SELECT query_id, doc_id, round(sum(part), 10) AS score FROM u GROUP BY ALL), c AS (SELECT doc_id, max(score) AS score FROM s GROUP BY doc_id),
+    k AS (SELECT places.*, row_number() OVER (ORDER BY score DESC, company, sheet, places.doc_id::VARCHAR) AS rank FROM c JOIN places USING (doc_id) QUALIFY rank <= 50),
+    n AS (SELECT company, sheet, row_index, min(rank)::INT AS hit_rank FROM k GROUP BY ALL)
+    SELECT doc_id, hit_rank FROM places JOIN n USING (company, sheet, row_index) ORDER BY hit_rank, col_index, company, sheet, doc_id::VARCHAR LIMIT 200
+""")
+def hybrid_documents(spark, sf_dir):
+    """A plan of three subqueries, each with words and a vector; keyword and vector search, reranked,
+    fused and expanded.  A document is a cell of its language's workbook and its source's sheet, eight to a row."""
+    places = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("company"), F.coalesce("source", F.lit("")).alias("sheet"), F.floor(F.col("doc_id") / 8).alias("row_index"), (F.col("doc_id") % 8).alias("col_index"), F.col("doc_id").cast("string").alias("coord"))
+    queries, rows = _vectors(spark, sf_dir)
+    sparse = N.match_all(N.postings(table(spark, sf_dir, "documents")), _word_queries(spark), 100)
+    dense = R.vector_search(queries.where("id <= 40"), rows, 100).withColumn("query_id", (F.col("query_id") / 20).cast("int") + 1)
+    hits = lambda df: df.join(places, "doc_id").select(F.col("query_id").alias("subquery"), F.lit("ix").alias("index_id"), "company", "sheet", "coord", F.concat(F.lit("d"), "coord").alias("cell_id"), "score")
+    return R.hybrid(hits(sparse), hits(dense), places, 50, 0, 200).select("doc_id", "hit_rank")
+
+
 @query(f"""
     WITH {CELLS_SQL}, h AS (SELECT company, sheet, row_index, row_number() OVER (PARTITION BY company ORDER BY value DESC, sheet, coord) AS rank FROM cells QUALIFY rank <= 3),
     f AS (SELECT company, sheet, unnest(range(row_index - 1, row_index + 2)) AS row_index, rank FROM h),
@@ -125,17 +156,19 @@ def best_variant_per_cell(spark, sf_dir):
     m AS (SELECT *, CASE WHEN list_contains(aliases, rt) THEN list_position(aliases, rt) END AS exact, list_min(list_filter(range(1, len(aliases) + 1), lambda i: ends_with(rt, aliases[i]))) AS ends FROM s WHERE len(list_filter(excluded, lambda a: ends_with(rt, a))) = 0),
     p AS (SELECT *, count(*) OVER (PARTITION BY metric_id, company, sheet, row_index) AS repeats, row_number() OVER (PARTITION BY metric_id, company, sheet, row_index ORDER BY col_index, coord) AS l,
                  row_number() OVER (PARTITION BY metric_id, company, sheet, row_index ORDER BY col_index DESC, coord DESC) AS r FROM m WHERE exact IS NOT NULL OR ends IS NOT NULL),
-    e AS (SELECT *, coalesce(exact, ends + 1000)::INT AS metric_rank FROM p WHERE (kind = 'ltm' AND repeats > 1 AND r = 1) OR (kind = 'fy' AND (repeats = 1 OR l = 1)))
-    SELECT metric_id, kind, company, sheet, coord, metric_rank FROM e QUALIFY metric_rank = min(metric_rank) OVER (PARTITION BY metric_id, kind, company)
+    e AS (SELECT *, coalesce(exact, ends + 1000)::INT AS metric_rank FROM p WHERE (kind = 'ltm' AND repeats > 1 AND r = 1) OR (kind = 'fy' AND (repeats = 1 OR l = 1))),
+    f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY metric_id, kind, company ORDER BY metric_rank, upper(sheet), upper(coord), sheet, coord) <= 32),
+    g AS (SELECT * FROM f QUALIFY metric_rank = min(metric_rank) OVER (PARTITION BY metric_id, kind, company))
+    SELECT metric_id, kind, company, sheet, coord, metric_rank FROM g QUALIFY row_number() OVER (PARTITION BY metric_id, kind, company ORDER BY metric_rank, upper(sheet), upper(coord), sheet, coord) <= 2
 """)
 def metric_evidence_exact(spark, sf_dir):
-    """C6, J8, A1, W4, P12."""
+    """Two cells for each metric and company at most, of those that tie at the best alias."""
     c = cells(spark, sf_dir).select("company", "sheet", "coord", "row_index", "col_index", F.concat_ws("!", "company", "sheet", "coord").alias("cell_id"), F.array(S.normalize_token(F.col("row_header"))).alias("row_tokens"), F.array(S.normalize_token(F.col("column_header"))).alias("column_tokens"))
     wanted = spark.createDataFrame(
         [("m1", ["brand11", "1"], ["21"], ["fy1997", "fy1998"], "fy"), ("m2", ["brand45", "5"], ["15", "25"], ["fy1997", "fy1998"], "ltm")],
         "metric_id string, aliases array<string>, excluded array<string>, period_terms array<string>, kind string",
     )
-    return R.exact_evidence(c, wanted).select("metric_id", "kind", "company", "sheet", "coord", "metric_rank")
+    return R.exact_evidence(c, wanted, limit=2).select("metric_id", "kind", "company", "sheet", "coord", "metric_rank")
 
 
 @query(f"""
