@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-COMPONENTS = "sheet string, row int, col int, component int"
-
+from ..session import cut
+from .graph import connected
+from .ranking import numbered
 
-def _label(sheet: pd.DataFrame) -> pd.DataFrame:
-    """4-neighbour components of one sheet; numbered by their first cell in reading order."""
-    sheet = sheet.drop_duplicates(["row", "col"]).sort_values(["row", "col"])
-    places = list(zip(sheet["row"].tolist(), sheet["col"].tolist(), strict=True))
-    left = set(places)
-    number: dict[tuple[int, int], int] = {}
-    count = 0
-    for start in places:
-        if start not in left:
-            continue
-        count += 1
-        left.discard(start)
-        todo = [start]
-        while todo:
-            r, c = todo.pop()
-            number[r, c] = count
-            for near in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-                if near in left:
-                    left.discard(near)
-                    todo.append(near)
-    return sheet.assign(component=[number[p] for p in places])[["sheet", "row", "col", "component"]]
+COMPONENTS = "sheet string, row int, col int, component int"
+#: Rows of a strip: cells of a sheet are labelled a strip at a time, then strips are joined where they meet.
+STRIP_ROWS = 256
+#: Bits of a column in a place.
+_COLUMN = 20
+
+
+def _labels(table: pa.Table) -> pa.Table:
+    """(sheet, row, col, label) of one strip; cells of one component have the place of its first cell as label."""
+    at = np.unique(table["row"].to_numpy().astype(np.int64) << _COLUMN | table["col"].to_numpy().astype(np.int64))
+    below = np.searchsorted(at, at + (1 << _COLUMN))
+    down = np.flatnonzero((below < len(at)) & (at[np.minimum(below, len(at) - 1)] == at + (1 << _COLUMN)))
+    right = np.flatnonzero(at[1:] == at[:-1] + 1)
+    a, b = np.concatenate([right, down]), np.concatenate([right + 1, below[down]])
+    root = np.arange(len(at))
+    while len(a):  # each round hooks the later root of a link to the earlier one, then every cell to its root
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    sheet = pa.array([table["sheet"][0].as_py()] * len(at), pa.string())
+    return pa.table({"sheet": sheet, "row": pa.array((at >> _COLUMN).astype(np.int32)), "col": pa.array((at & ((1 << _COLUMN) - 1)).astype(np.int32)), "label": pa.array(at[root])})
 
 
 def connected_cells(cells: DataFrame) -> DataFrame:
-    """C14: (sheet, row, col, component).  A sheet is one group: its size is bounded by the workbook format."""
-    return cells.select("sheet", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).groupBy("sheet").applyInPandas(_label, COMPONENTS)
+    """C14: (sheet, row, col, component): 4-neighbour components, numbered in a sheet by their first cell in reading order.
+
+    A strip of a sheet's rows is a group, of as many cells as its rows can hold; strips that meet are linked by equal columns,
+    and the links joined to components.
+    """
+    rows = cells.select(F.col("sheet").cast("string").alias("sheet"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    strip = F.floor(F.col("row") / STRIP_ROWS)
+    labelled = cut(rows.withColumn("strip", strip).groupBy("sheet", "strip").applyInArrow(_labels, "sheet string, row int, col int, label long"))
+    node = F.concat(F.coalesce("sheet", F.lit("")), F.lit("!"), F.col("label").cast("string"))
+    edge = F.pmod("row", F.lit(STRIP_ROWS))
+    upper = labelled.where(edge == STRIP_ROWS - 1).select("sheet", "col", (F.col("row") + 1).alias("row"), node.alias("a"))
+    lower = labelled.where(edge == 0).select("sheet", "col", "row", node.alias("b"))
+    roots = connected(upper.join(lower, ["sheet", "col", "row"]).select("a", "b"))
+    whole = labelled.withColumn("node", node).join(roots, "node", "left").select("sheet", "row", "col", "label", F.coalesce("root", "node").alias("root"))
+    first = whole.groupBy("sheet", "root").agg(F.min("label").alias("first"))
+    first = numbered(first, ["sheet"], [F.col("first")], "component").select(F.col("root"), F.col("component").cast("int").alias("component"))
+    return whole.join(first, "root").select("sheet", "row", "col", "component")
 
 
 def bounds(components: DataFrame) -> DataFrame:
@@ -42,29 +61,32 @@ def bounds(components: DataFrame) -> DataFrame:
     return components.groupBy("sheet", "component").agg(*(f("row").alias(f"{n}_row") for n, f in (("min", F.min), ("max", F.max))), *(f("col").alias(f"{n}_col") for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("n_cells"))
 
 
+def _touching(boxes: DataFrame, gap: int) -> DataFrame:
+    """(a, b): links that join all boxes of a sheet that are at most gap rows and columns apart, directly or through others.
+
+    A box is listed under each of its rows and gap + 1 more: two boxes share such a row when their rows are close enough.
+    There, in order of columns, a box is linked with the one before it that reaches furthest.
+    """
+    rows = boxes.select("sheet", "id", "min_col", "max_col", F.explode(F.sequence(F.col("min_row"), F.col("max_row") + gap + 1)).alias("row"))
+    w = Window.partitionBy("sheet", "row").orderBy("min_col", "id").rowsBetween(Window.unboundedPreceding, -1)
+    far = rows.withColumn("far", F.max(F.struct("max_col", "id")).over(w))
+    return far.where(F.col("min_col") <= F.col("far.max_col") + gap + 1).select(F.col("id").alias("a"), F.col("far.id").alias("b")).distinct()
+
+
 def merged_boxes(boxes: DataFrame, gap: int = 1, min_cells: int = 1) -> DataFrame:
-    """Boxes of a sheet at most gap apart are merged until nothing changes; small ones are dropped at the end."""
-
-    def run(sheet: pd.DataFrame) -> pd.DataFrame:
-        todo = [list(x) for x in sheet[["min_row", "max_row", "min_col", "max_col", "n_cells"]].itertuples(index=False)]
-        changed = True
-        while changed:
-            changed = False
-            done: list[list[int]] = []
-            for b in todo:
-                for d in done:
-                    if b[0] <= d[1] + gap + 1 and d[0] <= b[1] + gap + 1 and b[2] <= d[3] + gap + 1 and d[2] <= b[3] + gap + 1:
-                        d[:] = [min(b[0], d[0]), max(b[1], d[1]), min(b[2], d[2]), max(b[3], d[3]), b[4] + d[4]]
-                        changed = True
-                        break
-                else:
-                    done.append(b)
-            todo = done
-        out = pd.DataFrame([b for b in todo if b[4] >= min_cells], columns=["min_row", "max_row", "min_col", "max_col", "n_cells"])
-        out.insert(0, "sheet", sheet["sheet"].iloc[0])
-        return out
-
-    return boxes.groupBy("sheet").applyInPandas(run, "sheet string, min_row int, max_row int, min_col int, max_col int, n_cells long")
+    """Boxes of a sheet at most gap apart are merged until nothing changes; small ones are dropped at the end.
+
+    In each round the boxes that touch become the envelope of their component; the rounds end when no two touch.
+    """
+    box = ["min_row", "max_row", "min_col", "max_col", "n_cells"]
+    now = cut(boxes.select("sheet", *(F.col(c).cast("long").alias(c) for c in box)).withColumn("id", F.monotonically_increasing_id().cast("string")))
+    while True:
+        links = cut(_touching(now, gap))
+        if links.isEmpty():
+            return now.where(F.col("n_cells") >= min_cells).select("sheet", *(F.col(c).cast("int").alias(c) for c in box[:4]), "n_cells")
+        roots = connected(links).withColumnRenamed("node", "id")
+        grown = now.join(roots, "id", "left").groupBy("sheet", F.coalesce("root", "id").alias("id"))
+        now = cut(grown.agg(F.min("min_row").alias("min_row"), F.max("max_row").alias("max_row"), F.min("min_col").alias("min_col"), F.max("max_col").alias("max_col"), F.sum("n_cells").alias("n_cells")))
 
 
 def stacked_tables(tables: DataFrame, gap: int = 2) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalar as S
 from .nearest import hamming_nearest
+from .ranking import numbered
 
 
 def candidate_depth(k: int) -> int:
@@ -105,7 +106,7 @@ def fuse(branches: list[tuple[DataFrame, float]], cell: list[str], k: int = C.RR
     out = best.select(*cell, (-F.col("best.q")).alias("query_id"), F.col("best.score").alias("score")).orderBy(F.desc("score"), *cell)
     if top:
         out = out.limit(top)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *cell)))
+    return numbered(out, [], [F.desc("score"), *map(F.col, cell)]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def reranked_sparse(hits: DataFrame, top: int) -> DataFrame:

@@ -45,9 +45,21 @@ def grid_bounds(spark, sf_dir):
     return X.bounds(X.connected_cells(_grid(spark, sf_dir))).select("sheet", "component", "min_row", "max_row", "min_col", "max_col", "n_cells")
 
 
-@query()
+#: Steps in which every box takes the envelope of all that it touches, more than these tables need to come to rest.
+_STEPS = 32
+
+
+@query(f"""
+    WITH RECURSIVE {_COMPONENTS},
+    b AS (SELECT sheet, root, min(id // 1000) AS r0, max(id // 1000) AS r1, min(id % 1000) AS c0, max(id % 1000) AS c1, count(*) AS n FROM c GROUP BY sheet, root),
+    s(step, sheet, root, r0, r1, c0, c1) AS (
+        SELECT 0, sheet, root, r0, r1, c0, c1 FROM b UNION ALL
+        SELECT x.step + 1, x.sheet, x.root, min(y.r0), max(y.r1), min(y.c0), max(y.c1) FROM s x JOIN s y
+        ON y.sheet = x.sheet AND y.r0 <= x.r1 + 1 AND x.r0 <= y.r1 + 1 AND y.c0 <= x.c1 + 1 AND x.c0 <= y.c1 + 1 WHERE x.step < {_STEPS} GROUP BY x.step, x.sheet, x.root)
+    SELECT sheet, s.r0::INT AS min_row, s.r1::INT AS max_row, s.c0::INT AS min_col, s.c1::INT AS max_col, sum(n)::BIGINT AS n_cells FROM s JOIN b USING (sheet, root) WHERE step = {_STEPS} GROUP BY sheet, s.r0, s.r1, s.c0, s.c1 HAVING sum(n) >= 2
+""")
 def grid_tables(spark, sf_dir):
-    """The merge runs to a fixpoint, which SQL cannot express; tests compare it with a plain version."""
+    """Boxes merged to a fixpoint."""
     return X.merged_boxes(X.bounds(X.connected_cells(_grid(spark, sf_dir))), gap=0, min_cells=2)
 
 
@@ -109,6 +121,43 @@ def topological_levels(spark, sf_dir):
     return G.generations(*_edges(spark, sf_dir))
 
 
+_RING = "d AS (SELECT p_partkey AS source, CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 9 ELSE p_partkey + 1 END AS target FROM part WHERE p_partkey % 10 <> 4 OR p_partkey % 30 = 4 UNION ALL SELECT p_partkey, p_partkey + 7 FROM part WHERE p_partkey % 100 < 10 UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 97 = 0)"
+
+
+@query(f"""
+    WITH RECURSIVE {_RING}, r(a, b) AS (SELECT source, target FROM d UNION SELECT r.a, d.target FROM r JOIN d ON d.source = r.b),
+    s AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+    SELECT node, cycle FROM s
+""")
+def graph_cycles(spark, sf_dir):
+    """G1: cycles among parts: rings of ten keys, some of them open, with steps of seven between some, and a few keys on
+    their own."""
+    p, k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source")), F.col("source")
+    ring = p.where((k % 10 != 4) | (k % 30 == 4)).withColumn("target", F.when(k % 10 == 9, k - 9).otherwise(k + 1))
+    edges = ring.unionByName(p.where(k % 100 < 10).withColumn("target", k + 7)).unionByName(p.where(k % 97 == 0).withColumn("target", k))
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target"))
+    return G.cycles(nodes, edges)
+
+
+@query("""
+    WITH e AS (SELECT l_orderkey * 8 + l_linenumber % 4 AS edge_id, l_suppkey AS source, l_partkey % 100 + 1 AS target, 'o' || l_linenumber % 3 AS output, 'i' || l_linenumber % 5 AS input, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS branch FROM lineitem),
+    g AS (SELECT target, input, count(*) AS n, count(DISTINCT source) AS s, count(DISTINCT branch) AS b FROM e GROUP BY ALL)
+    SELECT 'duplicate_edge' AS problem, edge_id::VARCHAR AS item FROM e GROUP BY edge_id HAVING count(*) > 1 UNION ALL SELECT 'self_edge', edge_id::VARCHAR FROM e WHERE source = target
+    UNION ALL SELECT 'unknown_output', edge_id::VARCHAR FROM e WHERE output = 'o2' OR source NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'unknown_input', edge_id::VARCHAR FROM e WHERE input = 'i4' OR target NOT IN (SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT 'input_conflict', target || ':' || input FROM g WHERE n > 1 AND (s > 1 OR b < n)
+""")
+def graph_edge_problems(spark, sf_dir):
+    """G1: line items as edges between suppliers: repeated ids, loops, ports that are not there, inputs that conflict."""
+    c = F.col
+    edges = table(spark, sf_dir, "lineitem").select(
+        (c("l_orderkey") * 8 + c("l_linenumber") % 4).alias("edge_id"), c("l_suppkey").alias("source"), (c("l_partkey") % 100 + 1).alias("target"), F.concat(F.lit("o"), (c("l_linenumber") % 3).cast("string")).alias("output"),
+        F.concat(F.lit("i"), (c("l_linenumber") % 5).cast("string")).alias("input"), F.when(c("l_returnflag") != "N", c("l_returnflag")).alias("branch"),
+    )
+    s = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("node"))
+    ports = s.select("node", F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.lit(port).alias("port")) for side, port in [("out", "o0"), ("out", "o1"), ("in", "i0"), ("in", "i1"), ("in", "i2"), ("in", "i3")]))).alias("p")).select("node", "p.*")
+    return G.edge_problems(edges, ports)
+
+
 @query(f"""
     WITH RECURSIVE {_EDGES}, r(node) AS (SELECT 3::BIGINT UNION SELECT d.target FROM r JOIN d ON d.source = r.node WHERE d.target % 5 <> 0)
     SELECT node FROM r
