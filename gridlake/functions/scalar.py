@@ -196,12 +196,42 @@ def visualization_card(question: Column) -> Column:
     return out
 
 
-def krw_amount(value: Column) -> Column:
-    """an amount in the largest unit of won that it reaches, one digit after the point."""
-    shown = F.round(value, 1).cast("string")
+def short_number(value: Column, digits: int = 1) -> Column:
+    """a number with commas and at most so many digits after the point, half away from zero, without closing zeros."""
+    return F.regexp_replace(F.format_number(F.round(value, digits), digits), r"\.?0+$" if digits > 1 else r"\.0$", "")
+
+
+def krw_amount(value: Column, axis: bool = False) -> Column:
+    """an amount in the largest unit of won that it reaches; an axis leaves out the won."""
+    shown = short_number(value)
     for least, unit in reversed(C.WON_UNITS):
-        shown = F.when(F.abs(value) >= least, F.concat(F.round(value / least, 1).cast("string"), F.lit(unit))).otherwise(shown)
-    return F.concat(shown, F.lit("원"))
+        shown = F.when(F.abs(value) >= least, F.concat(short_number(value / least), F.lit(unit))).otherwise(shown)
+    return shown if axis else F.concat(shown, F.lit("원"))
+
+
+def _by_name(x: Column, texts: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for name, text in texts.items():
+        out = F.when(x == name, F.lit(text)).otherwise(out)
+    return out
+
+
+def international_amount(value: Column, currency: Column, scale: Column) -> Column:
+    """an amount with the currency's symbol (or its code and a space) before it and the scale's letter behind."""
+    symbol = F.coalesce(_by_name(currency, C.CURRENCY_SYMBOLS), F.concat(currency, F.lit(" ")))
+    return F.concat(F.when(value < 0, "-").otherwise(""), symbol, short_number(F.abs(value)), F.coalesce(_by_name(scale, C.SCALE_SUFFIXES), F.lit("")))
+
+
+def signed_percent(value: Column) -> Column:
+    """a percentage with its sign, but for zero."""
+    shown = F.round(value, 1)
+    return F.concat(F.when(shown > 0, "+").otherwise(""), F.when(shown == 0, "0").otherwise(short_number(value)), F.lit("%"))
+
+
+def comparison_amount(value: Column, currency: Column, scale: Column) -> Column:
+    """a whole amount as comparisons show it."""
+    symbol = F.coalesce(_by_name(currency, {"USD": "$", "KRW": "₩"}), F.concat(currency, F.lit(" ")))
+    return F.concat(F.when(value < 0, "-").otherwise(""), symbol, F.format_number(F.round(F.abs(value), 0), 0), F.coalesce(_by_name(scale, C.SCALE_SUFFIXES), F.lit("")))
 
 
 def axis_bounds(low: Column, high: Column) -> tuple[Column, Column]:

@@ -46,8 +46,8 @@ def scope_resolution(spark, sf_dir):
 
 
 @query("""
-    WITH r AS (SELECT o_orderkey AS subquery, CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE 'ix' || (o_custkey % 40) END AS index_id FROM orders UNION ALL SELECT o_orderkey, 'y' FROM orders WHERE o_orderkey % 13 = 0),
-    k AS (SELECT DISTINCT 'ix' || s_suppkey AS index_id FROM supplier WHERE s_suppkey < 40),
+    WITH r AS (SELECT o_orderkey AS subquery, CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE 'ix' || o_custkey END AS index_id FROM orders UNION ALL SELECT o_orderkey, 'y' FROM orders WHERE o_orderkey % 13 = 0),
+    k AS (SELECT DISTINCT 'ix' || s_suppkey AS index_id FROM supplier),
     c AS (SELECT r.*, k.index_id IS NOT NULL AS known FROM r LEFT JOIN k ON k.index_id = r.index_id),
     o AS (SELECT CASE WHEN count(*) = 1 THEN min(index_id) END AS o FROM k),
     w AS (SELECT *, bool_or(known) OVER (PARTITION BY subquery) AS one_known, bool_and(known) OVER (PARTITION BY subquery) AS all_known FROM c, o)
@@ -56,9 +56,9 @@ def scope_resolution(spark, sf_dir):
 def route_repair(spark, sf_dir):
     """Orders as subqueries, customers' numbers as indexes."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    routes = o.select(k.alias("subquery"), F.when(k % 11 == 0, "x").otherwise(F.concat(F.lit("ix"), (F.col("o_custkey") % 40).cast("string"))).alias("index_id"))
+    routes = o.select(k.alias("subquery"), F.when(k % 11 == 0, "x").otherwise(F.concat(F.lit("ix"), F.col("o_custkey").cast("string"))).alias("index_id"))
     routes = routes.unionByName(o.where("o_orderkey % 13 = 0").select(k.alias("subquery"), F.lit("y").alias("index_id")))
-    scopes = table(spark, sf_dir, "supplier").where("s_suppkey < 40").select(F.concat(F.lit("ix"), F.col("s_suppkey").cast("string")).alias("index_id"))
+    scopes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("ix"), F.col("s_suppkey").cast("string")).alias("index_id"))
     return K.repaired_routes(routes, scopes)
 
 
@@ -262,13 +262,25 @@ def card_selection(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.visualization_card(text).alias("card"))
 
 
-@query("""
-    SELECT s_suppkey, CASE WHEN abs(v) >= 1e12 THEN round(v / 1e12, 1)::VARCHAR || '조' WHEN abs(v) >= 1e8 THEN round(v / 1e8, 1)::VARCHAR || '억' WHEN abs(v) >= 1e6 THEN round(v / 1e6, 1)::VARCHAR || '백만' WHEN abs(v) >= 1e3 THEN round(v / 1e3, 1)::VARCHAR || '천' ELSE round(v, 1)::VARCHAR END || '원' AS amount,
+def _shown(x: str) -> str:
+    return f"regexp_replace(format('{{:,.1f}}', round({x}, 1)), '\\.0$', '')"
+
+
+@query(f"""
+    SELECT s_suppkey, CASE WHEN abs(v) >= 1e12 THEN {_shown("v / 1e12")} || '조' WHEN abs(v) >= 1e8 THEN {_shown("v / 1e8")} || '억' WHEN abs(v) >= 1e6 THEN {_shown("v / 1e6")} || '백만' WHEN abs(v) >= 1e3 THEN {_shown("v / 1e3")} || '천' ELSE {_shown("v")} END || '원' AS amount,
+           CASE WHEN v < 0 THEN '-' ELSE '' END || CASE s_nationkey % 3 WHEN 0 THEN '$' WHEN 1 THEN '€' ELSE 'CHF ' END || {_shown("abs(v)")} || CASE s_suppkey % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'M' ELSE '' END AS international,
+           CASE WHEN round(m, 1) > 0 THEN '+' ELSE '' END || CASE WHEN round(m, 1) = 0 THEN '0' ELSE {_shown("m")} END || '%' AS percent,
+           CASE WHEN v < 0 THEN '-' ELSE '' END || CASE s_nationkey % 3 WHEN 0 THEN '$' WHEN 1 THEN 'EUR ' ELSE 'CHF ' END || format('{{:,.0f}}', round(abs(v))) || CASE s_suppkey % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'M' ELSE '' END AS compared,
            CASE WHEN m < 0 THEN floor((m - 5) / 5) * 5 ELSE 0 END::DOUBLE AS lower_bound, CASE WHEN m > 20 THEN ceil((m + 5) / 5) * 5 ELSE 20 END::DOUBLE AS upper_bound
-    FROM (SELECT s_suppkey, s_acctbal * pow(10, s_suppkey % 5 * 2) AS v, s_acctbal / 100 AS m FROM supplier)
+    FROM (SELECT s_suppkey, s_nationkey, s_acctbal * pow(10, s_suppkey % 5 * 2) AS v, s_acctbal / 100 AS m FROM supplier)
 """)
 def amount_formats(spark, sf_dir):
-    """balances at several scales."""
+    """balances at several scales and in several currencies."""
     v = F.col("s_acctbal") * F.pow(F.lit(10.0), F.col("s_suppkey") % 5 * 2)
     low, high = S.axis_bounds(F.col("s_acctbal") / 100, F.col("s_acctbal") / 100)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", S.krw_amount(v).alias("amount"), low.alias("lower_bound"), high.alias("upper_bound"))
+    n, k = F.col("s_nationkey") % 3, F.col("s_suppkey") % 3
+    currency, scale = F.when(n == 0, "USD").when(n == 1, "EUR").otherwise("CHF"), F.when(k == 0, "thousands").when(k == 1, "millions").otherwise("ones")
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", S.krw_amount(v).alias("amount"), S.international_amount(v, currency, scale).alias("international"), S.signed_percent(F.col("s_acctbal") / 100).alias("percent"),
+        S.comparison_amount(v, currency, scale).alias("compared"), low.alias("lower_bound"), high.alias("upper_bound"),
+    )
\ No newline at end of file

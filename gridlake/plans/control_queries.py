@@ -10,7 +10,7 @@ from ..operators import cells as X
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..sources import snapshots
-from ..streaming import state
+from ..streaming import leases, state
 from .base import query, table
 
 
@@ -235,6 +235,44 @@ def stale_lease_sessions(spark, sf_dir):
     return state.lease_sessions(table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600)
 
 
+@query("""
+    SELECT user_id, last_beat, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_beat)) / 1000000 AS age, greatest(0, 86400 - (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_beat)) / 1000000) AS left, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_beat)) / 1000000 > 86400 AS stale
+    FROM (SELECT user_id, max(ts) AS last_beat FROM events GROUP BY user_id)
+""")
+def lease_ages(spark, sf_dir):
+    """Age, time left and staleness of each user's lease of a day, at the end of January."""
+    beats = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_beat"))
+    return state.lease_age(beats, "last_beat", "2024-01-31 00:00:00", 86_400)
+
+
+@query("""
+    SELECT c_custkey AS owner, o_orderkey AS run, run_at FROM (SELECT c_custkey, o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END AS run_at FROM customer JOIN orders ON o_custkey = c_custkey)
+    QUALIFY row_number() OVER (PARTITION BY owner ORDER BY run_at DESC NULLS LAST, run DESC) = 1
+""")
+def latest_runs(spark, sf_dir):
+    """K9: each customer's latest order; open ones have no date yet and come last."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("run"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("run_at"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"))
+    return snapshots.latest(o.join(c, "owner"), ["owner"], ["run_at", "run"]).select("owner", "run", "run_at")
+
+
+def _job_events(events):
+    """Events as those of a user's job of a day: purchases enqueue, signups claim, views renew, errors fail, clicks end."""
+    kind = F.when(F.col("event_type") == "purchase", "enqueue").when(F.col("event_type") == "signup", "claim").when(F.col("event_type") == "view", "heartbeat").when(F.col("event_type") == "error", "fail").otherwise("succeed")
+    key = F.col("user_id") * 100 + F.dayofmonth("ts")
+    return events.select(key.alias("key"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), (F.col("event_id") % 2).cast("string").alias("token"))
+
+
+@query()
+def lease_stream(spark, sf_dir):
+    """Events as those of jobs under leases of six hours, tried again after an hour, as a stream with timers;
+    a test replays the whole table event by event."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    out = leases.lease_transitions(_job_events(rows), leases.Rules(lease=6 * 3600, delay=3600))
+    return state.drained(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("""
     SELECT user_id, event_id, attempt, attempt < 3 AS requeued FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS attempt FROM events WHERE event_type = 'error')
 """)
@@ -260,6 +298,17 @@ def state_changes_batch(spark, sf_dir):
     return state.state_changes_batch(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("state"), "ts"))
 
 
+@query("""
+    WITH e AS (SELECT user_id * 100 + day(ts) AS key, event_type AS state, ts FROM events)
+    SELECT key, state, ts FROM (SELECT *, lag(state) OVER w AS b, coalesce(max((state = 'purchase')::INT) OVER (PARTITION BY key ORDER BY ts, state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, state)) WHERE b IS DISTINCT FROM state AND ended = 0
+""")
+def state_stream_to_the_end(spark, sf_dir):
+    """Changes of each user's days as a stream, up to the first purchase, which is terminal."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("key"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"))
+    return state.drained(state.state_changes(rows, ("purchase",))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("""
     SELECT user_id AS key, event_type AS state, ts FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS b FROM events) WHERE b IS DISTINCT FROM event_type
 """)

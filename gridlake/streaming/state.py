@@ -15,28 +15,35 @@ from ..session import shared_dir
 OUTPUT = "key long, state string, ts timestamp"
 
 
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a key whose state differs from the one before it; late rows are ignored."""
-    last, seen = state.get if state.exists else (None, None)
-    rows = pd.concat(list(frames)).sort_values(["ts", "state"], kind="stable")
-    out = []
-    for s, t in zip(rows["state"], rows["ts"], strict=True):
-        at = t.value
-        if seen is not None and at < seen:
-            continue
-        if s != last:
-            out.append((key[0], s, t))
-        last, seen = s, at
-    state.update((last, seen))
-    yield pd.DataFrame(out, columns=["key", "state", "ts"])
-
-
-def state_changes(stream: DataFrame) -> DataFrame:
+def state_changes(stream: DataFrame, terminal: tuple[str, ...] = ()) -> DataFrame:
     """(key, state, ts) of a stream (key, state, ts), one row for each change of a key's state.
 
-    The state kept is one row for each key.
+    A terminal state is a key's last: what comes after it is not put out.  Late rows are left out.  The state kept is one
+    row for each key.
     """
-    return stream.groupBy("key").applyInPandasWithState(_changes, OUTPUT, "last string, seen long", "append", GroupStateTimeout.NoTimeout)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, seen = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values(["ts", "state"], kind="stable")
+        out = []
+        for s, t in zip(rows["state"], rows["ts"], strict=True):
+            if last in terminal:
+                break
+            at = t.value
+            if seen is not None and at < seen:
+                continue
+            if s != last:
+                out.append((key[0], s, t))
+            last, seen = s, at
+        state.update((last, seen))
+        yield pd.DataFrame(out, columns=["key", "state", "ts"])
+
+    return stream.groupBy("key").applyInPandasWithState(run, OUTPUT, "last string, seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_states(stream: DataFrame) -> DataFrame:
+    """Of the changes put out so far each key's latest, for readers that come late: a running aggregate of one row a key."""
+    return stream.groupBy("key").agg(F.max(F.struct("ts", "state")).alias("latest")).select("key", "latest.state", "latest.ts")
 
 
 def drained(stream: DataFrame) -> DataFrame:
@@ -48,10 +55,12 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def state_changes_batch(rows: DataFrame) -> DataFrame:
-    """T1 over a finished table: the same rows by a window."""
+def state_changes_batch(rows: DataFrame, terminal: tuple[str, ...] = ()) -> DataFrame:
+    """T1 over a finished table: the same rows by windows."""
     w = Window.partitionBy("key").orderBy("ts", "state")
-    return rows.withColumn("before", F.lag("state").over(w)).where(~F.col("before").eqNullSafe(F.col("state"))).drop("before")
+    ended = F.max(F.col("state").isin(*terminal).cast("int") if terminal else F.lit(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumns({"before": F.lag("state").over(w), "ended": ended})
+    return out.where(~F.col("before").eqNullSafe(F.col("state")) & (F.coalesce("ended", F.lit(0)) == 0)).drop("before", "ended")
 
 
 def lease_sessions(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
@@ -62,6 +71,12 @@ def lease_sessions(events: DataFrame, key: str, ts: str, seconds: int) -> DataFr
     return marked.groupBy(key, "lease").agg(F.min(ts).alias("claimed_at"), F.max(ts).alias("last_beat"), F.count("*").alias("beats"))
 
 
+def lease_age(leases: DataFrame, beat: str, now, ttl: int) -> DataFrame:
+    """Age and time left of each lease in seconds, and whether it is stale; a lease without a heartbeat has neither."""
+    age = (F.unix_micros(F.lit(now).cast("timestamp") if isinstance(now, str) else now) - F.unix_micros(F.col(beat).cast("timestamp"))) / 1_000_000
+    return leases.withColumns({"age": age, "left": F.greatest(F.lit(0.0), ttl - age), "stale": age > ttl})
+
+
 def attempts(events: DataFrame, key: str, ts: str, failed, most: int = 3) -> DataFrame:
     """T4: the number of each failure of a key, and whether it may be tried again."""
     w = Window.partitionBy(key).orderBy(ts)
