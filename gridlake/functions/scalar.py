@@ -104,10 +104,14 @@ def year_of_digits(label: Column) -> Column:
 
 
 def column_letters(col: Column) -> Column:
-    """letters of a column number up to 702 (ZZ)."""
-    low = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.pmod(col - 1, F.lit(26)) + 1, F.lit(1))
-    high = F.floor((col - 1) / 26).cast("int")
-    return F.concat(F.when(high > 0, F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), high, F.lit(1))).otherwise(""), low)
+    """letters of a column number, up to three of them."""
+
+    def letter(n: Column) -> Column:
+        return F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.pmod(n - 1, F.lit(26)).cast("int") + 1, F.lit(1))
+
+    second = F.floor((col - 1) / 26)
+    third = F.floor((second - 1) / 26)
+    return F.concat(F.when(third > 0, letter(third)).otherwise(""), F.when(second > 0, letter(second)).otherwise(""), letter(col))
 
 
 def row_of_coordinate(coord: Column) -> Column:

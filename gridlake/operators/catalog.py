@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from .. import constants as C
 from ..functions import scalar as S
 from ..functions.formulas import derived
 from ..session import cut
+from .graph import Levels
 from .metrics import derive
 
 
@@ -195,10 +200,36 @@ def known_metrics(observations: DataFrame, catalog: DataFrame) -> DataFrame:
     return observations.join(catalog.select("metric_id").distinct(), "metric_id", "left_semi")
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest for each run of equal keys; rows are read as they come."""
+    key, digest, any_yet = None, None, False
+    for batch in batches:
+        out = []
+        for k, row in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            k = k.as_py()
+            if digest is not None and k != key:
+                out.append((key, digest.hexdigest()))
+                digest = None
+            if digest is None:
+                key, digest, any_yet = k, hashlib.sha256(), False
+            digest.update(f"{chr(30) if any_yet else ''}{row}".encode())
+            any_yet = True
+        if out:
+            yield pa.record_batch([pa.array([x[0] for x in out], batch.column(0).type), pa.array([x[1] for x in out])], names=["key", "fingerprint"])
+        kind = batch.column(0).type
+    if digest is not None:
+        yield pa.record_batch([pa.array([key], kind), pa.array([digest.hexdigest()])], names=["key", "fingerprint"])
+
+
 def fingerprint(rows: DataFrame, key: str, *parts: Column) -> DataFrame:
-    """One SHA-256 for each key over its rows in order.  Each row is hashed first, so a group holds digests only."""
+    """One SHA-256 for each key over its rows in order.
+
+    Each row is hashed first; a key's digests are sorted by Spark and hashed as a stream, so none of its lists is held.
+    """
     row = F.sha2(F.concat_ws("\x1e", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts)), 256)
-    return rows.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\x1e"), 256).alias("fingerprint"))
+    ordered = rows.select(F.col(key).alias("key"), row.alias("row")).repartition("key").sortWithinPartitions("key", "row")
+    kind = rows.schema[key].dataType.simpleString()
+    return ordered.mapInArrow(_digests, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
 
 
 def cache_key(module: Column, version: Column, given: Column, config: Column) -> Column:
@@ -223,17 +254,14 @@ def common_years(left: DataFrame, right: DataFrame, keep: int = 5, entity: str =
 def tree_paths(nodes: DataFrame, separator: str = " / ") -> DataFrame:
     """(node_id, path, depth) of a tree (node_id, parent_id, name), roots at depth 0.
 
-    One join for each level of the tree, with lineage cut; nodes that no root reaches are left out.
+    One join for each level of the tree; levels are one table.  Nodes that no root reaches are left out.
     """
-    nodes = cut(nodes.select("node_id", "parent_id", "name"))
-    level = cut(nodes.where("parent_id IS NULL").select("node_id", F.col("name").alias("path"), F.lit(0).alias("depth")))
-    out = level
-    while True:
+    nodes, levels = cut(nodes.select("node_id", "parent_id", "name")), Levels(nodes.sparkSession)
+    level = levels.add(nodes.where("parent_id IS NULL").select("node_id", F.col("name").alias("path"), F.lit(0).alias("depth")))
+    while not level.isEmpty():
         up = level.select(F.col("node_id").alias("parent_id"), "path", "depth")
-        level = cut(nodes.join(up, "parent_id").select("node_id", F.concat_ws(separator, "path", "name").alias("path"), (F.col("depth") + 1).alias("depth")))
-        if not level.limit(1).count():
-            return out
-        out = out.unionByName(level)
+        level = levels.add(nodes.join(up, "parent_id").select("node_id", F.concat_ws(separator, "path", "name").alias("path"), (F.col("depth") + 1).alias("depth")))
+    return levels.all()
 
 
 def recalculated(observations: DataFrame, formulas: tuple[str, ...], entity: str = "company_id", period: str = "fiscal_year") -> DataFrame:

@@ -64,7 +64,7 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-class _Levels:
+class Levels:
     """Rows that come level by level, kept in one table in the shared folder, however many levels there are."""
 
     def __init__(self, spark: SparkSession):
@@ -93,7 +93,7 @@ def generations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     all_nodes = cut(nodes.select("node").distinct())
     degree = edges.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("open"))
     waiting = cut(all_nodes.join(degree, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")))
-    levels = _Levels(spark)
+    levels = Levels(spark)
     frontier = levels.add(waiting.where("open = 0").select("node", F.lit(0).alias("level")))
     waiting = cut(waiting.where("open > 0"))
     for level in itertools.count(1):
@@ -130,7 +130,7 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes, edges = cut(nodes.select("node").distinct()), cut(edges.select("source", "target").distinct())
     own = edges.where("source = target").select(F.col("source").alias("node"))
     edges = edges.where("source <> target")
-    found = _Levels(spark)
+    found = Levels(spark)
     found.add(nodes.limit(0).select("node", F.col("node").alias("cycle")))
     alone = nodes.join(own, "node", "left_semi")
     nodes, edges = _trimmed(nodes, edges)
@@ -197,7 +197,7 @@ def descendants(start: DataFrame, edges: DataFrame, stop: DataFrame | None = Non
     if stop is not None:
         edges = edges.join(stop.select(F.col("node").alias("target")), "target", "left_anti")
         seen = seen.join(stop.select("node"), "node", "left_anti")
-    levels = _Levels(start.sparkSession)
+    levels = Levels(start.sparkSession)
     fresh = levels.add(seen)
     edges = cut(edges.select("source", "target").distinct())
     while True:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .cells import unambiguous_majority
+from .cells import role_scores, unambiguous_majority
 
 # Words that mark a row of periods, columns of the last twelve months, and columns of forecasts.
 AXIS_WORDS = r"(?i)period\s*(?:ended|end|date)|fiscal\s*year|as\s+of|reporting\s+date|기간|결산일|기준일|iq_period_end"
@@ -44,8 +44,22 @@ def period_axes(cells: DataFrame, header_cells: DataFrame | None = None, key: st
     return kept.select(*at, "row", "col", "end_date", "year", "label", F.when(F.col("ltm"), "ltm").otherwise("fy").alias("kind"))
 
 
-def workbook_profile(cells: DataFrame, key: str = "workbook") -> DataFrame:
-    """(key, currency, scale, fiscal_years, ltm_years, status, issues).
+def sheet_roles(cells: DataFrame, roles: dict[str, tuple[str, ...]], key: str = "workbook") -> DataFrame:
+    """(key, sheet_roles): of each workbook its sheets in order, with role and confidence.
+
+    A sheet's text is what its cells say, of which only the terms that occur are gathered.
+    """
+    said = cells.select(key, "sheet", F.lower("value").alias("value"))
+    terms = sorted({t for words in roles.values() for t in words})
+    found = said.groupBy(key, "sheet").agg(*(F.bool_or(F.col("value").contains(t)).alias(f"_{k}") for k, t in enumerate(terms)))
+    text = F.concat_ws(" ", *(F.when(F.col(f"_{k}"), F.lit(t)) for k, t in enumerate(terms)))
+    scored = role_scores(found.select(key, "sheet", text.alias("_text")), roles, "sheet", "_text")
+    each = F.array_sort(F.collect_list(F.struct("sheet", "role", "confidence")))
+    return scored.groupBy(key).agg(each.alias("sheet_roles"))
+
+
+def workbook_profile(cells: DataFrame, key: str = "workbook", roles: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(key, currency, scale, fiscal_years, ltm_years, status, issues), with roles also sheet_roles.
 
     Currency and scale are those that most cells name, null on a tie; a profile without one of them is partial.
     """
@@ -58,4 +72,5 @@ def workbook_profile(cells: DataFrame, key: str = "workbook") -> DataFrame:
     out = out.withColumns({c: F.coalesce(c, none) for c in ("fiscal_years", "ltm_years")})
     lacks = ((F.col("currency").isNull(), "currency_missing"), (F.col("scale").isNull(), "amount_scale_missing"), (F.size("fiscal_years") == 0, "periods_missing"))
     issues = F.array_compact(F.array(*(F.when(c, name) for c, name in lacks)))
-    return out.withColumn("issues", issues).withColumn("status", F.when(F.size("issues") > 0, "partial").otherwise("complete"))
+    out = out.withColumn("issues", issues).withColumn("status", F.when(F.size("issues") > 0, "partial").otherwise("complete"))
+    return out if roles is None else out.join(sheet_roles(cells, roles, key), key, "left")
