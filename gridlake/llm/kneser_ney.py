@@ -12,6 +12,8 @@ There is a range for each TOKENS_PER_RANGE tokens, however large the corpus; bey
 gathered for many groups.  Tasks merge counts before they send them, so a word or n-gram of any frequency is one
 number from each.
 
+Blobs number their words: a list of common ones is the same for all blobs, of others they hold the hashes.
+
 Files of a model: gram-N-R (keys, counts), context-N-R (keys, how many n-grams of count 1, 2 and more go on from there,
 sum of counts) and word-R (keys, counts, counts of order 1), each sorted by key; R orders the ranges.  Words have 64 bits
 for a key; n-grams and contexts are told apart by 40 bits within their range, which holds about a million at any size: of
@@ -50,6 +52,8 @@ TOKENS_PER_RANGE, WORD_SHARE, BYTES_PER_TOKEN = 1_000_000, 8, 6
 GROUP = 8
 #: Ranges that blobs are sent to at once; with more, they go by groups of ranges first.
 ONE_HOP = 16_384
+#: Words with a number of their own in all blobs, the commonest of about COMMON_BYTES of text: they only make blobs smaller.
+COMMON, COMMON_BYTES = 65_536, 1 << 24
 #: Files that a worker keeps mapped.
 _MAPPED = 4096
 _ROWS = "kind string, part int, data binary"
@@ -135,19 +139,28 @@ def _views(data: np.ndarray) -> list[np.ndarray]:
 
 
 _maps: collections.OrderedDict[str, list[np.ndarray]] = collections.OrderedDict()
+#: What a range without entries has.
+_NOTHING = [np.zeros(0, U)]
 
 
 def _arrays(folder: str, name: str) -> list[np.ndarray]:
-    """The arrays of a file: views of a memory map, or what was read of a store that has none."""
+    """The arrays of a file: views of a memory map, or what was read of a store that has none.  A range that has no file has
+    no entries; files are found by their names alone, so no list of them is kept anywhere."""
     store, path = _target(folder)
     path = f"{path}/{name}"
     if not isinstance(store, fs.LocalFileSystem):
-        with store.open_input_stream(path) as f:
-            return _views(np.frombuffer(f.read(), np.uint8))
+        try:
+            with store.open_input_stream(path) as f:
+                return _views(np.frombuffer(f.read(), np.uint8))
+        except FileNotFoundError:
+            return _NOTHING
     if path in _maps:
         _maps.move_to_end(path)
     else:
-        _maps[path] = _views(np.memmap(path, np.uint8, "r"))
+        try:
+            _maps[path] = _views(np.memmap(path, np.uint8, "r"))
+        except FileNotFoundError:
+            _maps[path] = _NOTHING
         if len(_maps) > _MAPPED:
             _maps.popitem(last=False)
     return _maps[path]
@@ -226,16 +239,40 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first], first, np.append(first[1:], len(ordered))
 
 
-def _pack_grams(words: list[np.ndarray], count: np.ndarray, places: np.ndarray, within: np.ndarray) -> bytes:
+@dataclass
+class Common:
+    """The commonest words in order, and where each one stands among their sorted hashes."""
+
+    words: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.rank = np.argsort(self.words, kind="stable")
+        self.sorted = self.words[self.rank]
+
+    def ranks(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 where it is none of them."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == words, self.rank[at], -1)
+
+
+def _pack_grams(words: list[np.ndarray], count: np.ndarray, places: np.ndarray, within: np.ndarray, common: Common) -> bytes:
     """N-grams of a group of ranges: the words that occur, then for each range numbers into them and counts.
 
-    They are in the order of the last words, so that endings repeat.
+    Common words come first, by their places, so they have small numbers; others by their hashes.  N-grams are in the order of
+    the last words, so that endings repeat.
     """
     own, number = np.unique(np.concatenate(words), return_inverse=True)
-    numbers = np.split(number, len(words))
+    rank = common.ranks(own)
+    known = np.flatnonzero(rank >= 0)
+    known, rest = known[np.argsort(rank[known])], np.flatnonzero(rank < 0)
+    place = np.empty(len(own), dtype=np.int64)
+    place[np.concatenate([known, rest])] = np.arange(len(own))
+    numbers = np.split(place[number], len(words))
     order = np.lexsort([*numbers, within])
     cuts = np.searchsorted(within[order], np.arange(1, GROUP))
-    parts = [_pack([_steps(own)])]
+    parts = [_pack([_steps(rank[known]), _steps(own[rest])])]
     for at in np.split(order, cuts):
         *front, last = (n[at] for n in numbers)
         same = np.array_equal(count[at], places[at])  # as in the highest order
@@ -243,26 +280,27 @@ def _pack_grams(words: list[np.ndarray], count: np.ndarray, places: np.ndarray,
     return struct.pack(f"<{1 + GROUP}I", *map(len, parts)) + b"".join(parts)
 
 
-def _unpack_grams(data: bytes) -> tuple[np.ndarray, list[memoryview]]:
+def _unpack_grams(data: bytes, common: Common) -> tuple[np.ndarray, list[memoryview]]:
     """The words, and what is packed of each range."""
     ends = np.cumsum([4 * (1 + GROUP), *struct.unpack_from(f"<{1 + GROUP}I", data)]).tolist()
     parts = [memoryview(data)[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    return np.cumsum(_unpack(parts[0])[0].astype(U)), parts[1:]
+    rank, rest = _unpack(parts[0])
+    return np.concatenate([common.words[np.cumsum(rank.astype(np.int64))], np.cumsum(rest.astype(U))]), parts[1:]
 
 
-def _grams(kind: str, words: list[np.ndarray], count: np.ndarray, places: np.ndarray, ranges: int) -> Iterator[tuple[str, int, bytes]]:
+def _grams(kind: str, words: list[np.ndarray], count: np.ndarray, places: np.ndarray, ranges: int, common: Common) -> Iterator[tuple[str, int, bytes]]:
     """Blobs of n-grams, one for each group of ranges."""
     where = _range(_hash(words[-_shared(len(words)) :]), ranges)
-    yield from _by_range(kind, where // GROUP, lambda at: _pack_grams([w[at] for w in words], count[at], places[at], where[at] % GROUP))
+    yield from _by_range(kind, where // GROUP, lambda at: _pack_grams([w[at] for w in words], count[at], places[at], where[at] % GROUP, common))
 
 
-def _count(order: int, ranges: int):
+def _count(order: int, ranges: int, shared):
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         words = [np.concatenate([h[k] for h in held]) for k in range(order)]
         _, first, n = np.unique(_hash(words), return_index=True, return_counts=True)
         words = [w[first] for w in words]
         rows: list[tuple[str, int, bytes]] = []
-        for row in _grams(f"gram-{order}", words, n, n, ranges):
+        for row in _grams(f"gram-{order}", words, n, n, ranges, shared.value):
             rows.append(row)
             if len(rows) == 64:
                 yield _rows(rows)
@@ -287,7 +325,7 @@ def _count(order: int, ranges: int):
     return run
 
 
-def _gathered(ranges: int):
+def _gathered(ranges: int, shared):
     """Blobs (kind, part, data) of many parts, put together again by part: fewer and larger ones."""
 
     def joined(held: dict[tuple[str, int], list[bytes]]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +334,11 @@ def _gathered(ranges: int):
                 yield _rows([(kind, part, _pack_sums(*_sums(blobs)))])
                 continue
             order = int(kind.split("-")[1])
-            opened = [_unpack_grams(b) for b in blobs]
+            opened = [_unpack_grams(b, shared.value) for b in blobs]
             found = [g for k in range(GROUP) if (g := _all_grams(opened, order, k))]
             words = [np.concatenate(w) for w in zip(*(g[0] for g in found), strict=True)]
             count, places = (np.concatenate([g[k] for g in found]) for k in (1, 2))
-            yield from (_rows([row]) for row in _grams(kind, words, count, places, ranges))
+            yield from (_rows([row]) for row in _grams(kind, words, count, places, ranges, shared.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[bytes]] = {}
@@ -353,7 +391,7 @@ def _goes_on(words: list[np.ndarray], count: np.ndarray, ranges: int) -> Iterato
     yield from _by_range(f"context-{len(words) - 1}", where, lambda at: _pack_sums(keys[at], *(v[at] for v in values)))
 
 
-def _merge(folder: str, ranges: int, word_ranges: int):
+def _merge(folder: str, ranges: int, word_ranges: int, shared):
     """Merge one range of one kind, write its file, and send on what it adds to others."""
 
     def of(n: int) -> int:
@@ -375,13 +413,13 @@ def _merge(folder: str, ranges: int, word_ranges: int):
         if len(words) == 2:
             yield from _by_range("word", _range(keys, word_ranges), lambda at: _pack_sums(keys[at], places[at], count[at]))
         else:
-            yield from _grams(f"gram-{len(words) - 1}", [w[row] for w in words[1:]], count, places, ranges)
+            yield from _grams(f"gram-{len(words) - 1}", [w[row] for w in words[1:]], count, places, ranges, shared.value)
 
     def run(table: pa.Table) -> pa.Table:
         kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
         blobs = table["data"].to_pylist()
         if kind.startswith("gram"):
-            out, opened = [], [_unpack_grams(b) for b in blobs]
+            out, opened = [], [_unpack_grams(b, shared.value) for b in blobs]
             sums: dict[tuple[str, int], list[bytes]] = {}
             for k in range(GROUP):
                 if found := _all_grams(opened, int(kind.split("-")[1]), k):
@@ -437,12 +475,26 @@ class Model:
     endings: int = 0  # different pairs of words: the sum of all counts of order 1
     spread: float = 1.0  # what order 1 leaves to words never seen
     discounts: dict[int, np.ndarray] = field(default_factory=dict)  # by order
-    have: frozenset[str] = frozenset()
 
     def delete(self, spark) -> None:
         remove(spark, self.folder)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, data, off in string_chunks(batch, "text"):
+            words, n = np.unique(word_hashes(data, off)[0] | U(4), return_counts=True)
+            yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+
+def _commonest(texts: DataFrame, size: int) -> Common:
+    """The commonest words of a sample of texts, START and END before them."""
+    share = min(1_000_000, int(1_000_000 * COMMON_BYTES / max(size, 1)) + 1)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    words = sample.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON - 2).toArrow()
+    return Common(np.concatenate([np.array([START, END]), words["word"].to_numpy().view(U)]))
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     """Count all texts of docs (null: empty) and write the model; what the driver holds is a few sums."""
     if order < 2:
@@ -453,15 +505,16 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     size = texts.agg(F.sum(F.octet_length("text").cast("long") + BYTES_PER_TOKEN)).first()[0] or 0
     ranges = 1 + size // (BYTES_PER_TOKEN * TOKENS_PER_RANGE)
     m = Model(new_path(spark, "kneser-ney"), order, ranges, 1 + ranges // WORD_SHARE)
-    merge = _merge(m.folder, m.ranges, m.word_ranges)
+    common = spark.sparkContext.broadcast(_commonest(texts, size))
+    merge = _merge(m.folder, m.ranges, m.word_ranges, common)
 
     def merged(rows: DataFrame) -> DataFrame:
         if m.ranges > ONE_HOP:
             group = F.floor(F.col("part") / int(m.ranges**0.5)).alias("group")
-            rows = rows.withColumn("group", group).repartition("kind", "group").mapInArrow(_gathered(m.ranges), _ROWS)
+            rows = rows.withColumn("group", group).repartition("kind", "group").mapInArrow(_gathered(m.ranges, common), _ROWS)
         return rows.groupBy("kind", "part").applyInArrow(merge, _ROWS)
 
-    rows = merged(texts.mapInArrow(_count(order, m.ranges), _ROWS))
+    rows = merged(texts.mapInArrow(_count(order, m.ranges, common), _ROWS))
     while order > 3:  # endings whose counts are still to be added up
         rows = tmp.written(rows, "n-gram-sums")
         order = _shared(order) - 1
@@ -476,8 +529,6 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     if m.endings:
         left = np.array([got.get(9, 0), got.get(10, 0), got.get(3, 0)], dtype=np.float64)
         m.spread = float(m.discounts[1] @ left) / m.endings
-    store, path = _target(m.folder)
-    m.have = frozenset(f.base_name for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)))
     return m
 
 
@@ -489,10 +540,7 @@ def _look_up(m: Model, kind: str, keys: np.ndarray, where: np.ndarray, columns:
     out = np.zeros((columns, len(keys)), dtype=np.int64)
     order = np.argsort(where, kind="stable")
     for part, a, b in zip(*(x.tolist() for x in _runs(where[order])), strict=True):
-        name = f"{kind}-{part:07d}"
-        if name not in m.have:
-            continue
-        known, *values = _arrays(m.folder, name)
+        known, *values = _arrays(m.folder, f"{kind}-{part:07d}")
         if not len(known):
             continue
         rows = order[a:b]
@@ -571,7 +619,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     token has probability 1.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its list of files is the largest part
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scorer(shared.value)(batches)
