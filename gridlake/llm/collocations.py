@@ -35,7 +35,7 @@ from .text import LOWER, give_back, string_chunks
 UNKNOWN = "und"
 DEPTH, MIN_COUNT, TOP = 3, 10, 2000
 #: Words that a map task counts at a time; tokens for each range; ranges that one hop cuts to; numbers given out.
-FLUSH, TOKENS_PER_RANGE, FAN, LISTED = 2_000_000, 2_000_000, 512, (1 << 20) - 1
+FLUSH, TOKENS_PER_RANGE, FAN, LISTED = 1_200_000, 2_000_000, 512, (1 << 20) - 1
 #: Bits of a number in a path of three.
 BITS = 20
 #: Bytes that end a piece, and bytes that stand between words of one.
