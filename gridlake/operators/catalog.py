@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scalar as S
 from ..functions.formulas import derived
-from ..session import cut
+from ..session import cut, short_list
 from .graph import Levels
 from .metrics import derive
 
@@ -99,11 +99,11 @@ def repaired_routes(routes: DataFrame, scopes: DataFrame) -> DataFrame:
 def question_plan(companies: DataFrame, periods: DataFrame, metrics: DataFrame, job: str, version: str = "1") -> DataFrame:
     """A queued question for each source metric and period of each company; derived metrics get none.
 
-    companies: company_id, workbook_hash, index_id; periods: company_id, kind, period_id, label; metrics (a short list):
+    companies: company_id, workbook_hash, index_id; periods: company_id, kind, period_id, label; metrics:
     metric_id, label_en, template with {metric} and {period}, derived.
     """
     pid = F.when(F.startswith("period_id", F.concat("kind", F.lit("-"))), F.col("period_id")).otherwise(F.concat_ws("-", "kind", "period_id"))
-    asked = companies.join(periods, "company_id").withColumn("period_id", pid).crossJoin(F.broadcast(metrics.where("NOT derived")))
+    asked = companies.join(periods, "company_id").withColumn("period_id", pid).crossJoin(short_list(metrics.where("NOT derived")))
     identity = F.concat_ws("\x00", F.lit(job), F.col("company_id").cast("string"), "workbook_hash", "index_id", "metric_id", "period_id", F.lit(version))
     text = F.replace(F.replace("template", F.lit("{period}"), F.col("label")), F.lit("{metric}"), F.col("label_en"))
     return asked.select(F.concat(F.lit("question-"), F.substring(F.sha2(identity, 256), 1, 24)).alias("question_id"), "company_id", "metric_id", "period_id", text.alias("question_text"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.formulas import derived
+from ..session import short_list
 
 _RANK = {s: k for k, s in enumerate(C.STATUS_PRIORITY)}
 
@@ -14,9 +15,9 @@ _RANK = {s: k for k, s in enumerate(C.STATUS_PRIORITY)}
 def observation_grid(observed: DataFrame, periods: DataFrame, entity: str = "company_id", period: str = "fiscal_year") -> DataFrame:
     """Every entity of observed in every period; where nothing was observed the status is missing.
 
-    periods is a short list; the grid has entities x periods rows by definition.
+    The grid has entities x periods rows by definition; periods that are a short list go to every task.
     """
-    grid = observed.select(entity).distinct().crossJoin(F.broadcast(periods.select(period).distinct()))
+    grid = observed.select(entity).distinct().crossJoin(short_list(periods.select(period).distinct()))
     full = grid.join(observed, [entity, period], "left")
     return full.withColumn("status", F.coalesce("status", F.lit(C.MISSING)) if "status" in observed.columns else F.when(F.col("value").isNotNull(), C.AVAILABLE).otherwise(C.MISSING))
 

@@ -177,21 +177,27 @@ def best_variant(documents: DataFrame, keys: list[str], quality: list[Column]) -
     return documents.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def evidence_of(documents: DataFrame, eligible: DataFrame, keys: list[str], quality: list[Column]) -> DataFrame:
+    """Of the documents of a scope those at eligible coordinates, the best one of each."""
+    return best_variant(documents.join(eligible.select(*keys).distinct(), keys), keys, quality)
+
+
 def exact_evidence(cells: DataFrame, wanted: DataFrame, limit: int = C.EVIDENCE_MAX) -> DataFrame:
     """Cells that state a metric for a period, for all pairs of wanted at once.
 
-    wanted: metric_id, aliases array, excluded array, period_terms array, kind (fy or ltm); a short list.  cells:
+    wanted: metric_id, aliases array, excluded array, period_terms array, kind (fy or ltm).  cells:
     cell_id, company, sheet, coord, row_index, col_index, row_tokens array, column_tokens array (normalised).  A row
     token equal to an alias is better than one that ends with it; rows that end with an excluded alias are out.  Of
     several columns of one row and period those marked LTM are the LTM ones; without a mark the left one is the fiscal
     year, the right one LTM.  Of the first cells of a company and metric (see prioritized()) those of the best alias rank stay, limit of them at most.
     """
-    w = F.broadcast(wanted)
     exact = F.array_min(F.filter(F.transform("row_tokens", lambda t: F.array_position("aliases", t)), lambda p: p > 0))
     ends = F.array_min(F.filter(F.transform("aliases", lambda a, i: F.when(F.exists("row_tokens", lambda t: t.endswith(a)), i + 1)), lambda p: p.isNotNull()))
     blocked = F.exists("excluded", lambda a: F.exists("row_tokens", lambda t: t.endswith(a)))
     ltm = F.exists("column_tokens", lambda t: t.isin("ltm", "lasttwelvemonths", "trailingtwelvemonths"))
-    seen = cells.join(w, F.arrays_overlap("column_tokens", "period_terms")).withColumns({"exact": exact, "ends": ends, "blocked": blocked, "ltm": ltm})
+    # a cell meets what is wanted by an equal term; that it may meet it by several makes no difference to what follows
+    asked = wanted.withColumn("_term", F.explode(F.array_distinct("period_terms")))
+    seen = cells.withColumn("_term", F.explode(F.array_distinct("column_tokens"))).join(asked, "_term").withColumns({"exact": exact, "ends": ends, "blocked": blocked, "ltm": ltm})
     keys = ["metric_id", "kind", "company", "sheet"]
     at = seen.groupBy(*keys, "coord").agg(F.max("row_index").alias("row_index"), F.max("col_index").alias("col_index"), F.min("exact").alias("exact"), F.min("ends").alias("ends"), F.bool_or("blocked").alias("blocked"), F.bool_or("ltm").alias("ltm"), F.min("cell_id").alias("cell_id"))
     at = at.where("(exact IS NOT NULL OR ends IS NOT NULL) AND NOT blocked")

@@ -150,7 +150,7 @@ def phase_totals(spark, sf_dir):
     SELECT sheet, coord, coalesce(n, 0) AS n_indexes, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS status, CASE WHEN n = 1 THEN ix END AS index_id FROM a LEFT JOIN h USING (sheet, coord)
 """)
 def evidence_resolution(spark, sf_dir):
-    """Coordinates looked up over all companies' larger cells."""
+    """Coordinates looked up over all companies' larger cells."""
     c = cells(spark, sf_dir)
     out = K.resolved_evidence(c.select("sheet", "coord").distinct(), c.where("value > 50000").select("sheet", "coord", F.col("company").alias("index_id")), ["sheet", "coord"])
     return out.select("sheet", "coord", "n_indexes", "status", "index_id")

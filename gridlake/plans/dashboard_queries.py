@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
+from ..functions import formulas
 from ..functions import scalar as S
 from ..operators import dashboards as D
 from ..operators import indexes as I
 from ..operators import profile as P
+from ..operators import retrieval as R
 from . import metric_queries
 from .base import CELLS_SQL, ORACLE_SQL, YEARS_SQL, cells, company_years, query, table
 
@@ -77,6 +80,15 @@ def dashboard_snapshots(spark, sf_dir):
     return D.dashboard_snapshots(observations, sources, _PRIMARY).withColumn("issues", F.array_join("issues", ","))
 
 
+@query()
+def exact_margins(spark, sf_dir):
+    """margins of each company and year in decimals of 28 digits; a test computes the whole table in Python's decimals."""
+    y = company_years(spark, sf_dir)
+    money = {c: F.col(c).cast("decimal(18,4)") for c in ("operating_income", "net_income", "revenue")}
+    out = y.select("company_id", "fiscal_year", *(formulas.exact(C.FORMULAS[m], money).alias(m) for m in ("operating_margin", "net_margin")), *(v.alias(f"given_{c}") for c, v in money.items()))
+    return out.select("company_id", "fiscal_year", "given_operating_income", "given_net_income", "given_revenue", *(F.col(m)["text"].alias(m) for m in ("operating_margin", "net_margin")))
+
+
 # -- comparison ------------------------------------------------------------------------------------------------------
 
 _REGISTRY_SQL = f"""
@@ -166,6 +178,19 @@ def index_details(spark, sf_dir):
     return out.select("name", "document_count", F.array_join(F.transform("sample", lambda x: x["id"]), ",").alias("sample"), F.array_join("sheets", ",").alias("sheets"), F.array_join("tables", ",").alias("tables"))
 
 
+@query(f"""
+    WITH {CELLS_SQL}, v AS (SELECT *, unnest(['header_only', 'header_with_value']) AS variant FROM cells), e AS (SELECT company, sheet, coord FROM cells WHERE value > 30000 AND row_index % 10 = 1)
+    SELECT v.company, v.sheet, v.coord, variant FROM v JOIN e ON e.company = v.company AND e.sheet = v.sheet AND e.coord = v.coord QUALIFY row_number() OVER (PARTITION BY v.company, v.sheet, v.coord ORDER BY CASE WHEN variant = 'header_with_value' THEN 0 ELSE 1 END, variant) = 1
+""")
+def eligible_evidence(spark, sf_dir):
+    """The documents of a scope joined again with the coordinates that came through, the best one of each."""
+    c = cells(spark, sf_dir)
+    documents = c.withColumn("variant", F.explode(F.array(F.lit("header_only"), F.lit("header_with_value"))))
+    eligible = c.where("value > 30000 AND row_index % 10 = 1").select("company", "sheet", "coord")
+    quality = [F.when(F.col("variant") == "header_with_value", 0).otherwise(1), F.col("variant")]
+    return R.evidence_of(documents, eligible, ["company", "sheet", "coord"], quality).select("company", "sheet", "coord", "variant")
+
+
 # -- profiles and coordinates ----------------------------------------------------------------------------------------
 
 _ROLES = {"income": ("fy1995", "a"), "balance": ("brand#1", "r"), "cash": ("n", "brand#5")}

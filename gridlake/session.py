@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "gridlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows up to which a table is called a short list, and is sent to every task.
+SHORT_LIST = 10_000
+
+
+def short_list(df: DataFrame, most: int = SHORT_LIST) -> DataFrame:
+    """df, marked to be broadcast if it has at most so many rows; a longer one is left to Spark."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

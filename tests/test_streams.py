@@ -136,6 +136,15 @@ def test_decimal_formulas_are_those_of_python(spark):
                 assert r["x"]["value"] == want.quantize(decimal.Decimal("1e-12"), context=decimal.Context(prec=60, rounding=decimal.ROUND_HALF_EVEN))
 
 
+def test_exact_margins_over_the_whole_query(spark):
+    rows = QUERIES["exact_margins"](spark, SF).collect()
+    with decimal.localcontext(decimal.Context(prec=28, rounding=decimal.ROUND_HALF_EVEN)):
+        for r in rows:
+            assert r["operating_margin"] == str(r["given_operating_income"] / r["given_revenue"] * 100)
+            assert r["net_margin"] == str(r["given_net_income"] / r["given_revenue"] * 100)
+    assert len(rows) > 50
+
+
 @pytest.mark.parametrize("text", ["round(a, 2)", "a // b", "a % b", "round(a)", "round(a / b, 1) - a // b", "max(a, b, 0.5) // 0.1", "-a // b"])
 def test_answers_are_those_of_python_floats(spark, text):
     rng = random.Random(5)
