@@ -26,6 +26,7 @@ copy is kept.
 from __future__ import annotations
 
 import collections
+import functools
 import json
 import os
 import struct
@@ -97,6 +98,7 @@ def _unpack(data: bytes | memoryview) -> list[np.ndarray]:
     return out
 
 
+@functools.lru_cache(64)
 def _target(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
