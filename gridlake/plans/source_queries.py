@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..sources import collections, publishing, workbooks
 from .base import CELLS_SQL, cells, query, table
 
@@ -59,7 +59,7 @@ def workbook_visible_cells(spark, sf_dir):
 @query(f"{_BOOK_SQL} SELECT file_name, 64 AS digest_length, array_to_string(list_sort(list(DISTINCT sheet)), ',') AS sheets, count(*) AS n_cells, count(*) = max(count(*)) OVER () AND file_name = min(file_name) OVER (PARTITION BY count(*)) AS largest FROM book GROUP BY file_name")
 def workbook_catalog(spark, sf_dir):
     """Workbooks with digest and sheets; the largest (of several the first by name) is found by name, then by digest."""
-    catalog = workbooks.workbook_catalog(workbooks.read_workbooks(spark, _books(spark, sf_dir))).checkpoint()
+    catalog = cut(workbooks.workbook_catalog(workbooks.read_workbooks(spark, _books(spark, sf_dir))))
     name = catalog.orderBy(F.desc("n_cells"), "file_name").first()["file_name"]
     digest = workbooks.resolve(catalog, file_name=f" {name} ").first()["workbook_hash"]
     found = workbooks.resolve(catalog, workbook_hash=digest).first()["file_name"]

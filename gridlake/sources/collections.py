@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog
-from ..session import shared_dir
+from ..session import cut, shared_dir
 
 #: The column that names a row's collection.
 COLLECTION = "collection"
@@ -92,6 +92,6 @@ def delete(spark: SparkSession, folders: list[str], names: list[str]) -> None:
 def compact(spark: SparkSession, folder: str, names: list[str], polluted: Column, key: str, variant: str) -> DataFrame:
     """Remove polluted rows of some collections; the report (n_before, n_removed, n_incomplete) of each."""
     before = scan(spark, folder, names)
-    report = catalog.compacted(before, polluted, [COLLECTION], key, variant)[1].checkpoint()
+    report = cut(catalog.compacted(before, polluted, [COLLECTION], key, variant)[1])
     rewrite(spark, folder, _named(spark, names), lambda rows: catalog.compacted(rows, polluted, [COLLECTION], key, variant)[0])
     return report
