@@ -2,6 +2,7 @@
 
 A posting is a word of a text with its length and all places of the word there.  Postings are stored in buckets of words, so
 a search reads only the buckets of the words that are asked for, and the join on words needs no exchange of postings.
+Texts that are searched once need no stored postings: those of the asked words are taken in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..session import shared_dir
 
 #: Buckets of words, and how many tasks write (files hold) a bucket, so that a word of every text is no one task's work.
 BUCKETS, SHARES = 64, 4
-#: Distinct words up to which buckets are picked by a list; more are met by the join alone.
+#: Words of all queries up to which buckets are picked by a list, which is broadcast; more are met by a join of two tables.
 LISTED = 1000
 #: What a word of the lowest weight class counts in a cover.
 WEIGHT = 0.1
@@ -48,10 +49,42 @@ def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([flat.dictionary.take(pa.array(code[first])), batch.column(0).take(whose), pa.array(size[doc[first]].astype(np.int64)), places], names=["word", "doc_id", "length", "places"])
 
 
+def _worded(docs: DataFrame) -> DataFrame:
+    """The words of each text; texts without any stay, as a condition on the words would split each text twice."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """(query_id, need, word) of the queries' distinct words, and their list, or None where there are more than LISTED rows."""
+    wanted = queries.select("query_id", F.array_distinct(F.array_compact("words")).alias("words"))
+    wanted = wanted.select("query_id", F.size("words").alias("need"), F.explode("words").alias("word"))
+    listed = [r["word"] for r in wanted.select("word").limit(LISTED + 1).collect()]
+    return (F.broadcast(wanted), sorted(set(listed))) if len(listed) <= LISTED else (wanted, None)
+
+
+def occurrences(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Postings of docs (doc_id, text) for the words of queries (query_id, words), not stored: for a search that is made once.
+
+    Up to LISTED words of all queries are picked out where a text is read, so nothing else leaves its row; with more of them, the postings
+    of all words are made and the search's join picks.  match_all gives the same rows on both and on stored postings.
+    """
+    _, listed = _asked(queries)
+    rows = _worded(docs)
+    if listed is None:
+        return rows.mapInArrow(_by_word, _POSTINGS)
+    if not listed:
+        return docs.sparkSession.createDataFrame([], _POSTINGS)
+    seen = F.array_compact(F.transform("words", lambda x, i: F.when(x.isin(listed), F.struct(x.alias("word"), (i + 1).alias("place")))))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("length"), seen.alias("seen"))
+    rows = rows.select("doc_id", "length", "seen", F.explode(F.array_distinct(F.col("seen.word"))).alias("word"))
+    places = F.transform(F.filter("seen", lambda h: h["word"] == F.col("word")), lambda h: h["place"])
+    return rows.select("word", "doc_id", "length", places.alias("places"))
+
+
 def postings(docs: DataFrame, buckets: int = BUCKETS, shares: int = SHARES) -> DataFrame:
     """The stored postings (word, doc_id, length, places from 1) of docs (doc_id, text); a null text has no words."""
     spark, name = docs.sparkSession, f"postings_{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words")).where("size(words) > 0").mapInArrow(_by_word, _POSTINGS)
+    rows = _worded(docs).mapInArrow(_by_word, _POSTINGS)
     # a task for each bucket and share, so that a bucket is SHARES files, however many tasks read the texts
     dealt = rows.repartition(buckets * shares, F.pmod(F.hash("word"), F.lit(buckets)), F.pmod(F.hash("doc_id"), F.lit(shares)))
     dealt.write.bucketBy(buckets, "word").sortBy("word").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
@@ -96,15 +129,13 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def match_all(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Texts that hold every word of a query, best first: query_id, doc_id, score, rank.
 
-    stored: postings; queries: query_id, words (array).  The score is the cover density: each shortest stretch of a text that
+    stored: postings or occurrences; queries: query_id, words (array).  The score is the cover density: each shortest stretch of a text that
     holds all words counts the more the fewer other words stand in it.  All places of a text count, however long it is.
     Equal scores (to nine digits) are ordered by doc_id.  Defined cases: words of a query that are repeated or null count
     once or not at all; a query without words finds nothing.
     """
-    wanted = queries.select("query_id", F.array_distinct(F.array_compact("words")).alias("words"))
-    wanted = wanted.select("query_id", F.size("words").alias("need"), F.explode("words").alias("word"))
-    listed = [r["word"] for r in wanted.select("word").distinct().limit(LISTED + 1).collect()]
-    if len(listed) <= LISTED:
+    wanted, listed = _asked(queries)
+    if listed is not None:
         stored = stored.where(F.col("word").isin(listed) if listed else F.lit(False))
     hits = stored.join(wanted, "word").groupBy("query_id", "doc_id", "need").agg(F.collect_list("places").alias("held"))
     found = hits.where("size(held) = need").select("query_id", "doc_id", "held")

@@ -94,7 +94,8 @@ def fts_and_match(spark, sf_dir):
 """)
 def rrf_hybrid(spark, sf_dir):
     """Three stated word queries fused with all vector queries."""
-    sparse = N.match_all(N.postings(table(spark, sf_dir, "documents")), _word_queries(spark), 100)
+    words = _word_queries(spark)
+    sparse = N.match_all(N.occurrences(table(spark, sf_dir, "documents"), words), words, 100)
     queries, rows = _vectors(spark, sf_dir)
     dense = R.vector_search(queries, rows, 100).withColumn("query_id", (F.col("query_id") / 20).cast("int") + 1)
     return R.fuse([(sparse, 1.0), (dense, 1.0)], ["doc_id"], top=100).select("doc_id", "query_id", "score", "rank")
@@ -118,7 +119,8 @@ def hybrid_documents(spark, sf_dir):
     fused and expanded.  A document is a cell of its language's workbook and its source's sheet, eight to a row."""
     places = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("company"), F.coalesce("source", F.lit("")).alias("sheet"), F.floor(F.col("doc_id") / 8).alias("row_index"), (F.col("doc_id") % 8).alias("col_index"), F.col("doc_id").cast("string").alias("coord"))
     queries, rows = _vectors(spark, sf_dir)
-    sparse = N.match_all(N.postings(table(spark, sf_dir, "documents")), _word_queries(spark), 100)
+    words = _word_queries(spark)
+    sparse = N.match_all(N.occurrences(table(spark, sf_dir, "documents"), words), words, 100)
     dense = R.vector_search(queries.where("id <= 40"), rows, 100).withColumn("query_id", (F.col("query_id") / 20).cast("int") + 1)
     hits = lambda df: df.join(places, "doc_id").select(F.col("query_id").alias("subquery"), F.lit("ix").alias("index_id"), "company", "sheet", "coord", F.concat(F.lit("d"), "coord").alias("cell_id"), "score")
     return R.hybrid(hits(sparse), hits(dense), places, 50, 0, 200).select("doc_id", "hit_rank")

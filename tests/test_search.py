@@ -32,13 +32,29 @@ def test_cover_density(spark, monkeypatch):
         asked = {w for w in words if w}
         found = [(-round(plain_density(t or "", asked) or 0, 9), i) for i, t in texts if asked and plain_density(t or "", asked) is not None]
         want |= {(q, i): (n, -s) for n, (s, i) in enumerate(sorted(found)[:30], 1)}
-    stored = keyword.postings(spark.createDataFrame(texts, "doc_id int, text string").repartition(3))
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    stored = keyword.postings(docs)
     asked = spark.createDataFrame(queries, "query_id int, words array<string>")
-    for listed in (1000, 2):  # with and without a list of words
+    for listed, once in ((1000, False), (2, False), (1000, True), (2, True)):  # with and without a list of words, stored and not
         monkeypatch.setattr(keyword, "LISTED", listed)
-        got = {(r["query_id"], r["doc_id"]): (r["rank"], r["score"]) for r in keyword.match_all(stored, asked, 30).collect()}
+        found = keyword.match_all(keyword.occurrences(docs, asked) if once else stored, asked, 30)
+        got = {(r["query_id"], r["doc_id"]): (r["rank"], r["score"]) for r in found.collect()}
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in got)
     keyword.drop_postings(stored)
+    nothing = asked.where("query_id = 4")
+    assert keyword.match_all(keyword.occurrences(docs, nothing), nothing, 30).count() == 0
+    assert keyword.match_all(keyword.occurrences(docs.limit(0), asked), asked, 30).count() == 0
+
+
+def test_postings_of_asked_words_are_those_stored(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 11}" for k in range(i))) for i in range(40)] + [(99, None), (98, " . ")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, ["w3", "w5"]), (2, ["w5", "w0", None])], "query_id int, words array<string>")
+    stored = keyword.postings(docs, buckets=4, shares=1)
+    want = sorted(map(tuple, stored.where("word IN ('w0', 'w3', 'w5')").collect()))
+    assert want and sorted(map(tuple, keyword.occurrences(docs, asked).collect())) == want
+    plan = keyword.match_all(keyword.occurrences(docs, asked), asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BuildRight" in plan
+    keyword.drop_postings(stored)
 
 
 def test_a_search_reads_the_buckets_of_its_words(spark):
