@@ -7,6 +7,7 @@ Texts that are searched once need no stored postings: those of the asked words a
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-#: Buckets of words, and how many tasks write (files hold) a bucket, so that a word of every text is no one task's work.
-BUCKETS, SHARES = 64, 4
+#: Bytes of the texts' table for each file of postings, from which layout() takes buckets and shares.
+FILE_BYTES = 64 << 20
+#: Buckets of words and shares of a bucket at the least and the most, and those for tables of unknown size.
+LEAST, MOST, UNKNOWN = (8, 2), 4096, (64, 4)
 #: Words of all queries up to which buckets are picked by a list, which is broadcast; more are met by a join of two tables.
 LISTED = 1000
 #: What a word of the lowest weight class counts in a cover.
@@ -81,12 +84,29 @@ def occurrences(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.select("word", "doc_id", "length", places.alias("places"))
 
 
-def postings(docs: DataFrame, buckets: int = BUCKETS, shares: int = SHARES) -> DataFrame:
-    """The stored postings (word, doc_id, length, places from 1) of docs (doc_id, text); a null text has no words."""
+def layout(size: int) -> tuple[int, int]:
+    """(buckets, shares) for a table of size bytes.
+
+    Buckets and the files of each grow alike, with the root of the size: a search for a word reads the fewer of all files the
+    larger the table is, and a word of every text is written by the more tasks.
+    """
+    if size >= 1 << 60:  # what Spark says where it knows nothing
+        return UNKNOWN
+    side = math.ceil(math.sqrt(size / FILE_BYTES))
+    return min(max(LEAST[0], side), MOST), min(max(LEAST[1], side), MOST)
+
+
+def postings(docs: DataFrame, buckets: int | None = None, shares: int | None = None) -> DataFrame:
+    """The stored postings (word, doc_id, length, places from 1) of docs (doc_id, text); a null text has no words.
+
+    buckets: of words; shares: files, each written by a task, of a bucket.  Both follow the table's size unless given.
+    """
     spark, name = docs.sparkSession, f"postings_{uuid.uuid4().hex}"
+    by_size = layout(int(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets, shares = buckets or by_size[0], shares or by_size[1]
     rows = _worded(docs).mapInArrow(_by_word, _POSTINGS)
-    # a task for each bucket and share, so that a bucket is SHARES files, however many tasks read the texts
-    dealt = rows.repartition(buckets * shares, F.pmod(F.hash("word"), F.lit(buckets)), F.pmod(F.hash("doc_id"), F.lit(shares)))
+    # a task for each bucket and share, so that a bucket is that many files, however many tasks read the texts
+    dealt = rows.repartitionById(buckets * shares, F.pmod(F.hash("word"), F.lit(buckets)) * shares + F.pmod(F.hash("doc_id"), F.lit(shares)))
     dealt.write.bucketBy(buckets, "word").sortBy("word").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 

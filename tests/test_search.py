@@ -65,6 +65,17 @@ def test_a_search_reads_the_buckets_of_its_words(spark):
     assert len(stored.inputFiles()) <= 16 * 2 and stored.where("word = 'common'").count() == 300
 
 
+def test_layout_grows_with_the_table(spark):
+    assert keyword.layout(0) == keyword.layout(1 << 20) == (8, 2)
+    assert keyword.layout(100 << 30) == (40, 40)
+    assert keyword.layout(40 << 40) == (810, 810)
+    assert keyword.layout(1 << 63) == (64, 4)
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "doc_id long, text string")
+    stored = keyword.postings(docs, buckets=3, shares=2)
+    assert len(stored.inputFiles()) == 6 and stored.count() == 100
+    keyword.drop_postings(stored)
+
+
 def test_words_of_any_script(spark):
     row = spark.range(1).select(keyword.words(F.lit("Été, 日本 x_1 ２ ß-Test")).alias("w")).first()
     assert row["w"] == ["été", "日本", "x", "1", "２", "ß", "test"]
