@@ -54,8 +54,8 @@ def candidates(series: DataFrame, position: DataFrame, entity: str = "company_id
         now["gs"].alias("growth_score"),
         now["ms"].alias("profitability_score"),
         now["ss"].alias("stability_score"),
-        F.round(composite(now), 2).alias("composite_score"),
-        F.when(F.col("n_years") >= 3, composite(then)).otherwise(F.round(composite(now), 2)).alias("historical_score"),
+        S.rounded(composite(now), 2).alias("composite_score"),
+        F.when(F.col("n_years") >= 3, composite(then)).otherwise(S.rounded(composite(now), 2)).alias("historical_score"),
     )
     return out.where(F.col("composite_score").isNotNull()).withColumn("tier", S.tier(F.col("composite_score")))
 
@@ -66,7 +66,7 @@ def ranked(scored: DataFrame, *partition: str) -> DataFrame:
     The league as a whole is one window; companies are rows of a league table, not of the fact data.
     """
     now = Window.partitionBy(*partition).orderBy(F.desc("composite_score"))
-    then = Window.partitionBy(*partition).orderBy(F.desc(F.round("historical_score", 9)))
+    then = Window.partitionBy(*partition).orderBy(F.desc(S.rounded(F.col("historical_score"), 9)))
     out = scored.withColumns({"rank": F.rank().over(now), "previous_rank": F.rank().over(then)})
     return out.withColumn("rank_change", F.col("previous_rank") - F.col("rank"))
 
