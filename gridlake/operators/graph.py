@@ -23,6 +23,18 @@ def _stable(df: DataFrame, *columns: str) -> tuple:
 FEW = 200_000
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n numbered nodes each one's root, the smallest that links a - b lead to."""
+    root = np.arange(n)
+    while len(a):  # each round hooks the later root of a link to the earlier one, then every node to its root
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
 def _connected_few(edges: DataFrame) -> DataFrame:
     """connected() of at most FEW links."""
     table = edges.toArrow()
@@ -30,14 +42,7 @@ def _connected_few(edges: DataFrame) -> DataFrame:
     nodes = pc.unique(pa.concat_arrays([u, v]))
     nodes = nodes.take(pc.sort_indices(nodes))
     a, b = (pc.index_in(x, value_set=nodes).to_numpy() for x in (u, v))
-    root = np.arange(len(nodes))
-    while len(a):
-        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
-        while (root[root] != root).any():
-            root = root[root]
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-    return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": nodes.take(pa.array(root))}))
+    return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": nodes.take(pa.array(roots(len(nodes), a, b)))}))
 
 
 def connected(links: DataFrame) -> DataFrame:
