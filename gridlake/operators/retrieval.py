@@ -132,14 +132,17 @@ def _reranked(hits: DataFrame, top: int, order: list[Column]) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("subquery").orderBy(*order))).where(F.col("rank") <= top).drop("_n")
 
 
-def prioritized(cells: DataFrame, keys: list[str], rank: str, order: list[Column], limit: int) -> DataFrame:
+def prioritized(cells: DataFrame, keys: list[str], rank: str, order: list[Column], limit: int | None) -> DataFrame:
     """K4: of the first candidates of each key (four to eight times as many as asked for, within bounds) all of the best
-    alias rank, then cut to the limit: cells that disagree at the best rank stay together.
+    alias rank, then cut to the limit: cells that disagree at the best rank stay together.  Without a limit all of them.
     """
+    best = F.min(rank).over(Window.partitionBy(*keys))
+    if limit is None:
+        return cells.withColumn("_best", best).where(F.col(rank) == F.col("_best")).drop("_best")
     depth = max(C.EVIDENCE_MIN, min(C.EVIDENCE_FACTOR * limit, C.EVIDENCE_MAX))
     w = Window.partitionBy(*keys).orderBy(*order)
     out = cells.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= depth)
-    out = out.withColumn("_best", F.min(rank).over(Window.partitionBy(*keys))).where(F.col(rank) == F.col("_best"))
+    out = out.withColumn("_best", best).where(F.col(rank) == F.col("_best"))
     return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n", "_best")
 
 
@@ -182,14 +185,14 @@ def evidence_of(documents: DataFrame, eligible: DataFrame, keys: list[str], qual
     return best_variant(documents.join(eligible.select(*keys).distinct(), keys), keys, quality)
 
 
-def exact_evidence(cells: DataFrame, wanted: DataFrame, limit: int = C.EVIDENCE_MAX) -> DataFrame:
+def exact_evidence(cells: DataFrame, wanted: DataFrame, limit: int | None = C.EVIDENCE_MAX) -> DataFrame:
     """Cells that state a metric for a period, for all pairs of wanted at once.
 
     wanted: metric_id, aliases array, excluded array, period_terms array, kind (fy or ltm).  cells:
     cell_id, company, sheet, coord, row_index, col_index, row_tokens array, column_tokens array (normalised).  A row
     token equal to an alias is better than one that ends with it; rows that end with an excluded alias are out.  Of
     several columns of one row and period those marked LTM are the LTM ones; without a mark the left one is the fiscal
-    year, the right one LTM.  Of the first cells of a company and metric (see prioritized()) those of the best alias rank stay, limit of them at most.
+    year, the right one LTM.  Of the first cells of a company and metric (see prioritized()) those of the best alias rank stay, limit of them at most; without a limit all cells of the best alias rank.
     """
     exact = F.array_min(F.filter(F.transform("row_tokens", lambda t: F.array_position("aliases", t)), lambda p: p > 0))
     ends = F.array_min(F.filter(F.transform("aliases", lambda a, i: F.when(F.exists("row_tokens", lambda t: t.endswith(a)), i + 1)), lambda p: p.isNotNull()))

@@ -158,19 +158,17 @@ def best_variant_per_cell(spark, sf_dir):
     m AS (SELECT *, CASE WHEN list_contains(aliases, rt) THEN list_position(aliases, rt) END AS exact, list_min(list_filter(range(1, len(aliases) + 1), lambda i: ends_with(rt, aliases[i]))) AS ends FROM s WHERE len(list_filter(excluded, lambda a: ends_with(rt, a))) = 0),
     p AS (SELECT *, count(*) OVER (PARTITION BY metric_id, company, sheet, row_index) AS repeats, row_number() OVER (PARTITION BY metric_id, company, sheet, row_index ORDER BY col_index, coord) AS l,
                  row_number() OVER (PARTITION BY metric_id, company, sheet, row_index ORDER BY col_index DESC, coord DESC) AS r FROM m WHERE exact IS NOT NULL OR ends IS NOT NULL),
-    e AS (SELECT *, coalesce(exact, ends + 1000)::INT AS metric_rank FROM p WHERE (kind = 'ltm' AND repeats > 1 AND r = 1) OR (kind = 'fy' AND (repeats = 1 OR l = 1))),
-    f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY metric_id, kind, company ORDER BY metric_rank, upper(sheet), upper(coord), sheet, coord) <= 32),
-    g AS (SELECT * FROM f QUALIFY metric_rank = min(metric_rank) OVER (PARTITION BY metric_id, kind, company))
-    SELECT metric_id, kind, company, sheet, coord, metric_rank FROM g QUALIFY row_number() OVER (PARTITION BY metric_id, kind, company ORDER BY metric_rank, upper(sheet), upper(coord), sheet, coord) <= 2
+    e AS (SELECT *, coalesce(exact, ends + 1000)::INT AS metric_rank FROM p WHERE (kind = 'ltm' AND repeats > 1 AND r = 1) OR (kind = 'fy' AND (repeats = 1 OR l = 1)))
+    SELECT metric_id, kind, company, sheet, coord, metric_rank FROM e QUALIFY metric_rank = min(metric_rank) OVER (PARTITION BY metric_id, kind, company)
 """)
 def metric_evidence_exact(spark, sf_dir):
-    """Two cells for each metric and company at most, of those that tie at the best alias."""
+    """Of each metric and company all cells that tie at the best alias."""
     c = cells(spark, sf_dir).select("company", "sheet", "coord", "row_index", "col_index", F.concat_ws("!", "company", "sheet", "coord").alias("cell_id"), F.array(S.normalize_token(F.col("row_header"))).alias("row_tokens"), F.array(S.normalize_token(F.col("column_header"))).alias("column_tokens"))
     wanted = spark.createDataFrame(
         [("m1", ["brand11", "1"], ["21"], ["fy1997", "fy1998"], "fy"), ("m2", ["brand45", "5"], ["15", "25"], ["fy1997", "fy1998"], "ltm")],
         "metric_id string, aliases array<string>, excluded array<string>, period_terms array<string>, kind string",
     )
-    return R.exact_evidence(c, wanted, limit=2).select("metric_id", "kind", "company", "sheet", "coord", "metric_rank")
+    return R.exact_evidence(c, wanted, limit=None).select("metric_id", "kind", "company", "sheet", "coord", "metric_rank")
 
 
 @query(f"""
