@@ -22,6 +22,8 @@ def candidate_depth(k: int) -> int:
 
 #: Rows of a block in a vector search.
 BLOCK = 4096
+#: Queries of a block that are compared at once, so that memory holds their cosines and not those of the block.
+AT_ONCE = 256
 
 
 def _blocks(rows: DataFrame) -> int:
@@ -45,12 +47,15 @@ def _top_of_pair(k: int):
         qi, di, qv, dv = ids[q], ids[~q][order], x[q], x[~q][order]
         out = []
         if len(di):
-            with np.errstate(invalid="ignore", divide="ignore"):
-                cosines = (qv @ dv.T) / np.sqrt((qv * qv).sum(1))[:, None] / np.sqrt((dv * dv).sum(1))
-            cosines = np.where(np.isfinite(cosines), cosines, -2.0)
-            for i in range(len(qi)):
-                best = np.argsort(-cosines[i], kind="stable")[:k]
-                out.append((np.full(len(best), qi[i]), di[best], cosines[i][best]))
+            norms = np.sqrt((dv * dv).sum(1))
+            for at in range(0, len(qi), AT_ONCE):
+                some = qv[at : at + AT_ONCE]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cosines = (some @ dv.T) / np.sqrt((some * some).sum(1))[:, None] / norms
+                cosines = np.where(np.isfinite(cosines), cosines, -2.0)
+                for i in range(len(some)):
+                    best = np.argsort(-cosines[i], kind="stable")[:k]
+                    out.append((np.full(len(best), qi[at + i]), di[best], cosines[i][best]))
         z = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": z[0].astype(np.int64), "doc_id": z[1].astype(np.int64), "score": z[2]})
 
