@@ -100,9 +100,11 @@ def _stored(spark, sf_dir, *columns):
 @query(f"WITH {CELLS_SQL} SELECT company AS collection, sheet, coord, CASE WHEN company IN ('NATION_1', 'NATION_2') AND sheet = 'A' THEN 'new' ELSE row_header END AS row_header FROM cells UNION ALL SELECT DISTINCT 'NATION_X', sheet, 'A1', 'new' FROM cells")
 def stored_upsert(spark, sf_dir):
     """Rows of two stored collections are replaced and a third collection is added; the others are not written."""
-    folder = _stored(spark, sf_dir, "row_header")
-    new = cells(spark, sf_dir).where("company IN ('NATION_1', 'NATION_2') AND sheet = 'A'").select(F.col("company").alias("collection"), "sheet", "coord", F.lit("new").alias("row_header"))
-    more = cells(spark, sf_dir).select(F.lit("NATION_X").alias("collection"), "sheet", F.lit("A1").alias("coord"), F.lit("new").alias("row_header")).distinct()
+    c = cut(cells(spark, sf_dir).select(F.col("company").alias("collection"), "sheet", "coord", "row_header"))
+    folder = _folder(spark, "collections")
+    collections.store(c, folder)
+    new = c.where("collection IN ('NATION_1', 'NATION_2') AND sheet = 'A'").select("collection", "sheet", "coord", F.lit("new").alias("row_header"))
+    more = c.select(F.lit("NATION_X").alias("collection"), "sheet", F.lit("A1").alias("coord"), F.lit("new").alias("row_header")).distinct()
     collections.upsert(spark, folder, new.unionByName(more), ["sheet", "coord"])
     return collections.scan(spark, folder)
 
