@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,32 +14,46 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import shared_dir
 
 OUTPUT = "key long, state string, ts timestamp"
+#: Groups that a stream's keys are dealt to.  A call of Python for each key would cost milliseconds a key; one group's rows of
+#: a batch, and what is kept of its keys, are in memory at a time.
+BUCKETS = 4096
+
+
+def bucketed(stream: DataFrame, *columns: str) -> DataFrame:
+    """columns, one of which is key, behind the bucket of the key; rows without a key have a bucket of their own, null."""
+    return stream.select(F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).alias("bucket"), *columns)
+
+
+def in_order(bucket: tuple, frames: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """(key, nanoseconds of ts, columns ...) of a bucket's rows, key by key, by ts and columns."""
+    rows = pd.concat(list(frames)).sort_values(["key", "ts", *columns], kind="stable")
+    keys = [None] * len(rows) if pd.isna(bucket[0]) else rows["key"].tolist()
+    return zip(keys, rows["ts"].to_numpy("datetime64[ns]").view("int64").tolist(), *(rows[c].tolist() for c in columns), strict=True)
 
 
 def state_changes(stream: DataFrame, terminal: tuple[str, ...] = ()) -> DataFrame:
     """(key, state, ts) of a stream (key, state, ts), one row for each change of a key's state.
 
     A terminal state is a key's last: what comes after it is not put out.  Late rows are left out.  The state kept is one
-    row for each key.
+    entry for each key, in the row of its bucket.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "state"], kind="stable")
+    def run(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {key: (s, at) for key, s, at in zip(*state.get, strict=True)} if state.exists else {}
         out = []
-        for s, t in zip(rows["state"], rows["ts"], strict=True):
-            if last in terminal:
-                break
-            at = t.value
-            if seen is not None and at < seen:
+        for key, at, s in in_order(bucket, frames, "state"):
+            last, seen = held.get(key, (None, None))
+            if last in terminal or (seen is not None and at < seen):
                 continue
             if s != last:
-                out.append((key[0], s, t))
-            last, seen = s, at
-        state.update((last, seen))
-        yield pd.DataFrame(out, columns=["key", "state", "ts"])
-
-    return stream.groupBy("key").applyInPandasWithState(run, OUTPUT, "last string, seen long", "append", GroupStateTimeout.NoTimeout)
+                out.append((key, s, at))
+            held[key] = s, at
+        state.update((list(held), [s for s, _ in held.values()], [at for _, at in held.values()]))
+        if out:
+            keys, states, at = zip(*out, strict=True)
+            yield pd.DataFrame({"key": keys, "state": states, "ts": np.array(at, "int64").view("datetime64[ns]")})
+
+    return bucketed(stream, "key", "state", "ts").groupBy("bucket").applyInPandasWithState(run, OUTPUT, "keys array<long>, last array<string>, seen array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_states(stream: DataFrame) -> DataFrame:
