@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
+from itertools import starmap
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .state import bucketed, in_order
+
 #: Seconds of a lease, of the wait after a failed attempt, and after which an ended job is forgotten; attempts.
 LEASE, DELAY, FORGET, ATTEMPTS = 180, 5, 86_400, 3
 OUTPUT = "key long, ts timestamp, state string, reason string, attempts int"
-_STATE = "status string, token string, deadline long, attempts int, seen long"
+_STATE = "keys array<long>, status array<string>, token array<string>, deadline array<long>, attempts array<int>, seen array<long>"
 ENDED = ("succeeded", "failed")
 
 
@@ -85,38 +88,42 @@ class Rules:
             yield self.failed(job, at, "reported")
 
 
-def _micros(t: pd.Timestamp) -> int:
-    return t.value // 1000
-
-
 def lease_transitions(stream: DataFrame, rules: Rules | None = None, late: str = "0 seconds") -> DataFrame:
     """(key, ts, state, reason, attempts): what happens to jobs, from events (key, ts, kind, token).
 
     kind is enqueue, claim, heartbeat, fail or succeed.  Only the holder of a running job's token may renew, fail or end it;
     others are refused, and that is put out too.  A failed or stale attempt makes the job pending again after the delay,
     ATTEMPTS times at most; then it has failed.  Timers follow the watermark, late behind the latest event; what they do has
-    the time that they were set for.  Kept is one row for each job, until an ended one is forgotten.
+    the time that they were set for.  Kept is one entry for each job, in the row of its key's bucket, until an ended one is
+    forgotten; a bucket's timer is the earliest of its jobs'.
     """
     rules = rules or Rules()
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job = _Job(*state.get) if state.exists else _Job()
+    def run(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        jobs = {}
+        if state.exists:
+            keys, *kept = state.get
+            jobs = dict(zip(keys, starmap(_Job, zip(*kept, strict=True)), strict=True))
         out = []
         if not state.hasTimedOut:
-            rows = pd.concat(list(frames)).sort_values(["ts", "kind", "token"], kind="stable")
-            for t, kind, token in zip(rows["ts"], rows["kind"], rows["token"], strict=True):
-                out += rules.heard(job, _micros(t), kind, token)
+            for key, at, kind, token in in_order(bucket, frames, "kind", "token"):
+                if key not in jobs:
+                    jobs[key] = _Job()
+                out += [(key, *x) for x in rules.heard(jobs[key], at // 1000, kind, token)]
         now = state.getCurrentWatermarkMs() * 1000
-        out += rules.due(job, now)
-        if job.status in ENDED and job.deadline <= now:
-            state.remove()
+        for key, job in jobs.items():
+            out += [(key, *x) for x in rules.due(job, now)]
+        jobs = {key: job for key, job in jobs.items() if job.status not in ENDED or job.deadline > now}
+        if jobs:
+            state.update((list(jobs), *map(list, zip(*map(astuple, jobs.values()), strict=True))))
+            timers = [job.deadline for job in jobs.values() if job.deadline is not None]
+            if timers:
+                state.setTimeoutTimestamp(-(-min(timers) // 1000) - 1)  # timers go off when the watermark has passed them
         else:
-            state.update(astuple(job))
-            if job.deadline is not None:
-                state.setTimeoutTimestamp(-(-job.deadline // 1000))
+            state.remove()
         if out:
-            at, name, reason, attempts = zip(*out, strict=True)
-            yield pd.DataFrame({"key": key[0], "ts": pd.to_datetime(list(at), unit="us"), "state": name, "reason": reason, "attempts": attempts})
+            keys, at, name, reason, attempts = zip(*out, strict=True)
+            yield pd.DataFrame({"key": keys, "ts": pd.to_datetime(list(at), unit="us"), "state": name, "reason": reason, "attempts": attempts})
 
-    events = stream.select("key", "ts", "kind", "token").withWatermark("ts", late)
-    return events.groupBy("key").applyInPandasWithState(run, OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    events = bucketed(stream.withWatermark("ts", late), "key", "ts", "kind", "token")
+    return events.groupBy("bucket").applyInPandasWithState(run, OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
