@@ -24,6 +24,8 @@ FILE_BYTES = 64 << 20
 LEAST, MOST, UNKNOWN = (8, 2), 4096, (64, 4)
 #: Words of all queries up to which buckets are picked by a list, which is broadcast; more are met by a join of two tables.
 LISTED = 1000
+#: Words that a task sorts by text and word at once, or those of one text.
+AT_ONCE = 1 << 18
 #: What a word of the lowest weight class counts in a cover.
 WEIGHT = 0.1
 
@@ -35,9 +37,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+", -1), lambda x: x != "")
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch, as many at a time as have AT_ONCE words, one at the least: Arrow counts rows, whatever their size."""
+    ends = np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0)), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + AT_ONCE, side="right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each word of a text; a text is in one row, so nothing is dealt out for it."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
         lists = batch.column(1)
         size = np.asarray(lists.value_lengths().fill_null(0))
         flat = lists.flatten().dictionary_encode()
