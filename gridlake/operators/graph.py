@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import SHORT_LIST, cut, shared_dir
 
 
 def _stable(df: DataFrame, *columns: str) -> tuple:
@@ -112,16 +112,27 @@ def generations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return all_nodes.join(done, "node", "left").select("node", "level")
 
 
+def _merged(df: DataFrame, **names: str) -> DataFrame:
+    """df with the given columns (new name = old), marked to be merged in a join: a loop's broadcasts would all pass the driver."""
+    return df.select(*(F.col(old).alias(new) for new, old in names.items())).hint("merge")
+
+
+def _between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose ends are both in nodes."""
+    return edges.join(_merged(nodes, source="node"), "source", "left_semi").join(_merged(nodes, target="node"), "target", "left_semi")
+
+
 def _trimmed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without those that lead from or to no cycle: what has no predecessor or no successor goes, again and
     again."""
+    n = nodes.count()
     while True:
-        inner = nodes.join(edges.select(F.col("target").alias("node")), "node", "left_semi").join(edges.select(F.col("source").alias("node")), "node", "left_semi")
-        inner = cut(inner)
-        if inner.count() == nodes.count():
+        inner = cut(nodes.join(_merged(edges, node="target"), "node", "left_semi").join(_merged(edges, node="source"), "node", "left_semi"))
+        last, n = n, inner.count()
+        if n == last:
             return inner, edges
         nodes = inner
-        edges = cut(edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"))
+        edges = cut(_between(edges, nodes))
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -137,26 +148,26 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = edges.where("source <> target")
     found = Levels(spark)
     found.add(nodes.limit(0).select("node", F.col("node").alias("cycle")))
-    alone = nodes.join(own, "node", "left_semi")
+    alone = nodes.join(own.hint("merge"), "node", "left_semi")
     nodes, edges = _trimmed(nodes, edges)
     while not nodes.isEmpty():
         colour = nodes.select("node", F.col("node").alias("colour"))
         last = None
         while True:  # forward: the smallest node that reaches each
-            sent = edges.join(colour.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node"), "colour")
+            sent = edges.join(_merged(colour, source="node", colour="colour"), "source").select(F.col("target").alias("node"), "colour")
             colour = cut(colour.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")))
             now = _stable(colour, "node", "colour")
             if now == last:
                 break
             last = now
-        inside = edges.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("c")), "source").join(colour.select(F.col("node").alias("target"), "colour"), "target").where("c = colour").select("source", "target")
-        back = descendants(colour.where("node = colour").select("node"), inside.select(F.col("target").alias("source"), F.col("source").alias("target")))
+        inside = edges.join(_merged(colour, source="node", c="colour"), "source").join(_merged(colour, target="node", colour="colour"), "target").where("c = colour").select("source", "target")
+        back = descendants(colour.where("node = colour").select("node"), inside.select(F.col("target").alias("source"), F.col("source").alias("target"))).hint("merge")
         found.add(colour.join(back, "node", "left_semi").select("node", F.col("colour").alias("cycle")))
         nodes = cut(nodes.join(back, "node", "left_anti"))
-        edges = cut(edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"))
+        edges = cut(_between(edges, nodes))
         nodes, edges = _trimmed(nodes, edges)
     out = found.all()
-    return out.unionByName(alone.join(out, "node", "left_anti").select("node", F.col("node").alias("cycle")))
+    return out.unionByName(alone.join(_merged(out, node="node"), "node", "left_anti").select("node", F.col("node").alias("cycle")))
 
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
@@ -205,11 +216,11 @@ def descendants(start: DataFrame, edges: DataFrame, stop: DataFrame | None = Non
     levels = Levels(start.sparkSession)
     fresh = levels.add(seen)
     edges = cut(edges.select("source", "target").distinct())
-    while True:
-        fresh = edges.join(fresh.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
-        fresh = levels.add(fresh.join(levels.all(), "node", "left_anti"))
-        if fresh.isEmpty():
-            return levels.all()
+    while n := fresh.limit(SHORT_LIST + 1).count():
+        few = n <= SHORT_LIST
+        fresh = edges.join(fresh.withColumnRenamed("node", "source").hint("broadcast" if few else "merge"), "source", "left_semi").select(F.col("target").alias("node")).distinct()
+        fresh = levels.add(fresh.join(_merged(levels.all(), node="node"), "node", "left_anti"))
+    return levels.all()
 
 
 def reduced_status(log: DataFrame, key: str = "run_id", status: str = "status") -> DataFrame:
